@@ -2,13 +2,30 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import find_leaks
+from .language_id import predict, train
+from .ngram_join import near_components
+from .sentencepiece_bpe import encode_decode
 from .substring_dedup import dedup_substrings
 
+try:
+    import public_tokenizers
+except ImportError:  # the vocabulary files are no part of this repository
+    public_tokenizers = None
+
+
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file; TOKENIZERS_DIR or /opt/tokenizers where the package is absent."""
+    if public_tokenizers is not None:
+        return public_tokenizers.path(name)
+    return os.path.join(os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers"), name)
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,8 +37,38 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(_table(spark, sf_dir, "documents"), width=5, percent=75)
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = encode_decode(docs, vocabulary("piece_bpe_32k.model"), with_ids=False)
+    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def bucket(modulus: int):
+    """crc32 of the id as text, modulo `modulus`: which rows a model learns from."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    classifier = train(docs.filter(bucket(5) != 0))
+    out = predict(docs.select("doc_id", "text"), classifier)
+    return out.select("doc_id", (bucket(5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), width=5, percent=75)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op5_language_id": op5_language_id,
+    "op8_decontamination": op8_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}

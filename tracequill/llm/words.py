@@ -131,3 +131,23 @@ def pieces(batches, limit: int = 4 << 20, text: str = "text"):
             j = max(i + 1, int(np.searchsorted(ends, base + limit, "right")))
             yield batch.slice(i, j - i)
             i = j
+
+
+def shingles(h: np.ndarray, woff: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of every text, flat, and the n + 1 offsets.
+
+    A text of fewer than `width` words has one shingle, all its words; one without words has none.
+    """
+    n = np.diff(woff)
+    r = rolling(h, width)
+    short = {k: rolling(h, k) for k in range(1, width) if (n == k).any()}
+    sets = []
+    for a, m in zip(woff[:-1].tolist(), n.tolist(), strict=True):
+        if m >= width:
+            sets.append(np.unique(r[a : a + m - width + 1]))
+        elif m:
+            sets.append(mix(short[m][a : a + 1] + U64(m)))
+        else:
+            sets.append(r[:0])
+    sizes = np.array([len(s) for s in sets], np.int64)
+    return (np.concatenate(sets) if sets else np.zeros(0, U64)), np.concatenate([[0], np.cumsum(sizes)])
