@@ -32,7 +32,11 @@ from .packing import pack, unpack
 
 #: Words gathered before a batch is sorted: bounds a task's memory.
 BATCH_WORDS = 1_000_000
+#: Low bits of a hash that do not travel: anchors are only candidates, so 40 bits do; a window's
+#: two hashes keep 64 + 40 bits.
+ANCHOR_SHIFT, WINDOW_SHIFT = np.uint64(24), np.uint64(24)
 ROUTED = f"{OWN}part int, doc_id long, {OWN}th int, {OWN}pos array<int>, {OWN}payload binary"
+MET = f"{OWN}batch long, doc_id long, {OWN}th int, {OWN}pos array<int>, {OWN}payload binary"
 FOUND = f"doc_id long, {OWN}th int, {OWN}pos array<int>"
 _NONE = np.zeros(0, np.int64)
 
@@ -124,7 +128,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], window: int, parts: int) -> Iter
         if rows is not None:
             yield rows
         key, ref = keys[start], at[start].astype(np.uint64) * np.uint64(2) + aligned.astype(np.uint64)
-        yield _ship_rows(key, (key >> np.uint64(16), ref), _table(ids, th, woff), parts)
+        yield _ship_rows(key, (key >> ANCHOR_SHIFT, ref), _table(ids, th, woff), parts)
         batch.clear()
 
     for piece in w.pieces(batches):
@@ -139,52 +143,92 @@ def _settled(batches: Iterator[pa.RecordBatch], exact: bool) -> Iterator[pa.Reco
     """One range of hash space: rows that ride along pass; entries of one hash from several batches meet.
 
     exact False (anchors): all entries of a hash that some document has as a block are hits.
-    exact True (windows): entries whose doc_id is over the smallest of the 128-bit hash are repeated.
+    exact True (windows): entries whose doc_id is over the smallest of the hash are repeated.
+    What is found goes back as a packed row for each batch it came from.
     """
     names = ["doc_id", OWN + "th", OWN + "pos"]
-    a, b, ref, ids, th, size = [], [], [], [], [], []
+    a, b, pos, flag, row, ids, tables = [], [], [], [], [], [], []
     for batch in batches:
         riding = batch.column(OWN + "payload").is_null()
-        if riding.true_count:
-            yield pa.RecordBatch.from_arrays([batch.column(n).filter(riding) for n in names], names=names)
+        if n := riding.true_count:
+            cols = [batch.column(x).filter(riding) for x in names]
+            yield pa.RecordBatch.from_arrays([cols[0], *cols, pa.nulls(n, pa.binary())], names=[OWN + "batch", *names, OWN + "payload"])
         for data in batch.column(OWN + "payload").drop_null():
             cols = unpack(data.as_py())
             a.append(cols[0])
             if exact:
                 b.append(cols.pop(1))
-            pos = cols[1] if exact else cols[1] >> np.uint64(1)
-            woff = cols[4].astype(np.int64)
-            row = np.searchsorted(woff, pos.astype(np.int64), "right") - 1
-            ref.append((pos.astype(np.int64) - woff[row]) * (1 if exact else 2) + (0 if exact else (cols[1] & np.uint64(1)).astype(np.int64)))
-            ids.append(cols[2].view(np.int64)[row])
-            th.append((cols[3].astype(np.int64) - (1 << 31))[row])
+            ref, doc, th, woff = cols[1], cols[2].view(np.int64), cols[3].astype(np.int64) - (1 << 31), cols[4].astype(np.int64)
+            at = (ref if exact else ref >> np.uint64(1)).astype(np.int64)
+            if not exact:
+                flag.append((ref & np.uint64(1)).astype(bool))
+            r = np.searchsorted(woff, at, "right") - 1
+            pos.append(at - woff[r])
+            row.append(r.astype(np.int32) if len(woff) < 1 << 31 else r)
+            ids.append(doc[r])
+            tables.append((doc, th, woff))
     if not a:
         return
-    a, ref, ids, th = (np.concatenate(x) for x in (a, ref, ids, th))
+    source = np.repeat(np.arange(len(a), dtype=np.int32), [len(x) for x in a])
+    a, pos, row, ids = (np.concatenate(x) for x in (a, pos, row, ids))
     if exact:
         b = np.concatenate(b)
         order = np.lexsort((b, a))
         b = b[order]
     else:
         order = np.argsort(a, kind="stable")
-    a, ref, ids, th = a[order], ref[order], ids[order], th[order]
+    a = a[order]
     new = np.concatenate([[True], a[1:] != a[:-1]])
     if exact:
         new[1:] |= b[1:] != b[:-1]
     start = np.flatnonzero(new)
     size = np.diff(np.append(start, len(a)))
     if exact:
-        hit, pos = ids > np.repeat(np.minimum.reduceat(ids, start), size), ref
+        ids = ids[order]
+        hit = order[ids > np.repeat(np.minimum.reduceat(ids, start), size)]
     else:
-        hit, pos = np.repeat((size > 1) & np.logical_or.reduceat((ref & 1).astype(bool), start), size), ref >> 1
-    ids, th, pos = ids[hit], th[hit], pos[hit]
+        hit = order[np.repeat((size > 1) & np.logical_or.reduceat(np.concatenate(flag)[order], start), size)]
+    if not len(hit):
+        return
+    hit = hit[np.lexsort((pos[hit], row[hit], source[hit]))]
+    at = groups_of(source[hit])
+    out_key, out = [], []
+    for i, j in zip(at, np.append(at[1:], len(hit)), strict=True):
+        own = hit[i:j]
+        doc, th, woff = tables[source[own[0]]]
+        rows = row[own]
+        first = groups_of(rows)
+        d = rows[first]
+        out_key.append(int(doc[0]) ^ (int(woff[-1]) << 20) ^ len(doc))
+        out.append(pack(doc[d].view(np.uint64), th[d] + (1 << 31), np.diff(np.append(first, len(rows))), pos[own]))
+    n = len(out)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(out_key, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int32())), pa.array(out, pa.binary())],
+        names=[OWN + "batch", *names, OWN + "payload"],
+    )
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What all ranges of hash space found for a batch, as a row per document of this partition."""
+    names = ["doc_id", OWN + "th", OWN + "pos"]
+    ids, th, pos = [], [], []
+    for batch in batches:
+        riding = batch.column(OWN + "payload").is_null()
+        if riding.true_count:
+            yield pa.RecordBatch.from_arrays([batch.column(x).filter(riding) for x in names], names=names)
+        for data in batch.column(OWN + "payload").drop_null():
+            doc, t, count, at = unpack(data.as_py())
+            count = count.astype(np.int64)
+            ids.append(np.repeat(doc.view(np.int64), count))
+            th.append(np.repeat(t.astype(np.int64) - (1 << 31), count).astype(np.int32))
+            pos.append(at.astype(np.int32))
+    if not ids:
+        return
+    ids, th, pos = (np.concatenate(x) for x in (ids, th, pos))
     order = np.lexsort((th, ids))
     ids, th, pos = ids[order], th[order], pos[order]
-    if not len(ids):
-        return
     at = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (th[1:] != th[:-1])]))
-    lengths = np.diff(np.append(at, len(ids)))
-    yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(th[at].astype(np.int32)), int_lists(pos, lengths)], names=names)
+    yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(th[at]), int_lists(pos, np.diff(np.append(at, len(ids))))], names=names)
 
 
 def _windows(batches: Iterator[pa.RecordBatch], window: int, parts: int) -> Iterator[pa.RecordBatch]:
@@ -221,7 +265,7 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int, parts: int) -> Iter
         if rows is not None:
             yield rows
         kept = fresh & (ids[doc] == least)
-        yield _ship_rows(a[kept], (a[kept], b[kept], at[kept].astype(np.uint64)), _table(ids, th, woff), parts)
+        yield _ship_rows(a[kept], (a[kept], b[kept] >> WINDOW_SHIFT, at[kept].astype(np.uint64)), _table(ids, th, woff), parts)
 
     for piece in w.pieces(batches):
         batch.add(piece, "doc_id", window, second=True)
@@ -283,7 +327,8 @@ def dedup_substrings(docs: DataFrame, window: int = 50) -> DataFrame:
     base = docs.select("doc_id", OWN + "th", "text")
 
     def settle(routed: DataFrame, exact: bool) -> DataFrame:
-        met = routed.repartitionById(parts, F.col(OWN + "part")).mapInArrow(lambda it: _settled(it, exact), FOUND)
+        met = routed.repartitionById(parts, F.col(OWN + "part")).mapInArrow(lambda it: _settled(it, exact), MET)
+        met = met.repartition(parts, OWN + "batch").mapInArrow(_merged, FOUND)
         return met.groupBy("doc_id", OWN + "th").agg(F.flatten(F.collect_list(OWN + "pos")).alias(OWN + "pos"))
 
     hits = settle(base.mapInArrow(lambda it: _anchors(it, window, parts), ROUTED), False)
