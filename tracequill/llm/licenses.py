@@ -75,7 +75,8 @@ def needles(words: list[str], percent: int) -> set[str]:
     low, _ = bounds(len(grams), percent)
     lacking = len(grams) - -(-percent * (low + len(grams)) // 200)
     chosen: set[str] = set()
-    for word in sorted(set(words), key=lambda x: (-len(x), x)):
+    # Words that say licence first, then long ones: rare in prose, so few units stay.
+    for word in sorted(set(words), key=lambda x: (not x.startswith(("licens", "sublicens")), -len(x), x)):
         if sum(any(x in chosen for x in g.split()) for g in grams) > lacking:
             break
         chosen.add(word)
@@ -103,7 +104,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, perc
     units = units.withColumn("word", F.array_remove(F.split("unit", _NOT_WORD), ""))
     after = F.slice("word", 2, F.greatest(F.size("word") - 1, F.lit(0)))
     pairs = F.slice(F.zip_with("word", after, lambda a, b: F.concat_ws(" ", a, b)), 1, F.greatest(F.size("word") - 1, F.lit(0)))
-    units = units.withColumn("grams", F.array_distinct(pairs))
+    # The generator computes the bigrams once a unit; a projection would be merged into each use.
+    units = units.select("doc_id", F.explode(F.array(F.array_distinct(pairs))).alias("grams"))
     scored = [F.struct(_dice(F.col("grams"), bigrams_of(x), percent).alias("dice"), F.lit(name).alias("license")) for name, x in sorted(split.items())]
     units = units.select("doc_id", F.array_max(F.filter(F.array(*scored), lambda s: s["dice"] * 100 >= percent)).alias("best"))
     units = units.filter("best is not null")

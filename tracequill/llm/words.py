@@ -49,7 +49,7 @@ def flatten(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarra
     """The UTF-8 bytes of all texts (null: empty) and the n + 1 offsets of the texts in them."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = pc.fill_null(texts, "").cast(pa.large_binary())
+    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
     _, offsets, data = texts.buffers()
     off = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
     if len(off) == 0 or off[-1] == off[0]:
