@@ -1,6 +1,11 @@
-"""Registered queries of the trace operators and their DuckDB oracles."""
+"""Registered queries of the trace operators and their DuckDB oracles, gathered from the modules here."""
 
 from __future__ import annotations
 
+from . import q_causal, q_core, q_distributed
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _module in (q_core, q_causal, q_distributed):
+    QUERIES |= _module.QUERIES
+    ORACLE_SQL |= _module.ORACLE_SQL

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -19,3 +23,17 @@ def local_session(cpus: str | int = "*", partitions: int = 8, memory: str = "8g"
         .config("spark.driver.host", "127.0.0.1")
         .getOrCreate()
     )
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors once a context, for sessions that do not have it installed there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tracequill_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="tracequill-")) / "tracequill.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._tracequill_shipped = True
