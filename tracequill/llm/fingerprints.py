@@ -108,24 +108,30 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     The edited text has its last third replaced by as many code points from the start of the next
     document. Only that much of the next text, and its hashes, travel to the document.
     """
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    links = followers(base)
-    base = base.withColumn("th", F.xxhash64("text"))
-    before = links.select(F.col("next_id").alias("i"), F.col("next_th").alias("t"), F.col("doc_id").alias("prev_id"), F.col("th").alias("prev_th"), F.floor(F.col("n_chars") / 3).cast("int").alias("cut"))
-
-    def same(x: DataFrame):
-        return base["doc_id"].eqNullSafe(x["i"]) & (base["th"] == x["t"])
-
-    giving = base.join(before, same(before), "left").dropDuplicates(["doc_id", "th"])
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    links = followers(rows)
+
+    def key(i: str, t: Column) -> list[Column]:
+        """A key of columns that are never null, so that joins and grouping share one partitioning."""
+        return [F.coalesce(i, F.lit(0)).alias("i"), F.isnull(i).alias("nil"), t.alias("t")]
+
+    names = ["i", "nil", "t"]
+    base = rows.select(*key("doc_id", F.xxhash64("text")), "text")
+    before = links.select(
+        *key("next_id", F.col("next_th")),
+        F.struct(*(c.alias(n) for c, n in zip(key("doc_id", F.col("th")), names, strict=True))).alias("prev"),
+        F.floor(F.col("n_chars") / 3).cast("int").alias("cut"),
+    )
+    giving = base.join(before, names, "left").dropDuplicates(names)
     giving = with_fingerprint(giving, "text", "next_fp")
-    given = giving.select(F.col("prev_id").alias("i"), F.col("prev_th").alias("t"), F.substring("text", F.lit(1), F.col("cut")).alias("prefix"), hashes(F.col("next_fp")).alias("next_hashes"))
-    out = base.join(given, same(given), "left").withColumn("n_chars", F.length("text"))
+    given = giving.select("prev.*", F.substring("text", F.lit(1), F.col("cut")).alias("prefix"), hashes(F.col("next_fp")).alias("next_hashes"))
+    out = base.join(given, names, "left").withColumn("n_chars", F.length("text"))
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     out = out.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars") - cut), "prefix"))
     out = with_fingerprint(with_fingerprint(out, "text", "fp"), "edited", "edited_fp")
     out = out.withColumn("own", hashes(F.col("fp"))).withColumn("other", hashes(F.col("edited_fp")))
     return out.select(
-        "doc_id",
+        F.when(~F.col("nil"), F.col("i")).alias("doc_id"),
         F.col("n_chars").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
         as_string(F.col("fp")).alias("fingerprint"),
