@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import q_causal, q_core, q_distributed, q_memory
+from . import q_causal, q_core, q_distributed, q_memory, q_signals
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _module in (q_core, q_causal, q_distributed, q_memory):
+for _module in (q_core, q_causal, q_distributed, q_memory, q_signals):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
