@@ -6,13 +6,17 @@ tokens a set may miss; and k tokens among the first t + k. So a rare token is in
 the t + 1 prefix, and frequent tokens as pairs, from the prefix extended to t + 2: what two
 documents share first is either rare, or it and the next shared token are both frequent.
 
-Any order gives right results, so the frequent class need not be exact: batches report tokens that
-several of their documents have, and the `FREQUENT_ROWS` commonest over `frequent` are broadcast.
-
-Groups of copies are not expanded into pairs. Documents with equal sets fold into one. In each
-index group members are compared with one document, twice over; what is then still in different
-components meets in all pairs, so no link that joins two components is missed. Candidates are
-verified on their full texts.
+Any order gives right results, so counts need not be exact: batches report tokens that several of
+their documents have, and the `TABLE_ROWS` commonest are broadcast. If a key is what two documents
+share first, they share at most what either has from there on; that bounds which pairs can do.
+
+Groups of copies are not expanded into pairs. Documents with equal sets fold into one. Index groups
+of up to `SMALL` documents give all their pairs; larger ones are compared with their first document,
+within a batch and again over batches. Of its pairs each document first has the likeliest one
+verified. Pairs still in different components are verified next, large groups compared with the
+first document of the first component once more, and what is left in different components there
+meets in all pairs that can be similar. So no link that joins two components is missed. Candidates are verified on
+their full texts, which travel compressed.
 
 Defined cases: a null, empty or blank text has no shingles and no links; under `width` words the
 whole text is one shingle; rows that share a doc_id count as one document with several texts; a
@@ -25,7 +29,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as w
@@ -35,12 +41,21 @@ from .packing import pack, unpack
 
 #: Words gathered before a batch is indexed, or its tokens counted.
 BATCH_WORDS, COUNT_WORDS = 1_000_000, 3_000_000
-#: The most frequent tokens told apart from rare ones: 16 bytes each, broadcast.
-FREQUENT_ROWS = 500_000
-#: Documents of a batch that must share a token before the batch reports it.
-LOCAL = 3
-ROUTED = "part int, key long, doc_id long, n int, a long, b long, payload binary"
-MET = "key long, doc_id long, n int, a long, b long"
+#: The most common tokens whose counts order the others: 16 bytes each, broadcast.
+TABLE_ROWS = 1_000_000
+#: Documents of a batch that must share a token before the batch reports it, and reports in all
+#: before the table has it.
+LOCAL, LEAST = 2, 16
+#: Ids (8 bytes each) up to which the documents of a round's pairs are picked by a broadcast, not a shuffle.
+BROADCAST_IDS = 1_000_000
+#: The largest index group that gives all its pairs.
+SMALL = 4
+#: Kinds of rows: a document's size and signature; an index entry of a large group (a: the most that
+#: can be shared from this key on); a pair of a small group or of a large group's first document,
+#: with the number of keys it came from.
+STAT, ENTRY, PAIR = 0, 1, 2
+ROUTED = "part int, kind int, key long, doc_id long, n int, a long, b long, payload binary"
+MET = "kind int, key long, doc_id long, n int, a long, b long"
 
 
 def _sets(piece: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,13 +84,14 @@ def _counts(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
         yield flush()
 
 
-def frequent_tokens(docs: DataFrame, width: int, frequent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted token hashes and their places in the order: a higher place for a more common token."""
+def common_tokens(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the commonest tokens and about how many documents have them."""
     found = docs.select("text").mapInArrow(lambda it: _counts(it, width), "token long, n long")
-    top = found.groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= frequent).orderBy(F.desc("n"), "token").limit(FREQUENT_ROWS).toArrow()
+    top = found.groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST).orderBy(F.desc("n"), "token").limit(TABLE_ROWS).toArrow()
     token = top.column("token").to_numpy().astype(np.int64).view(np.uint64)
+    count = top.column("n").to_numpy().astype(np.int64)
     order = np.argsort(token)
-    return token[order], (len(token) - np.arange(len(token)))[order]
+    return token[order], count[order]
 
 
 def missable(n: np.ndarray | int, percent: int):
@@ -83,56 +99,98 @@ def missable(n: np.ndarray | int, percent: int):
     return n - (percent * n + 99) // 100
 
 
-def _keys(tokens: np.ndarray, table: tuple[np.ndarray, np.ndarray], percent: int) -> np.ndarray:
-    """Index keys of one set (sorted hashes): rare tokens alone, frequent ones in pairs."""
+def _keys(tokens: np.ndarray, table: tuple, percent: int, frequent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index keys of one set (sorted hashes), and for each how much can be shared if it is what is shared first.
+
+    Order: tokens that the table lacks, then the table's by count. Those with a count under `frequent`
+    are keys alone; the others in pairs.
+    """
     n = len(tokens)
     t = missable(n, percent)
-    known, place = table
+    known, count = table
+    often = 0
     if len(known):
         at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-        often = known[at] == tokens
-        if often.any() and n > 1:
-            rare = tokens[~often]
-            if len(rare) > t:
-                return rare[: t + 1]
-            common = tokens[often]
-            common = common[np.lexsort((common, place[at[often]]))][: t + 2 - len(rare)]
-            i, j = np.triu_indices(len(common), 1)
-            return np.unique(np.concatenate([rare, w.mix(common[i] + w.mix(common[j]))]))
-    return tokens[: t + 1]
-
-
-def _rows(n: int, part, key=None, doc=None, size=None, a=None, b=None, payload=None) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-    cols = [pa.nulls(n, t) if v is None else pa.array(v, t) for v, t in zip((key, doc, size, a, b, payload), kinds, strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *cols], names=["part", "key", "doc_id", "n", "a", "b", "payload"])
-
-
-def _index(batches: Iterator[pa.RecordBatch], width: int, percent: int, parts: int, table) -> Iterator[pa.RecordBatch]:
-    """A row of size and signature per document; index entries, one a key and batch packed for its
-    range of hash space, the key's further documents as plain rows that ride along."""
+        seen = np.where(known[at] == tokens, count[at], 0)
+        if seen.any():
+            order = np.lexsort((tokens, seen))
+            tokens, often = tokens[order], int((seen >= frequent).sum())
+    if n == 1:
+        often = 0  # there is no second token to pair with
+    single = min(n - often, t + 1)
+    keys, most = tokens[:single], n - np.arange(single)
+    if n - often <= t:
+        common = tokens[n - often : t + 2]
+        i, j = np.triu_indices(len(common), 1)
+        keys = np.concatenate([keys, w.mix(common[i] + w.mix(common[j]))])
+        most = np.concatenate([most, 1 + n - (n - often + j)])
+    return keys, most
+
+
+_COLUMNS = (("kind", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("payload", pa.binary()))
+
+
+def _rows(size: int, part=None, **given) -> pa.RecordBatch:
+    """Rows of the given columns, the others null; with part they can be routed."""
+    columns = _COLUMNS if part is not None else _COLUMNS[:-1]
+    arrays = [pa.nulls(size, t) if given.get(c) is None else pa.array(given[c], t) for c, t in columns]
+    if part is None:
+        return pa.RecordBatch.from_arrays(arrays, names=[c for c, _ in columns])
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *arrays], names=["part", *(c for c, _ in columns)])
+
+
+def _counted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs (smaller id first) and how often they occur."""
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    a, b = a[a != b], b[a != b]
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+    return a[at], b[at], np.diff(np.append(at, len(a)))
+
+
+def _fit(n: np.ndarray, m: np.ndarray, most: np.ndarray, most_m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes, which share no more than most and most_m, can be similar enough."""
+    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((100 + percent) * np.minimum(most, most_m) >= percent * (n + m))
+
+
+def _index(batches: Iterator[pa.RecordBatch], width: int, percent: int, frequent: int, parts: int, table) -> Iterator[pa.RecordBatch]:
+    """A row of size and signature per document; index entries packed for their range of hash space.
+
+    Of a key that more than SMALL documents of the batch share only the first document's entry is
+    packed for its range; the others are paired with it here, and pairs and entries ride along in
+    packed rows of their own.
+    """
     known = table.value
     held: list = []
     seen: dict = {}
     size = 0
 
     def flush():
-        keys = np.concatenate([k for _, _, k in held])
-        row = np.repeat(np.arange(len(held)), [len(k) for _, _, k in held])
         ids, sizes = np.array([d for d, _, _ in held], np.int64), np.array([n for _, n, _ in held], np.int64)
-        order = np.argsort(keys, kind="stable")
-        keys, row = keys[order], row[order]
+        rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
+        keys, most = (np.concatenate([k[i] for _, _, k in held]) for i in (0, 1))
+        row = np.repeat(np.arange(len(held)), [len(k[0]) for _, _, k in held])
+        order = np.lexsort((rank[row], keys))
+        keys, row, most = keys[order], row[order], most[order]
         start = groups_of(keys)
-        more = np.ones(len(keys), bool)
-        more[start] = False
-        if more.any():
-            d = ids[row[more]]
-            yield _rows(len(d), (d % parts).astype(np.int32), keys[more].view(np.int64), d, sizes[row[more]].astype(np.int32))
-        several = (np.diff(np.append(start, len(keys))) > 1).astype(np.uint64)
-        key, ref = keys[start], row[start].astype(np.uint64) * np.uint64(2) + several
+        count = np.diff(np.append(start, len(keys)))
+        large = np.repeat(count > SMALL, count)
+        first = np.repeat(start, count)
+        more = np.flatnonzero(large & (first != np.arange(len(keys))))
+        if len(more):
+            d, hub = row[more], row[first[more]]
+            yield _rows(1, [int(ids[d[0]] % parts)], kind=[ENTRY], payload=[pack(keys[more], ids[d].view(np.uint64), sizes[d], most[more])])
+            ok = _fit(sizes[d], sizes[hub], most[more], most[first[more]], percent)
+            a, b, n = _counted(ids[hub[ok]], ids[d[ok]])
+            if len(a):
+                yield _rows(1, [int(b[0] % parts)], kind=[PAIR], payload=[pack(a.view(np.uint64), b.view(np.uint64), n)])
+        keep = ~large
+        keep[start] = True
+        key, left, ref = keys[keep], most[keep].astype(np.uint64), row[keep].astype(np.uint64) * np.uint64(2) + large[keep].astype(np.uint64)
         cut = slices(key, parts)
         used = [i for i in range(parts) if cut[i] < cut[i + 1]]
-        payloads = [pack(key[cut[i] : cut[i + 1]], ref[cut[i] : cut[i + 1]], ids.view(np.uint64), sizes.astype(np.uint64)) for i in used]
+        payloads = [pack(key[cut[i] : cut[i + 1]], ref[cut[i] : cut[i + 1]], left[cut[i] : cut[i + 1]], ids.view(np.uint64), sizes.astype(np.uint64)) for i in used]
         yield _rows(len(used), np.array(used, np.int32), payload=payloads)
 
     for piece in w.pieces(batches):
@@ -151,9 +209,12 @@ def _index(batches: Iterator[pa.RecordBatch], width: int, percent: int, parts: i
                 entry[0] = min(entry[0], ids[i])
                 continue
             seen[sign] = len(held)
-            held.append([ids[i], b - a, _keys(tokens[a:b], known, percent)])
-            size += len(held[-1][2]) + (b - a) // 4
-        yield _rows(len(ids), np.array([(d or 0) % parts for d in ids], np.int32), None, ids, n.astype(np.int32), np.array(first, np.uint64).view(np.int64), np.array(second, np.uint64).view(np.int64))
+            held.append([ids[i], b - a, _keys(tokens[a:b], known, percent, frequent)])
+            size += len(held[-1][2][0]) + (b - a) // 4
+        yield _rows(
+            len(ids), np.array([(d or 0) % parts for d in ids], np.int32), kind=np.full(len(ids), STAT), doc_id=ids, n=n.astype(np.int32),
+            a=np.array(first, np.uint64).view(np.int64), b=np.array(second, np.uint64).view(np.int64),
+        )
         if size >= BATCH_WORDS // 2:
             yield from flush()
             held, seen, size = [], {}, 0
@@ -161,48 +222,90 @@ def _index(batches: Iterator[pa.RecordBatch], width: int, percent: int, parts: i
         yield from flush()
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Index rows (key, doc_id, n) of keys with two documents or more; other rows pass."""
-    names = ["key", "doc_id", "n", "a", "b"]
-    keys, ids, sizes, several = [], [], [], []
+def _met(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of documents that share a key of this range, and the entries of large groups; other rows pass."""
+    names = [c for c, _ in _COLUMNS[:-1]]
+    keys, ids, sizes, flags, most = [], [], [], [], []
     for batch in batches:
         riding = batch.column("payload").is_null()
         if riding.true_count:
             yield pa.RecordBatch.from_arrays([batch.column(x).filter(riding) for x in names], names=names)
-        for data in batch.column("payload").drop_null():
-            key, ref, doc, n = unpack(data.as_py())
+        sent = batch.filter(pc.invert(riding))
+        for kind, data in zip(sent.column("kind").to_pylist(), sent.column("payload").to_pylist(), strict=True):
+            if kind == ENTRY:
+                key, doc, n, left = unpack(data)
+                yield _rows(len(key), kind=np.full(len(key), ENTRY), key=key.view(np.int64), doc_id=doc.view(np.int64), n=n.astype(np.int32), a=left.astype(np.int64))
+                continue
+            if kind == PAIR:
+                a, b, n = unpack(data)
+                yield _rows(len(a), kind=np.full(len(a), PAIR), n=n.astype(np.int32), a=a.view(np.int64), b=b.view(np.int64))
+                continue
+            key, ref, left, doc, n = unpack(data)
+            most.append(left.astype(np.int64))
             row = (ref >> np.uint64(1)).astype(np.int64)
             keys.append(key)
-            several.append((ref & np.uint64(1)).astype(bool))
+            flags.append((ref & np.uint64(1)).astype(bool))
             ids.append(doc.view(np.int64)[row])
-            sizes.append(n[row].astype(np.int32))
+            sizes.append(n[row].astype(np.int64))
     if not keys:
         return
-    keys, ids, sizes, several = (np.concatenate(x) for x in (keys, ids, sizes, several))
+    keys, ids, sizes, flags, most = (np.concatenate(x) for x in (keys, ids, sizes, flags, most))
     order = np.argsort(keys, kind="stable")
-    keys, ids, sizes, several = keys[order], ids[order], sizes[order], several[order]
-    start = groups_of(keys)
+    new = np.concatenate([[True], keys[order][1:] != keys[order][:-1]])
+    start = np.flatnonzero(new)
     count = np.diff(np.append(start, len(keys)))
-    kept = np.repeat((count > 1) | several[start], count)
-    n = int(kept.sum())
-    for i in range(0, n, 100_000):
-        j = min(n, i + 100_000)
-        yield pa.RecordBatch.from_arrays([pa.array(keys[kept][i:j].view(np.int64)), pa.array(ids[kept][i:j]), pa.array(sizes[kept][i:j]), pa.nulls(j - i, pa.int64()), pa.nulls(j - i, pa.int64())], names=names)
+    big = (count > SMALL) | np.logical_or.reduceat(flags[order], start)
+    used = np.repeat((count > 1) | big, count)
+    order = order[used]
+    big = np.repeat(big, count)[used]
+    keys, ids, sizes, most = keys[order], ids[order], sizes[order], most[order]
+    if not len(keys):
+        return
+    by_id = np.lexsort((ids, keys))
+    keys, ids, sizes, most, big = keys[by_id], ids[by_id], sizes[by_id], most[by_id], big[by_id]
+    start = groups_of(keys)
+    first = np.repeat(start, np.diff(np.append(start, len(keys))))
+    at = np.flatnonzero(big)
+    for i in range(0, len(at), 100_000):
+        part = at[i : i + 100_000]
+        yield _rows(len(part), kind=np.full(len(part), ENTRY), key=keys[part].view(np.int64), doc_id=ids[part], n=sizes[part].astype(np.int32), a=most[part])
+    left, right = [first[at]], [at]
+    for step in range(1, SMALL):
+        i = np.flatnonzero((keys[:-step] == keys[step:]) & ~big[step:]) if step < len(keys) else at[:0]
+        left.append(i)
+        right.append(i + step)
+    left, right = np.concatenate(left), np.concatenate(right)
+    ok = _fit(sizes[left], sizes[right], most[left], most[right], percent)
+    a, b, n = _counted(ids[left[ok]], ids[right[ok]])
+    for i in range(0, len(a), 100_000):
+        j = min(len(a), i + 100_000)
+        yield _rows(j - i, kind=np.full(j - i, PAIR), n=n[i:j].astype(np.int32), a=a[i:j], b=b[i:j])
+
+
+def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one, for shuffles."""
+    coder = zstandard.ZstdCompressor(level=3)
+    for piece in w.pieces(batches):
+        data = [coder.compress(t or b"") for t in piece.column("text").cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(data, pa.binary())], names=["doc_id", "z"])
 
 
 def _similar(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
-    names = ["a", "b"]
+    coder = zstandard.ZstdDecompressor()
     for batch in batches:
-        for left in w.pieces([batch], text="text_a"):
-            right = left.rename_columns([{"text_b": "text"}.get(x, x) for x in left.schema.names])
-            x, xo = _sets(left.rename_columns([{"text_a": "text"}.get(c, c) for c in left.schema.names]), width)
-            y, yo = _sets(right, width)
+        for i in range(0, batch.num_rows, 256):
+            part = batch.slice(i, 256)
+            sets = []
+            for column in ("z_a", "z_b"):
+                texts = pa.array([coder.decompress(z) for z in part.column(column).to_pylist()], pa.binary())
+                sets.append(_sets(pa.RecordBatch.from_arrays([texts], names=["text"]), width))
+            (x, xo), (y, yo) = sets
             ok = []
-            for i in range(left.num_rows):
-                p, q = x[xo[i] : xo[i + 1]], y[yo[i] : yo[i + 1]]
+            for k in range(part.num_rows):
+                p, q = x[xo[k] : xo[k + 1]], y[yo[k] : yo[k + 1]]
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 ok.append(both > 0 and 100 * both >= percent * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([left.column(n).filter(pa.array(ok)) for n in names], names=names)
+            yield pa.RecordBatch.from_arrays([part.column(n).filter(pa.array(ok)) for n in ("a", "b")], names=["a", "b"])
 
 
 def near_components(docs: DataFrame, width: int = 5, percent: int = 75, frequent: int = 1000) -> DataFrame:
@@ -210,52 +313,73 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 75, frequent
     spark = docs.sparkSession
     parts = partitions(spark)
     docs = docs.select("doc_id", "text")
-    table = spark.sparkContext.broadcast(frequent_tokens(docs, width, frequent))
-    routed = docs.mapInArrow(lambda it: _index(it, width, percent, parts, table), ROUTED)
-    met = saved(routed.repartitionById(parts, F.col("part")).mapInArrow(_met, MET))
-    stats = met.filter("key is null").select("doc_id", "n", "a", "b")
-    equal = stats.filter("n > 0 and doc_id is not null").groupBy("n", "a", "b").agg(F.min("doc_id").alias("least"))
-    same = stats.join(equal, ["n", "a", "b"]).filter("doc_id > least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
-    index = met.filter("key is not null").select("key", "doc_id", "n").join(same.select(F.col("b").alias("doc_id")), "doc_id", "left_anti")
-    whole = index.select("doc_id").distinct()
-    # Equal sets may differ in words' order or repeats: any text of a document stands for its set.
-    store = saved(docs.join(whole, "doc_id", "left_semi"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        a, b = store.toDF("a", "text_a"), store.toDF("b", "text_b")
-        return pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _similar(it, width, percent), "a long, b long").distinct()
-
-    def sized(x: str, y: str):
-        return F.expr(f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})")
-
-    links, tested, labels = saved(same), None, None
-    for _ in range(2):
-        here = labelled(index, labels)
-        hubs = here.groupBy("key").agg(F.min(F.struct("label", "doc_id", "n")).alias("hub"), F.max("label").alias("most")).filter("hub.label < most")
-        near = here.join(hubs.select("key", "hub"), "key").filter(F.col("label") > F.col("hub.label")).filter(sized("n", "hub.n"))
-        pairs = near.groupBy(F.col("doc_id").alias("b"), F.col("hub.doc_id").alias("a")).count()
-        pairs = pairs.groupBy("b").agg(F.max(F.struct("count", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b")
-        pairs = saved(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        links = saved(links.union(verified(pairs)))
-        tested = pairs if tested is None else tested.union(pairs)
-        labels = components(links)
-    here = labelled(index, labels)
-    mixed = here.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    here = here.join(mixed, "key")
-    left, right = here.toDF("key", "a", "n_a", "label_a"), here.toDF("key", "b", "n_b", "label_b")
-    pairs = left.join(right, "key").filter("label_a < label_b").filter(sized("n_a", "n_b")).select("a", "b").distinct()
-    tested = tested.union(tested.select("b", "a"))
-    pairs = saved(pairs.join(tested, ["a", "b"], "left_anti"))
-    last = saved(verified(pairs))
-    if not last.isEmpty():
-        labels = components(links.union(last))
+    table = spark.sparkContext.broadcast(common_tokens(docs, width))
+    routed = docs.mapInArrow(lambda it: _index(it, width, percent, frequent, parts, table), ROUTED)
+    met = saved(routed.repartitionById(parts, F.col("part")).mapInArrow(lambda it: _met(it, percent), MET))
+    stats = met.filter(F.col("kind") == STAT).select("doc_id", "n", "a", "b")
+    equal = stats.filter("n > 0 and doc_id is not null").groupBy("n", "a", "b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    same = stats.join(equal.filter("least < most"), ["n", "a", "b"]).filter("doc_id > least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
+    links = saved(same)
+    folded = links.select("a", "b")  # b's set is a's: what b has, a has
+    pairs = met.filter(F.col("kind") == PAIR).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    pairs = saved(pairs.join(folded.select("b"), "b", "left_anti").join(folded.select(F.col("b").alias("a")), "a", "left_anti"))
+    index = met.filter(F.col("kind") == ENTRY).select("key", "doc_id", "n", F.col("a").alias("most"))
+    index = saved(index.join(folded.select(F.col("b").alias("doc_id")), "doc_id", "left_anti"))
+
+    def verified(todo: DataFrame) -> DataFrame:
+        wanted = todo.select(F.col("a").alias("doc_id")).union(todo.select("b")).distinct()
+        few = wanted.count() <= BROADCAST_IDS
+        texts = docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").mapInArrow(_zipped, "doc_id long, z binary")
+        a, b = texts.toDF("a", "z_a"), texts.toDF("b", "z_b")
+        both = todo.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "z_a", "z_b")
+        return both.mapInArrow(lambda it: _similar(it, width, percent), "a long, b long").distinct()
+
+    def likeliest(some: DataFrame) -> DataFrame:
+        """Of each b the pair with the most keys, the smallest a of equal ones."""
+        best = some.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("best"))
+        return best.select((-F.col("best.a")).alias("a"), "b")
+
+    tested = saved(likeliest(pairs))
+    links = saved(links.union(verified(tested)))
+    labels = components(links)
+    for last in (False, True):
+        here = apart(index, labels)
+        if last:
+            left, right = here.toDF("key", "a", "n_a", "most_a", "label_a"), here.toDF("key", "b", "n_b", "most_b", "label_b")
+            todo = left.join(right, "key").filter("label_a < label_b").filter(fit("n_a", "n_b", "most_a", "most_b", percent))
+            todo = todo.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        else:
+            hubs = here.groupBy("key").agg(F.min(F.struct("label", "doc_id", "n", "most")).alias("hub"))
+            near = here.join(hubs, "key").filter(F.col("label") > F.col("hub.label")).filter(fit("n", "hub.n", "most", "hub.most", percent))
+            near = near.groupBy(F.least("doc_id", "hub.doc_id").alias("a"), F.greatest("doc_id", "hub.doc_id").alias("b")).agg(F.count("*").alias("n"))
+            todo = likeliest(near).union(labelled(pairs, labels).select("a", "b")).distinct()
+        todo = saved(todo.join(tested, ["a", "b"], "left_anti"))
+        if todo.isEmpty():
+            continue
+        more = saved(verified(todo))
+        tested = tested.union(todo)
+        if not more.isEmpty():
+            links = links.union(more)
+            labels = components(links)
     out = stats.join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def labelled(index: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """index with each document's component so far (itself where it has none)."""
-    if labels is None:
-        return index.select("key", "doc_id", "n", F.col("doc_id").alias("label"))
+def fit(n: str, m: str, most: str, most_m: str, percent: int) -> Column:
+    """_fit over columns."""
+    return F.expr(f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) AND {100 + percent} * least({most}, {most_m}) >= {percent} * ({n} + {m})")
+
+
+def labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Those pairs (a, b) whose documents are in different components."""
+    a, b = labels.toDF("a", "la"), labels.toDF("b", "lb")
+    both = pairs.join(a, "a", "left").join(b, "b", "left")
+    return both.filter(F.coalesce("la", "a") != F.coalesce("lb", "b"))
+
+
+def apart(index: DataFrame, labels: DataFrame) -> DataFrame:
+    """Index entries with their documents' components, of the keys that still hold more than one."""
     found = labels.select(F.col("id").alias("doc_id"), "component")
-    return index.join(found, "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("label"))
+    here = index.join(found, "doc_id", "left").select("key", "doc_id", "n", "most", F.coalesce("component", "doc_id").alias("label"))
+    mixed = here.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+    return here.join(mixed, "key", "left_semi")
