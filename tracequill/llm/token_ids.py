@@ -16,12 +16,14 @@ ids first; repeated rows are documents of their own; an empty table gives no row
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +35,7 @@ from .words import pieces
 #: symbols a round must save for another to follow.
 SHARD_IDS, PAIRS, FREQUENT, GAIN = 1_500_000, 8192, 16, 0.03
 #: Distinct words whose ids a worker process keeps between batches.
-CACHE = 600_000
+CACHE = 300_000
 SHARDS = "range int, shard int, n_ids long, n_docs int, payload binary"
 
 
@@ -55,13 +57,19 @@ def compress(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
         if not len(often):
             break
         chosen = np.sort(found[often])
-        slot = np.minimum(np.searchsorted(chosen, key), len(chosen) - 1)
-        at = np.flatnonzero((chosen[slot] == key) & inner)
+        left, right = np.zeros(top, bool), np.zeros(top, bool)
+        left[chosen >> 31] = True
+        right[chosen & ((1 << 31) - 1)] = True
+        at = np.flatnonzero(inner & left[s[:-1]] & right[s[1:]])
+        slot = np.minimum(np.searchsorted(chosen, key[at]), len(chosen) - 1)
+        found = chosen[slot] == key[at]
+        at, slot = at[found], slot[found]
         run = np.concatenate([[True], np.diff(at) != 1])
         first = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
-        at = at[(np.arange(len(at)) - first) % 2 == 0]
+        take = (np.arange(len(at)) - first) % 2 == 0
+        at, slot = at[take], slot[take]
         rules.append(np.stack([chosen >> 31, chosen & ((1 << 31) - 1)], 1))
-        s[at] = top + slot[at]
+        s[at] = top + slot
         last[at] = last[at + 1]
         keep = np.ones(len(s), bool)
         keep[at + 1] = False
@@ -125,33 +133,76 @@ class Shard:
         return pack(rules[:, 0], rules[:, 1], size[base:], symbols, per, known.view(np.uint64), missing, np.array([base]))
 
 
-_coders: dict[str, tuple] = {}
+class Coder:
+    """A tokenizer that drops white space and never joins over it, with the ids of distinct words kept.
 
+    Words of plain Latin letters, digits and signs are lower-cased and cut as the tokenizer's
+    pre-tokenizer does, and its model encodes the pieces, so that a word and its forms with a capital
+    or a full stop share them; other words, and any that may hold a special token, go to the
+    tokenizer whole.
+    """
 
-def _coder(path: str):
-    if path not in _coders:
+    #: Characters for which lower-casing, composing and letter classes are the same everywhere.
+    PLAIN = regex.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]+")
+    PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
         from tokenizers import Tokenizer
 
-        _coders[path] = (Tokenizer.from_file(path), {})
-    return _coders[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize = self.tokenizer.model.tokenize
+        # The byte-level alphabet: printable bytes stand for themselves, the others for 256 and up.
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        hidden = [b for b in range(256) if b not in shown]
+        self.level = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _part(self, part: str) -> bytes:
+        """Ids of one pre-token, by the tokenizer's own model on its byte-level characters."""
+        found = self.tokenize(part.encode().decode("latin-1").translate(self.level))
+        got = self.parts[part] = np.array([t.id for t in found], "<u4").tobytes()
+        return got
+
+    def learn(self, words: list[bytes]) -> None:
+        """Adds words to those whose ids are known."""
+        known, parts, whole = self.words, self.parts, []
+        for word in words:
+            if word.isalpha():  # of ASCII letters
+                part = word.lower().decode()
+                known[word] = parts.get(part) or self._part(part)
+                continue
+            text = word.decode()
+            if b"<" not in word and self.PLAIN.fullmatch(text):
+                known[word] = b"".join([parts.get(p) or self._part(p) for p in self.PIECES.findall(text.lower())])
+            else:
+                whole.append(word)
+        for i in range(0, len(whole), 4096):
+            some = whole[i : i + 4096]
+            got = self.tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False)
+            known.update((x, np.array(y.ids, "<u4").tobytes()) for x, y in zip(some, got, strict=True))
+
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers."""
+        if len(self.words) > CACHE:
+            self.words.clear()
+        if len(self.parts) > CACHE:
+            self.parts.clear()
+        cut = [(t or b"").split() for t in texts]
+        self.learn(list(set().union(*cut).difference(self.words)))
+        get = self.words.__getitem__
+        return [b"".join(map(get, c)) for c in cut]
+
+
+_coders: dict[str, Coder] = {}
 
 
 def encode_texts(texts: list[bytes | None], path: str) -> list[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit integers.
-
-    The tokenizer drops white space and never joins over it, so distinct words are encoded once.
-    """
-    tokenizer, known = _coder(path)
-    if len(known) > CACHE:
-        known.clear()
-    cut = [(t or b"").split() for t in texts]
-    missing = list(set().union(*cut).difference(known))
-    for i in range(0, len(missing), 20_000):
-        part = missing[i : i + 20_000]
-        for word, got in zip(part, tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False), strict=True):
-            known[word] = np.array(got.ids, "<u4").tobytes()
-    get = known.__getitem__
-    return [b"".join(map(get, c)) for c in cut]
+    """Coder.encode of this process's coder."""
+    if path not in _coders:
+        _coders[path] = Coder(path)
+    return _coders[path].encode(texts)
 
 
 def _write(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[pa.RecordBatch]:
