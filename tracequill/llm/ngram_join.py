@@ -40,7 +40,7 @@ from .components import components
 from .packing import pack, unpack
 
 #: Words gathered before a batch is indexed, or its tokens counted.
-BATCH_WORDS, COUNT_WORDS = 1_000_000, 3_000_000
+BATCH_WORDS, COUNT_WORDS = 1_000_000, 2_000_000
 #: The most common tokens whose counts order the others: 16 bytes each, broadcast.
 TABLE_ROWS = 1_000_000
 #: Documents of a batch that must share a token before the batch reports it, and reports in all

@@ -25,8 +25,8 @@ from .words import mix, pieces
 
 SPACE = "▁"
 _MARK = SPACE.encode()
-#: Distinct segments kept per worker process between batches.
-CACHE = 400_000
+#: Distinct segments kept between a task's batches; dropped at its end, as workers serve other stages next.
+CACHE = 250_000
 
 
 class _Pairs:
@@ -270,6 +270,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, names: list[str], with
         if with_ids:
             added["ids"] = pa.array(ids, pa.list_(pa.int32()))
         yield pa.RecordBatch.from_arrays([added[n] if n in added else batch.column(n) for n in names], names=names)
+    bpe.cache.clear()
 
 
 def encode_decode(docs: DataFrame, model_path: str, with_ids: bool = True) -> DataFrame:

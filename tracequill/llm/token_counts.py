@@ -29,7 +29,7 @@ from .words import pieces
 #: Pre-tokens in a leaf when a tree is built; a leaf of four times as many rebuilds the tree.
 LEAF = 32
 #: Distinct pre-tokens whose counts a worker process keeps.
-CACHE = 1_000_000
+CACHE = 500_000
 
 
 class Counter:
@@ -211,6 +211,7 @@ def _count(batches: Iterator[pa.RecordBatch], path: str, pattern: str, edit, nam
         cols = zip(("n_tokens", "n_pretokens", "n_tokens_edited", "n_reencoded"), (before, pretokens, after, encoded), strict=True)
         added = {n: pa.array(v, pa.int64()) for n, v in cols}
         yield pa.RecordBatch.from_arrays([added[n] if n in added else batch.column(n) for n in names], names=names)
+    own.known.clear()
 
 
 def count_tokens(docs: DataFrame, ranks_path: str, pattern: str, edit=masked) -> DataFrame:
