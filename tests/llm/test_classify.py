@@ -33,6 +33,22 @@ def test_language_of_odd_rows(spark, odd_docs):
     assert predict(odd_docs.limit(0), Classifier({})).count() == 0
 
 
+def test_language_of_long_texts():
+    """The most of a text decides, wherever in it and however small the dictionaries are."""
+    rng = np.random.default_rng(5)
+    words = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(3000)] for _ in range(2)]
+    prose = lambda k, n: " ".join(words[k][i] for i in rng.integers(0, 3000, n // 7))
+    c = Classifier({"one": prose(0, 110_000).encode(), "two": prose(1, 110_000).encode()})
+    assert c.classify(prose(0, 100_000) + " " + prose(1, 1_000_000))[0] == "two"
+    assert c.classify(prose(1, 100_000) + " " + prose(0, 1_000_000))[0] == "one"
+    words = [w[:150] for w in words]
+    prose = lambda k, n: " ".join(words[k][i] for i in rng.integers(0, 150, n // 7))
+    c = Classifier({"one": " ".join(words[0]).encode(), "two": " ".join(words[1]).encode()})
+    junk = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), 20_000))
+    late = [c.classify(f"{junk} {prose(k, 10_000)}") for k in (0, 1)]
+    assert [x[::2] for x in late] == [("one", False), ("two", False)]
+
+
 def test_op6_learns_and_covers_all(spark):
     folder = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}

@@ -4,7 +4,9 @@ Each language has a raw-content dictionary: whole labelled texts, up to `DICT_BY
 belongs to the language whose dictionary compresses it smallest. A narrow margin between the
 smallest and the next is measured again at a higher level; a tie there is a rejection (`rejected`),
 the best guess staying in lang_pred. Texts and dictionaries are lower-cased and reduced to letters
-and single spaces first.
+and single spaces first. A text over `PIECE` bytes is compressed in pieces of that size at most, each
+with the fresh dictionary, and the sizes are summed: zstandard drops a dictionary once the input is
+past its window.
 
 The sample is bounded: at most `SAMPLE_DOCS` texts a language, those first in the order of a hash
 of doc_id among texts of 200 to 16,000 characters (others only where these run out). Everything
@@ -28,6 +30,8 @@ from .common import with_fields
 from .words import pieces
 
 SAMPLE_DOCS, DICT_BYTES = 100, 120_000
+#: Bytes compressed at a time, and the least window: twice as much (small dictionaries would get less).
+PIECE, WINDOW_LOG = 1 << 16, 17
 #: The level of the first measure and of the second, for margins under `NARROW` bytes.
 LEVEL, FINE_LEVEL, NARROW = 6, 19, 3
 #: Bytes by which the second smallest must exceed the smallest for a text to be accepted.
@@ -68,10 +72,10 @@ class Classifier:
         if text is None or not coders or not has_letter(text):
             return "und", 0.0, True
         data = reduced(text)
-        sizes = [len(c.compress(data)) for _, c, _ in coders]
+        sizes = [_size(c, data) for _, c, _ in coders]
         first = sorted(sizes)
         if len(first) > 1 and first[1] - first[0] < NARROW:
-            sizes = [len(c.compress(data)) for _, _, c in coders]
+            sizes = [_size(c, data) for _, _, c in coders]
         best = min(sizes)
         at = sizes.index(best)
         score = 1.0 / sum([2.0 ** max(-60, best - s) for s in sizes])
@@ -79,9 +83,15 @@ class Classifier:
         return coders[at][0], score, second - best < MARGIN
 
 
+def _size(coder: zstandard.ZstdCompressor, data: bytes) -> int:
+    return sum(len(coder.compress(data[i : i + PIECE])) for i in range(0, max(1, len(data)), PIECE))
+
+
 def _coder(data: bytes, level: int) -> zstandard.ZstdCompressor:
     own = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    how = zstandard.ZstdCompressionParameters.from_level(level, source_size=4000, dict_size=len(data), write_content_size=0)
+    like = {"source_size": 4000, "dict_size": len(data), "write_content_size": 0}
+    window_log = max(WINDOW_LOG, zstandard.ZstdCompressionParameters.from_level(level, **like).window_log)
+    how = zstandard.ZstdCompressionParameters.from_level(level, window_log=window_log, **like)
     own.precompute_compress(compression_params=how)
     return zstandard.ZstdCompressor(dict_data=own, compression_params=how)
 
