@@ -104,6 +104,29 @@ def test_every_template_is_found(spark, odd_docs):
     assert licenses.scan_licenses(odd_docs).count() == licenses.scan_licenses(odd_docs.limit(0)).count() == 0
 
 
+def test_wrapped_and_inline_notices(spark):
+    """Notices wrapped in longer texts, or in lines with other words, and what is found once only."""
+    import textwrap
+
+    rest = " ".join(f"word{i} of the" for i in range(300))
+    body = licenses.TEMPLATES
+    heads = {n: b for n, b in body.items() if n.endswith("-header")}
+    rows = {n: f"{rest}\n{textwrap.fill(b, 78)}\n{rest}" for n, b in body.items()}
+    rows["inline"] = "Copyright 2021 Foo Inc. Released under the MIT License. All rights reserved."
+    rows["two"] = f"{rest} {textwrap.fill(heads['mit-header'], 60)} {rest} {body['mpl-2.0']} {rest}"
+    rows["edited"] = rest + "\n" + textwrap.fill(heads["gpl-3.0-header"].replace("General", "Quite General").replace("useful", "of use"), 50)
+    rows["line and run"] = f"{body['mit']}\n{rest} {body['gpl-3.0']} {rest}"
+    rows["line"] = f"{rest}\n{body['mit']}\n{rest}"
+    rows["near"] = f"{rest} released under the old rules, the mit people say; a license is general public version {rest}"
+    found = licenses.scan_licenses(spark.createDataFrame(list(rows.items()), "doc_id string, text string")).collect()
+    got = {r.doc_id: (r.license, r.dice, r.n_units) for r in found}
+    edited = got.pop("edited")
+    assert edited[0] == "gpl-3.0-header" and 0.75 <= edited[1] < 1 and edited[2] == 1
+    assert {n: got.pop(n) for n in heads} == {n: (n, 1.0, 1) for n in heads}
+    assert {n: got.pop(n)[:2] for n in body if n not in heads} == {n: (n, 1.0) for n in body if n not in heads}
+    assert got == {"inline": ("mit", 1.0, 1), "two": ("mpl-2.0", 1.0, 2), "line and run": ("mit", 1.0, 2), "line": ("mit", 1.0, 1)}
+
+
 def brute_winnow(text, gram=4, window=8):
     """Positions kept, by the order of the grams' own hashes, are checked through the guarantee instead."""
     w = text.split()

@@ -1,11 +1,17 @@
 """Licence scan: Dice coefficient over word bigrams against templates, in DataFrame functions only.
 
-Units are the lines of a text and the whole text. A unit is normalised to lower-case words of
+Units are the lines of a text, the whole text, and runs of words anywhere in it, over line ends too: a
+notice that is wrapped, or shares its line with other words. A unit is normalised to lower-case words of
 letters and digits. Its Dice coefficient with a template can reach the threshold only if their
 numbers of bigrams are close (size bounds), and only if it holds enough of the template's bigrams:
 so many that it must hold a word of a small set chosen per template. Units without such a word are
 pruned by substring tests before anything is split; the bounds prune templates after that.
 
+A run starts and ends with bigrams of the template that have none before and after them: other ends
+lower the coefficient. It is as long as the size bounds allow at most. Runs are taken from the
+highest coefficient down, none overlapping one taken; a run inside a line or text that is a unit of
+its own adds nothing to it and does not count.
+
 Defined cases: a null or empty text has no licence; a unit under two words has no bigrams and none
 either; of equal coefficients the template last in alphabetical order is given; rows that share a
 doc_id are one document.
@@ -89,6 +95,80 @@ def _dice(grams: Column, template: list[str], percent: int) -> Column:
     return F.when(F.size(grams).between(low, high), value)
 
 
+def _pairs(word: Column) -> Column:
+    most = F.greatest(F.size(word) - 1, F.lit(0))
+    return F.slice(F.zip_with(word, F.slice(word, 2, most), lambda a, b: F.concat_ws(" ", a, b)), 1, most)
+
+
+def _best(grams: Column, split: dict[str, list[str]], percent: int) -> Column:
+    """(dice, license) of the best template that reaches percent, or null."""
+    scored = [F.struct(_dice(grams, bigrams_of(x), percent).alias("dice"), F.lit(name).alias("license")) for name, x in sorted(split.items())]
+    return F.array_max(F.filter(F.array(*scored), lambda s: s["dice"] * 100 >= percent))
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _candidates(spots: Column, pairs: Column, name: str, words: list[str], percent: int) -> Column:
+    """(dice, license, -length, -start) of the runs that reach percent; spots: (g, i) of template bigrams."""
+    grams = bigrams_of(words)
+    low, high = bounds(len(grams), percent)
+    most = high + len(words) - 1 - len(grams)
+
+    def run(own: Column, s: Column, e: Column) -> Column:
+        shared = F.size(F.array_distinct(F.transform(F.slice(own, s["j"] + 1, e["j"] - s["j"] + 1), lambda x: x["g"])))
+        size = F.size(F.array_distinct(F.slice(pairs, s["i"] + 1, e["i"] - s["i"] + 1)))
+        return F.struct((2 * shared / (size + len(grams))).alias("dice"), F.lit(name).alias("license"), (s["i"] - e["i"]).alias("length"), (-s["i"]).alias("start"))
+
+    def of(own: Column) -> Column:
+        def tag(s: Column, j: Column) -> Column:
+            begins = F.coalesce(F.get(own, j - 1)["i"] < s["i"] - 1, F.lit(True))
+            ends = F.coalesce(F.get(own, j + 1)["i"] > s["i"] + 1, F.lit(True))
+            return F.struct(s["g"].alias("g"), s["i"].alias("i"), j.alias("j"), begins.alias("begins"), ends.alias("ends"))
+
+        def starting(own: Column, s: Column) -> Column:
+            here = F.filter(F.slice(own, s["j"] + low, most), lambda e: (e["i"] - s["i"] < most) & (e["ends"] | (e["i"] - s["i"] == most - 1)))
+            return F.transform(here, lambda e: run(own, s, e))
+
+        return _let(F.transform(own, tag), lambda own: F.flatten(F.transform(F.filter(own, lambda s: s["begins"]), lambda s: starting(own, s))))
+
+    def enough(own: Column) -> Column:
+        return F.when(F.size(F.array_distinct(F.transform(own, lambda s: s["g"]))) >= low, F.filter(of(own), lambda r: r["dice"] * 100 >= percent))
+
+    return _let(F.filter(spots, lambda s: s["g"].isin(grams)), enough)
+
+
+def _runs(pairs: Column, text: Column, split: dict[str, list[str]], percent: int) -> Column:
+    """(dice, license, -length, -start) of the runs taken in a lower-case text that is no unit of its own."""
+    every = sorted(set().union(*map(bigrams_of, split.values())))
+    spots = F.filter(F.transform(pairs, lambda g, i: F.struct(g.alias("g"), i.alias("i"))), lambda s: s["g"].isin(every))
+    each = _let(spots, lambda spots: F.array(*(_candidates(spots, pairs, name, x, percent) for name, x in sorted(split.items()))))
+    ordered = F.sort_array(F.flatten(F.array_compact(each)), False)
+
+    def apart(a: Column, b: Column) -> Column:
+        # A run of n bigrams is n + 1 words; length is 1 - n.
+        return (-a["start"] - a["length"] + 1 < -b["start"]) | (-b["start"] - b["length"] + 1 < -a["start"])
+
+    def greedy(ordered: Column) -> Column:
+        none = F.slice(ordered, 1, 0)
+        return F.aggregate(ordered, none, lambda taken, r: F.when(F.forall(taken, lambda t: apart(t, r)), F.concat(taken, F.array(r))).otherwise(taken))
+
+    def outside(taken: Column) -> Column:
+        words = F.transform(F.split(text, "\n"), lambda x: F.array_remove(F.split(x, _NOT_WORD), ""))
+        line = F.flatten(F.transform(words, lambda x, k: F.array_repeat(k, F.size(x))))
+        found = F.transform(F.transform(words, lambda x: F.array_distinct(_pairs(x))), lambda g: _best(g, split, percent).isNotNull())
+
+        def beyond(r: Column, line: Column, found: Column) -> Column:
+            first, last = F.get(line, -r["start"]), F.get(line, -r["start"] - r["length"] + 1)
+            return (first != last) | ~F.get(found, first)
+
+        return _let(line, lambda line: _let(found, lambda found: F.filter(taken, lambda r: beyond(r, line, found))))
+
+    return _let(_let(ordered, greedy), lambda taken: F.when(F.size(taken) > 0, outside(taken)))
+
+
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, percent: int = PERCENT) -> DataFrame:
     """(doc_id, license, dice, n_units): the best template of each document that has one, and its matching units."""
     templates = templates or TEMPLATES
@@ -98,23 +178,26 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, perc
     low = F.lower("text")
     rows = rows.filter(reduce(Column.__or__, [low.contains(x) for x in words]))
     lines = F.split("text", "\n")
-    units = rows.select("doc_id", F.explode(F.when(F.size(lines) > 1, F.concat(lines, F.array("text"))).otherwise(lines)).alias("unit"))
-    units = units.withColumn("unit", F.lower("unit"))
+    units = rows.select("doc_id", F.size(lines).alias("n"), F.posexplode(F.when(F.size(lines) > 1, F.concat(lines, F.array("text"))).otherwise(lines)).alias("at", "unit"))
+    units = units.select("doc_id", F.lower("unit").alias("unit"), ((F.col("n") == 1) | (F.col("at") == F.col("n"))).alias("whole"))
     units = units.filter(reduce(Column.__or__, [F.col("unit").contains(x) for x in words]))
     units = units.withColumn("word", F.array_remove(F.split("unit", _NOT_WORD), ""))
-    after = F.slice("word", 2, F.greatest(F.size("word") - 1, F.lit(0)))
-    pairs = F.slice(F.zip_with("word", after, lambda a, b: F.concat_ws(" ", a, b)), 1, F.greatest(F.size("word") - 1, F.lit(0)))
-    # The generator computes the bigrams once a unit; a projection would be merged into each use.
-    units = units.select("doc_id", F.explode(F.array(F.array_distinct(pairs))).alias("grams"))
-    scored = [F.struct(_dice(F.col("grams"), bigrams_of(x), percent).alias("dice"), F.lit(name).alias("license")) for name, x in sorted(split.items())]
-    units = units.select("doc_id", F.array_max(F.filter(F.array(*scored), lambda s: s["dice"] * 100 >= percent)).alias("best"))
-    units = units.filter("best is not null")
+    pairs = _pairs(F.col("word"))
+    # Generators compute bigrams and coefficients once a unit; a projection would be merged into each use.
+    units = units.select("doc_id", "unit", "whole", F.explode(F.array(pairs)).alias("pairs"))
+    units = units.select("doc_id", "unit", "whole", "pairs", F.explode(F.array(F.array_distinct("pairs"))).alias("grams"))
+    units = units.select("doc_id", "unit", "whole", "pairs", "grams", F.explode(F.array(_best(F.col("grams"), split, percent))).alias("best"))
+    every = sorted(set().union(*map(bigrams_of, split.values())))
+    least = min(bounds(len(bigrams_of(x)), percent)[0] for x in split.values())
+    some = F.col("whole") & (F.size(F.array_intersect("grams", F.array(*map(F.lit, every)))) >= least)
+    runs = F.transform(_runs(F.col("pairs"), F.col("unit"), split, percent), lambda r: F.struct(r["dice"].alias("dice"), r["license"].alias("license")))
+    units = units.select("doc_id", F.explode(F.when(F.col("best").isNotNull(), F.array("best")).when(some, runs)).alias("best"))
     found = units.groupBy("doc_id").agg(F.max("best").alias("best"), F.count("*").alias("n_units"))
     return found.select("doc_id", F.col("best.license").alias("license"), F.round("best.dice", 6).alias("dice"), "n_units")
 
 
 def oracle(templates: dict[str, str] | None = None, percent: int = PERCENT) -> str:
-    """DuckDB SQL for scan_licenses over `documents`: every unit against every template."""
+    """DuckDB SQL for scan_licenses over `documents`: every line and text against every template; it has no runs."""
     rows = ", ".join("('{}', '{}')".format(n, b.replace("'", "''")) for n, b in sorted((templates or TEMPLATES).items()))
     return f"""
 WITH template(license, body) AS (VALUES {rows}),
