@@ -27,10 +27,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id; ungrouped rows as they are."""
-    groups = near_components(docs)
-    copies = groups.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near copies: the one with the smallest doc_id; ungrouped documents as they are.
+
+    Rows of one doc_id and one text are one document and give one row. A null doc_id is grouped by a
+    hash of the text over most ids in use: rows without an id are copies by their text alone, and of
+    a group the row with an id stays.
+    """
+    text = F.coalesce("text", F.lit(""))
+    stand_in = F.xxhash64(text).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    rows = docs.withColumn("__key", F.coalesce("doc_id", stand_in)).withColumn("__sha", F.when(F.col("text").isNull(), "").otherwise(F.sha2(text, 256)))
+    groups = near_components(rows.select(F.col("__key").alias("doc_id"), "text"))
+    copies = groups.filter("component_id <> doc_id").select(F.col("doc_id").alias("__key")).distinct()
+    same = ["__key", "__sha"]
+    repeated = rows.groupBy(same).count().filter("count > 1").select(same)
+    rows = rows.join(copies, "__key", "left_anti")
+    single = rows.join(repeated, same, "left_anti").select(*docs.columns)
+    return single.union(rows.join(repeated, same, "left_semi").dropDuplicates(same).select(*docs.columns))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

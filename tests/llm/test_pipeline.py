@@ -25,3 +25,12 @@ def test_stages_and_run(spark, tables):
     last = pipeline.run(spark, tables)
     assert {r.doc_id for r in last.collect()} == {r.doc_id for r in fourth.collect()}
     assert last.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_repeated_rows_and_null_ids(spark, tables):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(80)) for x in "abc")
+    rows = [(1, a), (1, a), (2, b), (None, b), (None, b + " more"), (None, c), (None, c), (None, None), (3, ""), (3, "")]
+    rows += [(4, " ".join(f"d{i}" for i in range(80))), (4, " ".join(f"e{i}" for i in range(80)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, (r.text or "")[:2]) for r in dict(pipeline.STAGES)["n-gram Jaccard join"](spark, docs, tables).collect()))
+    assert got == [(0, ""), (0, "c0"), (1, "a0"), (2, "b0"), (3, ""), (4, "d0"), (4, "e0")]
