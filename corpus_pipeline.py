@@ -39,10 +39,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     groups = near_components(rows.select(F.col("__key").alias("doc_id"), "text"))
     copies = groups.filter("component_id <> doc_id").select(F.col("doc_id").alias("__key")).distinct()
     same = ["__key", "__sha"]
-    repeated = rows.groupBy(same).count().filter("count > 1").select(same)
-    rows = rows.join(copies, "__key", "left_anti")
-    single = rows.join(repeated, same, "left_anti").select(*docs.columns)
-    return single.union(rows.join(repeated, same, "left_semi").dropDuplicates(same).select(*docs.columns))
+    kept = rows.join(copies, "__key", "left_anti")
+    # Only ids and hashes are compared at first: most tables have no repeated rows, and whole rows then move once.
+    if not rows.groupBy(same).count().filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates(same)
+    return kept.select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
