@@ -109,3 +109,16 @@ def test_op7_rows(spark, tables, odd_docs):
         assert r.n_reencoded < 40
     rows = count_tokens(odd_docs, queries.vocabulary("byte_bpe_50k.tiktoken"), queries.pretoken_pattern()).collect()
     assert len(rows) == odd_docs.count() and {r.n_tokens for r in rows if not r.text} == {0}
+
+
+def test_no_frequent_pair_is_left():
+    import numpy as np
+
+    from tracequill.llm import token_ids
+
+    rng = np.random.default_rng(3)
+    ids = np.concatenate([rng.integers(0, 100_000, 100_000)] + [np.append(rng.integers(0, 100_000, 90), range(7, 17)) for _ in range(40)])
+    symbols, per, rules = token_ids.compress(ids, np.array([len(ids)]))
+    assert per.tolist() == [len(symbols)] and (token_ids.expand(symbols, rules, int(ids.max()) + 1) == ids).all()
+    _, count = np.unique((symbols[:-1] << 31) | symbols[1:], return_counts=True)
+    assert count.max() < token_ids.FREQUENT

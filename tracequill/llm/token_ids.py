@@ -2,8 +2,7 @@
 
 Documents are cut into ranges of doc_id and, within a range, into shards of about `SHARD_IDS` ids.
 In a shard, rounds count all neighbouring pairs of symbols inside documents and replace the most
-frequent ones by new nonterminals, from the left and all at once, until no pair is frequent or a
-round gains little. The file keeps the rules, the number of ids each expands to, the symbols, and
+frequent ones by new nonterminals, from the left and all at once, until no pair is frequent. The file keeps the rules, the number of ids each expands to, the symbols, and
 where each document starts among the symbols: a document decodes from its own symbols alone.
 
 Shards are rows of Parquet files that Spark writes to the shared folder, so any store will do and
@@ -31,9 +30,8 @@ from .common import checkpoint_dir, partitions
 from .packing import pack, unpack
 from .words import pieces
 
-#: Ids per shard, replacements per round, the least frequency of a replaced pair, and the share of
-#: symbols a round must save for another to follow.
-SHARD_IDS, PAIRS, FREQUENT, GAIN = 1_500_000, 8192, 16, 0.03
+#: Ids per shard, replacements per round, and the least frequency of a replaced pair.
+SHARD_IDS, PAIRS, FREQUENT = 1_500_000, 8192, 16
 #: Distinct words whose ids a worker process keeps between batches.
 CACHE = 300_000
 SHARDS = "range int, shard int, n_ids long, n_docs int, payload binary"
@@ -73,10 +71,7 @@ def compress(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
         last[at] = last[at + 1]
         keep = np.ones(len(s), bool)
         keep[at + 1] = False
-        small = len(at) < GAIN * len(s)
         s, last, top = s[keep], last[keep], top + len(chosen)
-        if small:
-            break
     per = np.diff(np.concatenate([[-1], np.flatnonzero(last)]))
     return s, per, (np.concatenate(rules) if rules else np.zeros((0, 2), np.int64))
 
