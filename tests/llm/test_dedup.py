@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tracequill.llm import queries
 from tracequill.llm.components import components
-from tracequill.llm.ngram_join import near_components
+from tracequill.llm.ngram_join import class_keys, missable, near_components
 from tracequill.llm.substring_dedup import dedup_substrings
 
 
@@ -137,3 +137,51 @@ def test_connected_components(spark):
     got = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     linked = {x for a, b in links if a != b for x in (a, b)}
     assert got == {x: find(x) for x in linked}
+
+
+@pytest.mark.parametrize("n, step", [(1_000, 1), (1_000, -1), (100_000, 1)])
+def test_components_of_ordered_chains(spark, n, step):
+    links = spark.range(n).select((F.col("id") * step).alias("a"), ((F.col("id") + 1) * step).alias("b"))
+    got = components(links).groupBy("component").count().collect()
+    assert [(r.component, r["count"]) for r in got] == [(min(0, n * step), n + 1)]
+
+
+def test_links_of_a_document_with_several_texts(spark):
+    a = " ".join(f"a{i}" for i in range(60))
+    b = " ".join(f"b{i}" for i in range(200))
+    rows = [(3, a), (10, a), (10, b), (12, b + " tail"), (20, ""), (20, b), (21, "")]
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(3, 56): 3, (10, 56): 3, (10, 196): 3, (12, 197): 3, (20, 0): 3, (20, 196): 3, (21, 0): 21}
+
+
+def test_frequent_tokens_give_linear_keys_that_meet():
+    """Two sets of frequent tokens over the threshold share a key, and a set has at most about two keys a token."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5, 9, 30, 200, 2_000, 20_000):
+        for _ in range(60 if n < 300 else 3):
+            x = rng.choice(1 << 40, n, replace=False).astype(np.uint64)
+            gone = int(rng.integers(0, missable(n, 75) + 1))
+            m = n - gone
+            more = int(rng.integers(0, max(0, (4 * m) // 3 - n) + 1))
+            y = np.concatenate([x[gone:], rng.choice(1 << 40, more, replace=False).astype(np.uint64) + np.uint64(1 << 41)])
+            keys = [class_keys(x, n, 0, 75), class_keys(y, len(y), 0, 75)]
+            assert len(keys[0]) <= 2 * n + 8
+            if 100 * m >= 75 * (n + more):
+                assert len(np.intersect1d(*keys))
+
+
+def test_long_near_copies_of_frequent_text(spark):
+    """Near copies of 20,000 words, among many that hold the same passage."""
+    rng = random.Random(11)
+    base = [f"t{i}" for i in range(20_000)]
+    docs = []
+    for i in range(24):
+        copy = list(base)
+        for _ in range(rng.choice([0, 40, 300])):
+            copy[rng.randrange(len(copy))] = f"n{rng.randint(0, 10**6)}"
+        docs.append((i, " ".join(copy)))
+    docs += [(100 + i, " ".join(base[:200] + [f"u{i}-{k}" for k in range(rng.choice([20, 40, 400]))])) for i in range(30)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), frequent=3).collect()}
+    assert got == brute_components(docs)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,18 +20,31 @@ def partitions(spark: SparkSession) -> int:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; one under the warehouse only where it is unset."""
-    found = spark.sparkContext.getCheckpointDir()
-    folder = found or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/.checkpoints"
-    if not found:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    """The shared folder of spark.checkpoint.dir; in a local session without one, a folder under its warehouse."""
+    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir") + "/.checkpoints"
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """The rows written to the shared checkpoint folder, with their lineage cut."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows written as a table to the shared checkpoint folder and read again: lineage, plan and constraints are cut."""
+    path = f"{checkpoint_dir(df.sparkSession)}/saved-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._tq_path = path
+    return out
+
+
+def forget(spark: SparkSession, *paths: str | DataFrame | None) -> None:
+    """Removes written tables (paths, or what saved() returned) that nothing reads any more."""
+    for path in paths:
+        path = getattr(path, "_tq_path", None) if isinstance(path, DataFrame) else path
+        if path:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,22 +1,29 @@
 """N-gram Jaccard self-join by token-combination prefixes, and its connected components.
 
-A document's tokens are its distinct word shingles. In one order of all tokens, rare ones first,
-two sets over the threshold share a token among the first t + 1 of each, where t is how many
-tokens a set may miss; and k tokens among the first t + k. So a rare token is indexed alone, from
-the t + 1 prefix, and frequent tokens as pairs, from the prefix extended to t + 2: what two
-documents share first is either rare, or it and the next shared token are both frequent.
-
-Any order gives right results, so counts need not be exact: batches report tokens that several of
-their documents have, and the `TABLE_ROWS` commonest are broadcast. If a key is what two documents
-share first, they share at most what either has from there on; that bounds which pairs can do.
-
-Groups of copies are not expanded into pairs. Documents with equal sets fold into one. Index groups
-of up to `SMALL` documents give all their pairs; larger ones are compared with their first document,
-within a batch and again over batches. Of its pairs each document first has the likeliest one
-verified. Pairs still in different components are verified next, large groups compared with the
-first document of the first component once more, and what is left in different components there
-meets in all pairs that can be similar. So no link that joins two components is missed. Candidates are verified on
-their full texts, which travel compressed.
+A document's tokens are its distinct word shingles. Documents with equal sets are one set, named by
+63 bits of a signature. In one order of all tokens, rare ones first, two sets over the threshold
+share a token among the first t + 1 of each, where t is how many tokens a set may miss.
+
+1. Batches report tokens that several of their documents have; the `TABLE_ROWS` commonest of these
+   are broadcast and do not travel. All other tokens meet, packed, in ranges of hash space and are
+   counted exactly. What only one set has goes no further; the rest goes back to its set.
+2. A set whose t + 1 rarest tokens are its own has no partner. Of the others, rare tokens of the
+   prefix are index keys alone. Where all rare tokens are within the prefix, it is extended over the
+   frequent ones, which are keys in combinations: they are dealt into classes by hash, and a key is
+   all that a set has in one class. Two sets that share no rare token differ in at most d frequent
+   ones, so if more than d classes of one have tokens, one class is the same in both. The number of
+   classes goes with the set size, so keys are linear in it. Should a set have tokens in too few
+   classes, it adds the keys of twice as many, and so on; each set has all rounds up to its own last.
+3. Groups of copies are not expanded into pairs. Keys of up to `SMALL` sets give all their pairs; of
+   larger ones, within a partition and again over partitions, each set is paired with the first one.
+   Of its pairs each set first has the likeliest one verified, then those still in different
+   components. Keys whose sets are still not in one component are compared with the first set of the
+   first component once more, and what is left apart there meets in all pairs that can be similar.
+   So no link that joins two components is missed.
+
+If a key is what two sets share first, they share at most what either has from there on; that bounds
+which pairs can do. Tokens travel with as many bits as keep chance meetings of different ones rare at
+the number of tokens there are; keys only find candidates, which are verified on their full texts.
 
 Defined cases: a null, empty or blank text has no shingles and no links; under `width` words the
 whole text is one shingle; rows that share a doc_id count as one document with several texts; a
@@ -29,33 +36,36 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as w
-from .common import OWN, groups_of, partitions, saved, slices
+from .common import forget, groups_of, partitions, saved
 from .components import components
 from .packing import pack, unpack
 
-#: Words gathered before a batch is indexed, or its tokens counted.
+#: Words gathered before a batch is dealt out, or its tokens counted.
 BATCH_WORDS, COUNT_WORDS = 1_000_000, 2_000_000
-#: The most common tokens whose counts order the others: 16 bytes each, broadcast.
+#: The most common tokens, with their counts: 16 bytes each, broadcast.
 TABLE_ROWS = 1_000_000
 #: Documents of a batch that must share a token before the batch reports it, and reports in all
 #: before the table has it.
 LOCAL, LEAST = 2, 16
-#: Ids (8 bytes each) up to which the documents of a round's pairs are picked by a broadcast, not a shuffle.
+#: Tokens a task of the counting stage gets, on average.
+TASK_TOKENS = 3_000_000
+#: Ids (8 bytes each) up to which the rows of a round are picked by a broadcast, not a shuffle.
 BROADCAST_IDS = 1_000_000
 #: The largest index group that gives all its pairs.
 SMALL = 4
-#: Kinds of rows: a document's size and signature; an index entry of a large group (a: the most that
-#: can be shared from this key on); a pair of a small group or of a large group's first document,
-#: with the number of keys it came from.
-STAT, ENTRY, PAIR = 0, 1, 2
-ROUTED = "part int, kind int, key long, doc_id long, n int, a long, b long, payload binary"
-MET = "kind int, key long, doc_id long, n int, a long, b long"
+#: Pairs with one first set that are verified in one task, about.
+HUB_PAIRS = 2_000
+#: Kinds of packed rows: tokens on their way to be counted, sizes and frequent tokens of sets, shared
+#: tokens with counts, index entries, entries and pairs of large groups settled within a partition.
+TOKENS, SETS, SHARED, INDEX, GROUP, PAIR = range(6)
+ROUTED = "part int, kind int, home int, payload binary"
+MET = "kind int, a long, b long, n long, payload binary"
+_NONE = np.zeros(0, np.uint64)
 
 
 def _sets(piece: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +74,20 @@ def _sets(piece: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
     return w.shingles(w.hash_words(buf, starts, ends), woff, width)
 
 
-def _counts(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _named(tokens: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The name of each set: 63 bits of its size and two sums over its tokens; 0 for an empty one."""
+
+    def sums(x: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[np.uint64(0)], np.cumsum(x, dtype=np.uint64)])
+        return total[off[1:]] - total[off[:-1]]
+
+    n = np.diff(off).astype(np.uint64)
+    return np.where(n > 0, w.mix(sums(tokens) + w.mix(sums(w.mix(tokens + np.uint64(w.BASES[1]))) + n)) >> np.uint64(1), np.uint64(0))
+
+
+def _measured(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """A row per document with its set's size and name, and rows of tokens that several of a batch share."""
+    names = ["doc_id", "th", "n", "sid", "token", "count"]
     held, size = [], 0
 
     def flush():
@@ -72,11 +95,19 @@ def _counts(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
         start = groups_of(keys)
         n = np.diff(np.append(start, len(keys)))
         often = n >= LOCAL
-        return pa.RecordBatch.from_arrays([pa.array(keys[start][often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["token", "n"])
+        k = int(often.sum())
+        empty = [pa.nulls(k, pa.int64())] * 4
+        return pa.RecordBatch.from_arrays([*empty, pa.array(keys[start][often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=names)
 
     for piece in w.pieces(batches):
-        held.append(_sets(piece, width)[0])
-        size += len(held[-1])
+        tokens, off = _sets(piece, width)
+        sid, m = _named(tokens, off), piece.num_rows
+        yield pa.RecordBatch.from_arrays(
+            [piece.column("doc_id"), piece.column("th"), pa.array(np.diff(off).astype(np.int64)), pa.array(sid.view(np.int64), mask=sid == 0), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())],
+            names=names,
+        )
+        held.append(tokens)
+        size += len(tokens)
         if size >= COUNT_WORDS:
             yield flush()
             held, size = [], 0
@@ -84,202 +115,322 @@ def _counts(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
         yield flush()
 
 
-def common_tokens(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+def common_tokens(measured: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of the commonest tokens and about how many documents have them."""
-    found = docs.select("text").mapInArrow(lambda it: _counts(it, width), "token long, n long")
-    top = found.groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST).orderBy(F.desc("n"), "token").limit(TABLE_ROWS).toArrow()
+    top = measured.filter("token is not null").groupBy("token").agg(F.sum("count").alias("n")).filter(F.col("n") >= LEAST)
+    top = top.orderBy(F.desc("n"), "token").limit(TABLE_ROWS).toArrow()
     token = top.column("token").to_numpy().astype(np.int64).view(np.uint64)
     count = top.column("n").to_numpy().astype(np.int64)
     order = np.argsort(token)
     return token[order], count[order]
 
 
-def missable(n: np.ndarray | int, percent: int):
+def missable(n, percent: int):
     """How many of n tokens a set may lack in any partner that is similar enough."""
     return n - (percent * n + 99) // 100
 
 
-def _keys(tokens: np.ndarray, table: tuple, percent: int, frequent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index keys of one set (sorted hashes), and for each how much can be shared if it is what is shared first.
-
-    Order: tokens that the table lacks, then the table's by count. Those with a count under `frequent`
-    are keys alone; the others in pairs.
-    """
-    n = len(tokens)
-    t = missable(n, percent)
-    known, count = table
-    often = 0
-    if len(known):
-        at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-        seen = np.where(known[at] == tokens, count[at], 0)
-        if seen.any():
-            order = np.lexsort((tokens, seen))
-            tokens, often = tokens[order], int((seen >= frequent).sum())
-    if n == 1:
-        often = 0  # there is no second token to pair with
-    single = min(n - often, t + 1)
-    keys, most = tokens[:single], n - np.arange(single)
-    if n - often <= t:
-        common = tokens[n - often : t + 2]
-        i, j = np.triu_indices(len(common), 1)
-        keys = np.concatenate([keys, w.mix(common[i] + w.mix(common[j]))])
-        most = np.concatenate([most, 1 + n - (n - often + j)])
-    return keys, most
-
-
-_COLUMNS = (("kind", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("payload", pa.binary()))
-
-
-def _rows(size: int, part=None, **given) -> pa.RecordBatch:
-    """Rows of the given columns, the others null; with part they can be routed."""
-    columns = _COLUMNS if part is not None else _COLUMNS[:-1]
-    arrays = [pa.nulls(size, t) if given.get(c) is None else pa.array(given[c], t) for c, t in columns]
-    if part is None:
-        return pa.RecordBatch.from_arrays(arrays, names=[c for c, _ in columns])
-    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *arrays], names=["part", *(c for c, _ in columns)])
-
-
-def _counted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs (smaller id first) and how often they occur."""
-    a, b = np.minimum(a, b), np.maximum(a, b)
-    a, b = a[a != b], b[a != b]
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
-    return a[at], b[at], np.diff(np.append(at, len(a)))
-
-
-def _fit(n: np.ndarray, m: np.ndarray, most: np.ndarray, most_m: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets of these sizes, which share no more than most and most_m, can be similar enough."""
-    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((100 + percent) * np.minimum(most, most_m) >= percent * (n + m))
+def _bands(percent: int, top: int) -> list[int]:
+    """Starts of bands of set sizes: partners are in the same band or in adjoining ones."""
+    found = [1]
+    while found[-1] <= top:
+        found.append(found[-1] * 100 // percent + 1)
+    return found
 
 
-def _index(batches: Iterator[pa.RecordBatch], width: int, percent: int, frequent: int, parts: int, table) -> Iterator[pa.RecordBatch]:
-    """A row of size and signature per document; index entries packed for their range of hash space.
+def class_keys(tokens: np.ndarray, n: int, rare: int, percent: int) -> np.ndarray:
+    """Keys of the frequent tokens of a set of n tokens, `rare` of which are not among them.
 
-    Of a key that more than SMALL documents of the batch share only the first document's entry is
-    packed for its range; the others are paired with it here, and pairs and entries ride along in
-    packed rows of their own.
+    A pair has its keys in the scheme of the larger one's band, so a set has those of its own band and
+    the next. Sets of sizes n and m that are similar enough differ in (n + m) (100 - p) / (100 + p)
+    tokens at most; rare ones that are not shared are among them.
     """
-    known = table.value
-    held: list = []
-    seen: dict = {}
-    size = 0
+    most = n * 100 // percent
+    band = _bands(percent, most * 100 // percent + 1)
+    own = int(np.searchsorted(band, n, "right")) - 1
+    out = []
+    for scheme in (own, own + 1):
+        top = band[scheme + 1] - 1
+        differ = (n + min(top, most)) * (100 - percent) // (100 + percent) - rare
+        if differ < 0:
+            continue
+        classes = max(1, 3 * top * (100 - percent) // (100 + percent))
+        for level in range(40):
+            seed = w.mix(np.array([scheme * 64 + level + 1], np.uint64))
+            dealt = w.mix(tokens + seed)
+            cls = dealt % np.uint64(classes << level)
+            order = np.argsort(cls, kind="stable")
+            start = groups_of(cls[order])
+            sums = np.add.reduceat(w.mix(dealt[order] + np.uint64(w.BASES[0])), start)
+            out.append(w.mix(sums + w.mix(cls[order][start] + seed)))
+            if len(start) > differ:
+                break
+    return np.unique(np.concatenate(out)) if out else _NONE
+
+
+def _rows(parts, kinds, payloads, homes=None) -> pa.RecordBatch:
+    n = len(payloads)
+    kinds = np.broadcast_to(np.asarray(kinds, np.int32), n)
+    homes = pa.nulls(n, pa.int32()) if homes is None else pa.array(homes, pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(parts, np.int32)), pa.array(kinds), homes, pa.array(payloads, pa.binary())], names=["part", "kind", "home", "payload"])
+
+
+def _cut(part: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
+    """(part, from, to) of the parts in use; part is sorted."""
+    cut = np.searchsorted(part, np.arange(parts + 1))
+    return [(i, int(cut[i]), int(cut[i + 1])) for i in range(parts) if cut[i] < cut[i + 1]]
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], width: int, bits: int, parts: int, homes: int, table) -> Iterator[pa.RecordBatch]:
+    """Tokens packed for their range of hash space; sizes and frequent tokens packed for the set's home."""
+    known = table.value[0]
+    hint = np.zeros(1 << 22, bool)
+    hint[known >> np.uint64(42)] = True
+    shift = np.uint64(64 - bits)
+    held, seen, size = [], set(), 0
 
     def flush():
-        ids, sizes = np.array([d for d, _, _ in held], np.int64), np.array([n for _, n, _ in held], np.int64)
-        rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
-        keys, most = (np.concatenate([k[i] for _, _, k in held]) for i in (0, 1))
-        row = np.repeat(np.arange(len(held)), [len(k[0]) for _, _, k in held])
-        order = np.lexsort((rank[row], keys))
-        keys, row, most = keys[order], row[order], most[order]
-        start = groups_of(keys)
-        count = np.diff(np.append(start, len(keys)))
-        large = np.repeat(count > SMALL, count)
-        first = np.repeat(start, count)
-        more = np.flatnonzero(large & (first != np.arange(len(keys))))
-        if len(more):
-            d, hub = row[more], row[first[more]]
-            yield _rows(1, [int(ids[d[0]] % parts)], kind=[ENTRY], payload=[pack(keys[more], ids[d].view(np.uint64), sizes[d], most[more])])
-            ok = _fit(sizes[d], sizes[hub], most[more], most[first[more]], percent)
-            a, b, n = _counted(ids[hub[ok]], ids[d[ok]])
-            if len(a):
-                yield _rows(1, [int(b[0] % parts)], kind=[PAIR], payload=[pack(a.view(np.uint64), b.view(np.uint64), n)])
-        keep = ~large
-        keep[start] = True
-        key, left, ref = keys[keep], most[keep].astype(np.uint64), row[keep].astype(np.uint64) * np.uint64(2) + large[keep].astype(np.uint64)
-        cut = slices(key, parts)
-        used = [i for i in range(parts) if cut[i] < cut[i + 1]]
-        payloads = [pack(key[cut[i] : cut[i + 1]], ref[cut[i] : cut[i + 1]], left[cut[i] : cut[i + 1]], ids.view(np.uint64), sizes.astype(np.uint64)) for i in used]
-        yield _rows(len(used), np.array(used, np.int32), payload=payloads)
+        sid = np.array([s for s, _ in held], np.uint64)
+        n = np.array([len(t) for _, t in held])
+        tokens = np.concatenate([t for _, t in held])
+        often = hint[tokens >> np.uint64(42)]
+        maybe = np.flatnonzero(often)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, tokens[maybe]), len(known) - 1)
+            often[maybe] = known[at] == tokens[maybe]
+        doc = np.repeat(np.arange(len(sid), dtype=np.int32), n)
+        home = (sid % np.uint64(homes)).astype(np.int64)
+        by_home = np.argsort(home, kind="stable")
+        common, whose = tokens[often] >> shift, doc[often]
+        f = np.bincount(whose, minlength=len(sid))
+        begin = np.concatenate([[0], np.cumsum(f)])
+        out = []
+        for h, i, j in _cut(home[by_home], homes):
+            d = by_home[i:j]
+            mine = np.concatenate([common[begin[x] : begin[x + 1]] for x in d])
+            out.append((h, SETS, h, pack(sid[d], n[d], f[d], mine)))
+        tokens, doc = tokens[~often], doc[~often]
+        part = (((tokens >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
+        order = np.argsort(part, kind="stable")
+        tokens, doc, part = tokens[order] >> shift, doc[order], part[order]
+        for p, i, j in _cut(part, parts):
+            first = groups_of(doc[i:j])
+            out.append((p, TOKENS, None, pack(tokens[i:j], np.diff(np.append(first, j - i)), sid[doc[i:j][first]])))
+        yield _rows([x[0] % parts for x in out], [x[1] for x in out], [x[3] for x in out], [x[2] for x in out])
 
     for piece in w.pieces(batches):
         tokens, off = _sets(piece, width)
-        ids = piece.column("doc_id").to_pylist()
-        mixed = w.mix(tokens + np.uint64(w.BASES[1]))
-        n, first, second = np.diff(off), [], []
-        for i, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
-            first.append(int(tokens[a:b].sum(dtype=np.uint64)))
-            second.append(int(mixed[a:b].sum(dtype=np.uint64)))
-            if a == b or ids[i] is None:
-                continue
-            sign = (b - a, first[-1], second[-1])
-            if sign in seen:  # equal sets are linked by signature; the smallest id of the batch stands for them
-                entry = held[seen[sign]]
-                entry[0] = min(entry[0], ids[i])
-                continue
-            seen[sign] = len(held)
-            held.append([ids[i], b - a, _keys(tokens[a:b], known, percent, frequent)])
-            size += len(held[-1][2][0]) + (b - a) // 4
-        yield _rows(
-            len(ids), np.array([(d or 0) % parts for d in ids], np.int32), kind=np.full(len(ids), STAT), doc_id=ids, n=n.astype(np.int32),
-            a=np.array(first, np.uint64).view(np.int64), b=np.array(second, np.uint64).view(np.int64),
-        )
-        if size >= BATCH_WORDS // 2:
+        names = _named(tokens, off).tolist()
+        for name, a, b in zip(names, off[:-1].tolist(), off[1:].tolist(), strict=True):
+            if a < b and name not in seen:
+                seen.add(name)
+                held.append((name, tokens[a:b]))
+                size += b - a
+        if size >= BATCH_WORDS:
+            held.sort(key=lambda x: x[0])
             yield from flush()
-            held, seen, size = [], {}, 0
+            held, seen, size = [], set(), 0
     if held:
+        held.sort(key=lambda x: x[0])
         yield from flush()
 
 
-def _met(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of documents that share a key of this range, and the entries of large groups; other rows pass."""
-    names = [c for c, _ in _COLUMNS[:-1]]
-    keys, ids, sizes, flags, most = [], [], [], [], []
+def _counted(batches: Iterator[pa.RecordBatch], homes: int) -> Iterator[pa.RecordBatch]:
+    """One range of hash space: what several sets share goes to their homes with its count; the rest stays behind."""
+    tokens, names = [], []
     for batch in batches:
-        riding = batch.column("payload").is_null()
-        if riding.true_count:
-            yield pa.RecordBatch.from_arrays([batch.column(x).filter(riding) for x in names], names=names)
-        sent = batch.filter(pc.invert(riding))
-        for kind, data in zip(sent.column("kind").to_pylist(), sent.column("payload").to_pylist(), strict=True):
-            if kind == ENTRY:
-                key, doc, n, left = unpack(data)
-                yield _rows(len(key), kind=np.full(len(key), ENTRY), key=key.view(np.int64), doc_id=doc.view(np.int64), n=n.astype(np.int32), a=left.astype(np.int64))
-                continue
-            if kind == PAIR:
-                a, b, n = unpack(data)
-                yield _rows(len(a), kind=np.full(len(a), PAIR), n=n.astype(np.int32), a=a.view(np.int64), b=b.view(np.int64))
-                continue
-            key, ref, left, doc, n = unpack(data)
-            most.append(left.astype(np.int64))
-            row = (ref >> np.uint64(1)).astype(np.int64)
-            keys.append(key)
-            flags.append((ref & np.uint64(1)).astype(bool))
-            ids.append(doc.view(np.int64)[row])
-            sizes.append(n[row].astype(np.int64))
-    if not keys:
+        kind = batch.column("kind").to_numpy()
+        ride = kind == SETS
+        if ride.any():
+            keep = batch.filter(pa.array(ride))
+            yield _rows(keep.column("home").to_numpy(), SETS, keep.column("payload"))
+        for data in batch.filter(pa.array(~ride)).column("payload"):
+            token, lengths, sid = unpack(data.as_py())
+            tokens.append(token)
+            names.append(np.repeat(sid, lengths.astype(np.int64)))
+    if not tokens:
         return
-    keys, ids, sizes, flags, most = (np.concatenate(x) for x in (keys, ids, sizes, flags, most))
-    order = np.argsort(keys, kind="stable")
-    new = np.concatenate([[True], keys[order][1:] != keys[order][:-1]])
-    start = np.flatnonzero(new)
-    count = np.diff(np.append(start, len(keys)))
-    big = (count > SMALL) | np.logical_or.reduceat(flags[order], start)
-    used = np.repeat((count > 1) | big, count)
-    order = order[used]
-    big = np.repeat(big, count)[used]
-    keys, ids, sizes, most = keys[order], ids[order], sizes[order], most[order]
-    if not len(keys):
+    token, sid = np.concatenate(tokens), np.concatenate(names)
+    del tokens, names
+    order = np.argsort(token, kind="stable")
+    token = token[order]
+    start = groups_of(token)
+    several = np.repeat(np.diff(np.append(start, len(token))) > 1, np.diff(np.append(start, len(token))))
+    token, sid = token[several], sid[order][several]
+    if not len(token):
         return
-    by_id = np.lexsort((ids, keys))
-    keys, ids, sizes, most, big = keys[by_id], ids[by_id], sizes[by_id], most[by_id], big[by_id]
+    order = np.lexsort((sid, token))
+    token, sid = token[order], sid[order]
+    new = np.concatenate([[True], (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])])  # one set from several batches is one
+    token, sid = token[new], sid[new]
+    start = groups_of(token)
+    size = np.diff(np.append(start, len(token)))
+    count = np.repeat(size, size)
+    shared = count > 1
+    token, sid, count = token[shared], sid[shared], count[shared]
+    home = (sid % np.uint64(homes)).astype(np.int64)
+    order = np.lexsort((token, sid, home))
+    token, sid, count, home = token[order], sid[order], count[order], home[order]
+    out = []
+    for h, i, j in _cut(home, homes):
+        first = groups_of(sid[i:j])
+        out.append((h, pack(sid[i:j][first], np.diff(np.append(first, j - i)), token[i:j], count[i:j])))
+    if out:
+        yield _rows([h for h, _ in out], SHARED, [p for _, p in out])
+
+
+def _fit(n, m, most, most_m, percent: int) -> np.ndarray:
+    """Whether sets of these sizes, which share no more than most and most_m, can be similar enough."""
+    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((100 + percent) * np.minimum(most, most_m) >= percent * (n + m))
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs (smaller name first) and the number of keys they have in common; 0 where they only must not stay apart unseen."""
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    keys, a, b = keys[a != b], a[a != b], b[a != b]
+    order = np.lexsort((b, a))
+    keys, a, b = keys[order], a[order], b[order]
+    at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+    return a[at], b[at], np.add.reduceat(keys, at) if len(at) else keys
+
+
+def _grouped(keys, sid, n, most, large, percent: int):
+    """Entries of index keys -> pairs, groups of large keys by their first set, and which entries stand for their key.
+
+    Entries sorted by key and name. large: entries that stand for a large group elsewhere.
+    """
     start = groups_of(keys)
-    first = np.repeat(start, np.diff(np.append(start, len(keys))))
-    at = np.flatnonzero(big)
-    for i in range(0, len(at), 100_000):
-        part = at[i : i + 100_000]
-        yield _rows(len(part), kind=np.full(len(part), ENTRY), key=keys[part].view(np.int64), doc_id=ids[part], n=sizes[part].astype(np.int32), a=most[part])
-    left, right = [first[at]], [at]
+    size = np.diff(np.append(start, len(keys)))
+    big = (size > SMALL) | np.logical_or.reduceat(large, start)
+    hub = np.repeat(start, size)
+    in_big = np.repeat(big, size)
+    far = np.flatnonzero(in_big & (np.arange(len(keys)) != hub))
+    left, right = [hub[far]], [far]
     for step in range(1, SMALL):
-        i = np.flatnonzero((keys[:-step] == keys[step:]) & ~big[step:]) if step < len(keys) else at[:0]
+        i = np.flatnonzero((keys[:-step] == keys[step:]) & ~in_big[step:]) if step < len(keys) else far[:0]
         left.append(i)
         right.append(i + step)
     left, right = np.concatenate(left), np.concatenate(right)
-    ok = _fit(sizes[left], sizes[right], most[left], most[right], percent)
-    a, b, n = _counted(ids[left[ok]], ids[right[ok]])
-    for i in range(0, len(a), 100_000):
-        j = min(len(a), i + 100_000)
-        yield _rows(j - i, kind=np.full(j - i, PAIR), n=n[i:j].astype(np.int32), a=a[i:j], b=b[i:j])
+    ok = _fit(n[left], n[right], most[left], most[right], percent)
+    must = ok | in_big[left]
+    pairs = _pairs(sid[left[must]], sid[right[must]], ok[must].astype(np.int64))
+    members = np.flatnonzero(in_big)
+    groups = []
+    if len(members):
+        order = members[np.lexsort((members, sid[hub[members]]))]
+        first = sid[hub[order]]
+        for i, j in zip(at := groups_of(first), np.append(at[1:], len(first)), strict=True):
+            own = order[i:j]
+            groups.append((first[i], pack(keys[own], sid[own], n[own], most[own])))
+    stand = ~in_big
+    stand[start] = True
+    return pairs, groups, stand, in_big
+
+
+def _prefixed(batches: Iterator[pa.RecordBatch], percent: int, frequent: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Index entries of the sets at home here; large groups are settled here but for their first set."""
+    names, sizes, often, common, sid_s, token_s, count_s = [], [], [], [], [], [], []
+    for batch in batches:
+        for kind, data in zip(batch.column("kind").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+            if kind == SETS:
+                sid, n, f, tokens = unpack(data)
+                names.append(sid)
+                sizes.append(n.astype(np.int64))
+                often.append(f.astype(np.int64))
+                common.append(tokens)
+            else:
+                sid, lengths, token, count = unpack(data)
+                sid_s.append(np.repeat(sid, lengths.astype(np.int64)))
+                token_s.append(token)
+                count_s.append(count.astype(np.int64))
+    if not names:
+        return
+    names, sizes, often, common = (np.concatenate(x) for x in (names, sizes, often, common))
+    begin = np.concatenate([[0], np.cumsum(often)])
+    names, at = np.unique(names, return_index=True)
+    sizes, often, begin, end = sizes[at], often[at], begin[at], begin[at] + often[at]
+    token, count, bounds = _NONE, np.zeros(0, np.int64), np.zeros(len(names) + 1, np.int64)
+    if sid_s:
+        sid, token, count = (np.concatenate(x) for x in (sid_s, token_s, count_s))
+        order = np.lexsort((token, count, sid))
+        sid, token, count = sid[order], token[order], count[order]
+        bounds = np.append(np.searchsorted(sid, names), len(sid))
+    alone = sizes - often - np.diff(bounds)
+    t = missable(sizes, percent)
+    keys, most, row = [], [], []
+    for i in np.flatnonzero(alone <= t).tolist():
+        n, own = int(sizes[i]), token[bounds[i] : bounds[i + 1]]
+        rare = int(np.searchsorted(count[bounds[i] : bounds[i + 1]], frequent))
+        q = int(alone[i]) + rare
+        single = own[: min(rare, int(t[i]) + 1 - int(alone[i]))]
+        keys.append(w.mix(single + np.uint64(1)))
+        most.append(n - int(alone[i]) - np.arange(len(single)))
+        row.append(np.full(len(single), i))
+        if q <= t[i]:
+            combined = class_keys(np.concatenate([own[rare:], common[begin[i] : end[i]]]), n, q, percent)
+            keys.append(combined)
+            most.append(np.full(len(combined), n - q))
+            row.append(np.full(len(combined), i))
+    if not keys:
+        return
+    keys, most, row = np.concatenate(keys), np.concatenate(most), np.concatenate(row)
+    if not len(keys):
+        return
+    order = np.lexsort((row, keys))
+    keys, most, row = keys[order], most[order], row[order]
+    sid, n = names[row].astype(np.int64), sizes[row]
+    (a, b, shared), groups, stand, large = _grouped(keys, sid, n, most, np.zeros(len(keys), bool), percent)
+    out = [(int(hub) % parts, GROUP, pack(np.array([hub]), *unpack(data))) for hub, data in groups]
+    if len(a):
+        out.append((int(a[0]) % parts, PAIR, pack(a, b, shared)))
+    keys, sid, n, most, large = keys[stand], sid[stand], n[stand], most[stand], large[stand]
+    part = (((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+    for p, i, j in _cut(part, parts):
+        out.append((p, INDEX, pack(keys[i:j], sid[i:j], n[i:j] * 2 + large[i:j], most[i:j])))
+    yield _rows([x[0] for x in out], [x[1] for x in out], [x[2] for x in out])
+
+
+def _met(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of sets that share a key of this range, and the packed entries of large groups."""
+
+    def pairs(a, b, n):
+        for i in range(0, len(a), 100_000):
+            j = min(len(a), i + 100_000)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(j - i, PAIR, np.int32)), pa.array(a[i:j].astype(np.int64)), pa.array(b[i:j].astype(np.int64)), pa.array(n[i:j].astype(np.int64)), pa.nulls(j - i, pa.binary())],
+                names=["kind", "a", "b", "n", "payload"],
+            )
+
+    def group(hub, data):
+        return pa.RecordBatch.from_arrays([pa.array([GROUP], pa.int32()), pa.array([int(hub)], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([data], pa.binary())], names=["kind", "a", "b", "n", "payload"])
+
+    held = []
+    for batch in batches:
+        for kind, data in zip(batch.column("kind").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+            cols = unpack(data)
+            if kind == PAIR:
+                yield from pairs(*cols)
+            elif kind == GROUP:
+                yield group(cols[0][0], pack(*cols[1:]))
+            else:
+                held.append(cols)
+    if not held:
+        return
+    keys, sid, n, most = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.lexsort((sid, keys))
+    keys, sid, n, most = keys[order], sid[order].astype(np.int64), n[order].astype(np.int64), most[order].astype(np.int64)
+    found, groups, _, _ = _grouped(keys, sid, n >> 1, most, (n & 1).astype(bool), percent)
+    yield from pairs(*found)
+    for hub, data in groups:
+        yield group(hub, data)
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The entries of packed groups, a row each."""
+    for batch in batches:
+        for data in batch.column("payload").to_pylist():
+            cols = [x.view(np.int64) for x in unpack(data)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["key", "sid", "n", "most"])
 
 
 def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +438,7 @@ def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     coder = zstandard.ZstdCompressor(level=3)
     for piece in w.pieces(batches):
         data = [coder.compress(t or b"") for t in piece.column("text").cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(data, pa.binary())], names=["doc_id", "z"])
+        yield pa.RecordBatch.from_arrays([piece.column("sid"), pa.array(data, pa.binary())], names=["sid", "z"])
 
 
 def _similar(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -295,74 +446,125 @@ def _similar(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Ite
     for batch in batches:
         for i in range(0, batch.num_rows, 256):
             part = batch.slice(i, 256)
-            sets = []
-            for column in ("z_a", "z_b"):
-                texts = pa.array([coder.decompress(z) for z in part.column(column).to_pylist()], pa.binary())
-                sets.append(_sets(pa.RecordBatch.from_arrays([texts], names=["text"]), width))
-            (x, xo), (y, yo) = sets
+            a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
+            texts = dict(zip(a + b, part.column("z_a").to_pylist() + part.column("z_b").to_pylist(), strict=True))
+            at = {s: k for k, s in enumerate(texts)}
+            x, xo = _sets(pa.RecordBatch.from_arrays([pa.array([coder.decompress(z) for z in texts.values()], pa.binary())], names=["text"]), width)
             ok = []
-            for k in range(part.num_rows):
-                p, q = x[xo[k] : xo[k + 1]], y[yo[k] : yo[k + 1]]
+            for s, o in zip(a, b, strict=True):
+                p, q = (x[xo[at[k]] : xo[at[k] + 1]] for k in (s, o))
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 ok.append(both > 0 and 100 * both >= percent * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([part.column(n).filter(pa.array(ok)) for n in ("a", "b")], names=["a", "b"])
 
 
-def near_components(docs: DataFrame, width: int = 5, percent: int = 75, frequent: int = 1000) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, n_shingles, component_id), one row per input row."""
+def _picked(rows: DataFrame, wanted: DataFrame, on: str | list[str], how: str = "left_semi") -> DataFrame:
+    """rows joined with wanted: by a broadcast if those are few, else by a shuffle. wanted is a saved table."""
+    return rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, on, how)
+
+
+def near_components(docs: DataFrame, width: int = 5, percent: int = 75, frequent: int = 16) -> DataFrame:
+    """docs (doc_id, text) -> (doc_id, n_shingles, component_id), one row per input row.
+
+    frequent: sets that must share a token before it is indexed in combinations only. It moves work
+    between two exact ways of finding candidates, both linear in a set's size.
+    """
     spark = docs.sparkSession
     parts = partitions(spark)
-    docs = docs.select("doc_id", "text")
-    table = spark.sparkContext.broadcast(common_tokens(docs, width))
-    routed = docs.mapInArrow(lambda it: _index(it, width, percent, frequent, parts, table), ROUTED)
-    met = saved(routed.repartitionById(parts, F.col("part")).mapInArrow(lambda it: _met(it, percent), MET))
-    stats = met.filter(F.col("kind") == STAT).select("doc_id", "n", "a", "b")
-    equal = stats.filter("n > 0 and doc_id is not null").groupBy("n", "a", "b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    same = stats.join(equal.filter("least < most"), ["n", "a", "b"]).filter("doc_id > least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = saved(same)
-    folded = links.select("a", "b")  # b's set is a's: what b has, a has
-    pairs = met.filter(F.col("kind") == PAIR).groupBy("a", "b").agg(F.sum("n").alias("n"))
-    pairs = saved(pairs.join(folded.select("b"), "b", "left_anti").join(folded.select(F.col("b").alias("a")), "a", "left_anti"))
-    index = met.filter(F.col("kind") == ENTRY).select("key", "doc_id", "n", F.col("a").alias("most"))
-    index = saved(index.join(folded.select(F.col("b").alias("doc_id")), "doc_id", "left_anti"))
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    measured = saved(docs.mapInArrow(lambda it: _measured(it, width), "doc_id long, th long, n long, sid long, token long, count long"))
+    stats = measured.filter("n is not null").select("doc_id", "th", "n", "sid")
+    table = spark.sparkContext.broadcast(common_tokens(measured))
+    total = stats.agg(F.sum("n")).first()[0] or 0
+    bits = min(64, max(32, total.bit_length() + 12))
+    ranges, homes = max(parts, total // TASK_TOKENS), max(parts, total // (2 * TASK_TOKENS))
+
+    dealt = docs.filter("doc_id is not null").select("text").mapInArrow(lambda it: _dealt(it, width, bits, ranges, homes, table), ROUTED)
+    shared = dealt.repartitionById(ranges, F.col("part")).mapInArrow(lambda it: _counted(it, homes), ROUTED)
+    index = shared.repartitionById(homes, F.col("part")).mapInArrow(lambda it: _prefixed(it, percent, frequent, parts), ROUTED)
+    met = saved(index.repartitionById(parts, F.col("part")).mapInArrow(lambda it: _met(it, percent), MET))
+    pairs = saved(met.filter(F.col("kind") == PAIR).groupBy("a", "b").agg(F.sum("n").alias("n")))
+    groups = met.filter(F.col("kind") == GROUP).select(F.col("a").alias("hub"), "payload")
+
+    ids = stats.filter("sid is not null and doc_id is not null")
+    several = ids.groupBy("doc_id").agg(F.min("sid").alias("a"), F.max("sid").alias("z")).filter("a < z").select("doc_id", "a")
+    links = saved(ids.join(several, "doc_id").filter("a < sid").select("a", F.col("sid").alias("b")).distinct())
 
     def verified(todo: DataFrame) -> DataFrame:
-        wanted = todo.select(F.col("a").alias("doc_id")).union(todo.select("b")).distinct()
-        few = wanted.count() <= BROADCAST_IDS
-        texts = docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").mapInArrow(_zipped, "doc_id long, z binary")
-        a, b = texts.toDF("a", "z_a"), texts.toDF("b", "z_b")
-        both = todo.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "z_a", "z_b")
-        return both.mapInArrow(lambda it: _similar(it, width, percent), "a long, b long").distinct()
+        wanted = saved(todo.select(F.col("a").alias("sid")).union(todo.select("b")).distinct())
+        one = saved(_picked(ids, wanted, "sid").groupBy("sid").agg(F.min(F.struct("doc_id", "th")).alias("d")).select("sid", "d.doc_id", "d.th"))
+        texts = _picked(docs, one, ["doc_id", "th"], "inner").mapInArrow(_zipped, "sid long, z binary").dropDuplicates(["sid"])
+        hubs = todo.groupBy("a").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("k"))
+        salt = F.pmod(F.xxhash64("b"), F.col("k")).cast("int").alias("salt")
+        first = texts.toDF("a", "z_a").join(hubs, "a").select("a", "z_a", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"))
+        second = todo.select("a", "b").join(hubs, "a").select("a", "b", salt).join(texts.toDF("b", "z_b"), "b")
+        both = second.join(first, ["a", "salt"]).select("a", "b", "z_a", "z_b")
+        return saved(both.mapInArrow(lambda it: _similar(it, width, percent), "a long, b long"))
 
     def likeliest(some: DataFrame) -> DataFrame:
         """Of each b the pair with the most keys, the smallest a of equal ones."""
-        best = some.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("best"))
+        best = some.filter("n > 0").groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("best"))
         return best.select((-F.col("best.a")).alias("a"), "b")
 
     tested = saved(likeliest(pairs))
-    links = saved(links.union(verified(tested)))
-    labels = components(links)
-    for last in (False, True):
-        here = apart(index, labels)
-        if last:
-            left, right = here.toDF("key", "a", "n_a", "most_a", "label_a"), here.toDF("key", "b", "n_b", "most_b", "label_b")
-            todo = left.join(right, "key").filter("label_a < label_b").filter(fit("n_a", "n_b", "most_a", "most_b", percent))
-            todo = todo.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    labels = None
+    if not tested.isEmpty():
+        links = links.union(verified(tested))
+    if not links.isEmpty():
+        labels = components(links)
+        rest = saved(labelled(pairs.filter("n > 0"), labels).select("a", "b").join(tested, ["a", "b"], "left_anti"))
+    else:
+        rest = saved(pairs.filter("n > 0").select("a", "b").join(tested, ["a", "b"], "left_anti"))
+    for step in ("rest", "first", "all"):
+        if step == "rest":
+            todo = rest
         else:
-            hubs = here.groupBy("key").agg(F.min(F.struct("label", "doc_id", "n", "most")).alias("hub"))
-            near = here.join(hubs, "key").filter(F.col("label") > F.col("hub.label")).filter(fit("n", "hub.n", "most", "hub.most", percent))
-            near = near.groupBy(F.least("doc_id", "hub.doc_id").alias("a"), F.greatest("doc_id", "hub.doc_id").alias("b")).agg(F.count("*").alias("n"))
-            todo = likeliest(near).union(labelled(pairs, labels).select("a", "b")).distinct()
-        todo = saved(todo.join(tested, ["a", "b"], "left_anti"))
+            if labels is None:
+                labels = saved(ids.limit(0).select(F.col("sid").alias("id"), F.col("sid").alias("component")))
+            if step == "first":
+                hubs = saved(labelled(pairs, labels).select(F.explode(F.array("a", "b")).alias("hub")).distinct())
+                if hubs.isEmpty():
+                    break
+                keys = saved(_picked(groups, hubs, "hub").select("payload").mapInArrow(_opened, "key long, sid long, n long, most long").select("key").distinct())
+                entries = _picked(groups.select("payload").mapInArrow(_opened, "key long, sid long, n long, most long"), keys, "key")
+                entries = saved(entries.distinct())
+            here = apart(entries, labels)
+            if step == "first":
+                hub = here.groupBy("key").agg(F.min(F.struct("label", "sid", "n", "most")).alias("hub"))
+                near = here.join(hub, "key").filter(F.col("label") > F.col("hub.label")).filter(fit("n", "hub.n", "most", "hub.most", percent))
+                todo = near.groupBy(F.least("sid", "hub.sid").alias("a"), F.greatest("sid", "hub.sid").alias("b")).agg(F.count("*").alias("n"))
+                todo = likeliest(todo)
+            else:
+                left, right = here.toDF("key", "a", "n_a", "most_a", "label_a"), here.toDF("key", "b", "n_b", "most_b", "label_b")
+                todo = left.join(right, "key").filter("label_a < label_b").filter(fit("n_a", "n_b", "most_a", "most_b", percent))
+                todo = todo.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            todo = saved(todo.join(tested, ["a", "b"], "left_anti"))
         if todo.isEmpty():
             continue
-        more = saved(verified(todo))
-        tested = tested.union(todo)
+        more = verified(todo)
+        tested = saved(tested.union(todo))
         if not more.isEmpty():
-            links = links.union(more)
+            links = saved(links.union(more))
             labels = components(links)
-    out = stats.join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    forget(spark, met, pairs)
+
+    # Only sets that are linked, or that several rows have, differ from "itself": the rest needs no join.
+    least = ids.groupBy("sid").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"))
+    if labels is not None:
+        named = least.join(labels.select(F.col("id").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+        low = named.groupBy("component").agg(F.min("least").alias("low"), F.max("last").alias("high")).filter("low < high")
+        named = named.join(low, "component").select("sid", "low")
+    else:
+        named = least.filter("least < last").select("sid", F.col("least").alias("low"))
+    named = saved(named)
+    out = stats.join(named, "sid", "left").select("doc_id", "n", "sid", F.when(F.col("doc_id").isNotNull(), F.coalesce("low", "doc_id")).alias("component_id"))
+    # A text without shingles takes the component of its document's other texts.
+    blank = saved(out.filter("sid is null and doc_id is not null").select("doc_id").distinct())
+    if not blank.isEmpty():
+        other = saved(_picked(out.filter("sid is not null"), blank, "doc_id").groupBy("doc_id").agg(F.min("component_id").alias("other")))
+        if not other.isEmpty():
+            out = out.join(other, "doc_id", "left").withColumn("component_id", F.when(F.col("sid").isNull(), F.coalesce("other", "component_id")).otherwise(F.col("component_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def fit(n: str, m: str, most: str, most_m: str, percent: int) -> Column:
@@ -371,15 +573,15 @@ def fit(n: str, m: str, most: str, most_m: str, percent: int) -> Column:
 
 
 def labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Those pairs (a, b) whose documents are in different components."""
+    """Those pairs (a, b) whose sets are in different components."""
     a, b = labels.toDF("a", "la"), labels.toDF("b", "lb")
     both = pairs.join(a, "a", "left").join(b, "b", "left")
     return both.filter(F.coalesce("la", "a") != F.coalesce("lb", "b"))
 
 
 def apart(index: DataFrame, labels: DataFrame) -> DataFrame:
-    """Index entries with their documents' components, of the keys that still hold more than one."""
-    found = labels.select(F.col("id").alias("doc_id"), "component")
-    here = index.join(found, "doc_id", "left").select("key", "doc_id", "n", "most", F.coalesce("component", "doc_id").alias("label"))
+    """Index entries with their sets' components, of the keys that still hold more than one."""
+    found = labels.select(F.col("id").alias("sid"), "component")
+    here = index.join(found, "sid", "left").select("key", "sid", "n", "most", F.coalesce("component", "sid").alias("label"))
     mixed = here.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
     return here.join(mixed, "key", "left_semi")
