@@ -56,6 +56,8 @@ LOCAL, LEAST = 2, 16
 TASK_TOKENS = 3_000_000
 #: Ids (8 bytes each) up to which the rows of a round are picked by a broadcast, not a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Rounds in which sets are compared with the most popular ones of their keys, before what is left meets in pairs.
+HUB_ROUNDS = 3
 #: The largest index group that gives all its pairs.
 SMALL = 4
 #: Pairs with one first set that are verified in one task, about.
@@ -507,7 +509,7 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 75, frequent
         return best.select((-F.col("best.a")).alias("a"), "b")
 
     tested = saved(likeliest(pairs))
-    labels = None
+    labels = entries = None
     if not tested.isEmpty():
         links = links.union(verified(tested))
     if not links.isEmpty():
@@ -515,30 +517,29 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 75, frequent
         rest = saved(labelled(pairs.filter("n > 0"), labels).select("a", "b").join(tested, ["a", "b"], "left_anti"))
     else:
         rest = saved(pairs.filter("n > 0").select("a", "b").join(tested, ["a", "b"], "left_anti"))
-    for step in ("rest", "first", "all"):
+    for step in ("rest", *["hubs"] * HUB_ROUNDS, "all"):
         if step == "rest":
             todo = rest
         else:
             if labels is None:
                 labels = saved(ids.limit(0).select(F.col("sid").alias("id"), F.col("sid").alias("component")))
-            if step == "first":
+            if entries is None:
                 hubs = saved(labelled(pairs, labels).select(F.explode(F.array("a", "b")).alias("hub")).distinct())
                 if hubs.isEmpty():
                     break
                 keys = saved(_picked(groups, hubs, "hub").select("payload").mapInArrow(_opened, "key long, sid long, n long, most long").select("key").distinct())
-                entries = _picked(groups.select("payload").mapInArrow(_opened, "key long, sid long, n long, most long"), keys, "key")
-                entries = saved(entries.distinct())
-            here = apart(entries, labels)
-            if step == "first":
-                hub = here.groupBy("key").agg(F.min(F.struct("label", "sid", "n", "most")).alias("hub"))
-                near = here.join(hub, "key").filter(F.col("label") > F.col("hub.label")).filter(fit("n", "hub.n", "most", "hub.most", percent))
-                todo = near.groupBy(F.least("sid", "hub.sid").alias("a"), F.greatest("sid", "hub.sid").alias("b")).agg(F.count("*").alias("n"))
-                todo = likeliest(todo)
-            else:
-                left, right = here.toDF("key", "a", "n_a", "most_a", "label_a"), here.toDF("key", "b", "n_b", "most_b", "label_b")
-                todo = left.join(right, "key").filter("label_a < label_b").filter(fit("n_a", "n_b", "most_a", "most_b", percent))
-                todo = todo.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            todo = saved(todo.join(tested, ["a", "b"], "left_anti"))
+                entries = _picked(groups.select("payload").mapInArrow(_opened, "key long, sid long, n long, most long"), keys, "key").distinct()
+            entries = saved(apart(entries, labels))
+            if entries.isEmpty():
+                break
+            left, right = entries.toDF("key", "a", "n_a", "most_a", "label_a"), entries.toDF("key", "b", "n_b", "most_b", "label_b")
+            if step == "hubs":
+                hubs = saved(popular(entries))
+                left = _picked(left, hubs.toDF("a"), "a")
+                entries = entries.join(hubs, "sid", "left_anti")
+            todo = left.join(right, "key").filter("label_a <> label_b").filter(fit("n_a", "n_b", "most_a", "most_b", percent))
+            todo = saved(todo.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
+            entries = entries.select("key", "sid", "n", "most")
         if todo.isEmpty():
             continue
         more = verified(todo)
@@ -579,6 +580,13 @@ def labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.filter(F.coalesce("la", "a") != F.coalesce("lb", "b"))
 
 
+def popular(entries: DataFrame) -> DataFrame:
+    """(sid) of the sets that have, in some key, the largest groups over all their keys: what others were copied from has all keys that any copy has kept."""
+    size = entries.groupBy("key").agg(F.count("*").alias("size"))
+    liked = entries.join(size, "key").groupBy("sid").agg(F.sum("size").alias("liked"))
+    return entries.join(liked, "sid").groupBy("key").agg(F.max(F.struct("liked", "sid")).alias("top")).select("top.sid").distinct()
+
+
 def apart(index: DataFrame, labels: DataFrame) -> DataFrame:
     """Index entries with their sets' components, of the keys that still hold more than one."""
     found = labels.select(F.col("id").alias("sid"), "component")
