@@ -1,17 +1,23 @@
 """A training-corpus pipeline over `documents`: five stages of the llm subpackage.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's result as
-Parquet to the shared checkpoint folder and gives it, read again, to the next.
+Parquet to the shared checkpoint folder, gives it, read again, to the next, and removes what that one
+has read.
+
+Defined cases: a document whose text is null or has no letters is rejected with its language; rows of
+one doc_id and text are one document; a null doc_id is one of its own by its text; an empty table gives
+an empty result; a user's own columns pass unchanged through all stages but the last.
 """
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracequill.llm.common import checkpoint_dir
+from tracequill.llm.common import checkpoint_dir, forget
 from tracequill.llm.decontaminate import drop_leaks
 from tracequill.llm.language_id import predict, train
 from tracequill.llm.ngram_join import near_components
@@ -20,12 +26,29 @@ from tracequill.llm.sentencepiece_bpe import encode_decode
 from tracequill.llm.substring_dedup import dedup_substrings
 
 
+#: The columns of documents that stages read or write; any others belong to the user and pass as they are.
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def keeping(stage):
+    """The stage with the user's own columns out of the way of the operators' (`score`, `n_words`, ...): renamed before, and back after."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        own = {c: f"__own_{i}" for i, c in enumerate(docs.columns) if c not in DOCUMENT}
+        return stage(spark, docs.withColumnsRenamed(own), sf_dir).withColumnsRenamed({v: k for k, v in own.items()})
+
+    return run
+
+
+@keeping
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the classifier accepts, with the language it gives them."""
     out = predict(docs, train(docs)).filter("not rejected")
     return out.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
+@keeping
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest doc_id; ungrouped documents as they are.
 
@@ -46,6 +69,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return kept.select(*docs.columns)
 
 
+@keeping
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 50 words or more that earlier ones hold; those with nothing left go."""
     out = dedup_substrings(docs, window=50)
@@ -56,6 +80,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return out.withColumn("n_chars", n_chars).withColumn("text", text).select(*docs.columns)
 
 
+@keeping
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -86,4 +111,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        forget(spark, f"{folder}/{k - 1}" if k else None)
     return docs

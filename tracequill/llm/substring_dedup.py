@@ -3,14 +3,18 @@
 A window is `window` consecutive words of one document. A word goes if some window over it also
 starts in a document with a smaller doc_id.
 
-1. Index the non-overlapping blocks of half a window (any window holds a whole one) and probe
-   them with the rolling hash of every position. Both travel as packed byte planes, cut by hash
-   range, one entry per distinct hash of a batch: a passage in a third of all rows is one entry
-   per batch, not one per row.
-2. Where a probe meets a block of another document, the document's windows around the hit are
-   candidates. Their 128-bit hashes travel the same way, with the smallest doc_id per batch; a
-   window is repeated if a smaller doc_id holds it. Adjacent repeated windows merge into maximal
-   exact repeats (`spans`).
+Documents are dealt into batches by a hash of their id and text, so a batch can be put together again
+at any time; their texts are shuffled once, and only hashes travel after that, sorted and packed, each
+once a batch: a passage in a third of all rows is one entry per batch, not one per row.
+
+1. Index the non-overlapping blocks of half a window (any window holds a whole one) and probe them
+   with the rolling hash of every position, by range of hash space. A hash of several batches that is
+   somewhere a block goes back to these batches as a hit; what documents of one batch share is found
+   in the batch.
+2. Hits are extended: the windows over them are candidates. Their hashes meet in the same way, with
+   the smallest doc_id of the batch, and go back where another batch has a smaller one.
+3. A window is repeated if its hash came back, or a document of the same batch with a smaller id has
+   it. Adjacent repeated windows merge into maximal exact repeats (`spans`), which are cut out.
 
 Nulls and ties: a null text has no words; a row with a null doc_id neither covers another nor
 is covered; rows that share a doc_id do not cover each other; a text under `window` words stays
@@ -27,292 +31,210 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as w
-from .common import OWN, groups_of, int_lists, keyed, partitions, slices, with_fields
+from .common import OWN, groups_of, partitions, slices, with_fields
 from .packing import pack, unpack
 
-#: Words gathered before a batch is sorted: bounds a task's memory.
-BATCH_WORDS = 1_000_000
-#: Low bits of a hash that do not travel: anchors are only candidates, so 40 bits do; a window's
-#: two hashes keep 64 + 40 bits.
-ANCHOR_SHIFT, WINDOW_SHIFT = np.uint64(24), np.uint64(24)
-ROUTED = f"{OWN}part int, doc_id long, {OWN}th int, {OWN}pos array<int>, {OWN}payload binary"
-MET = f"{OWN}batch long, doc_id long, {OWN}th int, {OWN}pos array<int>, {OWN}payload binary"
-FOUND = f"doc_id long, {OWN}th int, {OWN}pos array<int>"
-_NONE = np.zeros(0, np.int64)
+#: Bytes of text in a batch, on average: bounds a task's memory.
+BATCH_BYTES = 6 << 20
+#: Hashes a task that settles a range of hash space gets, on average.
+RANGE_HASHES = 4_000_000
+#: Low bits of an anchor's hash that do not travel: it only finds candidates, so 40 bits do.
+ANCHOR_SHIFT = np.uint64(24)
+ROUTED = f"{OWN}part int, {OWN}batch long, {OWN}payload binary"
+FOUND = f"{OWN}batch long, {OWN}payload binary"
 
 
 class _Batch:
-    """Word hashes of whole documents of at least `window` words."""
+    """Word hashes of the documents of a batch that have an id and at least `window` words."""
 
-    def __init__(self) -> None:
-        self.clear()
-
-    def clear(self) -> None:
-        self.hashes, self.second, self.lengths, self.ids, self.th, self.hits, self.words = [], [], [], [], [], [], 0
-
-    def add(self, table: pa.RecordBatch, id_col: str, window: int, second: bool = False) -> None:
+    def __init__(self, table: pa.Table, window: int, block: int, second: bool = False):
         buf, off = w.flatten(table.column("text"))
         starts, ends, woff = w.split(buf, off)
-        ids = table.column(id_col)
-        keep = (np.diff(woff) >= window) & ids.is_valid().to_numpy(zero_copy_only=False)
-        if OWN + "pos" in table.schema.names:
-            hits = table.column(OWN + "pos")
-            keep &= hits.is_valid().to_numpy(zero_copy_only=False)
-        if not keep.any():
-            return
-        inside = np.repeat(keep, np.diff(woff))
+        given = table.column("doc_id").combine_chunks() if isinstance(table.column("doc_id"), pa.ChunkedArray) else table.column("doc_id")
+        self.keep = (np.diff(woff) >= window) & given.is_valid().to_numpy(zero_copy_only=False)
+        inside = np.repeat(self.keep, np.diff(woff))
+        self.ids = given.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[self.keep]
         starts, ends = starts[inside], ends[inside]
-        self.hashes.append(w.hash_words(buf, starts, ends))
-        if second:
-            self.second.append(w.hash_words(buf, starts, ends, 1))
-        self.lengths.append(np.diff(woff)[keep])
-        self.ids.append(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[keep])
-        self.th.append(table.column(OWN + "th").to_numpy(zero_copy_only=False)[keep])
-        if OWN + "pos" in table.schema.names:
-            self.hits += [np.asarray(x, np.int64) for x in hits.filter(pa.array(keep)).to_pylist()]
-        self.words += int(self.lengths[-1].sum())
-
-    def joined(self):
-        woff = np.concatenate([[0], np.cumsum(np.concatenate(self.lengths))])
-        return np.concatenate(self.hashes), woff, np.concatenate(self.ids), np.concatenate(self.th)
-
-
-def _rows(parts, ids, th, positions, payloads) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(parts, pa.int32()), ids, th, positions, payloads],
-        names=[OWN + "part", "doc_id", OWN + "th", OWN + "pos", OWN + "payload"],
-    )
-
-
-def _found_rows(doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, th: np.ndarray, parts: int) -> pa.RecordBatch | None:
-    """A row per document of what was settled inside a batch; it rides along to any partition."""
-    if not len(doc):
-        return None
-    order = np.argsort(doc, kind="stable")
-    doc, pos = doc[order], pos[order]
-    at = groups_of(doc)
-    n, d = len(at), doc[at]
-    return _rows((d % parts).astype(np.int32), pa.array(ids[d]), pa.array(th[d], pa.int32()), int_lists(pos, np.diff(np.append(at, len(doc)))), pa.nulls(n, pa.binary()))
-
-
-def _ship_rows(keys: np.ndarray, columns: tuple, table: tuple, parts: int) -> pa.RecordBatch:
-    """A packed row per range of hash space."""
-    cut = slices(keys, parts)
-    used = [i for i in range(parts) if cut[i] < cut[i + 1]]
-    payloads = [pack(*(c[cut[i] : cut[i + 1]] for c in columns), *table) for i in used]
-    n = len(used)
-    return _rows(np.array(used, np.int32), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int32())), pa.array(payloads, pa.binary()))
-
-
-def _table(ids: np.ndarray, th: np.ndarray, woff: np.ndarray) -> tuple:
-    return ids.view(np.uint64), th.astype(np.int64) + (1 << 31), woff[:-1].astype(np.uint64)
-
-
-def _anchors(batches: Iterator[pa.RecordBatch], window: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """Probes of every position, blocks marked; a hash two documents of a batch share is a hit at once."""
-    block, batch = (window + 1) // 2, _Batch()
-
-    def flush():
-        h, woff, ids, th = batch.joined()
-        at = w.window_starts(woff, block)
-        keys = w.rolling(h, block)[at]
-        order = np.argsort(keys, kind="stable")
-        keys, at = keys[order], at[order]
-        doc = np.searchsorted(woff, at, "right") - 1
-        start = groups_of(keys)
-        size = np.diff(np.append(start, len(keys)))
-        several = doc[start] != doc[start + size - 1]
-        aligned = np.logical_or.reduceat((at - woff[doc]) % block == 0, start)
-        fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])]) & np.repeat(several, size)
-        rows = _found_rows(doc[fresh], (at - woff[doc])[fresh], ids, th, parts)
-        if rows is not None:
-            yield rows
-        key, ref = keys[start], at[start].astype(np.uint64) * np.uint64(2) + aligned.astype(np.uint64)
-        yield _ship_rows(key, (key >> ANCHOR_SHIFT, ref), _table(ids, th, woff), parts)
-        batch.clear()
-
-    for piece in w.pieces(batches):
-        batch.add(piece, "doc_id", window)
-        if batch.words >= BATCH_WORDS:
-            yield from flush()
-    if batch.words:
-        yield from flush()
-
-
-def _settled(batches: Iterator[pa.RecordBatch], exact: bool) -> Iterator[pa.RecordBatch]:
-    """One range of hash space: rows that ride along pass; entries of one hash from several batches meet.
-
-    exact False (anchors): all entries of a hash that some document has as a block are hits.
-    exact True (windows): entries whose doc_id is over the smallest of the hash are repeated.
-    What is found goes back as a packed row for each batch it came from.
+        self.woff = np.concatenate([[0], np.cumsum(np.diff(woff)[self.keep])]).astype(np.int64)
+        self.h = w.hash_words(buf, starts, ends)
+        self.h2 = w.hash_words(buf, starts, ends, 1) if second else None
+        self.doc = np.repeat(np.arange(len(self.ids)), np.diff(self.woff))
+        self.window, self.block = window, block
+
+    def anchors(self):
+        """Where blocks can start, their short hashes, and whether the place is a multiple of the block."""
+        at = w.window_starts(self.woff, self.block)
+        return at, w.rolling(self.h, self.block)[at] >> ANCHOR_SHIFT, (at - self.woff[self.doc[at]]) % self.block == 0
+
+    def windows(self, at: np.ndarray, bits: int):
+        return w.rolling(self.h, self.window)[at], w.rolling(self.h2, self.window, 1)[at] >> np.uint64(64 - bits)
+
+
+def _sorted(keys: np.ndarray) -> np.ndarray:
+    """Sorted keys as their first value and the steps between them."""
+    return np.concatenate([keys[:1], np.diff(keys)])
+
+
+def _shipped(batch: int, keys: np.ndarray, edges: np.ndarray, ranges: int, columns: tuple) -> pa.Table:
+    """A packed row per range of hash space; keys are sorted, columns[0] of them steps."""
+    cut = slices(edges, ranges)
+    used = [i for i in range(ranges) if cut[i] < cut[i + 1]]
+    data = [pack(_sorted(keys[cut[i] : cut[i + 1]]), *(c[cut[i] : cut[i + 1]] for c in columns)) for i in used]
+    return pa.table({OWN + "part": pa.array(used, pa.int32()), OWN + "batch": pa.array([batch] * len(used), pa.int64()), OWN + "payload": pa.array(data, pa.binary())})
+
+
+def _probes(window: int, ranges: int):
+    block = (window + 1) // 2
+
+    def run(table: pa.Table) -> pa.Table:
+        batch = _Batch(table, window, block)
+        _, key, aligned = batch.anchors()
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        start = groups_of(key)
+        aligned = np.logical_or.reduceat(aligned[order], start) if len(start) else aligned
+        key = key[start]
+        return _shipped(table.column(OWN + "batch")[0].as_py(), key, key << ANCHOR_SHIFT, ranges, (aligned.astype(np.uint64),))
+
+    return run
+
+
+def _met(batches: Iterator[pa.RecordBatch], exact: bool) -> Iterator[pa.RecordBatch]:
+    """One range of hash space: what batches share goes back to them.
+
+    exact False (anchors): every hash of several batches that one of them has as a block.
+    exact True (windows): a window of a batch whose smallest doc_id is over that of another batch.
     """
-    names = ["doc_id", OWN + "th", OWN + "pos"]
-    a, b, pos, flag, row, ids, tables = [], [], [], [], [], [], []
+    columns, source = [], []
     for batch in batches:
-        riding = batch.column(OWN + "payload").is_null()
-        if n := riding.true_count:
-            cols = [batch.column(x).filter(riding) for x in names]
-            yield pa.RecordBatch.from_arrays([cols[0], *cols, pa.nulls(n, pa.binary())], names=[OWN + "batch", *names, OWN + "payload"])
-        for data in batch.column(OWN + "payload").drop_null():
-            cols = unpack(data.as_py())
-            a.append(cols[0])
-            if exact:
-                b.append(cols.pop(1))
-            ref, doc, th, woff = cols[1], cols[2].view(np.int64), cols[3].astype(np.int64) - (1 << 31), cols[4].astype(np.int64)
-            at = (ref if exact else ref >> np.uint64(1)).astype(np.int64)
-            if not exact:
-                flag.append((ref & np.uint64(1)).astype(bool))
-            r = np.searchsorted(woff, at, "right") - 1
-            pos.append(at - woff[r])
-            row.append(r.astype(np.int32) if len(woff) < 1 << 31 else r)
-            ids.append(doc[r])
-            tables.append((doc, th, woff))
-    if not a:
+        for name, data in zip(batch.column(OWN + "batch").to_pylist(), batch.column(OWN + "payload").to_pylist(), strict=True):
+            cols = unpack(data)
+            cols[0] = np.cumsum(cols[0], dtype=np.uint64)
+            columns.append(cols)
+            source.append(name)
+    if not columns:
         return
-    source = np.repeat(np.arange(len(a), dtype=np.int32), [len(x) for x in a])
-    a, pos, row, ids = (np.concatenate(x) for x in (a, pos, row, ids))
+    which = np.repeat(np.arange(len(columns), dtype=np.int32), [len(c[0]) for c in columns])
+    key, *rest = (np.concatenate(x) for x in zip(*columns, strict=True))
+    del columns
+    order = np.lexsort((rest[0], key)) if exact else np.argsort(key, kind="stable")
+    key, which = key[order], which[order]
+    new = np.concatenate([[True], key[1:] != key[:-1]])
     if exact:
-        b = np.concatenate(b)
-        order = np.lexsort((b, a))
-        b = b[order]
-    else:
-        order = np.argsort(a, kind="stable")
-    a = a[order]
-    new = np.concatenate([[True], a[1:] != a[:-1]])
-    if exact:
-        new[1:] |= b[1:] != b[:-1]
+        second, ids = rest[0][order], rest[1][order].view(np.int64)
+        new[1:] |= second[1:] != second[:-1]
     start = np.flatnonzero(new)
-    size = np.diff(np.append(start, len(a)))
-    if exact:
-        ids = ids[order]
-        hit = order[ids > np.repeat(np.minimum.reduceat(ids, start), size)]
-    else:
-        hit = order[np.repeat((size > 1) & np.logical_or.reduceat(np.concatenate(flag)[order], start), size)]
-    if not len(hit):
+    size = np.diff(np.append(start, len(key)))
+    hit = ids > np.repeat(np.minimum.reduceat(ids, start), size) if exact else np.repeat((size > 1) & np.logical_or.reduceat(rest[0][order].astype(bool), start), size)
+    at = np.flatnonzero(hit)
+    if not len(at):
         return
-    hit = hit[np.lexsort((pos[hit], row[hit], source[hit]))]
-    at = groups_of(source[hit])
-    out_key, out = [], []
-    for i, j in zip(at, np.append(at[1:], len(hit)), strict=True):
-        own = hit[i:j]
-        doc, th, woff = tables[source[own[0]]]
-        rows = row[own]
-        first = groups_of(rows)
-        d = rows[first]
-        out_key.append(int(doc[0]) ^ (int(woff[-1]) << 20) ^ len(doc))
-        out.append(pack(doc[d].view(np.uint64), th[d] + (1 << 31), np.diff(np.append(first, len(rows))), pos[own]))
-    n = len(out)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(out_key, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int32())), pa.array(out, pa.binary())],
-        names=[OWN + "batch", *names, OWN + "payload"],
-    )
-
-
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What all ranges of hash space found for a batch, as a row per document of this partition."""
-    names = ["doc_id", OWN + "th", OWN + "pos"]
-    ids, th, pos = [], [], []
-    for batch in batches:
-        riding = batch.column(OWN + "payload").is_null()
-        if riding.true_count:
-            yield pa.RecordBatch.from_arrays([batch.column(x).filter(riding) for x in names], names=names)
-        for data in batch.column(OWN + "payload").drop_null():
-            doc, t, count, at = unpack(data.as_py())
-            count = count.astype(np.int64)
-            ids.append(np.repeat(doc.view(np.int64), count))
-            th.append(np.repeat(t.astype(np.int64) - (1 << 31), count).astype(np.int32))
-            pos.append(at.astype(np.int32))
-    if not ids:
-        return
-    ids, th, pos = (np.concatenate(x) for x in (ids, th, pos))
-    order = np.lexsort((th, ids))
-    ids, th, pos = ids[order], th[order], pos[order]
-    at = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (th[1:] != th[:-1])]))
-    yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(th[at]), int_lists(pos, np.diff(np.append(at, len(ids))))], names=names)
-
-
-def _windows(batches: Iterator[pa.RecordBatch], window: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """Hashes of the windows around anchor hits, with the smallest doc_id of each in this batch."""
-    block, batch = (window + 1) // 2, _Batch()
-
-    def flush():
-        h, woff, ids, th = batch.joined()
-        h2 = np.concatenate(batch.second)
-        n = len(h)
-        starts = w.window_starts(woff, block)
-        doc_of = np.repeat(np.arange(len(ids)), np.diff(woff))
-        own = w.mix(w.rolling(h, block) ^ (doc_of[: max(0, n - block + 1)].astype(np.uint64) * np.uint64(w.BASES[1])))
-        seeds = np.concatenate([x[x < m - block + 1] + o for x, o, m in zip(batch.hits, woff[:-1], np.diff(woff), strict=True)])
-        hit = np.zeros(n + 1, np.int64)
-        hit[starts[np.isin(own[starts], own[seeds])]] = 1
-        sums = np.concatenate([[0], np.cumsum(hit)])
-        at = w.window_starts(woff, window)
-        at = at[sums[at + window - block + 1] > sums[at]]
-        batch.clear()
-        if not len(at):
-            return
-        a, b = w.rolling(h, window)[at], w.rolling(h2, window, 1)[at]
-        order = np.lexsort((at, b, a))
-        a, b, at = a[order], b[order], at[order]
-        doc = doc_of[at]
+    at = at[np.argsort(which[at], kind="stable")]
+    first = groups_of(which[at])
+    names, out = [], []
+    for i, j in zip(first, np.append(first[1:], len(at)), strict=True):
+        names.append(source[which[at[i]]])
+        out.append(pack(_sorted(key[at[i:j]]), *([second[at[i:j]]] if exact else [])))
+    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(out, pa.binary())], names=[OWN + "batch", OWN + "payload"])
+
+
+def _back(found: pa.Table, columns: int) -> list[np.ndarray]:
+    """What came back to a batch from all ranges."""
+    got = [unpack(x) for x in found.column(OWN + "payload").to_pylist()]
+    for cols in got:
+        cols[0] = np.cumsum(cols[0], dtype=np.uint64)
+    return [np.concatenate(x) for x in zip(*got, strict=True)] if got else [np.zeros(0, np.uint64)] * columns
+
+
+def _candidates(window: int, ranges: int, bits: int):
+    block = (window + 1) // 2
+
+    def run(docs: pa.Table, found: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return pa.table({OWN + "part": pa.array([], pa.int32()), OWN + "batch": pa.array([], pa.int64()), OWN + "payload": pa.array([], pa.binary())})
+        batch = _Batch(docs, window, block, second=True)
+        at, key, aligned = batch.anchors()
+        order = np.argsort(key, kind="stable")
+        start = groups_of(key[order])
+        if len(start):
+            doc = batch.doc[at[order]]
+            size = np.diff(np.append(start, len(order)))
+            own = (doc[start] != doc[start + size - 1]) & np.logical_or.reduceat(aligned[order], start)
+            hit = np.zeros(len(batch.h) + 1, np.int64)
+            hit[at[order[np.repeat(own, size)]]] = 1
+            hit[at[np.isin(key, _back(found, 1)[0])]] = 1
+            sums = np.concatenate([[0], np.cumsum(hit)])
+            at = w.window_starts(batch.woff, window)
+            at = at[sums[at + window - block + 1] > sums[at]]
+        a, b = batch.windows(at, bits)
+        ids = batch.ids[batch.doc[at]]
+        order = np.lexsort((ids, b, a))
+        a, b, ids = a[order], b[order], ids[order]
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
+        a, b, ids = a[new], b[new], ids[new]
+        return _shipped(docs.column(OWN + "batch")[0].as_py(), a, a, ranges, (b, ids.view(np.uint64)))
+
+    return run
+
+
+def _repeated(batch: _Batch, found: pa.Table, bits: int) -> np.ndarray:
+    """Which words of the batch's long documents repeated windows cover."""
+    at = w.window_starts(batch.woff, batch.window)
+    edge = np.zeros(len(batch.h) + 1, np.int64)
+    if len(at):
+        a, b = batch.windows(at, bits)
+        ids = batch.ids[batch.doc[at]]
+        back, back_b = _back(found, 2)
+        order = np.lexsort((b, a))
+        a, b, ids, at = a[order], b[order], ids[order], at[order]
         new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
         start = np.flatnonzero(new)
-        least = np.repeat(np.minimum.reduceat(ids[doc], start), np.diff(np.append(start, len(a))))
-        fresh = new.copy()
-        fresh[1:] |= doc[1:] != doc[:-1]
-        over = fresh & (ids[doc] > least)
-        rows = _found_rows(doc[over], (at - woff[doc])[over], ids, th, parts)
-        if rows is not None:
-            yield rows
-        kept = fresh & (ids[doc] == least)
-        yield _ship_rows(a[kept], (a[kept], b[kept] >> WINDOW_SHIFT, at[kept].astype(np.uint64)), _table(ids, th, woff), parts)
-
-    for piece in w.pieces(batches):
-        batch.add(piece, "doc_id", window, second=True)
-        if batch.words >= BATCH_WORDS:
-            yield from flush()
-    if batch.words:
-        yield from flush()
-
-
-def _removed(text: bytes, pos: np.ndarray, window: int) -> tuple[np.ndarray, list[bytes]]:
-    """Which words the repeated windows cover; pos has one start of each repeated window's text."""
-    parts = text.split()
-    buf, off = np.frombuffer(text, np.uint8), np.array([0, len(text)])
-    starts, ends, _ = w.split(buf, off)
-    r = w.rolling(w.hash_words(buf, starts, ends), window)
-    at = np.flatnonzero(np.isin(r, r[pos[pos < len(r)]]))
-    edge = np.zeros(len(parts) + 1, np.int64)
-    edge[at] += 1
-    edge[at + window] -= 1
-    return np.cumsum(edge[:-1]) > 0, parts
-
-
-def _cut(batches: Iterator[pa.RecordBatch], window: int, names: list[str]) -> Iterator[pa.RecordBatch]:
-    for batch in w.pieces(batches):
-        texts, found = batch.column("text").cast(pa.binary()).to_pylist(), batch.column(OWN + "pos").to_pylist()
+        size = np.diff(np.append(start, len(a)))
+        over = ids > np.repeat(np.minimum.reduceat(ids, start), size)
+        if len(back):
+            by = np.lexsort((back_b, back))
+            back, back_b = back[by], back_b[by]
+            far = np.zeros(len(start), bool)
+            ka, kb = a[start], b[start]
+            lo, hi = np.searchsorted(back, ka), np.searchsorted(back, ka, "right")
+            for step in range(int((hi - lo).max(initial=0))):
+                i = np.flatnonzero(lo + step < hi)
+                far[i] |= back_b[lo[i] + step] == kb[i]
+            over |= np.repeat(far, size)
+        at = at[over]
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + batch.window, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def _cut(window: int, bits: int, schema: pa.Schema):
+    def run(docs: pa.Table, found: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return schema.empty_table()
+        batch = _Batch(docs, window, (window + 1) // 2, second=True)
+        gone = _repeated(batch, found, bits)
+        at = np.cumsum(batch.keep) - 1
         n_words, n_removed, kept, spans = [], [], [], []
-        for text, pos in zip(texts, found, strict=True):
-            if not pos or text is None:
-                parts = (text or b"").split()
-                n_words.append(len(parts))
+        for row, text in enumerate(docs.column("text").cast(pa.large_binary()).to_pylist()):
+            parts = (text or b"").split()
+            cut = gone[batch.woff[at[row]] : batch.woff[at[row] + 1]] if batch.keep[row] else gone[:0]
+            n_words.append(len(parts))
+            if not cut.any():
                 n_removed.append(0)
                 kept.append(b" ".join(parts))
                 spans.append([])
                 continue
-            gone, parts = _removed(text, np.asarray(pos, np.int64), window)
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
-            n_words.append(len(parts))
-            n_removed.append(int(gone.sum()))
-            kept.append(b" ".join([x for x, g in zip(parts, gone.tolist(), strict=True) if not g]))
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], cut.view(np.int8), [0]])))
+            n_removed.append(int(cut.sum()))
+            kept.append(b" ".join([x for x, g in zip(parts, cut.tolist(), strict=True) if not g]))
             spans.append(edges.reshape(-1, 2).tolist())
         added = {
-            "n_words": pa.array(n_words, pa.int64()),
-            "n_removed": pa.array(n_removed, pa.int64()),
-            "kept_text": pa.array(kept, pa.binary()).cast(pa.string()),
-            "spans": pa.array(spans, pa.list_(pa.list_(pa.int32()))),
-        }
-        yield pa.RecordBatch.from_arrays([added[n] if n in added else batch.column(n) for n in names], names=names)
+            "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()),
+            "kept_text": pa.array(kept, pa.binary()).cast(pa.string()), "spans": pa.array(spans, pa.list_(pa.list_(pa.int32()))),
+        }
+        return pa.table({f.name: added[f.name] if f.name in added else docs.column(f.name) for f in schema})
+
+    return run
 
 
 def dedup_substrings(docs: DataFrame, window: int = 50) -> DataFrame:
@@ -321,20 +243,20 @@ def dedup_substrings(docs: DataFrame, window: int = 50) -> DataFrame:
     kept_text has the words that stay, joined by one space; spans the removed runs as pairs of
     word positions (start, end).
     """
-    spark = docs.sparkSession
-    parts = partitions(spark)
-    docs = keyed(docs)
-    base = docs.select("doc_id", OWN + "th", "text")
-
-    def settle(routed: DataFrame, exact: bool) -> DataFrame:
-        met = routed.repartitionById(parts, F.col(OWN + "part")).mapInArrow(lambda it: _settled(it, exact), MET)
-        met = met.repartition(parts, OWN + "batch").mapInArrow(_merged, FOUND)
-        return met.groupBy("doc_id", OWN + "th").agg(F.flatten(F.collect_list(OWN + "pos")).alias(OWN + "pos"))
-
-    hits = settle(base.mapInArrow(lambda it: _anchors(it, window, parts), ROUTED), False)
-    # Left joins on both occasions: with the same plan below them, the texts are shuffled once.
-    near = docs.join(hits, ["doc_id", OWN + "th"], "left")
-    covered = settle(near.mapInArrow(lambda it: _windows(it, window, parts), ROUTED), True)
-    schema = with_fields(docs.drop(OWN + "th").schema, ("n_words", "long"), ("n_removed", "long"), ("kept_text", "string"), ("spans", "array<array<int>>"))
-    names = schema.names
-    return docs.join(covered, ["doc_id", OWN + "th"], "left").mapInArrow(lambda it: _cut(it, window, names), schema)
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    parts = partitions(docs.sparkSession)
+    added = (("n_words", "long"), ("n_removed", "long"), ("kept_text", "string"), ("spans", "array<array<int>>"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_batches, ranges = max(parts, size // BATCH_BYTES), max(parts, size // (4 * RANGE_HASHES))
+    bits = min(64, max(8, 2 * int(size).bit_length() - 44))  # with the first hash's 64: chance meetings stay as rare at any size
+    name = OWN + "batch"
+    schema = with_fields(docs.schema, *added)
+    dealt = docs.drop(*(n for n, _ in added)).withColumn(name, F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_batches))).repartition(parts, name)
+
+    def settled(routed: DataFrame, exact: bool) -> DataFrame:
+        return routed.repartitionById(ranges, F.col(OWN + "part")).mapInArrow(lambda it: _met(it, exact), FOUND)
+
+    hits = settled(dealt.groupBy(name).applyInArrow(_probes(window, ranges), ROUTED), False)
+    covered = settled(dealt.groupBy(name).cogroup(hits.groupBy(name)).applyInArrow(_candidates(window, ranges, bits), ROUTED), True)
+    return dealt.groupBy(name).cogroup(covered.groupBy(name)).applyInArrow(_cut(window, bits, to_arrow_schema(schema)), schema)
