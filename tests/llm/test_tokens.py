@@ -61,8 +61,9 @@ def test_grammar_round_trip(seed):
     ids = rng.integers(0, 4, int(lengths.sum()))
     ids[np.cumsum(lengths) - 1] = 2
     shard = Shard(Shard.write(list(range(59)) + [None], ids, lengths))
-    assert len(shard.rules) and len(shard.symbols) < len(ids)
-    assert (shard.ids() == ids).all() and (shard.lengths() == lengths).all()
+    assert len(shard.rules) and shard.offsets[-1] < len(ids)
+    found, per = shard.all()
+    assert (found == ids).all() and (per == lengths).all()
     ends = np.cumsum(lengths)
     for k in (0, 17, 59):
         assert (shard.document(k) == ids[ends[k] - lengths[k] : ends[k]]).all()
@@ -70,6 +71,31 @@ def test_grammar_round_trip(seed):
     assert per.sum() == len(symbols) and (expand(symbols, rules, int(ids.max()) + 1) == ids).all()
 
 
+def test_one_document_opens_its_own_blocks():
+    rng = np.random.default_rng(9)
+    lengths = rng.integers(1, 800, 1000)
+    ids = rng.integers(3, 49_000, int(lengths.sum()))
+    shard = Shard(Shard.write(list(range(1000)), ids, lengths))
+    assert len(shard.places) - 1 > 4
+    ends = np.cumsum(lengths)
+    for k in (0, 400, 999):
+        shard.opened = 0
+        assert (shard.document(k) == ids[ends[k] - lengths[k] : ends[k]]).all() and shard.opened <= 2
+
+
+def test_grammar_goes_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(4)
+    lengths = np.full(200, 500)
+    ids = np.minimum(rng.zipf(1.3, 100_000), 3000)
+    symbols, per, rules = compress(ids, lengths)
+    last = np.cumsum(per)[:-1] - 1
+    inner = np.setdiff1d(np.arange(len(symbols) - 1), last)
+    _, count = np.unique((symbols[:-1] << 31 | symbols[1:])[inner], return_counts=True)
+    assert count.max() < 16 * 2  # runs of one symbol count their overlaps
+    used = np.bincount(np.concatenate([symbols, rules.ravel()]))
+    assert (used[int(ids.max()) + 1 :] > 0).all()
+
+
 def test_op9_files(spark, tables, odd_docs):
     path = queries.vocabulary("word_bpe_49k.json")
     library = tokenizers.Tokenizer.from_file(path)

@@ -2,8 +2,10 @@
 
 Documents are cut into ranges of doc_id and, within a range, into shards of about `SHARD_IDS` ids.
 In a shard, rounds count all neighbouring pairs of symbols inside documents and replace the most
-frequent ones by new nonterminals, from the left and all at once, until no pair is frequent. The file keeps the rules, the number of ids each expands to, the symbols, and
-where each document starts among the symbols: a document decodes from its own symbols alone.
+frequent ones by new nonterminals, from the left and all at once, until no pair is frequent; rules
+that nothing uses are dropped. The file keeps the rules, the number of ids each expands to, where each
+document starts among the symbols, and the symbols in blocks of their own: a document decodes from
+the blocks that hold its symbols alone.
 
 Shards are rows of Parquet files that Spark writes to the shared folder, so any store will do and
 a lost task's output is written again. A start offset is the sum over earlier ranges, earlier
@@ -16,6 +18,7 @@ ids first; repeated rows are documents of their own; an empty table gives no row
 from __future__ import annotations
 
 import os
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -32,6 +35,10 @@ from .words import pieces
 
 #: Ids per shard, replacements per round, and the least frequency of a replaced pair.
 SHARD_IDS, PAIRS, FREQUENT = 1_500_000, 8192, 16
+#: Symbols in a block.
+BLOCK = 1 << 16
+#: Buckets that pairs are counted in by hash: the high bits of a product.
+BUCKETS, MIXER, SHIFT = 1 << 20, np.uint64(0x9E3779B97F4A7C15), np.uint64(44)
 #: Distinct words whose ids a worker process keeps between batches.
 CACHE = 300_000
 SHARDS = "range int, shard int, n_ids long, n_docs int, payload binary"
@@ -47,21 +54,25 @@ def compress(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
     top = base
     while len(s) > 1:
         key = (s[:-1] << 31) | s[1:]
-        inner = ~last[:-1]
+        # Pairs are counted by hash first: what falls in a rare bucket is rare.
+        bucket = ((key.view(np.uint64) * MIXER) >> SHIFT).view(np.int64)
+        inner = np.flatnonzero(~last[:-1])
+        inner = inner[np.bincount(bucket[inner], minlength=BUCKETS)[bucket[inner]] >= FREQUENT]
         found, count = np.unique(key[inner], return_counts=True)
         often = np.flatnonzero(count >= FREQUENT)
         if len(often) > PAIRS:
             often = often[np.argpartition(-count[often], PAIRS - 1)[:PAIRS]]
         if not len(often):
             break
-        chosen = np.sort(found[often])
-        left, right = np.zeros(top, bool), np.zeros(top, bool)
-        left[chosen >> 31] = True
-        right[chosen & ((1 << 31) - 1)] = True
-        at = np.flatnonzero(inner & left[s[:-1]] & right[s[1:]])
-        slot = np.minimum(np.searchsorted(chosen, key[at]), len(chosen) - 1)
-        found = chosen[slot] == key[at]
-        at, slot = at[found], slot[found]
+        # One pair a bucket, the most frequent; others of the bucket wait for the next round.
+        often = often[np.argsort(count[often], kind="stable")]
+        slots = np.full(BUCKETS, -1, np.int64)
+        places = ((found[often].view(np.uint64) * MIXER) >> SHIFT).view(np.int64)
+        slots[places] = np.arange(len(often))
+        chosen = found[often]
+        slot = slots[bucket[inner]]
+        hit = (slot >= 0) & (key[inner] == chosen[slot])
+        at, slot = inner[hit], slot[hit]
         run = np.concatenate([[True], np.diff(at) != 1])
         first = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
         take = (np.arange(len(at)) - first) % 2 == 0
@@ -73,7 +84,21 @@ def compress(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
         keep[at + 1] = False
         s, last, top = s[keep], last[keep], top + len(chosen)
     per = np.diff(np.concatenate([[-1], np.flatnonzero(last)]))
-    return s, per, (np.concatenate(rules) if rules else np.zeros((0, 2), np.int64))
+    s, found = pruned(s, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), base)
+    return s, per, found
+
+
+def pruned(symbols: np.ndarray, rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols and rules without the rules that nothing uses; a rule only uses symbols before its own."""
+    uses = np.bincount(symbols, minlength=base + len(rules))
+    uses += np.bincount(rules.ravel(), minlength=base + len(rules))
+    for k in range(len(rules) - 1, -1, -1):
+        if not uses[base + k]:
+            uses[rules[k, 0]] -= 1
+            uses[rules[k, 1]] -= 1
+    kept = uses[base:] > 0
+    new = np.concatenate([np.arange(base), base + np.cumsum(kept) - 1])
+    return new[symbols], new[rules[kept]]
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
@@ -92,40 +117,73 @@ def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     return s
 
 
+def rule_sizes(rules: np.ndarray, base: int) -> np.ndarray:
+    """How many ids each rule expands to."""
+    size = [1] * base + [0] * len(rules)
+    for k, (a, b) in enumerate(rules.tolist(), base):
+        size[k] = size[a] + size[b]
+    return np.array(size[base:], np.int64)
+
+
 class Shard:
-    """A shard file: whole decoding, and single documents from their own symbols."""
+    """A shard file: whole decoding, and single documents from the blocks that hold their symbols."""
 
     def __init__(self, payload: bytes) -> None:
-        left, right, self.rule_ids, symbols, per, docs, missing, base = unpack(payload)
-        self.rules = np.stack([left, right], 1).astype(np.int64)
-        self.symbols, self.base = symbols.astype(np.int64), int(base[0])
+        (head,) = struct.unpack_from("<Q", payload)
+        left, right, rule_ids, per, docs, missing, base, blocks = unpack(payload[8 : 8 + head])
+        self.payload, self.rules, self.base = payload, np.stack([left, right], 1).astype(np.int64), int(base[0])
+        self.rule_ids = rule_ids.astype(np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(per.astype(np.int64))])
         self.docs = [None if m else d for d, m in zip(docs.view(np.int64).tolist(), missing.tolist(), strict=True)]
-
-    def lengths(self) -> np.ndarray:
-        """Ids per document, from the rules' expansion lengths."""
-        high = self.symbols >= self.base
-        each = np.ones(len(self.symbols), np.int64)
-        each[high] = self.rule_ids[self.symbols[high] - self.base].astype(np.int64)
-        sums = np.concatenate([[0], np.cumsum(each)])
-        return np.diff(sums[self.offsets])
-
-    def ids(self) -> np.ndarray:
-        return expand(self.symbols, self.rules, self.base)
+        self.places = 8 + head + np.concatenate([[0], np.cumsum(blocks.astype(np.int64))])
+        self.opened = 0
+        # All rules written out one after the other, behind the ids themselves.
+        self.table = np.concatenate([np.arange(self.base), expand(np.arange(self.base, self.base + len(self.rules)), self.rules, self.base)])
+        self.size = np.concatenate([np.ones(self.base, np.int64), self.rule_ids])
+        self.start = np.concatenate([np.arange(self.base), self.base + np.cumsum(self.rule_ids) - self.rule_ids])
+
+    def symbols(self, first: int, last: int) -> np.ndarray:
+        """Symbols from one place to another."""
+        i, j = first // BLOCK, -(-last // BLOCK)
+        self.opened += j - i
+        found = [unpack(self.payload[self.places[k] : self.places[k + 1]])[0].astype(np.int64) for k in range(i, j)]
+        return np.concatenate(found)[first - i * BLOCK : last - i * BLOCK] if found else np.zeros(0, np.int64)
+
+    def decoded(self, symbols: np.ndarray) -> np.ndarray:
+        size = self.size[symbols]
+        end = np.cumsum(size)
+        return self.table[np.repeat(self.start[symbols] - (end - size), size) + np.arange(end[-1] if len(end) else 0)]
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all documents, and how many each has."""
+        symbols = self.symbols(0, int(self.offsets[-1]))
+        sums = np.concatenate([[0], np.cumsum(self.size[symbols])])
+        return self.decoded(symbols), np.diff(sums[self.offsets])
 
     def document(self, k: int) -> np.ndarray:
-        return expand(self.symbols[self.offsets[k] : self.offsets[k + 1]], self.rules, self.base)
+        return self.decoded(self.symbols(int(self.offsets[k]), int(self.offsets[k + 1])))
 
     @staticmethod
     def write(docs: list, ids: np.ndarray, lengths: np.ndarray) -> bytes:
         symbols, per, rules = compress(ids, lengths)
         base = int(ids.max()) + 1
-        size = np.ones(base + len(rules), np.int64)
-        for k, (a, b) in enumerate(rules.tolist()):
-            size[base + k] = size[a] + size[b]
         known = np.array([d or 0 for d in docs], np.int64)
         missing = np.array([d is None for d in docs], np.uint64)
-        return pack(rules[:, 0], rules[:, 1], size[base:], symbols, per, known.view(np.uint64), missing, np.array([base]))
+        blocks = [pack(symbols[i : i + BLOCK]) for i in range(0, len(symbols), BLOCK)]
+        head = pack(rules[:, 0], rules[:, 1], rule_sizes(rules, base), per, known.view(np.uint64), missing, np.array([base]), np.array([len(b) for b in blocks], np.int64))
+        return b"".join([struct.pack("<Q", len(head)), head, *blocks])
+
+
+class _Known(dict):
+    """Ids by word; a word that is missing is encoded once and kept."""
+
+    def __init__(self, encode) -> None:
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, key):
+        got = self[key] = self.encode(key)
+        return got
 
 
 class Coder:
@@ -151,32 +209,20 @@ class Coder:
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         hidden = [b for b in range(256) if b not in shown]
         self.level = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.words, self.parts = _Known(self._word), _Known(self._part)
 
     def _part(self, part: str) -> bytes:
         """Ids of one pre-token, by the tokenizer's own model on its byte-level characters."""
         found = self.tokenize(part.encode().decode("latin-1").translate(self.level))
-        got = self.parts[part] = np.array([t.id for t in found], "<u4").tobytes()
-        return got
+        return np.array([t.id for t in found], "<u4").tobytes()
 
-    def learn(self, words: list[bytes]) -> None:
-        """Adds words to those whose ids are known."""
-        known, parts, whole = self.words, self.parts, []
-        for word in words:
-            if word.isalpha():  # of ASCII letters
-                part = word.lower().decode()
-                known[word] = parts.get(part) or self._part(part)
-                continue
-            text = word.decode()
-            if b"<" not in word and self.PLAIN.fullmatch(text):
-                known[word] = b"".join([parts.get(p) or self._part(p) for p in self.PIECES.findall(text.lower())])
-            else:
-                whole.append(word)
-        for i in range(0, len(whole), 4096):
-            some = whole[i : i + 4096]
-            got = self.tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False)
-            known.update((x, np.array(y.ids, "<u4").tobytes()) for x, y in zip(some, got, strict=True))
+    def _word(self, word: bytes) -> bytes:
+        if word.isalpha():  # of ASCII letters
+            return self.parts[word.lower().decode()]
+        text = word.decode()
+        if b"<" not in word and self.PLAIN.fullmatch(text):
+            return b"".join([self.parts[p] for p in self.PIECES.findall(text.lower())])
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
@@ -184,10 +230,8 @@ class Coder:
             self.words.clear()
         if len(self.parts) > CACHE:
             self.parts.clear()
-        cut = [(t or b"").split() for t in texts]
-        self.learn(list(set().union(*cut).difference(self.words)))
         get = self.words.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        return [b"".join(map(get, (t or b"").split())) for t in texts]
 
 
 _coders: dict[str, Coder] = {}
@@ -231,7 +275,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             shard = Shard(batch.column("payload")[i].as_py())
-            lengths, ids = shard.lengths(), shard.ids().astype("<u4")
+            ids, lengths = shard.all()
+            ids = ids.astype("<u4")
             ends = np.cumsum(lengths)
             crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
             n = len(lengths)
