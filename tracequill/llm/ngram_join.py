@@ -46,7 +46,7 @@ from .components import components
 from .packing import pack, unpack
 
 #: Words gathered before a batch is dealt out, or its tokens counted.
-BATCH_WORDS, COUNT_WORDS = 1_000_000, 2_000_000
+BATCH_WORDS, COUNT_WORDS = 1_000_000, 1_500_000
 #: The most common tokens, with their counts: 16 bytes each, broadcast.
 TABLE_ROWS = 1_000_000
 #: Documents of a batch that must share a token before the batch reports it, and reports in all
@@ -57,9 +57,11 @@ TASK_TOKENS = 3_000_000
 #: Ids (8 bytes each) up to which the rows of a round are picked by a broadcast, not a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Rounds in which sets are compared with the most popular ones of their keys, before what is left meets in pairs.
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 #: The largest index group that gives all its pairs.
 SMALL = 4
+#: Bytes of text that are compared at a time.
+PAIR_BYTES = 2 << 20
 #: Pairs with one first set that are verified in one task, about.
 HUB_PAIRS = 2_000
 #: Kinds of packed rows: tokens on their way to be counted, sizes and frequent tokens of sets, shared
@@ -239,7 +241,8 @@ def _dealt(batches: Iterator[pa.RecordBatch], width: int, bits: int, parts: int,
 
 def _counted(batches: Iterator[pa.RecordBatch], homes: int) -> Iterator[pa.RecordBatch]:
     """One range of hash space: what several sets share goes to their homes with its count; the rest stays behind."""
-    tokens, names = [], []
+    tokens, row, sets = [], [], []
+    total = 0
     for batch in batches:
         kind = batch.column("kind").to_numpy()
         ride = kind == SETS
@@ -249,16 +252,22 @@ def _counted(batches: Iterator[pa.RecordBatch], homes: int) -> Iterator[pa.Recor
         for data in batch.filter(pa.array(~ride)).column("payload"):
             token, lengths, sid = unpack(data.as_py())
             tokens.append(token)
-            names.append(np.repeat(sid, lengths.astype(np.int64)))
+            row.append(np.repeat(np.arange(total, total + len(sid), dtype=np.int32 if total < 1 << 30 else np.int64), lengths.astype(np.int64)))
+            sets.append(sid)
+            total += len(sid)
     if not tokens:
         return
-    token, sid = np.concatenate(tokens), np.concatenate(names)
-    del tokens, names
+    token = np.concatenate(tokens)
+    del tokens
     order = np.argsort(token, kind="stable")
     token = token[order]
-    start = groups_of(token)
-    several = np.repeat(np.diff(np.append(start, len(token))) > 1, np.diff(np.append(start, len(token))))
-    token, sid = token[several], sid[order][several]
+    several = np.zeros(len(token) + 1, bool)
+    several[1:-1] = token[1:] == token[:-1]
+    several = several[1:] | several[:-1]
+    token, order = token[several], order[several]
+    row = np.concatenate(row)[order]
+    sid = np.concatenate(sets)[row]
+    del order, row, sets, several
     if not len(token):
         return
     order = np.lexsort((sid, token))
@@ -444,20 +453,35 @@ def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _similar(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """The pairs that are similar enough, by the sets of their whole texts; each text of a stretch of pairs is read once."""
     coder = zstandard.ZstdDecompressor()
+    held, texts, size = [], {}, 0
+
+    def flush():
+        at = {s: k for k, s in enumerate(texts)}
+        x, xo = _sets(pa.RecordBatch.from_arrays([pa.array(list(texts.values()), pa.binary())], names=["text"]), width)
+        found = []
+        for a, b in held:
+            p, q = (x[xo[at[k]] : xo[at[k] + 1]] for k in (a, b))
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            if both > 0 and 100 * both >= percent * (len(p) + len(q) - both):
+                found.append((a, b))
+        return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
     for batch in batches:
-        for i in range(0, batch.num_rows, 256):
-            part = batch.slice(i, 256)
-            a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
-            texts = dict(zip(a + b, part.column("z_a").to_pylist() + part.column("z_b").to_pylist(), strict=True))
-            at = {s: k for k, s in enumerate(texts)}
-            x, xo = _sets(pa.RecordBatch.from_arrays([pa.array([coder.decompress(z) for z in texts.values()], pa.binary())], names=["text"]), width)
-            ok = []
-            for s, o in zip(a, b, strict=True):
-                p, q = (x[xo[at[k]] : xo[at[k] + 1]] for k in (s, o))
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(both > 0 and 100 * both >= percent * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([part.column(n).filter(pa.array(ok)) for n in ("a", "b")], names=["a", "b"])
+        columns = [batch.column(n) for n in ("a", "b", "z_a", "z_b")]
+        for i in range(batch.num_rows):
+            a, b, z_a, z_b = (c[i].as_py() for c in columns)
+            for k, z in ((a, z_a), (b, z_b)):
+                if k not in texts:
+                    texts[k] = coder.decompress(z)
+                    size += len(texts[k])
+            held.append((a, b))
+            if size >= PAIR_BYTES:
+                yield flush()
+                held, texts, size = [], {}, 0
+    if held:
+        yield flush()
 
 
 def _picked(rows: DataFrame, wanted: DataFrame, on: str | list[str], how: str = "left_semi") -> DataFrame:
