@@ -50,12 +50,16 @@ def cache_state(maps: Column) -> Column:
     return F.when(maps == 0, "uninitialized").when(maps == 1, "monomorphic").when(maps <= 4, "polymorphic").otherwise("megamorphic")
 
 
-def noise_kind(signature: Column) -> Column:
-    """Kind of run-specific noise by channel prefix, or null."""
-    s = F.lower(signature)
-    return (
-        F.when(s.startswith("gc"), "gc-pause")
-        .when(s.startswith("timer") | s.startswith("settimeout") | s.startswith("setinterval"), "timer-jitter")
-        .when(s.startswith("dns"), "network-dns")
-        .when(s.startswith("tcp") | s.startswith("net:"), "tcp-handshake")
-    )
+#: Prefixes of channels that make run-specific noise, by kind.
+NOISE_PREFIXES = {
+    "gc-pause": ("node:v8.gc", "v8.gc", "gc:"),
+    "timer-jitter": ("timer", "node:timers", "timers"),
+    "network-dns": ("dns", "dns.lookup"),
+    "tcp-handshake": ("net:", "node:net", "tcp", "http.get"),
+}
+
+
+def noise_kind(signature: Column, prefixes: dict[str, tuple[str, ...]] = NOISE_PREFIXES) -> Column:
+    """Kind of run-specific noise by the channel's prefix, or null."""
+    any_of = lambda starts: F.greatest(*(signature.startswith(x) for x in starts), F.lit(False))
+    return F.coalesce(*(F.when(any_of(starts), kind) for kind, starts in prefixes.items()))

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import operation_key
 from ..schema import SPAN_TYPES
+from ..plans.stages import saved
 from .trees import climb
 
 # Context keys that name a parent operation or an asynchronous context.
-PARENT_KEYS = ("parentOperationId", "parentId", "parentSpanId", "parent")
-ASYNC_KEYS, TRIGGER_KEYS = ("asyncId",), ("triggerAsyncId",)
+PARENT_KEYS = ("parentOperationId", "parentId", "parentSpanId", "parent_span_id")
+ASYNC_KEYS, TRIGGER_KEYS = ("asyncId", "async_id"), ("triggerAsyncId", "trigger_async_id")
 
 
 def _context(keys: tuple[str, ...]) -> Column:
@@ -21,19 +22,23 @@ def _context(keys: tuple[str, ...]) -> Column:
 def causal_nodes(events: DataFrame, scope: str | None = None) -> DataFrame:
     """A node per operation key: the first start and the last end or error, in order of arrival (seq).
 
-    An operation without a start begins at its first end and is `unpaired`. scope: a column that
-    bounds where parents are looked for.
+    An operation without a start begins at its first end and is `unpaired`. Parent and trigger are
+    those of its first start, or first end where there is none; an asynchronous id registers only if
+    the start came first. scope: a column that bounds where parents are looked for.
     """
     rows = events.filter(F.col("event_type").isin(*SPAN_TYPES)).withColumn("id", operation_key())
     starts, ends = F.col("event_type") == "start", F.col("event_type") != "start"
+    first = F.struct(F.when(starts, 0).otherwise(1), "seq")
     nodes = rows.groupBy("id", *([scope] if scope else [])).agg(
-        F.min_by("channel", F.when(starts, F.col("seq")).otherwise(F.col("seq") + (1 << 40))).alias("channel"),
+        F.min_by("channel", first).alias("channel"),
         F.coalesce(F.min_by("ts_ms", F.when(starts, F.col("seq"))), F.min_by("ts_ms", F.when(ends, F.col("seq")))).alias("start_ms"),
         F.max_by("ts_ms", F.when(ends, F.col("seq"))).alias("end_ms"),
         F.coalesce(F.max_by(F.when(F.col("event_type") == "error", "error").otherwise("success"), F.when(ends, F.col("seq"))), F.lit("incomplete")).alias("status"),
         (F.count_if(starts) == 0).alias("unpaired"),
         F.min("seq").alias("seq"),
-        *(F.min_by(_context(k), F.when(starts & _context(k).isNotNull(), F.col("seq"))).alias(n) for n, k in (("declared", PARENT_KEYS), ("async_id", ASYNC_KEYS), ("trigger_id", TRIGGER_KEYS))),
+        F.min_by(_context(PARENT_KEYS), first).alias("declared"),
+        F.min_by(F.when(starts, _context(ASYNC_KEYS)), F.col("seq")).alias("async_id"),
+        F.min_by(_context(TRIGGER_KEYS), first).alias("trigger_id"),
     )
     return nodes
 
@@ -96,12 +101,13 @@ def causal_edges(nodes: DataFrame, scope: str | None = None) -> DataFrame:
     return out.select("edge.parent_id", F.col("id").alias("child_id"), "edge.kind").withColumn("confidence", sure)
 
 
-def with_virtual(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, parent_id, virtual, start_ms): the concrete nodes and the virtual ones their edges name."""
-    real = nodes.join(edges.select(F.col("child_id").alias("id"), "parent_id"), "id", "left").select("id", "parent_id", F.lit(False).alias("virtual"), "start_ms")
-    made = real.filter(F.col("parent_id").startswith("virtual:")).groupBy(F.col("parent_id").alias("id")).agg(F.min("start_ms").alias("start_ms"))
+def with_virtual(nodes: DataFrame, edges: DataFrame, scope: str | None = None) -> DataFrame:
+    """(id, parent_id, virtual, start_ms and the scope): the concrete nodes and the virtual ones their edges name."""
+    keep = [scope] if scope else []
+    real = saved(nodes.join(edges.select(F.col("child_id").alias("id"), "parent_id"), "id", "left").select("id", "parent_id", F.lit(False).alias("virtual"), "start_ms", *keep))
+    made = real.filter(F.col("parent_id").startswith("virtual:")).groupBy(F.col("parent_id").alias("id")).agg(F.min("start_ms").alias("start_ms"), *(F.min(c).alias(c) for c in keep))
     made = made.join(nodes.select("id"), "id", "left_anti")
-    return real.unionByName(made.select("id", F.lit(None).cast("string").alias("parent_id"), F.lit(True).alias("virtual"), "start_ms"))
+    return real.unionByName(made.select("id", F.lit(None).cast("string").alias("parent_id"), F.lit(True).alias("virtual"), "start_ms", *keep))
 
 
 def graph_counters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -109,26 +115,69 @@ def graph_counters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.groupBy("kind", "confidence").agg(F.count("*").alias("n"))
 
 
-def forest(graph: DataFrame) -> DataFrame:
-    """graph (id, parent_id) with root, depth and `cyclic`: nodes on or under a cycle become roots of depth 0."""
+def graph_summary(edges: DataFrame) -> DataFrame:
+    """One row: edges, healed gaps, orphans (children of virtual nodes), and edges by confidence."""
+    low = F.col("parent_id").startswith("virtual:")
+    sure = [F.count_if(F.col("confidence") == c).alias(c) for c in ("high", "medium", "low")]
+    return edges.agg(F.count("*").alias("edges"), F.count_if(F.col("kind") == "gap-healed").alias("gap_heals"), F.count_distinct(F.when(low, F.col("child_id"))).alias("orphans"), *sure)
+
+
+def cycle_nodes(graph: DataFrame) -> DataFrame:
+    """(id) of the nodes on a cycle of parents."""
     walked = climb(graph, ["id"], "parent_id", {}, {})
-    cyclic = F.col("root").isNull()
-    walked = walked.select("id", F.coalesce("root", "id").alias("root"), F.when(cyclic, 0).otherwise(F.col("depth")).cast("long").alias("depth"), cyclic.alias("cyclic"))
+    return walked.filter("loop IS NOT NULL").select(F.col("loop").alias("id")).distinct()
+
+
+def cycle_paths(graph: DataFrame) -> DataFrame:
+    """(cycle, path): each cycle by its smallest node, from that node down to it again.
+
+    Nodes of a cycle are few; the walk is a join a step, over the cycles' nodes only.
+    """
+    on = saved(cycle_nodes(graph))
+    up = saved(graph.join(on, "id", "left_semi").select("id", F.col("parent_id").alias("above")))
+    state = saved(up.select(F.col("id").alias("cycle"), F.col("id").alias("at"), F.array("id").alias("path")))
+    closed = None
+    while not state.isEmpty():
+        step = saved(state.join(up, F.col("at") == F.col("id")).filter(F.col("above") >= F.col("cycle")).select("cycle", F.col("above").alias("at"), F.array_append("path", F.col("above")).alias("path")))
+        ends = step.filter("at = cycle")
+        closed = ends if closed is None else closed.unionByName(ends)
+        state = step.filter("at <> cycle")
+    out = closed if closed is not None else state
+    return out.select("cycle", F.reverse("path").alias("path"))
+
+
+def cut_cycles(graph: DataFrame) -> DataFrame:
+    """graph with `cyclic`, and without the edges whose two ends are both on a cycle: these nodes become roots, what hangs under them stays."""
+    on = saved(cycle_nodes(graph).withColumn("cyclic", F.lit(True)))
+    if on.isEmpty():
+        return graph.withColumn("cyclic", F.lit(False))
+    rows = graph.join(on, "id", "left").join(on.toDF("parent_id", "_above"), "parent_id", "left")
+    rows = rows.withColumn("parent_id", F.when(F.col("cyclic") & F.col("_above"), F.lit(None)).otherwise(F.col("parent_id")))
+    return rows.withColumn("cyclic", F.coalesce("cyclic", F.lit(False))).select(*graph.columns, "cyclic")
+
+
+def forest(graph: DataFrame) -> DataFrame:
+    """graph (id, parent_id) with root, depth and `cyclic`; a node on a cycle is a root."""
+    graph = saved(cut_cycles(graph))
+    walked = climb(graph, ["id"], "parent_id", {}, {}).select("id", "root", "depth")
     return graph.join(walked, "id")
 
 
-def waterfall(graph: DataFrame) -> DataFrame:
-    """Concrete nodes with their depth, virtual ancestors not counted, and their order among siblings."""
+def waterfall(graph: DataFrame, scope: str | None = None) -> DataFrame:
+    """Concrete nodes with their depth, virtual ancestors not counted, and their order among siblings, or among the scope's roots."""
+    graph = saved(cut_cycles(graph))
     own = F.when(F.col("virtual"), 0).otherwise(1)
     walked = climb(graph, ["id"], "parent_id", {"real": own}, {"real": lambda mine, above, _: mine + above})
-    walked = walked.select("id", "root", (F.when(F.col("root").isNull(), 1).otherwise(F.col("real")) - 1).alias("depth"))
-    rows = graph.join(walked, "id").filter(~F.col("virtual"))
-    parent = F.when(F.col("parent_id").startswith("virtual:") | F.col("root").isNull(), F.lit(None)).otherwise(F.col("parent_id"))
-    rows = rows.withColumn("parent_id", parent)
-    order = Window.partitionBy("parent_id").orderBy("start_ms", "id")
-    kids = rows.filter("parent_id IS NOT NULL").withColumn("place", F.row_number().over(order))
-    tops = rows.filter("parent_id IS NULL").withColumn("place", F.lit(0))
-    return kids.unionByName(tops).select("id", "parent_id", "depth", "place")
+    rows = graph.join(walked.select("id", (F.col("real") - 1).alias("depth")), "id").filter(~F.col("virtual"))
+    rows = rows.withColumn("parent_id", F.when(~F.col("parent_id").startswith("virtual:"), F.col("parent_id")))
+    order = Window.partitionBy("parent_id", *([scope] if scope else [])).orderBy("start_ms", "id")
+    return rows.withColumn("place", F.row_number().over(order)).select("id", "parent_id", "depth", "place")
+
+
+def attach_errors(spans: DataFrame, ops: DataFrame) -> DataFrame:
+    """spans (id, ...) with the message of their failed operation, if any."""
+    failed = ops.filter("status = 'error' AND error_message IS NOT NULL").select(F.col("op_key").alias("id"), "error_message")
+    return spans.join(failed, "id", "left")
 
 
 def sequential_links(ops: DataFrame, scope: str, most_ms: float = 5.0) -> DataFrame:

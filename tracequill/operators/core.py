@@ -90,13 +90,16 @@ def filter_channels(events: DataFrame, channels: list[str]) -> DataFrame:
 
 
 def search_text(events: DataFrame, pattern: str, literal: bool = False, match_case: bool = False) -> DataFrame:
-    """Events whose channel, context or operation id match. Literal patterns match as they are."""
-    body = F.concat(
-        F.lit('{"channel":"'), "channel", F.lit('","context":'), F.coalesce("context_json", F.lit("{}")),
-        F.lit(',"operationId":"'), F.coalesce("operation_id", F.lit("")), F.lit('"}'),
-    )
+    """Events whose channel, context or operation id match, as JSON text. Literal patterns match as they are; one that is no regular expression filters nothing."""
+    quoted = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
+    own = F.when(F.col("operation_id").isNull(), "").otherwise(F.concat(F.lit(',"operationId":'), quoted("operation_id")))
+    body = F.concat(F.lit('{"channel":'), quoted("channel"), F.lit(',"context":'), F.coalesce("context_json", F.lit("{}")), own, F.lit("}"))
     if literal:
         return events.filter(body.contains(pattern) if match_case else F.lower(body).contains(pattern.lower()))
+    try:
+        events.sparkSession._jvm.java.util.regex.Pattern.compile(pattern)
+    except Exception:  # the JVM's syntax error
+        return events
     return events.filter(body.rlike(pattern if match_case else f"(?i){pattern}"))
 
 
@@ -186,7 +189,7 @@ def validate_channels(events: DataFrame) -> DataFrame:
     return seen.join(issues, "channel", "full_outer").na.fill(0).withColumn("valid", F.col("n_error") == 0)
 
 
-def n_plus_one(spans: DataFrame, threshold: int = 5, pattern: str = SQL_CHANNEL) -> DataFrame:
+def n_plus_one(spans: DataFrame, threshold: int = 3, pattern: str = SQL_CHANNEL) -> DataFrame:
     """Parents (parent_id, channel) with `threshold` or more children of one SQL channel."""
     children = spans.filter(F.col("parent_id").isNotNull() & F.col("channel").rlike(pattern))
     return children.groupBy("parent_id", F.lower("channel").alias("channel")).agg(F.count("*").alias("queries")).filter(F.col("queries") >= threshold)

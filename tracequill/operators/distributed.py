@@ -6,7 +6,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clamp, percentile
+from ..functions.scalars import clamp, operation_key, percentile
+from ..functions.text import ADVICE, advice, evidence, symptom
+from ..plans.stages import saved
 from .trees import climb
 
 STEP_MS = 0.001
@@ -102,8 +104,9 @@ def critical_paths(linked: DataFrame) -> DataFrame:
 
 def criticality(paths: DataFrame) -> DataFrame:
     """(service, criticality): the share of traces whose critical path includes the service."""
-    total = paths.select("trace_id").distinct().count() or 1
-    return paths.groupBy("service").agg(F.round(F.count_distinct("trace_id") / F.lit(total), 9).alias("criticality"))
+    total = paths.agg(F.count_distinct("trace_id").alias("total"))
+    share = paths.groupBy("service").agg(F.count_distinct("trace_id").alias("n")).join(F.broadcast(total), how="cross")  # one row
+    return share.select("service", F.round(F.col("n") / F.col("total"), 9).alias("criticality"))
 
 
 def _blame(nodes: pd.DataFrame) -> pd.DataFrame:
@@ -139,24 +142,74 @@ def root_causes(nodes: DataFrame, found: DataFrame, share: DataFrame, blamed: Da
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "service"))).select("service", "rank", "score", "signal", "magnitude", "unexplained", "criticality", "blame")
 
 
-def cascade(edges: DataFrame, found: DataFrame, source: str, most: int = 6, deepest: int = 4, least: float = 0.12) -> list[tuple[str, str, int]]:
-    """(caller, callee, depth) steps from a service to the anomalous services that call it, nearest first.
+def cascade(edges: DataFrame, nodes: DataFrame, found: DataFrame, source: str, most: int = 6, deepest: int = 4, least: float = 0.12) -> DataFrame:
+    """(step, service, depth, signal, impact, symptom): a service, then the anomalous services that call it, level by level.
 
-    The service graph is small; the walk is on the driver.
+    Within a level callers stand in the order of whom they call, then by name. A service's row per
+    level: the frames stay as small as the service graph.
     """
-    calls: dict[str, list[str]] = {}
-    for e in edges.select("source", "target").distinct().collect():
-        calls.setdefault(e.target, []).append(e.source)
-    level = {r.service: r.magnitude for r in found.select("service", "magnitude").collect()}
-    steps, seen, queue = [], {source}, [(source, 0)]
-    while queue and len(steps) < most:
-        at, depth = queue.pop(0)
-        if depth >= deepest:
-            continue
-        for caller in sorted(calls.get(at, []), key=lambda c: (-level.get(c, 0.0), c)):
-            if caller in seen or level.get(caller, 0.0) <= least or len(steps) >= most:
-                continue
-            seen.add(caller)
-            steps.append((caller, at, depth + 1))
-            queue.append((caller, depth + 1))
-    return steps
+    level = found.select("service", F.col("magnitude"))
+    front = saved(nodes.filter(F.col("service") == source).select("service", F.lit(0).alias("depth"), F.lit(1).alias("_pos")))
+    seen = front
+    for depth in range(1, deepest + 1):
+        called = front.select(F.col("service").alias("target"), "_pos")
+        callers = edges.select(F.col("source").alias("service"), "target").join(called, "target").join(level.filter(F.col("magnitude") > least), "service").join(seen.select("service"), "service", "left_anti")
+        callers = callers.groupBy("service").agg(F.min("_pos").alias("_pos"))
+        front = saved(callers.select("service", F.lit(depth).alias("depth"), F.row_number().over(Window.orderBy("_pos", "service")).alias("_pos")))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    steps = seen.withColumn("step", F.row_number().over(Window.orderBy("depth", "_pos"))).filter(F.col("step") <= most).join(level, "service", "left").na.fill(0.0, ["magnitude"])
+    rows = steps.join(nodes.select("service", "calls", "errors", "error_rate", "p95_ms", "signal"), "service")
+    signal = F.when(F.col("error_rate") >= 0.01, "error").otherwise(F.col("signal"))
+    return rows.withColumn("signal", signal).select("step", "service", "depth", "signal", clamp(F.col("magnitude")).alias("impact"), symptom("signal", "calls", "errors", "error_rate", "p95_ms", "magnitude").alias("symptom"))
+
+
+def confidence(ranked: DataFrame) -> DataFrame:
+    """root_causes with `confidence`: the lead of a service's score over the next one's, and the score itself, as a share of 1."""
+    after = F.lead("score", 1, 0.0).over(Window.orderBy("rank"))  # a row per service
+    return ranked.withColumn("confidence", F.round(clamp(F.col("score") + (F.col("score") - after)), 6))
+
+
+def explained(ranked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """root_causes with the evidence for each service, in words."""
+    rows = ranked.join(nodes.select("service", "calls", "errors", "error_rate", "p95_ms", "avg_ms"), "service")
+    words = evidence("calls", "errors", "error_rate", "p95_ms", "avg_ms", "unexplained", "magnitude", "criticality", "blame")
+    return rows.withColumn("evidence", words).drop("calls", "errors", "error_rate", "p95_ms", "avg_ms")
+
+
+def recommendations(ranked: DataFrame, spans: DataFrame) -> DataFrame:
+    """(place, text): advice by what error messages say, then by the first service's signal, then what to treat as effects."""
+    order = F.create_map(*(F.lit(v) for i, (_, text) in enumerate(ADVICE) for v in (text, i)))
+    said = spans.filter("error AND error_message IS NOT NULL").select(F.explode(advice(F.col("error_message"))).alias("text")).distinct()
+    said = said.select(order[F.col("text")].alias("place"), "text")
+    first = ranked.filter("rank = 1")
+    latency = F.concat(F.lit("Optimize the slowest path in "), "service", F.lit(": add caching, reduce N+1 calls, or move work off the critical path."))
+    failing = F.concat(F.lit("Triage errors in "), "service", F.lit(": check its dependencies and error handling before touching downstream services."))
+    head = first.select(F.lit(10).alias("place"), F.when(F.col("signal") == "latency", latency).when(F.col("signal") == "error", failing).alias("text")).filter("text IS NOT NULL")
+    others = ranked.filter("rank BETWEEN 2 AND 4").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "service"))), lambda x: x["service"]), ", ").alias("others"))
+    tail = first.join(others, how="cross").filter("others <> ''")  # one row and one row
+    tail = tail.select(F.lit(11).alias("place"), F.concat(F.lit("Treat downstream services ("), "others", F.lit(") as effects until "), "service", F.lit(" is resolved.")).alias("text"))
+    return said.unionByName(head).unionByName(tail)
+
+
+def analyse(spans: DataFrame) -> dict[str, DataFrame]:
+    """The whole pipeline: `spans` with corrected times, `nodes`, `edges`, `paths`, `causes`, `recommendations`."""
+    linked = saved(link_spans(spans))
+    skewed = saved(correct_skew(linked))
+    nodes, edges, found = saved(service_nodes(linked)), saved(service_edges(linked)), saved(anomalies(skewed))
+    paths = saved(critical_paths(linked))
+    ranked = saved(confidence(root_causes(nodes, found, criticality(paths), blame(edges, found))))
+    return {"spans": skewed, "nodes": nodes, "edges": edges, "paths": paths, "causes": explained(ranked, nodes), "recommendations": recommendations(ranked, spans)}
+
+
+def operation_spans(ops: DataFrame, events: DataFrame) -> DataFrame:
+    """Operations as spans of distributed traces: ids, service and kind from the context of their first event."""
+    at = lambda *keys: F.coalesce(*(F.nullif(F.get_json_object("context_json", f"$['{k}']"), F.lit("")) for k in keys))
+    first = events.withColumn("op_key", operation_key()).groupBy("op_key").agg(F.min_by("context_json", "seq").alias("context_json"), F.max(F.when(F.col("event_type") == "error", F.col("error_message"))).alias("error_message"))
+    rows = ops.drop("context_json", "error_message").join(first, "op_key")
+    return rows.select(
+        F.coalesce(at("traceId"), F.lit("untraced")).alias("trace_id"), F.col("op_key").alias("span_id"), at("parentSpanId").alias("parent_span_id"),
+        F.coalesce(at("serviceName"), at("service.name"), F.lit("unknown")).alias("service"), F.col("channel").alias("name"), at("kind").try_cast("double").cast("int").alias("kind"),
+        "start_ms", F.coalesce("end_ms", F.col("start_ms") + F.col("duration_ms")).alias("end_ms"), (F.col("status") == "error").alias("error"), "error_message",
+    )

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MIB = 1024 * 1024
-GC_LINE = r"(\d+)\s*ms:\s+(\S+)\s+([\d.]+)\s+\(([\d.]+)\)\s*->\s*([\d.]+)\s+\(([\d.]+)\)\s+MB,\s+([\d.]+)\s*/\s*([\d.]+)\s*ms"
+# A collector's line: time, kind, sizes before and after (with what is committed) in MB, pauses.
+_NUMBER = r"([\d.]+)"
+_SIZE = rf"{_NUMBER} *\({_NUMBER}\)"
+GC_LINE = rf"(\d+) *ms: +(\S+) +{_SIZE} *-> *{_SIZE} +MB, +{_NUMBER} */ *{_NUMBER} *ms"
 
 
 def _slope(y: str, x: str) -> Column:
@@ -75,9 +78,9 @@ def fired(rules: DataFrame, values: DataFrame) -> DataFrame:
 
     def shown(v: Column) -> Column:
         m = F.col("metric")
-        return F.when(m.isin("heapUsedPercent", "errorRate"), F.format_string("%.1f%%", v)).when(m == "externalMemory", F.format_string("%.1f MB", v)).when(m == "eventRate", F.format_string("%.0f evt/s", v)).otherwise(F.format_string("%.2f MB/s", v))
+        return F.when(m.isin("heapUsedPercent", "errorRate"), F.format_string("%.1f%%", F.round(v, 1))).when(m == "externalMemory", F.format_string("%.1f MB", F.round(v, 1))).when(m == "eventRate", F.format_string("%.0f evt/s", v)).otherwise(F.format_string("%.2f MB/s", F.round(v, 2)))
 
-    rows = values.join(F.broadcast(rules.filter("enabled")), "metric").filter(meets)  # rules: a few rows
+    rows = values.join(rules.filter("enabled"), "metric").filter(meets)
     message = F.concat(label[F.col("metric")], F.lit(" "), sign[F.col("operator")], F.lit(" "), shown(t), F.lit(". Current: "), shown(x))
     return rows.select("series", "id", "metric", "value", "threshold", "level", message.alias("message"))
 
@@ -104,12 +107,21 @@ def gc_pressure(runs: DataFrame, window_ms: int = 10_000, most_mb: float = 64.0,
     return rows.filter((F.col("streak") > 0) & (F.col("streak") % every == 0)).select("series", "ts_ms", "churn_mb", "streak")
 
 
-def leak_trend(samples: DataFrame, rate_bps: float = 2 * MIB, size: int = 20, sustained: int = 3) -> DataFrame:
-    """Samples at which the slope of the last `size` has been over the rate a multiple of `sustained` times in a row."""
+def leak_trend(samples: DataFrame, rate_bps: float = 2 * MIB, size: int = 20, sustained: int = 3, percent: float = 90.0) -> DataFrame:
+    """Alerts where, a multiple of `sustained` times in a row, the slope of the last `size` samples or the share of the heap in use has been too high.
+
+    A slope over the rate is critical; a heap over the percentage alone a warning. heap_total is the limit, where given.
+    """
     frame = Window.partitionBy("series").orderBy("ts_ms").rowsBetween(-(size - 1), 0)
-    rows = samples.withColumn("rate", F.coalesce(F.regr_slope("heap_used", F.col("ts_ms") / 1000).over(frame), F.lit(0.0)))
-    rows = _streak(rows, F.col("rate") > rate_bps)
-    return rows.filter((F.col("streak") >= sustained) & (F.col("streak") % sustained == 0)).select("series", "ts_ms", F.round(F.col("rate") / MIB, 6).alias("mb_s"), "streak")
+    rows = samples.withColumn("rate", F.greatest(F.coalesce(F.regr_slope("heap_used", F.col("ts_ms") / 1000).over(frame), F.lit(0.0)), F.lit(0.0)))
+    used = F.when(F.col("heap_total") > 0, F.col("heap_used") / F.col("heap_total") * 100) if "heap_total" in samples.columns else F.lit(0.0)
+    rows = rows.withColumn("used", F.coalesce(used, F.lit(0.0)))
+    rows = _streak(rows, (F.col("rate") > rate_bps) | (F.col("used") > percent)).filter((F.col("streak") >= sustained) & (F.col("streak") % sustained == 0))
+    fast = F.col("rate") > rate_bps
+    return rows.select(
+        "series", "ts_ms", F.when(fast, "critical").otherwise("warning").alias("level"), F.when(fast, "heapGrowthRate").otherwise("heapUsedPercent").alias("metric"),
+        F.round(F.when(fast, F.col("rate") / MIB).otherwise(F.col("used")), 6).alias("value"), "streak",
+    )
 
 
 def leak_pattern(history: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import noise_kind, percentile, time_to_ms
+from ..functions.scalars import NOISE_PREFIXES, noise_kind, percentile, time_to_ms
 
 
 def early_warnings(ops: DataFrame, window_ms: float, factor: float = 1.8, margin: float = 0.02, least: int = 3) -> DataFrame:
@@ -31,26 +31,39 @@ def early_warnings(ops: DataFrame, window_ms: float, factor: float = 1.8, margin
     return c.select("channel", level.alias("severity"), F.round("base", 6).alias("baseline_ms"), F.round("mean", 6).alias("window_mean_ms"), F.round("ratio", 6).alias("ratio"))
 
 
-def local_cause(stats: DataFrame, ops: DataFrame) -> DataFrame:
-    """One row: the channel with the most time (mean by count), and the slowest operation's share of all time."""
+def local_cause(stats: DataFrame, ops: DataFrame, depths: DataFrame | None = None) -> DataFrame:
+    """One row: the channel with the most time (mean by count), the slowest operation, and its share of the trace's time window.
+
+    depths (op_key, depth): with it also the deepest failed operation.
+    """
     top = stats.agg(F.max_by("channel", F.struct(F.col("avg_ms") * F.col("total"), "channel")).alias("channel"))
-    slow = ops.agg(F.max_by("op_key", F.struct("duration_ms", "op_key")).alias("slowest"), F.round(F.max("duration_ms") / F.sum("duration_ms"), 9).alias("share"))
-    return top.join(slow, how="cross")  # one row and one row
+    window = F.max(F.coalesce("end_ms", F.col("start_ms") + F.col("duration_ms"))) - F.min("start_ms")
+    share = F.when(window > 0, F.round(F.max("duration_ms") / window, 9)).otherwise(0.0)
+    slow = ops.agg(F.max_by("op_key", F.struct("duration_ms", "op_key")).alias("slowest"), share.alias("share"))
+    out = top.join(slow, how="cross")  # one row and one row
+    if depths is not None:
+        failed = ops.filter("status = 'error'").join(depths, "op_key").agg(F.max_by("op_key", F.struct("depth", -F.col("seq"))).alias("deepest_error"))
+        out = out.join(failed, how="cross")  # one row and one row
+    return out
 
 
-def noise_regions(events: DataFrame, series: str, gap_ms: float = 50.0, pause_ms: float = 15.0) -> DataFrame:
+def noise_regions(events: DataFrame, series: str, gap_ms: float = 50.0, pause_ms: float = 15.0, prefixes: dict = NOISE_PREFIXES) -> DataFrame:
     """(series, kind, first, last): runs of run-specific noise, and idle gaps behind finished events.
 
-    Collector runs count from pause_ms on; for other kinds an event behind a wide gap starts afresh.
+    Collector runs count from pause_ms on, and hide gaps. Of another run, events behind a wide gap are
+    gaps until the first that is not; from there the run goes on to its end, whatever gaps it has.
     """
-    by = Window.partitionBy(series).orderBy("ts_ms", "seq")
-    rows = events.withColumn("i", F.row_number().over(by) - 1).withColumn("kind", noise_kind(F.concat_ws("|", "channel", "event_type")))
+    by = Window.partitionBy(series).orderBy("ts_ms", *(["channel"] if "rel_ms" in events.columns else []), "seq")
+    rows = events.withColumn("i", F.row_number().over(by) - 1).withColumn("kind", noise_kind(F.concat_ws("|", "channel", "event_type"), prefixes))
     rows = rows.withColumn("gap", F.col("ts_ms") - F.lag("ts_ms").over(by)).withColumn("before", F.lag("event_type").over(by))
     wide = F.coalesce((F.col("gap") > gap_ms) & F.col("before").isin("end", "asyncEnd", "error"), F.lit(False))
-    gaps = rows.filter(wide & (F.coalesce("kind", F.lit("")) != "gc-pause")).select(series, F.lit("inter-event-gap").alias("kind"), (F.col("i") - 1).alias("first"), F.col("i").alias("last"))
-    fresh = F.coalesce(F.col("kind") != F.lag("kind").over(by), F.lit(True))
-    runs = rows.withColumn("run", F.sum(F.when(fresh, 1).otherwise(0)).over(by)).filter("kind IS NOT NULL")
-    islands = runs.groupBy(series, "run", "kind").agg(F.min("i").alias("first"), F.max("i").alias("last"), (F.max("ts_ms") - F.min("ts_ms")).alias("long"))
+    fresh = F.coalesce(~F.col("kind").eqNullSafe(F.lag("kind").over(by)), F.lit(True))
+    rows = rows.withColumn("wide", wide & ~F.col("kind").eqNullSafe(F.lit("gc-pause"))).withColumn("run", F.sum(F.when(fresh | (F.col("i") == 0), 1).otherwise(0)).over(by))
+    run = Window.partitionBy(series, "run")
+    begin = F.when(F.col("kind").isNotNull(), F.min(F.when(~F.col("wide"), F.col("i"))).over(run))
+    rows = rows.withColumn("begin", begin).select(series, "i", "kind", "ts_ms", "wide", "run", "begin")
+    gaps = rows.filter("wide AND (begin IS NULL OR i < begin)").select(series, F.lit("inter-event-gap").alias("kind"), (F.col("i") - 1).alias("first"), F.col("i").alias("last"))
+    islands = rows.filter("i >= begin").groupBy(series, "run", "kind").agg(F.min("i").alias("first"), F.max("i").alias("last"), (F.max("ts_ms") - F.min("ts_ms")).alias("long"))
     islands = islands.filter((F.col("kind") != "gc-pause") | (F.col("long") >= pause_ms))
     return islands.select(series, "kind", "first", "last").unionByName(gaps)
 

@@ -9,34 +9,35 @@ from ..plans.stages import saved
 
 
 def climb(nodes: DataFrame, key: list[str], parent: str, start: dict[str, Column], combine: dict) -> DataFrame:
-    """nodes with their root, depth and combined values over the path to it; nodes on or under a cycle get a null root.
+    """nodes with their root, depth and combined values over the path to it, and `loop`.
 
-    key: the columns that identify a node, the last of them replaced by `parent` for the node above
-    (null at roots; a parent that is no node makes a root). start: a value per node;
-    combine[name](mine, above, hops): the value over a path from that over its lower and upper part,
-    with the number of steps of the lower part.
+    Nodes on or under a cycle get a null root, and in `loop` a node that is on the cycle; every node of
+    a cycle is named by some node. key: the columns that identify a node, the last of them replaced by
+    `parent` for the node above (null at roots; a parent that is no node makes a root). start: a value
+    per node; combine[name](mine, above, hops): the value over a path from that over its lower and
+    upper part, with the number of steps of the lower part.
     """
     scope, own = key[:-1], key[-1]
-    ids = nodes.select(*scope, F.col(own).alias("_up"))
-    state = nodes.select(*key, F.col(parent).alias("_want"), *(c.alias(n) for n, c in start.items()))
-    state = state.join(ids.withColumnRenamed("_up", "_want").withColumn("_there", F.lit(True)), [*scope, "_want"], "left")
-    state = state.select(
+    nodes = saved(nodes.select(*key, F.col(parent).alias("_want"), *(c.alias(f"_start_{n}") for n, c in start.items())))
+    ids = nodes.select(*scope, F.col(own).alias("_want"), F.lit(True).alias("_there"))
+    state = nodes.join(ids, [*scope, "_want"], "left").select(
         *key, F.when(F.col("_there"), F.col("_want")).alias("_up"), F.when(F.col("_there"), 1).otherwise(0).cast("long").alias("depth"),
-        F.when(F.col("_there"), F.col("_want")).otherwise(F.col(own)).alias("root"), *start,
+        F.when(F.col("_there"), F.col("_want")).otherwise(F.col(own)).alias("root"), *(F.col(f"_start_{n}").alias(n) for n in start),
     )
     state = saved(state)
-    reach, total = 1, state.count()
-    while reach <= total and not state.filter("_up IS NOT NULL").isEmpty():
-        above = state.select(*scope, F.col(own).alias("_up"), F.col("_up").alias("_next"), F.col("depth").alias("_more"), F.col("root").alias("_root"), *(F.col(n).alias(f"_{n}") for n in start))
-        both = state.join(above, [*scope, "_up"], "left")
-        moved = F.col("_more").isNotNull()
-        state = both.select(
-            *key,
-            F.col("_next").alias("_up"),
-            (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth"),
-            F.coalesce("_root", "root").alias("root"),
-            *(F.when(moved, combine[n](F.col(n), F.col(f"_{n}"), F.col("depth"))).otherwise(F.col(n)).alias(n) for n in start),
-        )
-        state = saved(state)
+    reach, total = 1, nodes.count()
+    done = state.filter("_up IS NULL")
+    rest = state.filter("_up IS NOT NULL")
+    while reach <= total and not rest.isEmpty():
+        # Rows that have arrived leave the loop; the rest looks up where the node above stands.
+        above = done.unionByName(rest).select(*scope, F.col(own).alias("_up"), F.col("_up").alias("_next"), F.col("depth").alias("_more"), F.col("root").alias("_root"), *(F.col(n).alias(f"_{n}") for n in start))
+        state = saved(
+            rest.join(above, [*scope, "_up"]).select(
+                *key, F.col("_next").alias("_up"), (F.col("depth") + F.col("_more")).alias("depth"), F.col("_root").alias("root"),
+                *(combine[n](F.col(n), F.col(f"_{n}"), F.col("depth")).alias(n) for n in start),
+            )
+        )
+        done = done.unionByName(state.filter("_up IS NULL"))
+        rest = state.filter("_up IS NOT NULL")
         reach *= 2
-    return state.withColumn("root", F.when(F.col("_up").isNull(), F.col("root"))).drop("_up")
+    return done.unionByName(rest).withColumn("root", F.when(F.col("_up").isNull(), F.col("root"))).withColumnRenamed("_up", "loop")

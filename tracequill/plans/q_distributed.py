@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import distributed as dist
 from .bridge import SPAN, spans
+from .stages import saved
 
 LINKED = "WITH RECURSIVE " + SPAN + """,
 linked AS (
@@ -87,11 +88,54 @@ def root_causes(spark, d):
 def cascade(spark, d):
     linked = _linked(spark, d)
     found = dist.anomalies(dist.correct_skew(linked))
-    steps = dist.cascade(dist.service_edges(linked), found, "error")
-    return spark.createDataFrame(steps, "caller string, callee string, depth int")
+    return dist.cascade(dist.service_edges(linked), dist.service_nodes(linked), found, "error").withColumn("impact", F.round("impact", 6))
 
 
-QUERIES = {f.__name__: f for f in (span_tree, service_nodes, service_edges, service_anomalies, critical_paths, criticality, blame, root_causes, cascade)}
+def _ranked(spark, d):
+    linked = _linked(spark, d)
+    found = dist.anomalies(dist.correct_skew(linked))
+    nodes = saved(dist.service_nodes(linked))
+    return nodes, dist.root_causes(nodes, found, dist.criticality(dist.critical_paths(linked)), dist.blame(dist.service_edges(linked), found))
+
+
+def cause_evidence(spark, d):
+    nodes, ranked = _ranked(spark, d)
+    return dist.explained(dist.confidence(ranked), nodes).select("service", "rank", "confidence", F.array_join("evidence", " | ").alias("evidence"))
+
+
+def recommendations(spark, d):
+    _, ranked = _ranked(spark, d)
+    s = spans(spark, d)
+    some = s.withColumn("error_message", F.when(F.col("span_id").endswith("7"), F.concat(F.lit("Pool Timeout "), "error_message")).otherwise(F.col("error_message")))
+    return dist.recommendations(ranked, some)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (span_tree, service_nodes, service_edges, service_anomalies, critical_paths, criticality, blame, root_causes, cascade, cause_evidence, recommendations)
+}
+
+_STEPS = ",\n".join(
+    f"b{k} AS (SELECT s.service, (1 - 0.85::DOUBLE) * s.w + 0.85::DOUBLE * coalesce((SELECT sum(b.x / greatest(1, cn.n)) FROM ce JOIN b{k - 1} b ON b.service = ce.source JOIN cn ON cn.service = ce.source WHERE ce.target = s.service), 0) AS x FROM seed s)"
+    for k in range(1, 25)
+)
+_CAUSE = f"""{LINKED}, mag AS (SELECT service, round(any_value(base), 6) AS baseline_ms, round(avg(m), 6) AS magnitude, round(avg(u), 6) AS unexplained FROM scored GROUP BY service),
+ce AS (SELECT DISTINCT source, target FROM call), cn AS (SELECT m.service, count(ce.source) AS n FROM mag m LEFT JOIN ce ON ce.target = m.service GROUP BY 1),
+seed AS (SELECT service, CASE WHEN sum(magnitude) OVER () > 0 THEN magnitude / sum(magnitude) OVER () ELSE magnitude END AS w FROM mag),
+b0 AS (SELECT service, 0::DOUBLE AS x FROM seed),
+{_STEPS},
+bl AS (SELECT service, round(CASE WHEN max(x) OVER () > 0 THEN x / max(x) OVER () ELSE x END, 9) AS blame FROM b24),
+cr AS (SELECT service, round(count(DISTINCT trace_id)::DOUBLE / (SELECT count(DISTINCT trace_id) FROM path), 9) AS criticality FROM path GROUP BY service),
+nd AS (SELECT n.*, median_p95, CASE WHEN error_rate >= 0.01 THEN 'error' WHEN median_p95 > 0 AND p95_ms >= 1.5 * median_p95 THEN 'latency' ELSE 'throughput' END AS signal FROM node n, median),
+rk AS (SELECT service, signal, magnitude, unexplained, coalesce(criticality, 0) AS criticality, coalesce(blame, 0) AS blame,
+  round(0.28 * unexplained + 0.2 * least(1, greatest(0, magnitude)) + 0.15 * coalesce(criticality, 0) + 0.17 * least(1, error_rate * 5) + 0.2 * coalesce(blame, 0), 6) AS score
+  FROM nd JOIN mag USING (service) LEFT JOIN cr USING (service) LEFT JOIN bl USING (service)),
+rkd AS (SELECT *, row_number() OVER (ORDER BY score DESC, service) AS rank FROM rk)"""
+_LEVELS = "v0 AS (SELECT 'error' AS service, 0 AS depth, 1 AS pos), w0 AS (SELECT * FROM v0)" + "".join(
+    f""", v{k} AS (SELECT c.source AS service, {k} AS depth, row_number() OVER (ORDER BY min(p.pos), c.source) AS pos FROM ce c JOIN v{k - 1} p ON p.service = c.target JOIN mag m ON m.service = c.source
+  WHERE m.magnitude > 0.12 AND c.source NOT IN (SELECT service FROM w{k - 1}) GROUP BY c.source), w{k} AS (SELECT * FROM w{k - 1} UNION ALL SELECT * FROM v{k})"""
+    for k in range(1, 5)
+)
 
 ORACLE_SQL = {
     "span_tree": f"{LINKED} SELECT l.trace_id, l.span_id, l.parent_span_id, k.depth::BIGINT AS depth, round(k.adj - l.start_ms, 3) AS shift_ms FROM linked l JOIN skew k ON k.trace_id = l.trace_id AND k.span_id = l.span_id",
@@ -104,4 +148,20 @@ ORACLE_SQL = {
     "service_anomalies": f"{LINKED} SELECT service, round(any_value(base), 6) AS baseline_ms, round(avg(m), 6) AS magnitude, round(avg(u), 6) AS unexplained FROM scored GROUP BY service",
     "critical_paths": f"{LINKED} SELECT trace_id, span_id, service, depth::BIGINT AS depth FROM path",
     "criticality": f"{LINKED} SELECT service, round(count(DISTINCT trace_id)::DOUBLE / (SELECT count(DISTINCT trace_id) FROM path), 9) AS criticality FROM path GROUP BY service",
+    "blame": f"{_CAUSE} SELECT service, blame FROM bl",
+    "root_causes": f"{_CAUSE} SELECT service, rank::INT AS rank, score, signal, magnitude, unexplained, criticality, blame FROM rkd",
+    "cascade": f"""{_CAUSE}, {_LEVELS}, st AS (SELECT *, row_number() OVER (ORDER BY depth, pos) AS step FROM w4)
+SELECT step::INT AS step, service, depth, signal, round(least(1, greatest(0, magnitude)), 6) AS impact, CASE WHEN error_rate > 0 THEN printf('error rate %.1f%% (%d/%d calls)', error_rate * 100, errors, calls)
+  WHEN signal = 'latency' THEN printf('latency up to %.0fms (%d%% above baseline)', p95_ms, round(magnitude * 100)::INT) ELSE printf('throughput pressure / queue backlog (%d%% of normal load)', round(magnitude * 100)::INT) END AS symptom
+FROM st JOIN nd USING (service) JOIN mag USING (service) WHERE step <= 6""",
+    "cause_evidence": f"""{_CAUSE}, c AS (SELECT *, round(greatest(0, least(1, 2 * score - lead(score, 1, 0) OVER (ORDER BY rank))), 6) AS confidence FROM rkd)
+SELECT service, rank::INT AS rank, confidence, concat_ws(' | ', CASE WHEN error_rate > 0 THEN printf('%d/%d calls errored (%.1f%%)', errors, calls, error_rate * 100) END,
+  printf('p95 %.0fms', p95_ms) || CASE WHEN error_rate = 0 THEN '' ELSE printf(', avg %.0fms', avg_ms) END, CASE WHEN unexplained > 0.35 THEN printf('slow work not explained by child calls (self-time anomaly %d%%)', round(unexplained * 100)::INT) END,
+  CASE WHEN magnitude > 0.4 THEN printf('latency %d%% above its own baseline', round(magnitude * 100)::INT) END, CASE WHEN criticality > 0.3 THEN printf('on critical path in %d%% of traces', round(criticality * 100)::INT) END,
+  CASE WHEN blame > 0.4 THEN printf('implicated by %d%% of downstream impact', round(blame * 100)::INT) END) AS evidence FROM c JOIN nd USING (service, signal)""",
+    "recommendations": f"""{_CAUSE}, m AS (SELECT CASE WHEN span_id LIKE '%7' THEN 'pool timeout ' ELSE '' END || lower(error_message) AS m FROM span WHERE error)
+SELECT 0 AS place, 'Raise client/server timeout bounds and re-check the dependency SLO for the slowest callee.' AS text WHERE EXISTS (SELECT 1 FROM m WHERE contains(m, 'timeout'))
+UNION ALL SELECT 1, 'Connection/thread pool exhaustion detected — increase pool size or add wait-queue limits on the top-ranked service.' WHERE EXISTS (SELECT 1 FROM m WHERE contains(m, 'pool'))
+UNION ALL SELECT 10, CASE signal WHEN 'latency' THEN 'Optimize the slowest path in ' || service || ': add caching, reduce N+1 calls, or move work off the critical path.' ELSE 'Triage errors in ' || service || ': check its dependencies and error handling before touching downstream services.' END FROM rkd WHERE rank = 1 AND signal IN ('latency', 'error')
+UNION ALL SELECT 11, 'Treat downstream services (' || (SELECT string_agg(service, ', ' ORDER BY rank) FROM rkd WHERE rank BETWEEN 2 AND 4) || ') as effects until ' || service || ' is resolved.' FROM rkd WHERE rank = 1""",
 }

@@ -36,16 +36,16 @@ def gc_log(spark, d):
     """Collector lines written from events, and read again."""
     e = raw(spark, d)
     kind = F.when(F.col("event_type") == "error", "Mark-sweep").when(F.col("event_type") == "view", "Mark-sweep (reduce)").otherwise("Scavenge")
-    line = F.concat(F.lit("[1:0x1] "), F.col("event_id").cast("string"), F.lit(" ms: "), kind, F.lit(" "), F.format_string("%.1f (600.0) -> %.1f (600.0) MB, %.1f / 0.0 ms  (average mu = 0.99)", "value", F.col("value") / 2, F.col("value") / 100))
+    line = F.concat(F.lit("[1:0x1] "), F.col("event_id").cast("string"), F.lit(" ms: "), kind, F.lit(" "), F.format_string("%.1f (600.0) -> %.1f (600.0) MB, %.1f / 0.0 ms  (average mu = 0.99)", F.round("value", 1), F.round(F.col("value") / 2, 1), F.round(F.col("value") / 100, 1)))
     return memory.gc_entries(e.select(F.col("event_id").alias("seq"), line.alias("line")))
 
 
 def gc_entries(spark, d):
-    return gc_log(spark, d).select("seq", "type", "heap_before", "pause_type")
+    return gc_log(spark, d).withColumn("pause_ms", F.round("pause_ms", 6))
 
 
 def gc_summary(spark, d):
-    return memory.gc_summary(gc_log(spark, d)).select("runs", "major", "minor")
+    return memory.gc_summary(gc_log(spark, d))
 
 
 def _rules(spark):
@@ -65,7 +65,7 @@ def alert_metrics(spark, d):
 
 
 def alerts_fired(spark, d):
-    return memory.fired(_rules(spark), _metrics(spark, d)).select("series", "id", "metric", "level")
+    return memory.fired(_rules(spark), _metrics(spark, d))
 
 
 def gc_inferred(spark, d):
@@ -77,7 +77,8 @@ def gc_pressure(spark, d):
 
 
 def leak_trend(spark, d):
-    return memory.leak_trend(samples(spark, d), rate_bps=memory.MIB / 4)
+    busy = F.when(F.pmod(F.floor(F.col("ts_ms") / 1000), F.lit(40)) < 12, F.col("heap_used") * 1.01).otherwise(F.col("heap_total"))
+    return memory.leak_trend(samples(spark, d).withColumn("heap_total", busy), rate_bps=memory.MIB / 4)
 
 
 def _history(spark, d):
@@ -190,18 +191,24 @@ ORACLE_SQL = {
 g AS (SELECT series, round(coalesce(regr_slope(external, ts_ms), 0) * 1000 / 1048576, 6) AS external_mb_s, round(coalesce(regr_slope(heap_used, ts_ms), 0) * 1000 / 1048576, 6) AS heap_mb_s,
   round(coalesce(regr_slope(rss, ts_ms), 0) * 1000 / 1048576, 6) AS rss_mb_s FROM i WHERE i >= n // 2 GROUP BY series)
 SELECT *, external_mb_s > 1 OR rss_mb_s > 2 AS flagged FROM g""",
-    "gc_entries": """SELECT event_id AS seq, CASE WHEN event_type = 'error' THEN 'Mark-sweep' ELSE 'Scavenge' END AS type,
-  floor(round(value, 1) * 1048576)::BIGINT AS heap_before, CASE WHEN event_type = 'error' THEN 'major' ELSE 'minor' END AS pause_type FROM events WHERE event_type <> 'view'""",
-    "gc_summary": "SELECT count(*) AS runs, count(*) FILTER (WHERE event_type = 'error') AS major, count(*) FILTER (WHERE event_type <> 'error') AS minor FROM events WHERE event_type <> 'view'",
+    "gc_entries": """SELECT event_id AS seq, event_id AS ts_ms, CASE WHEN event_type = 'error' THEN 'Mark-sweep' ELSE 'Scavenge' END AS type, floor(round(value, 1) * 1048576)::BIGINT AS heap_before, floor(round(value / 2, 1) * 1048576)::BIGINT AS heap_after,
+round(round(value / 100, 1), 6) AS pause_ms, CASE WHEN event_type = 'error' THEN 'major' ELSE 'minor' END AS pause_type FROM events WHERE event_type <> 'view'""",
+    "gc_summary": """WITH g AS (SELECT *, event_type = 'error' AS major, floor(round(value, 1) * 1048576) AS b, floor(round(value / 2, 1) * 1048576) AS a, round(value / 100, 1) AS p FROM events WHERE event_type <> 'view'),
+s AS (SELECT count(*) AS runs, count(*) FILTER (WHERE major) AS major, count(*) FILTER (WHERE NOT major) AS minor, round(sum(p), 6) AS pause_ms, round(coalesce(avg(p) FILTER (WHERE major), 0), 6) AS avg_major_ms, round(coalesce(avg(p) FILTER (WHERE NOT major), 0), 6) AS avg_minor_ms,
+  round((arg_max(a, event_id) - arg_min(b, event_id)) / 1048576, 6) AS growth_mb FROM g)
+SELECT *, growth_mb > 50 AS unmanaged FROM s""",
     "alert_metrics": f"WITH {_METRIC} SELECT series, metric, value FROM metric",
-    "alerts_fired": f"""WITH {_METRIC} SELECT series, CASE metric WHEN 'heapUsedPercent' THEN 'r1' WHEN 'externalMemory' THEN 'r2' WHEN 'heapGrowthRate' THEN 'r3' WHEN 'errorRate' THEN 'r4' ELSE 'r5' END AS id, metric,
-  CASE metric WHEN 'heapUsedPercent' THEN 'critical' WHEN 'externalMemory' THEN 'warning' WHEN 'errorRate' THEN 'warning' ELSE 'info' END AS level FROM metric
+    "alerts_fired": f"""WITH {_METRIC}, r AS (SELECT * FROM (VALUES ('r1', 'heapUsedPercent', 79.0::DOUBLE, 'critical', 'Heap Used % > 79.0%. Current: '), ('r2', 'externalMemory', 1.0, 'warning', 'External Memory >= 1.0 MB. Current: '),
+  ('r3', 'heapGrowthRate', 0.0, 'info', 'Heap Growth Rate < 0.00 MB/s. Current: '), ('r4', 'errorRate', 5.0, 'warning', 'Error Rate > 5.0%. Current: '), ('r5', 'eventRate', 1e9, 'info', 'Event Rate <= 1000000000 evt/s. Current: ')) AS t(id, metric, threshold, level, said))
+SELECT series, id, metric, value, threshold, level, said || CASE metric WHEN 'heapUsedPercent' THEN printf('%.1f%%', round(value, 1)) WHEN 'errorRate' THEN printf('%.1f%%', round(value, 1)) WHEN 'externalMemory' THEN printf('%.1f MB', round(value, 1))
+  WHEN 'eventRate' THEN printf('%.0f evt/s', value) ELSE printf('%.2f MB/s', round(value, 2)) END AS message FROM metric JOIN r USING (metric)
 WHERE (metric = 'heapUsedPercent' AND value > 79) OR (metric = 'externalMemory' AND value >= 1) OR (metric = 'heapGrowthRate' AND value < 0) OR (metric = 'errorRate' AND value > 5) OR (metric = 'eventRate' AND value <= 1e9)""",
     "gc_inferred": f"WITH {_RUNS} SELECT series, ts_ms, round(reclaimed_mb, 6) AS reclaimed_mb FROM run",
     "gc_pressure": f"""WITH {_RUNS}, churn AS (SELECT series, ts_ms, round(sum(reclaimed_mb) OVER (PARTITION BY series ORDER BY ts_ms::BIGINT RANGE BETWEEN 9999 PRECEDING AND CURRENT ROW), 6) AS churn_mb FROM run),
 breach AS (SELECT *, churn_mb > 16 AS b FROM churn), {_STREAK} SELECT series, ts_ms, churn_mb, streak FROM streak WHERE streak > 0 AND streak % 5 = 0""",
-    "leak_trend": f"""WITH {SAMPLE}, r AS (SELECT series, ts_ms, coalesce(regr_slope(heap_used, ts_ms / 1000) OVER (PARTITION BY series ORDER BY ts_ms ROWS 19 PRECEDING), 0) AS rate FROM mem),
-breach AS (SELECT *, rate > 262144 AS b FROM r), {_STREAK} SELECT series, ts_ms, round(rate / 1048576, 6) AS mb_s, streak FROM streak WHERE streak >= 3 AND streak % 3 = 0""",
+    "leak_trend": f"""WITH {SAMPLE}, r AS (SELECT series, ts_ms, greatest(coalesce(regr_slope(heap_used, ts_ms / 1000) OVER (PARTITION BY series ORDER BY ts_ms ROWS 19 PRECEDING), 0), 0) AS rate,
+  heap_used / CASE WHEN ((floor(ts_ms / 1000)::BIGINT % 40) + 40) % 40 < 12 THEN heap_used * 1.01::DOUBLE ELSE heap_total END * 100 AS used FROM mem),
+breach AS (SELECT *, rate > 262144 OR used > 90 AS b FROM r), {_STREAK} SELECT series, ts_ms, CASE WHEN rate > 262144 THEN 'critical' ELSE 'warning' END AS level, CASE WHEN rate > 262144 THEN 'heapGrowthRate' ELSE 'heapUsedPercent' END AS metric, round(CASE WHEN rate > 262144 THEN rate / 1048576 ELSE used END, 6) AS value, streak FROM streak WHERE streak >= 3 AND streak % 3 = 0""",
     "snapshot_pattern": f"""WITH {_HISTORY}, l AS (SELECT *, coalesce(d, 0) AS delta, row_number() OVER (PARTITION BY series ORDER BY ts_ms DESC) AS r FROM hist QUALIFY r <= 3)
 SELECT series, CASE WHEN count(*) >= 3 AND bool_and(delta > 0) THEN 'growing' WHEN max(CASE WHEN r = 1 THEN delta END) < 0 THEN 'shrinking' ELSE 'stable' END AS pattern, count(*) >= 3 AND bool_and(delta > 0) AS flagged FROM l GROUP BY series""",
     "snapshot_history": f"WITH {_HISTORY} SELECT count(*) AS records, round(avg(coalesce(g, 0)), 6) AS avg_growth, count(*) FILTER (WHERE g > 0.05) AS flagged FROM hist",
@@ -214,7 +221,7 @@ SELECT *, after_count - before_count AS count_delta, after_size - before_size AS
     "heap_leaks": f"""WITH {HEAP} SELECT 'unbounded-cache' AS category, 'high' AS severity, name, count(*) AS n, sum(retained_size)::BIGINT AS retained FROM heap WHERE type IN ('object', 'closure') GROUP BY name HAVING count(*) > 100 AND sum(retained_size) > 10485760
 UNION ALL SELECT 'closure-capture', 'medium', name, 1, retained_size FROM heap WHERE type = 'closure' AND retained_size > 1048576
 UNION ALL SELECT 'listener-accumulation', 'medium', name, 1, retained_size FROM heap WHERE (contains(lower(name), 'listener') OR contains(lower(name), 'eventemitter')) AND retained_size > 5242880""",
-    "heap_strings": f"WITH {HEAP} SELECT type, count(*) AS n, sum(self_size)::BIGINT AS bytes, count(DISTINCT name) AS \"distinct\", round(1 - count(DISTINCT name)::DOUBLE / count(*), 9) AS repeated FROM heap WHERE type = 'string' GROUP BY type",
+    "heap_strings": f"WITH {HEAP} SELECT type, count(*) AS n, sum(self_size)::BIGINT AS bytes FROM heap WHERE type = 'string' GROUP BY type",
     "heap_retained": f"""{_TREE} SELECT w.id, any_value(o.sz)::BIGINT AS self_size, sum(t.sz)::BIGINT AS retained_size FROM walk w JOIN (SELECT span_id, floor(end_ms - start_ms)::BIGINT AS sz FROM span) t ON t.span_id = w.to_id
 JOIN (SELECT span_id, floor(end_ms - start_ms)::BIGINT AS sz FROM span) o ON o.span_id = w.id GROUP BY w.id""",
     "heap_root_path": "WITH RECURSIVE " + SPAN + """, up AS (SELECT span_id AS id, span_id AS spot, 0 AS steps FROM span WHERE parent_span_id IS NOT NULL
