@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -47,6 +48,22 @@ def forget(spark: SparkSession, *paths: str | DataFrame | None) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def tidy(step):
+    """step, a function from batches to batches, which gives what it no longer needs back to the system when a task ends: workers stay."""
+
+    def run(batches):
+        try:
+            yield from step(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return run
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with a hash of the text, which with the id tells rows that share an id apart."""
     return docs.withColumn(OWN + "th", F.hash(F.col(text_col)))

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as w
-from .common import forget, groups_of, partitions, saved
+from .common import forget, groups_of, partitions, saved, tidy
 from .components import components
 from .packing import pack, unpack
 
@@ -498,17 +498,17 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 75, frequent
     spark = docs.sparkSession
     parts = partitions(spark)
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    measured = saved(docs.mapInArrow(lambda it: _measured(it, width), "doc_id long, th long, n long, sid long, token long, count long"))
+    measured = saved(docs.mapInArrow(tidy(lambda it: _measured(it, width)), "doc_id long, th long, n long, sid long, token long, count long"))
     stats = measured.filter("n is not null").select("doc_id", "th", "n", "sid")
     table = spark.sparkContext.broadcast(common_tokens(measured))
     total = stats.agg(F.sum("n")).first()[0] or 0
     bits = min(64, max(32, total.bit_length() + 12))
     ranges, homes = max(parts, total // TASK_TOKENS), max(parts, total // (2 * TASK_TOKENS))
 
-    dealt = docs.filter("doc_id is not null").select("text").mapInArrow(lambda it: _dealt(it, width, bits, ranges, homes, table), ROUTED)
-    shared = dealt.repartitionById(ranges, F.col("part")).mapInArrow(lambda it: _counted(it, homes), ROUTED)
-    index = shared.repartitionById(homes, F.col("part")).mapInArrow(lambda it: _prefixed(it, percent, frequent, parts), ROUTED)
-    met = saved(index.repartitionById(parts, F.col("part")).mapInArrow(lambda it: _met(it, percent), MET))
+    dealt = docs.filter("doc_id is not null").select("text").mapInArrow(tidy(lambda it: _dealt(it, width, bits, ranges, homes, table)), ROUTED)
+    shared = dealt.repartitionById(ranges, F.col("part")).mapInArrow(tidy(lambda it: _counted(it, homes)), ROUTED)
+    index = shared.repartitionById(homes, F.col("part")).mapInArrow(tidy(lambda it: _prefixed(it, percent, frequent, parts)), ROUTED)
+    met = saved(index.repartitionById(parts, F.col("part")).mapInArrow(tidy(lambda it: _met(it, percent)), MET))
     pairs = saved(met.filter(F.col("kind") == PAIR).groupBy("a", "b").agg(F.sum("n").alias("n")))
     groups = met.filter(F.col("kind") == GROUP).select(F.col("a").alias("hub"), "payload")
 
@@ -519,13 +519,13 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 75, frequent
     def verified(todo: DataFrame) -> DataFrame:
         wanted = saved(todo.select(F.col("a").alias("sid")).union(todo.select("b")).distinct())
         one = saved(_picked(ids, wanted, "sid").groupBy("sid").agg(F.min(F.struct("doc_id", "th")).alias("d")).select("sid", "d.doc_id", "d.th"))
-        texts = _picked(docs, one, ["doc_id", "th"], "inner").mapInArrow(_zipped, "sid long, z binary").dropDuplicates(["sid"])
+        texts = _picked(docs, one, ["doc_id", "th"], "inner").mapInArrow(tidy(_zipped), "sid long, z binary").dropDuplicates(["sid"])
         hubs = todo.groupBy("a").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("k"))
         salt = F.pmod(F.xxhash64("b"), F.col("k")).cast("int").alias("salt")
         first = texts.toDF("a", "z_a").join(hubs, "a").select("a", "z_a", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"))
         second = todo.select("a", "b").join(hubs, "a").select("a", "b", salt).join(texts.toDF("b", "z_b"), "b")
         both = second.join(first, ["a", "salt"]).select("a", "b", "z_a", "z_b")
-        return saved(both.mapInArrow(lambda it: _similar(it, width, percent), "a long, b long"))
+        return saved(both.mapInArrow(tidy(lambda it: _similar(it, width, percent)), "a long, b long"))
 
     def likeliest(some: DataFrame) -> DataFrame:
         """Of each b the pair with the most keys, the smallest a of equal ones."""
@@ -551,8 +551,8 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 75, frequent
                 hubs = saved(labelled(pairs, labels).select(F.explode(F.array("a", "b")).alias("hub")).distinct())
                 if hubs.isEmpty():
                     break
-                keys = saved(_picked(groups, hubs, "hub").select("payload").mapInArrow(_opened, "key long, sid long, n long, most long").select("key").distinct())
-                entries = _picked(groups.select("payload").mapInArrow(_opened, "key long, sid long, n long, most long"), keys, "key").distinct()
+                keys = saved(_picked(groups, hubs, "hub").select("payload").mapInArrow(tidy(_opened), "key long, sid long, n long, most long").select("key").distinct())
+                entries = _picked(groups.select("payload").mapInArrow(tidy(_opened), "key long, sid long, n long, most long"), keys, "key").distinct()
             entries = saved(apart(entries, labels))
             if entries.isEmpty():
                 break
@@ -569,8 +569,7 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 75, frequent
         more = verified(todo)
         tested = saved(tested.union(todo))
         if not more.isEmpty():
-            links = saved(links.union(more))
-            labels = components(links)
+            labels = merged(labels, more)
     forget(spark, met, pairs)
 
     # Only sets that are linked, or that several rows have, differ from "itself": the rest needs no join.
@@ -604,6 +603,15 @@ def labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.filter(F.coalesce("la", "a") != F.coalesce("lb", "b"))
 
 
+def merged(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """labels (id, component) after more links: components of components, over the new links alone."""
+    a, b = labels.toDF("a", "la"), labels.toDF("b", "lb")
+    ends = saved(more.join(a, "a", "left").join(b, "b", "left").select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")))
+    fresh = ends.select(F.col("a").alias("id"), F.col("la").alias("component")).union(ends.select("b", "lb")).distinct().join(labels.select("id"), "id", "left_anti")
+    step = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b"))).toDF("component", "next")
+    return saved(labels.unionByName(fresh).join(step, "component", "left").select("id", F.coalesce("next", "component").alias("component")))
+
+
 def popular(entries: DataFrame) -> DataFrame:
     """(sid) of the sets that have, in some key, the largest groups over all their keys: what others were copied from has all keys that any copy has kept."""
     size = entries.groupBy("key").agg(F.count("*").alias("size"))

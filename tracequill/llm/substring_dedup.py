@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as w
-from .common import OWN, groups_of, partitions, slices, with_fields
+from .common import OWN, groups_of, partitions, slices, tidy, with_fields
 from .packing import pack, unpack
 
 #: Bytes of text in a batch, on average: bounds a task's memory.
@@ -255,7 +255,7 @@ def dedup_substrings(docs: DataFrame, window: int = 50) -> DataFrame:
     dealt = docs.drop(*(n for n, _ in added)).withColumn(name, F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_batches))).repartition(parts, name)
 
     def settled(routed: DataFrame, exact: bool) -> DataFrame:
-        return routed.repartitionById(ranges, F.col(OWN + "part")).mapInArrow(lambda it: _met(it, exact), FOUND)
+        return routed.repartitionById(ranges, F.col(OWN + "part")).mapInArrow(tidy(lambda it: _met(it, exact)), FOUND)
 
     hits = settled(dealt.groupBy(name).applyInArrow(_probes(window, ranges), ROUTED), False)
     covered = settled(dealt.groupBy(name).cogroup(hits.groupBy(name)).applyInArrow(_candidates(window, ranges, bits), ROUTED), True)
