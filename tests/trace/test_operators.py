@@ -1,11 +1,14 @@
 """Operators on small hand-made inputs."""
 
+import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracequill import schema
-from tracequill.operators import causal, core, distributed
+from tracequill.functions.scalars import noise_kind
+from tracequill.operators import causal, core, differential, distributed, signals
 from tracequill.operators.trees import climb
 
 
@@ -55,7 +58,90 @@ def test_empty_tables(spark):
 def test_cycles_become_roots(spark):
     graph = spark.createDataFrame([("a", "c", 1.0), ("b", "a", 2.0), ("c", "b", 3.0), ("d", "c", 4.0), ("e", None, 5.0), ("f", "e", 6.0)], "id string, parent_id string, start_ms double")
     got = {r.id: (r.root, r.depth, r.cyclic) for r in causal.forest(graph).collect()}
-    assert got == {"a": ("a", 0, True), "b": ("b", 0, True), "c": ("c", 0, True), "d": ("d", 0, True), "e": ("e", 0, False), "f": ("e", 1, False)}
+    assert got == {"a": ("a", 0, True), "b": ("b", 0, True), "c": ("c", 0, True), "d": ("c", 1, False), "e": ("e", 0, False), "f": ("e", 1, False)}
+
+
+def test_cycles_are_named_and_cut(spark):
+    graph = spark.createDataFrame([("b", "c", 1.0), ("c", "d", 2.0), ("d", "b", 3.0), ("x", "y", 4.0), ("y", "x", 5.0), ("k", "d", 6.0), ("m", "k", 7.0)], "id string, parent_id string, start_ms double")
+    assert sorted(r.id for r in causal.cycle_nodes(graph).collect()) == ["b", "c", "d", "x", "y"]
+    assert {r.cycle: r.path for r in causal.cycle_paths(graph).collect()} == {"b": ["b", "d", "c", "b"], "x": ["x", "y", "x"]}
+    rows = {r.id: (r.parent_id, r.depth) for r in causal.waterfall(graph.withColumn("virtual", F.lit(False))).collect()}
+    assert rows["k"] == ("d", 1) and rows["m"] == ("k", 2) and rows["d"] == (None, 0)
+
+
+def test_parents_of_operations_without_a_start(spark):
+    rows = [
+        (0, "a:a", "start", 0.0, "1", None, '{"asyncId": "7"}', None), (1, "a:a", "end", 1.0, "1", None, "{}", None), (2, "b:b", "end", 5.0, "2", None, '{"parent_span_id": "1"}', None),
+        (3, "c:c", "error", 9.0, "3", None, '{"trigger_async_id": 7}', None), (4, "d:d", "end", 20.0, "4", None, '{"parent": "1"}', None), (5, "e:e", "end", 30.0, "5", None, "{}", None), (6, "e:e", "start", 29.0, "5", None, '{"async_id": "8"}', None),
+        (7, "f:f", "end", 40.0, "6", None, '{"triggerAsyncId": "8"}', None),
+    ]
+    nodes = causal.causal_nodes(spark.createDataFrame(rows, schema.EVENT))
+    got = {r.child_id: (r.parent_id, r.kind) for r in causal.causal_edges(nodes).collect()}
+    assert got == {"2": ("1", "explicit-parent"), "3": ("1", "async-context"), "4": ("virtual:orphan:4", "gap-healed"), "6": ("virtual:orphan:6", "gap-healed")}
+
+
+def test_noise_by_prefix_and_gaps(spark):
+    kinds = ["http.get", "v8.gc", "node:v8.gc", "gcp:storage", "setTimeout", "node:timers", "dns:x", "node:net", "GC:x"]
+    rows = spark.createDataFrame([(k,) for k in kinds], "c string").select("c", noise_kind(F.col("c")).alias("k")).collect()
+    assert [r.k for r in rows] == ["tcp-handshake", "gc-pause", "gc-pause", None, None, "timer-jitter", "network-dns", "tcp-handshake", None]
+    trace = events(spark, [("a:a", "start", 0, "1"), ("a:a", "end", 1, "1"), ("dns:x", "start", 100, "2"), ("dns:x", "end", 101, "2"), ("dns:x", "start", 300, "3")]).withColumn("run", F.lit(1))
+    got = {(r.kind, r.first, r.last) for r in signals.noise_regions(trace, "run").collect()}
+    assert got == {("inter-event-gap", 1, 2), ("network-dns", 3, 4)}
+
+
+def test_search_with_a_broken_pattern_filters_nothing(spark):
+    rows = events(spark, [('a:"q"', "start", 0, "1"), ("b:b", "end", 1, None)])
+    assert core.search_text(rows, "(").count() == 2
+    assert core.search_text(rows, '"operationId":"1"').count() == 1 and core.search_text(rows, 'a:\\"q\\"', literal=True).count() == 1
+
+
+def brute_cost(a, b, sa, sb):
+    d = [[2 * j for j in range(len(b) + 1)]]
+    for i in range(1, len(a) + 1):
+        row = [2 * i]
+        for j in range(1, len(b) + 1):
+            sub = 0 if a[i - 1] == b[j - 1] else 1 if sa[i - 1] == sb[j - 1] else 5
+            row.append(min(d[i - 1][j - 1] + sub, d[i - 1][j] + 2, row[-1] + 2))
+        d.append(row)
+    return d[-1][-1]
+
+
+def test_alignment_costs_equal_brute_force(spark):
+    rng = random.Random(8)
+    normal, fault = [], []
+    for pair in range(40):
+        run = [(rng.choice("wxyz") + ":q", rng.choice(["start", "end"]), rng.randint(0, 2)) for _ in range(rng.randint(0, 12))]
+        other = [e for e in run if rng.random() > 0.2]
+        other = [(c, t, v if rng.random() > 0.2 else 9) for c, t, v in other] + [(rng.choice("wxyz") + ":q", "end", 1) for _ in range(rng.randint(0, 2))]
+        for out, events_ in ((normal, run), (fault, other)):
+            out += [(pair, i, c, t, float(i), f"{pair}", None, json.dumps({"v": v, "requestId": rng.random()}), None) for i, (c, t, v) in enumerate(events_)]
+    kind = "pair long, " + schema.EVENT
+    a, b = (differential.normalise(spark.createDataFrame(x, kind), "pair") for x in (normal, fault))
+    rows = differential.align(a, b, "pair").collect()
+    side = lambda x: {(r.pair, r.i): (r.fingerprint, r.signature) for r in x.collect()}
+    left, right = side(a), side(b)
+    for pair in range(40):
+        mine = [r for r in rows if r.pair == pair]
+        n, m = sum(k[0] == pair for k in left), sum(k[0] == pair for k in right)
+        assert sorted(r.normal_index for r in mine if r.normal_index >= 0) == list(range(n)) and sorted(r.fault_index for r in mine if r.fault_index >= 0) == list(range(m))
+        fa, fb = [left[pair, i] for i in range(n)], [right[pair, i] for i in range(m)]
+        assert sum(r.cost for r in mine) == brute_cost([x[0] for x in fa], [x[0] for x in fb], [x[1] for x in fa], [x[1] for x in fb])
+        for r in mine:
+            if r.kind == "match":
+                assert left[pair, r.normal_index] == right[pair, r.fault_index]
+
+
+def test_comparison_of_two_runs(spark):
+    row = lambda i, c, t, v, err=None: (1, i, c, t, float(i), str(i // 2), None, json.dumps({"v": v}), err)
+    normal = [row(0, "a:a", "start", 1), row(1, "a:a", "end", 1), row(2, "b:b", "start", 2), row(3, "b:b", "end", 2), row(4, "c:c", "start", 3)]
+    fault = [row(0, "a:a", "start", 1), row(1, "a:a", "end", 1), row(2, "b:b", "start", 2), row(3, "b:b", "error", 2, "boom"), row(4, "c:c", "start", 3)]
+    kind = "pair long, " + schema.EVENT
+    got = differential.compare_runs(spark.createDataFrame(normal, kind), spark.createDataFrame(fault, kind), "pair")
+    (point,) = got["divergences"].collect()
+    assert (point.kind, point.role, point.size) == ("error-introduced", "cause", 2)
+    assert got["regression"].first().confidence == 1.0 and "threw an error" in got["report"].first().report
+    same = differential.compare_runs(spark.createDataFrame(normal, kind), spark.createDataFrame(normal, kind), "pair")
+    assert same["summary"].first().similarity == 1.0 and same["divergences"].count() == 0 and same["regression"].count() == 0
 
 
 def test_climb_on_a_long_chain(spark):

@@ -2,8 +2,11 @@
 
 import json
 
+import pytest
+
 from tracequill.operators import core, heap, memory
-from tracequill.sources import files
+from tracequill.sinks import exports, reports
+from tracequill.sources import binary, files
 
 
 def put(tmp_path, name, value):
@@ -54,3 +57,68 @@ def test_heap_snapshot(spark, tmp_path):
     assert sorted((r.from_id, r.to_id) for r in edges.collect()) == [(1, 3), (1, 5), (3, 5)]
     got = {r.name: (r.type, r.retained_size) for r in heap.retained_sizes(nodes, edges).collect()}
     assert got == {"root": ("object", 60), "cache": ("object", 50), "text": ("string", 30)}
+
+
+def test_formats_in_one_folder(spark, tmp_path):
+    event = {"channel": "db:q", "eventType": "start", "timestamp": 5, "context": {}}
+    span = {"spanId": "s", "name": "n", "startTimeUnixNano": "1710000000000000000", "endTimeUnixNano": "1710000001000000000", "attributes": [{"key": "k", "value": {"boolValue": True}}, {"key": "k", "value": {"intValue": "2"}}]}
+    (tmp_path / "a.json").write_text("\ufeff" + json.dumps([event, event]))
+    put(tmp_path, "b.json", {"spans": [span]})
+    got = files.read_trace(spark, str(tmp_path)).orderBy("seq").collect()
+    assert [(r.format, r.event_type) for r in got] == [("native", "start"), ("native", "start"), ("otel", "start"), ("otel", "end")]
+    assert len({r.seq for r in got}) == 4 and json.loads(got[2].context_json)["k"] == "2"
+    put(tmp_path, "c.json", [{"a": 1}])
+    with pytest.raises(Exception, match="Neither an array"):
+        files.read_trace(spark, str(tmp_path)).collect()
+
+
+def test_binary_files(spark, tmp_path):
+    rows = [(1, 0, "db:q", "start", 5.5, "1", None, "{}", None), (1, 1, "db:q", "error", 9.0, "1", 3.5, '{"a":1}', "boom"), (2, 0, "x:ä", "asyncEnd", 1.0, None, None, "{}", None)]
+    events = spark.createDataFrame(rows, "run long, seq long, channel string, event_type string, ts_ms double, operation_id string, duration_ms double, context_json string, error_message string")
+    sizes = {r.run: r.bytes for r in binary.write_ndv(events, "run", str(tmp_path / "out")).collect()}
+    assert sizes == {k: (tmp_path / "out" / f"{k}.ndv").stat().st_size for k in (1, 2)}
+    got = binary.read_ndv(spark, str(tmp_path / "out")).orderBy("file", "pos").collect()
+    assert [(r.channel, r.event_type, r.ts_ms, r.operation_id, r.duration_ms, r.error_message, r.context_json) for r in got] == [
+        ("db:q", "start", 5.5, "1", None, None, None), ("db:q", "error", 9.0, "1", 3.5, "Error: boom", '{"a":1}'), ("x:ä", "asyncEnd", 1.0, None, None, None, None),
+    ]
+    data = (tmp_path / "out" / "1.ndv").read_bytes()
+    for bad in (data[:-3], b"XXX" + data[3:], data[:3] + b"\x09" + data[4:], b""):
+        with pytest.raises(ValueError):
+            binary.decode(bad)
+
+
+def test_jit_log_file(spark, tmp_path):
+    log = """LoadIC[0] (0x1c000000) at a.js:1:2 offset 7: [key: k] map 0xaa 0xbb
+[deoptimizing (DEOPT eager): begin 0x2c <fn> at a.js:1:2]
+[bailout (kind: deopt-eager, reason: Map check)]
+[deoptimizing (DEOPT eager): end 0x2c <fn>]
+[compiling method 0x2d <SharedFunctionInfo g> using TurboFan] OSR
+Map transition from 0xaa to 0xbb for "x" at a.js:3:4
+no line of ours"""
+    got = files.read_jit_log(spark, put(tmp_path, "v.log", log)).orderBy("seq").collect()
+    assert [(r["class"], r.kind, r.reason) for r in got] == [("ic", "LoadIC", None), ("deopt", "eager", "Map check"), ("bailout", "eager", "Map check"), ("deopt", "eager", "Map check"), ("opt", "osr", "TurboFan"), ("map", "transition", None)]
+    assert (got[0].maps, got[0].state, got[0].offset, got[0].key) == (["0xaa", "0xbb"], "polymorphic", 7, "k")
+
+
+def test_reports(spark):
+    document = {"version": 1, "eventSummary": {"channels": [{"channel": "a<b", "total": 2}], "totalEvents": 4, "totalOperations": 2, "errorRate": 0.5}, "keyFindings": ["slow"]}
+    assert reports.from_text(reports.to_text(document)) == document
+    assert "| a<b | 2 |" in reports.to_markdown(document) and "a&lt;b" in reports.to_html(document)
+    assert "failed" in reports.gate_markdown([{"rule": "r", "status": "fail", "actual": 2.0, "threshold": 1.0}])
+    assert reports.heap_findings(1048576, 2) == ["Heap analysis found 2 potential leak(s)", "Heap total: 1.0MB"]
+    span = exports.event_spans(spark.createDataFrame([(1, "c:c", "error", 5.0, "7", 2.0, '{"traceId":"t","deep":{"a":1}}', "boom")], "seq long, channel string, event_type string, ts_ms double, operation_id string, duration_ms double, context_json string, error_message string")).first()
+    assert (span.traceId, span.spanId, span.endTimeUnixNano, span.status.code, len(span.attributes)) == ("t", "7" + "0" * 15, "7000000", 2, 2)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tracequill import check
+
+    rows = [{"channel": "web:a", "eventType": "start", "timestamp": 0, "operationId": "r"}]
+    for i in range(3):
+        rows += [{"channel": "mysql2:query", "eventType": t, "timestamp": 10 * i + k, "operationId": f"q{i}", "context": {"parentId": "r"}} for k, t in ((1, "start"), (5, "end"))]
+    rows.append({"channel": "web:a", "eventType": "end", "timestamp": 100, "operationId": "r"})
+    path = put(tmp_path, "t.json", rows)
+    assert check.main([path]) == 1 and "n1-sql | fail" in capsys.readouterr().out
+    assert check.main(["check", path, "--threshold", "n1SqlMaxCount=4", "--json", "--report", str(tmp_path / "r.md")]) == 0
+    assert json.loads(capsys.readouterr().out)["passed"] and "passed" in (tmp_path / "r.md").read_text()
+    assert check.main([path, "--threshold", "x=1"]) == check.main([str(tmp_path / "none.json")]) == check.main([put(tmp_path, "b.json", "{")]) == check.main([]) == 2

@@ -132,9 +132,10 @@ def load(documents: DataFrame, channel_attribute: str = CHANNEL_ATTRIBUTE, stric
     A document of another shape raises an error, or gives no events where strict is off.
     """
     rows = sniffed(documents)
+    fine = F.col("refused").isNull()
     if strict:
-        rows = rows.withColumn("format", F.when(F.col("refused").isNull(), F.col("format")).otherwise(F.raise_error(F.concat("file", F.lit(": "), "refused"))))
-    rows = rows.filter("refused IS NULL")
+        fine = F.when(fine, F.lit(True)).otherwise(F.raise_error(F.concat("file", F.lit(": "), "refused")).cast("boolean"))
+    rows = rows.filter(fine)
     native = native_events(rows.filter("format = 'native'")).withColumn("format", F.lit("native"))
     otel = span_events(exported_spans(rows.filter("format = 'otel'")), channel_attribute).withColumn("format", F.lit("otel"))
     files = documents.select("file").distinct().withColumn("_nth", F.row_number().over(Window.orderBy("file")) - 1)  # names of files only

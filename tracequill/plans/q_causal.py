@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import causal, core
+from ..operators import causal, core, gate
 from .bridge import OPS, SESSION, raw, sessions, trace_events
 
 MINUTE = 60000.0
@@ -137,11 +137,17 @@ def span_errors(spark, d):
     return causal.attach_errors(spans, ops.drop("error_message").join(errors, "op_key")).filter("error_message IS NOT NULL").select("id", "depth", "error_message")
 
 
+def gate_of_events(spark, d):
+    rows = events(spark, d).withColumn("channel", F.when(F.col("channel") == "app:click", "mysql2:query").otherwise(F.col("channel")))
+    rows = rows.withColumn("error_message", F.lit(None).cast("string")).withColumn("duration_ms", F.lit(None).cast("double"))
+    return gate.evaluate(rows, {"p99MaxMs": 25_000_000.0}, "user_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         causal_nodes, causal_edges, causal_counters, causal_forest, waterfall, overlap_parents, sequential_links, dependencies,
-        causal_summary, causal_cycles, cycle_paths, cyclic_waterfall, span_errors,
+        causal_summary, causal_cycles, cycle_paths, cyclic_waterfall, span_errors, gate_of_events,
     )
 }
 
@@ -179,4 +185,8 @@ count(*) FILTER (WHERE confidence = 'high') AS high, count(*) FILTER (WHERE conf
     "overlap_parents": f"WITH {_OVERLAP} SELECT c.id, arg_max(p.id, p.rn) AS parent_id FROM bo c JOIN bo p ON p.user_id = c.user_id AND p.rn < c.rn AND p.until >= c.start_ms GROUP BY c.id",
     "sequential_links": f"WITH {OPS}{_SEQ} SELECT source, target FROM link",
     "dependencies": f"WITH {NODE}, {OPS}{_SEQ} SELECT parent_id AS source, child_id AS target, 'parent-child' AS type FROM edge WHERE parent_id NOT LIKE 'virtual:%' UNION ALL SELECT source, target, 'sequential' FROM link",
+    "gate_of_events": f"""WITH {NODE}, p AS (SELECT quantile_disc(value * {MINUTE}, 0.99) AS a FROM events WHERE value BETWEEN 10 AND 480),
+n AS (SELECT count(*)::DOUBLE AS a FROM (SELECT parent_id FROM edge JOIN node ON id = child_id WHERE channel = 'app:click' AND parent_id NOT LIKE 'virtual:%' GROUP BY 1 HAVING count(*) >= 3))
+SELECT 'p99-latency' AS rule, CASE WHEN a <= 25000000 THEN 'pass' ELSE 'fail' END AS status, round(a, 6) AS actual, 25000000.0::DOUBLE AS threshold FROM p
+UNION ALL SELECT 'n1-sql', CASE WHEN a <= 0 THEN 'pass' ELSE 'fail' END, a, 0 FROM n UNION ALL SELECT 'event-loop-delay', 'skipped', 0, 20""",
 }

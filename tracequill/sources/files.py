@@ -5,45 +5,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import memory, signals
+from ..operators import jit, loading, memory, signals
+from . import sourcemap
 
-_RAW = "channel string, eventType string, context string, timestamp double, duration double, operationId string, error struct<message:string,name:string,stack:string>"
+_RAW = "seq long, channel string, eventType string, context string, timestamp double, duration double, operationId string, error struct<message:string,name:string,stack:string>"
+
+
+def _documents(spark: SparkSession, path: str) -> DataFrame:
+    """(file, text): whole files, a task each; for one over 2 GB use lines."""
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
+
+
+def read_trace(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """Events of JSON files of any accepted shape, with `file`, `format` and a seq that orders files and places."""
+    return loading.load(_documents(spark, path), strict=strict)
 
 
 def read_events(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Trace events from JSON arrays (one a file), or from JSON lines, which split over tasks.
 
-    Rows that are no objects or lack a channel, a type or a time are left out. seq is the place in
-    the file; context stays JSON text.
+    Rows that are no objects or lack a channel, a type or a time are left out; context stays JSON text.
+    seq orders files and places in them; lines carry their own seq, and those without one go by a hash
+    of the line, so that reading again gives the same.
     """
-    if lines:
-        rows = spark.read.schema(_RAW).json(path).withColumn("file", F.input_file_name()).withColumn("pos", F.monotonically_increasing_id())
-    else:
-        files = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-        items = files.select("file", F.posexplode(F.from_json("value", f"array<struct<{_struct(_RAW)}>>")).alias("pos", "e"))
-        rows = items.select("file", "pos", "e.*")
-    rows = rows.filter("channel <> '' AND eventType <> '' AND timestamp IS NOT NULL")
+    if not lines:
+        return read_trace(spark, path).drop("file", "format", "error_name", "error_stack", "error_code")
+    rows = spark.read.schema(_RAW).json(path).filter("channel <> '' AND eventType <> '' AND timestamp IS NOT NULL")
+    own = F.coalesce("seq", F.xxhash64("channel", "eventType", "context", "timestamp", "operationId").bitwiseAND((1 << 62) - 1))
     return rows.select(
-        F.col("pos").cast("long").alias("seq"), "channel", F.col("eventType").alias("event_type"), F.col("timestamp").alias("ts_ms"), F.col("operationId").alias("operation_id"),
+        own.alias("seq"), "channel", F.col("eventType").alias("event_type"), F.col("timestamp").alias("ts_ms"), F.col("operationId").alias("operation_id"),
         F.col("duration").alias("duration_ms"), F.col("context").alias("context_json"), F.col("error.message").alias("error_message"),
     )
 
 
-def _struct(ddl: str) -> str:
-    """Column definitions as the fields of a struct type."""
-    out, depth = [], 0
-    for field in ddl.split(", "):
-        if depth == 0 and " " in field:
-            name, kind = field.split(" ", 1)
-            out.append(f"{name}:{kind}")
-        depth += field.count("<") - field.count(">")
-    return ",".join(out)
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(series, seq, line): lines of text files with their place, the file as series."""
+    return _documents(spark, path).select(F.col("file").alias("series"), F.posexplode(F.split("text", "\r?\n")).alias("seq", "line"))
 
 
 def read_gc_log(spark: SparkSession, path: str) -> DataFrame:
-    """Collector runs of a log; seq orders the lines of a file."""
-    files = spark.read.text(path, wholetext=True)
-    return memory.gc_entries(files.select(F.posexplode(F.split("value", "\n")).alias("seq", "line")))
+    """Collector runs of logs; seq orders the lines of a file."""
+    return memory.gc_entries(_lines(spark, path))
+
+
+def read_jit_log(spark: SparkSession, path: str) -> DataFrame:
+    """Events of compiler logs, the file as series."""
+    return jit.parse(_lines(spark, path))
+
+
+def read_source_maps(spark: SparkSession, path: str) -> DataFrame:
+    """Mappings of source map files, by file."""
+    return sourcemap.mappings(_documents(spark, path).select(F.col("file").alias("map_id"), F.col("text").alias("json")))
 
 
 def read_otlp(spark: SparkSession, path: str) -> DataFrame:
@@ -51,6 +63,14 @@ def read_otlp(spark: SparkSession, path: str) -> DataFrame:
     return signals.otlp_events(spark.read.text(path, wholetext=True).withColumnRenamed("value", "json"))
 
 
+def read_snapshot_history(spark: SparkSession, path: str) -> DataFrame:
+    """Snapshot records of a JSON array; those without an id, a time or sizes are left out."""
+    kind = "array<struct<id:string,timestamp:double,label:string,beforeName:string,afterName:string,beforeSize:double,afterSize:double,newNodeCount:long,removedNodeCount:long,retainedSizeDelta:double,growthRate:double,flagged:boolean>>"
+    rows = _documents(spark, path).select(F.col("file").alias("series"), F.explode(F.from_json("text", kind)).alias("s")).select("series", "s.*")
+    rows = rows.filter("id IS NOT NULL AND timestamp IS NOT NULL AND beforeSize IS NOT NULL AND afterSize IS NOT NULL AND retainedSizeDelta IS NOT NULL AND flagged IS NOT NULL")
+    return rows.select("series", "id", F.col("timestamp").alias("ts_ms"), "label", "beforeSize", "afterSize", F.col("retainedSizeDelta").alias("delta"), F.col("growthRate").alias("growth_rate"), "flagged")
+
+
 def read_memory(spark: SparkSession, path: str) -> DataFrame:
     """Memory samples of a JSON array: numbers floored, ts for timestamp, the file as series."""
     kind = "array<struct<timestamp:double,ts:double,rss:double,heapTotal:double,heapUsed:double,external:double,arrayBuffers:double>>"
@@ -58,7 +78,14 @@ def read_memory(spark: SparkSession, path: str) -> DataFrame:
     rows = files.select("series", F.explode(F.from_json("value", kind)).alias("s"))
     number = lambda c: F.floor(F.coalesce(F.col(f"s.{c}"), F.lit(0.0))).cast("double")
     rows = rows.select("series", F.floor(F.coalesce("s.timestamp", "s.ts")).cast("double").alias("ts_ms"), number("rss").alias("rss"), number("heapTotal").alias("heap_total"), number("heapUsed").alias("heap_used"), number("external").alias("external"))
-    return rows.filter("ts_ms IS NOT NULL")
+    # A file of fewer than two samples is no series.
+    n = F.count("*").over(Window.partitionBy("series"))
+    return rows.filter("ts_ms IS NOT NULL").withColumn("_n", n).filter("_n >= 2").drop("_n")
+
+
+def sample_interval(samples: DataFrame) -> DataFrame:
+    """(series, samples, interval_ms): the mean time between samples."""
+    return samples.groupBy("series").agg(F.count("*").alias("samples"), ((F.max("ts_ms") - F.min("ts_ms")) / (F.count("*") - 1)).alias("interval_ms"))
 
 
 def read_cpu_profile(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
