@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, toxicity
+from . import licenses, oracles, toxicity
 from .decontaminate import find_leaks
 from .fingerprints import compare_edited
 from .language_id import predict, train
@@ -114,4 +114,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_fingerprints": op10_fingerprints,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_license_scan": licenses.oracle()}
+ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op2_license_scan": licenses.oracle(),
+    "op3_ngram_jaccard": oracles.NGRAM_JACCARD,
+    "op8_decontamination": oracles.DECONTAMINATION,
+}
