@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import operation_key, percent_change, percentile
 from ..schema import EVENT_TYPES, SPAN_TYPES
 
+# Patterns of channels.
 SQL_CHANNEL = "(?i)(mysql|pg|postgres|sqlite|mssql|query|knex|sequelize)"
 LOOP_CHANNEL = r"(?i)event[\s-]?loop"
 CHANNEL_NAME = r"^[a-z0-9_-]+(\/[a-z0-9_-]+)?:[a-z0-9_.-]+$"
@@ -122,7 +123,7 @@ def throughput(events: DataFrame, most: int = 50) -> DataFrame:
     one = span.select("t0", "n", ((F.col("t1") - F.col("t0")) / F.col("n")).alias("width"))
     rows = events.select("ts_ms").join(F.broadcast(one), how="cross")  # one row
     counts = rows.filter("width > 0").select(F.floor((F.col("ts_ms") - F.col("t0")) / F.col("width")).cast("int").alias("bucket")).groupBy("bucket").count()
-    return grid.join(counts, "bucket", "left").select("bucket", F.round(F.col("t0") + F.col("bucket") * F.col("width"), 3).alias("from_ms"), F.coalesce("count", F.lit(0)).alias("n"))
+    return grid.join(counts, "bucket", "left").select("bucket", (F.col("t0") + F.col("bucket") * F.col("width")).alias("from_ms"), F.coalesce("count", F.lit(0)).alias("n"))
 
 
 def latency_histogram(ops: DataFrame, buckets: int = 30) -> DataFrame:

@@ -39,7 +39,10 @@ def trace_summary(spark, d):
 
 
 def event_validity(spark, d):
-    return core.validity(trace_events(spark, d))
+    """Some events of an unknown type, without a channel, or with a time that is no number."""
+    e = trace_events(spark, d)
+    e = e.withColumn("event_type", F.when(F.col("seq") % 7 == 0, "odd").otherwise(F.col("event_type"))).withColumn("channel", F.when(F.col("seq") % 11 == 0, "").otherwise(F.col("channel")))
+    return core.validity(e.withColumn("ts_ms", F.when(F.col("seq") % 13 == 0, float("nan")).when(F.col("seq") % 17 != 0, F.col("ts_ms"))))
 
 
 def channel_filter(spark, d):
@@ -63,7 +66,7 @@ def search_operations(spark, d):
 
 
 def throughput(spark, d):
-    return core.throughput(trace_events(spark, d)).drop("from_ms")
+    return core.throughput(trace_events(spark, d))
 
 
 def latency_histogram(spark, d):
@@ -110,7 +113,10 @@ def n_plus_one(spark, d):
 
 
 def gate(spark, d):
-    return core.gate(_ops(spark, d), trace_events(spark, d), core.n_plus_one(_calls(spark, d), threshold=30))
+    """Views stand for samples of the event loop's delay."""
+    e = trace_events(spark, d)
+    loops = e.filter("channel = 'app:view'").withColumn("channel", F.lit("node:event-loop")).withColumn("context_json", F.format_string('{"delay": %s}', F.col("duration_ms").cast("string")))
+    return core.gate(_ops(spark, d), e.unionByName(loops), core.n_plus_one(_calls(spark, d), threshold=30))
 
 
 QUERIES = {
@@ -153,7 +159,7 @@ ORACLE_SQL = {
 SELECT (SELECT count(*) FROM ev) AS total_events, (SELECT min(ts_ms) FROM ev) AS first_ms, (SELECT max(ts_ms) FROM ev) AS last_ms,
   (SELECT string_agg(DISTINCT channel, ',' ORDER BY channel) FROM ev) AS channels, count(*) AS total_operations,
   round(count(*) FILTER (WHERE status = 'error')::DOUBLE / count(*), 9) AS error_rate FROM op""",
-    "event_validity": f"WITH {EV} SELECT count(*) FILTER (WHERE event_type IN ('start', 'end', 'error', 'asyncStart', 'asyncEnd')) AS valid, 0::BIGINT AS invalid FROM ev",
+    "event_validity": f"WITH {EV} SELECT count(*) FILTER (WHERE seq % 7 <> 0 AND seq % 11 <> 0 AND seq % 13 <> 0 AND seq % 17 <> 0) AS valid, count(*) FILTER (WHERE seq % 7 = 0 OR seq % 11 = 0 OR seq % 13 = 0 OR seq % 17 = 0) AS invalid FROM ev",
     "channel_filter": f"WITH {EV} SELECT seq, channel, event_type FROM ev WHERE channel IN ('app:click', 'app:error')",
     "search_regex": f"WITH {EV} SELECT seq, channel, operation_id FROM ev WHERE regexp_matches({_BODY}, '(?i){PATTERN}')",
     "search_literal": f"WITH {EV} SELECT channel, event_type, count(*) AS n FROM ev WHERE contains(lower({_BODY}), 'app:signup') GROUP BY 1, 2",
@@ -164,7 +170,7 @@ SELECT channel, count(*) AS n, round(sum(duration_ms), 3) AS total_ms FROM op WH
     "throughput": f"""WITH {EV}, span AS (SELECT min(ts_ms) AS t0, max(ts_ms) AS t1, least(50, ceil(count(*) / 10.0))::INT AS n FROM ev),
 grid AS (SELECT unnest(range(n)) AS bucket FROM span),
 put AS (SELECT floor((ts_ms - t0) / ((t1 - t0) / n))::INT AS bucket, count(*) AS n FROM ev, span GROUP BY 1)
-SELECT grid.bucket::INT AS bucket, coalesce(put.n, 0) AS n FROM grid LEFT JOIN put USING (bucket)""",
+SELECT grid.bucket::INT AS bucket, t0 + grid.bucket * ((t1 - t0) / span.n) AS from_ms, coalesce(put.n, 0) AS n FROM grid CROSS JOIN span LEFT JOIN put USING (bucket)""",
     "latency_histogram": f"""WITH {OPS}, top AS (SELECT max(duration_ms) AS top FROM op WHERE duration_ms > 0)
 SELECT floor(duration_ms / (top / 30))::INT AS bucket, count(*) AS n FROM op, top WHERE duration_ms > 0 AND floor(duration_ms / (top / 30)) < 30 GROUP BY 1""",
     "series_summary": f"""WITH {OPS}
@@ -187,6 +193,6 @@ SELECT op_key, channel, round(duration_ms, 3) AS duration_ms FROM op, cut WHERE
     "gate": f"""WITH {_CALLS}, r AS (
   SELECT 'p99-latency' AS rule, coalesce(quantile_disc(duration_ms, 0.99), 0) AS actual, 500.0::DOUBLE AS threshold FROM op WHERE duration_ms > 0
   UNION ALL SELECT 'n1-sql', count(*)::DOUBLE, 0.0 FROM n1 WHERE queries >= 30
-  UNION ALL SELECT 'event-loop-delay', NULL, 20.0)
+  UNION ALL SELECT 'event-loop-delay', quantile_disc(duration_ms, 0.99), 20.0 FROM ev WHERE channel = 'app:view' AND duration_ms > 0)
 SELECT rule, CASE WHEN actual IS NULL THEN 'skipped' WHEN actual <= threshold THEN 'pass' ELSE 'fail' END AS status, round(coalesce(actual, 0), 6) AS actual, threshold FROM r""",
 }
