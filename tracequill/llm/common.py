@@ -48,22 +48,45 @@ def forget(spark: SparkSession, *paths: str | DataFrame | None) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release() -> None:
+    """Gives what a worker has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def tidy(step):
-    """step, a function from batches to batches, which gives what it no longer needs back to the system when a task ends: workers stay."""
+    """step, a function from batches to batches, which releases memory when a task ends: workers stay."""
 
     def run(batches):
         try:
             yield from step(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):  # another C library
-                pass
+            release()
 
     return run
 
 
+def tidy_group(step):
+    """The same for a function of one or two grouped tables."""
+
+    def one(table):
+        try:
+            return step(table)
+        finally:
+            release()
+
+    def two(left, right):
+        try:
+            return step(left, right)
+        finally:
+            release()
+
+    return one if step.__code__.co_argcount == 1 else two
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with a hash of the text, which with the id tells rows that share an id apart."""
     return docs.withColumn(OWN + "th", F.hash(F.col(text_col)))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as w
-from .common import groups_of
+from .common import groups_of, tidy
 from .ngram_join import missable
 
 #: Words of benchmark items in one broadcast block (8 bytes a shingle).
@@ -123,7 +123,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, width: int = 5, percent: int =
         table = part.toArrow()
         ids = table.column("item_id").to_numpy().astype(np.int64)
         sketches = spark.sparkContext.broadcast(Sketches(ids, table.column("text"), width, percent))
-        more = docs.mapInArrow(lambda it, s=sketches: _scan(it, s, width), FOUND)
+        more = docs.mapInArrow(tidy(lambda it, s=sketches: _scan(it, s, width)), FOUND)
         found = more if found is None else found.union(more)
     return found.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 

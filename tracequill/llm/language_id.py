@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import with_fields
+from .common import tidy, with_fields
 from .words import pieces
 
 SAMPLE_DOCS, DICT_BYTES = 100, 120_000
@@ -135,4 +135,4 @@ def predict(docs: DataFrame, classifier: Classifier) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
     schema = with_fields(docs.schema, ("lang_pred", "string"), ("score", "double"), ("rejected", "boolean"))
     names = schema.names
-    return docs.mapInArrow(lambda it: _predict(it, shared, names), schema)
+    return docs.mapInArrow(tidy(lambda it: _predict(it, shared, names)), schema)

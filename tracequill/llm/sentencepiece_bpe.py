@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import with_fields
+from .common import tidy, with_fields
 from .words import mix, pieces
 
 SPACE = "▁"
@@ -281,4 +281,4 @@ def encode_decode(docs: DataFrame, model_path: str, with_ids: bool = True) -> Da
     fields = [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded", "string")] + [("ids", "array<int>")] * with_ids
     schema = with_fields(docs.schema, *fields)
     names = schema.names
-    return docs.mapInArrow(lambda it: _encode(it, model_path, names, with_ids), schema)
+    return docs.mapInArrow(tidy(lambda it: _encode(it, model_path, names, with_ids)), schema)

@@ -31,11 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as w
-from .common import OWN, groups_of, partitions, slices, tidy, with_fields
+from .common import OWN, groups_of, partitions, slices, tidy, tidy_group, with_fields
 from .packing import pack, unpack
 
 #: Bytes of text in a batch, on average: bounds a task's memory.
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 4 << 20
 #: Hashes a task that settles a range of hash space gets, on average.
 RANGE_HASHES = 4_000_000
 #: Low bits of an anchor's hash that do not travel: it only finds candidates, so 40 bits do.
@@ -86,6 +86,7 @@ def _shipped(batch: int, keys: np.ndarray, edges: np.ndarray, ranges: int, colum
 def _probes(window: int, ranges: int):
     block = (window + 1) // 2
 
+    @tidy_group
     def run(table: pa.Table) -> pa.Table:
         batch = _Batch(table, window, block)
         _, key, aligned = batch.anchors()
@@ -149,6 +150,7 @@ def _back(found: pa.Table, columns: int) -> list[np.ndarray]:
 def _candidates(window: int, ranges: int, bits: int):
     block = (window + 1) // 2
 
+    @tidy_group
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return pa.table({OWN + "part": pa.array([], pa.int32()), OWN + "batch": pa.array([], pa.int64()), OWN + "payload": pa.array([], pa.binary())})
@@ -208,6 +210,7 @@ def _repeated(batch: _Batch, found: pa.Table, bits: int) -> np.ndarray:
 
 
 def _cut(window: int, bits: int, schema: pa.Schema):
+    @tidy_group
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return schema.empty_table()

@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import with_fields
+from .common import tidy, with_fields
 from .words import pieces
 
 #: Pre-tokens in a leaf when a tree is built; a leaf of four times as many rebuilds the tree.
@@ -218,4 +218,4 @@ def count_tokens(docs: DataFrame, ranks_path: str, pattern: str, edit=masked) ->
     """docs with n_tokens, n_pretokens, and after edit(length) -> (start, end, replacement) n_tokens_edited and n_reencoded."""
     schema = with_fields(docs.schema, *((n, "long") for n in ("n_tokens", "n_pretokens", "n_tokens_edited", "n_reencoded")))
     names = schema.names
-    return docs.mapInArrow(lambda it: _count(it, ranks_path, pattern, edit, names), schema)
+    return docs.mapInArrow(tidy(lambda it: _count(it, ranks_path, pattern, edit, names)), schema)

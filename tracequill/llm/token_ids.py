@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint_dir, partitions
+from .common import checkpoint_dir, partitions, tidy
 from .packing import pack, unpack
 from .words import pieces
 
@@ -294,7 +294,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end: int, folder: str | None = No
     rows = docs.select("doc_id", "text").withColumn("th", F.xxhash64("text"))
     rows = rows.repartitionByRange(partitions(spark), "doc_id", "th").sortWithinPartitions("doc_id", "th")
     rows = rows.select("doc_id", "text", F.spark_partition_id().alias("range"))
-    rows.mapInArrow(lambda it: _write(it, tokenizer, end), SHARDS).write.parquet(folder)
+    rows.mapInArrow(tidy(lambda it: _write(it, tokenizer, end)), SHARDS).write.parquet(folder)
     return folder
 
 
