@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,23 +44,34 @@ def causal_nodes(events: DataFrame, scope: str | None = None) -> DataFrame:
     return nodes
 
 
-def _bounds(nodes: DataFrame, scope: str | None) -> DataFrame:
-    by = Window.partitionBy(*([scope] if scope else [F.lit(0)])).orderBy("start_ms", "seq")
-    return nodes.withColumn("rn", F.row_number().over(by)).withColumn("until", F.coalesce("end_ms", F.lit(float("inf"))))
+def _nearest(nodes: DataFrame, scope: str | None, reach: str) -> DataFrame:
+    """(id, parent_id): the latest earlier row of the scope that lasts to `reach` of this one or longer.
 
+    One sweep over each scope in order of start. Rows that end before the one at hand needs are
+    dropped from the stack: for its end, because the row itself lasts longer and comes later; for its
+    start, because later rows start later still. A scope is a group in one task: choose one that is bounded.
+    """
+    keys = [scope] if scope else ["_all"]
+    rows = nodes.select("id", "start_ms", "seq", F.coalesce("end_ms", F.lit(float("inf"))).alias("until"), *([scope] if scope else [F.lit(0).alias("_all")]))
 
-def containment(nodes: DataFrame, scope: str | None = None) -> DataFrame:
-    """(id, parent_id): the latest earlier operation of the scope that ends no earlier.
+    def sweep(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["start_ms", "seq"], kind="stable")
+        stack, child, parent = [], [], []
+        for own, until, need in zip(frame["id"], frame["until"], frame[reach], strict=True):
+            while stack and stack[-1][1] < need:
+                stack.pop()
+            if stack:
+                child.append(own)
+                parent.append(stack[-1][0])
+            stack.append((own, until))
+        return pd.DataFrame({"id": child, "parent_id": parent}, dtype=object)
 
-    A range join inside the scope; give one (a user, a trace) so that it stays small.
-    """
-    b = _bounds(nodes, scope)
-    keys = [scope] if scope else []
-    p = b.select(*keys, F.col("id").alias("parent_id"), F.col("rn").alias("p_rn"), F.col("until").alias("p_until"))
-    c = b.select(*keys, "id", "rn", "until")
-    on = (F.col("p_rn") < F.col("rn")) & (F.col("p_until") >= F.col("until"))
-    pairs = (c.join(p, keys) if keys else c.join(p, on)).filter(on)
-    return pairs.groupBy("id").agg(F.max_by("parent_id", "p_rn").alias("parent_id"))
+    return rows.groupBy(*keys).applyInPandas(sweep, "id string, parent_id string")
+
+
+def containment(nodes: DataFrame, scope: str | None = None) -> DataFrame:
+    """(id, parent_id): the latest earlier operation of the scope that ends no earlier."""
+    return _nearest(nodes, scope, "until")
 
 
 def overlap_parents(ops: DataFrame, scope: str | None = None) -> DataFrame:
@@ -67,14 +79,7 @@ def overlap_parents(ops: DataFrame, scope: str | None = None) -> DataFrame:
 
     Operations without an end (failed ones too) stay open for ever.
     """
-    nodes = ops.select(F.col("op_key").alias("id"), "start_ms", "end_ms", "seq", *([scope] if scope else []))
-    b = _bounds(nodes, scope)
-    keys = [scope] if scope else []
-    p = b.select(*keys, F.col("id").alias("parent_id"), F.col("rn").alias("p_rn"), F.col("until").alias("p_until"))
-    c = b.select(*keys, "id", "rn", "start_ms")
-    on = (F.col("p_rn") < F.col("rn")) & (F.col("p_until") >= F.col("start_ms"))
-    pairs = (c.join(p, keys) if keys else c.join(p, on)).filter(on)
-    return pairs.groupBy("id").agg(F.max_by("parent_id", "p_rn").alias("parent_id"))
+    return _nearest(ops.select(F.col("op_key").alias("id"), "start_ms", "end_ms", "seq", *([scope] if scope else [])), scope, "start_ms")
 
 
 def causal_edges(nodes: DataFrame, scope: str | None = None) -> DataFrame:
