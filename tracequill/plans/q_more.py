@@ -178,7 +178,7 @@ def formatted_values(spark, d):
     e = raw(spark, d)
     v = F.col("value")
     return e.select(
-        "event_id", text.bytes_text(F.pow(v, F.lit(3.0))).alias("size"), text.duration_text(v * v / 50).alias("duration"), text.percent_text(v / 500).alias("percent"), text.time_text(F.round("ts_ms")).alias("time"),
+        "event_id", text.bytes_text(F.pow(v, F.lit(3.0))).alias("size"), text.duration_text(v * v / 50).alias("duration"), text.percent_text(v / 499.7).alias("percent"), text.time_text(F.round("ts_ms")).alias("time"),
         text.shortened(F.repeat("event_type", (F.col("event_id") % 30).cast("int")), 40).alias("short"), severity(v / 500).alias("severity"),
     )
 
@@ -303,7 +303,7 @@ SELECT 'job' AS channel, 'warning' AS severity, 'pairing' AS category, count(*)
     "prompt_lines": f"""WITH {OPS} SELECT o.op_key AS id, o.channel || ' ' || printf('%.1fms', round(o.duration_ms, 1)) || CASE WHEN p.duration_ms > 0 THEN printf(' (%.1f%% of parent)', round(o.duration_ms / p.duration_ms * 1000) / 10) ELSE '' END || CASE WHEN o.status = 'error' THEN ' [error]' ELSE '' END AS line
 FROM op o LEFT JOIN op p ON p.op_key = (o.op_key::BIGINT // 4 * 4)::VARCHAR ORDER BY o.duration_ms DESC, o.op_key LIMIT 30""",
     "formatted_values": """WITH v AS (SELECT *, value * value * value AS b, value * value / 50 AS m, greatest(0, least(3, floor(ln(value * value * value) / ln(1024))))::INT AS k FROM events)
-SELECT event_id, printf('%.1f ', round(b / pow(1024, k), 1)) || ['B', 'KB', 'MB', 'GB'][k + 1] AS size, CASE WHEN m < 1 THEN printf('%.0fµs', round(m * 1000)) WHEN m < 1000 THEN printf('%.1fms', round(m, 1)) ELSE printf('%.2fs', round(m / 1000, 2)) END AS duration, printf('%.1f%%', round(value / 500 * 100, 1)) AS percent,
+SELECT event_id, printf('%.1f ', round(b / pow(1024, k), 1)) || ['B', 'KB', 'MB', 'GB'][k + 1] AS size, CASE WHEN m < 1 THEN printf('%.0fµs', round(m * 1000)) WHEN m < 1000 THEN printf('%.1fms', round(m, 1)) ELSE printf('%.2fs', round(m / 1000, 2)) END AS duration, printf('%.1f%%', round(value / 499.7::DOUBLE * 100, 1)) AS percent,
   strftime(epoch_ms(round(epoch_us(ts)::DOUBLE / 1000)::BIGINT), '%Y-%m-%d %H:%M:%S.%g') AS time, CASE WHEN length(repeat(event_type, (event_id % 30)::INT)) <= 40 THEN repeat(event_type, (event_id % 30)::INT) ELSE left(repeat(event_type, (event_id % 30)::INT), 40) || '...' END AS short,
   CASE WHEN value / 500 >= 0.7 THEN 'critical' WHEN value / 500 >= 0.35 THEN 'warning' ELSE 'info' END AS severity FROM v""",
     "source_mappings": f"SELECT * FROM {_MAPPED}",
