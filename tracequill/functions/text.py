@@ -39,7 +39,7 @@ def evidence(calls: str, errors: str, error_rate: str, p95: str, avg: str, unexp
     c = F.col
     whole = lambda x: F.round(x * 100).cast("int")
     lines = F.array(
-        F.when(c(error_rate) > 0, F.format_string("%d/%d calls errored (%.1f%%)", errors, calls, c(error_rate) * 100)),
+        F.when(c(error_rate) > 0, F.format_string("%d/%d calls errored (%.1f%%)", errors, calls, F.round(c(error_rate) * 100, 1))),
         F.concat(F.format_string("p95 %.0fms", p95), F.when(c(error_rate) == 0, "").otherwise(F.format_string(", avg %.0fms", avg))),
         F.when(c(unexplained) > 0.35, F.format_string("slow work not explained by child calls (self-time anomaly %d%%)", whole(c(unexplained)))),
         F.when(c(magnitude) > 0.4, F.format_string("latency %d%% above its own baseline", whole(c(magnitude)))),
@@ -53,7 +53,7 @@ def symptom(signal: str, calls: str, errors: str, error_rate: str, p95: str, mag
     """What is seen of a service, by its first signal."""
     share = F.round(F.col(magnitude) * 100).cast("int")
     return (
-        F.when(F.col(error_rate) > 0, F.format_string("error rate %.1f%% (%d/%d calls)", F.col(error_rate) * 100, errors, calls))
+        F.when(F.col(error_rate) > 0, F.format_string("error rate %.1f%% (%d/%d calls)", F.round(F.col(error_rate) * 100, 1), errors, calls))
         .when(F.col(signal) == "latency", F.format_string("latency up to %.0fms (%d%% above baseline)", p95, share))
         .otherwise(F.format_string("throughput pressure / queue backlog (%d%% of normal load)", share))
     )

@@ -151,12 +151,12 @@ ORACLE_SQL = {
     "blame": f"{_CAUSE} SELECT service, blame FROM bl",
     "root_causes": f"{_CAUSE} SELECT service, rank::INT AS rank, score, signal, magnitude, unexplained, criticality, blame FROM rkd",
     "cascade": f"""{_CAUSE}, {_LEVELS}, st AS (SELECT *, row_number() OVER (ORDER BY depth, pos) AS step FROM w4)
-SELECT step::INT AS step, service, depth, signal, round(least(1, greatest(0, magnitude)), 6) AS impact, CASE WHEN error_rate > 0 THEN printf('error rate %.1f%% (%d/%d calls)', error_rate * 100, errors, calls)
-  WHEN signal = 'latency' THEN printf('latency up to %.0fms (%d%% above baseline)', p95_ms, round(magnitude * 100)::INT) ELSE printf('throughput pressure / queue backlog (%d%% of normal load)', round(magnitude * 100)::INT) END AS symptom
+SELECT step::INT AS step, service, depth, signal, round(least(1, greatest(0, magnitude)), 6) AS impact, CASE WHEN error_rate > 0 THEN printf('error rate %.1f%% (%d/%d calls)', round(error_rate * 100, 1), errors, calls)
+  WHEN signal = 'latency' THEN printf('latency up to %.0fms (%d%% above baseline)', round(p95_ms), round(magnitude * 100)::INT) ELSE printf('throughput pressure / queue backlog (%d%% of normal load)', round(magnitude * 100)::INT) END AS symptom
 FROM st JOIN nd USING (service) JOIN mag USING (service) WHERE step <= 6""",
     "cause_evidence": f"""{_CAUSE}, c AS (SELECT *, round(greatest(0, least(1, 2 * score - lead(score, 1, 0) OVER (ORDER BY rank))), 6) AS confidence FROM rkd)
-SELECT service, rank::INT AS rank, confidence, concat_ws(' | ', CASE WHEN error_rate > 0 THEN printf('%d/%d calls errored (%.1f%%)', errors, calls, error_rate * 100) END,
-  printf('p95 %.0fms', p95_ms) || CASE WHEN error_rate = 0 THEN '' ELSE printf(', avg %.0fms', avg_ms) END, CASE WHEN unexplained > 0.35 THEN printf('slow work not explained by child calls (self-time anomaly %d%%)', round(unexplained * 100)::INT) END,
+SELECT service, rank::INT AS rank, confidence, concat_ws(' | ', CASE WHEN error_rate > 0 THEN printf('%d/%d calls errored (%.1f%%)', errors, calls, round(error_rate * 100, 1)) END,
+  printf('p95 %.0fms', round(p95_ms)) || CASE WHEN error_rate = 0 THEN '' ELSE printf(', avg %.0fms', round(avg_ms)) END, CASE WHEN unexplained > 0.35 THEN printf('slow work not explained by child calls (self-time anomaly %d%%)', round(unexplained * 100)::INT) END,
   CASE WHEN magnitude > 0.4 THEN printf('latency %d%% above its own baseline', round(magnitude * 100)::INT) END, CASE WHEN criticality > 0.3 THEN printf('on critical path in %d%% of traces', round(criticality * 100)::INT) END,
   CASE WHEN blame > 0.4 THEN printf('implicated by %d%% of downstream impact', round(blame * 100)::INT) END) AS evidence FROM c JOIN nd USING (service, signal)""",
     "recommendations": f"""{_CAUSE}, m AS (SELECT CASE WHEN span_id LIKE '%7' THEN 'pool timeout ' ELSE '' END || lower(error_message) AS m FROM span WHERE error)

@@ -312,7 +312,7 @@ SELECT e.event_id, t.source, t.line AS src_line, t.col AS src_col, t.name FROM e
     "compiled_lines": "SELECT * FROM (VALUES ('m', 1), ('m', 1), ('m', 3)) AS t(map_id, gen_line)",
     "frame_kinds": """SELECT event_id, event_id % 7 IN (0, 1, 4, 5) AS runtime, event_id % 7 = 6 OR event_id % 5 < 2 AS native FROM events""",
     "report_findings": f"""WITH {OPS}, s AS (SELECT channel, count(*) AS n, count(*) FILTER (WHERE status = 'error') AS e, coalesce(avg(duration_ms) FILTER (WHERE duration_ms > 0), 0) AS a, coalesce(quantile_disc(duration_ms, 0.95) FILTER (WHERE duration_ms > 0), 0) AS p FROM op GROUP BY 1)
-SELECT channel, 0 AS place, printf('"%s" avg %.0fms, P95 %.0fms', channel, a, p) AS finding FROM s WHERE a > 100 UNION ALL SELECT channel, 1, printf('"%s" has %d errors (%.1f%%)', channel, e, e / n::DOUBLE * 100) FROM s WHERE e > 0""",
+SELECT channel, 0 AS place, printf('"%s" avg %.0fms, P95 %.0fms', channel, round(a), round(p)) AS finding FROM s WHERE a > 100 UNION ALL SELECT channel, 1, printf('"%s" has %d errors (%.1f%%)', channel, e, round(e / n::DOUBLE * 100, 1)) FROM s WHERE e > 0""",
     "squeezed_reports": """SELECT event_id, '{"event_type":"' || event_type || '","user_id":' || user_id || '}' AS json FROM events""",
     "binary_round_trip": f"""WITH {EV} SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY seq) - 1 AS pos, channel, event_type, ts_ms, duration_ms, operation_id, 'Error: ' || error_message AS error_message, context_json FROM ev""",
     "exported_spans": f"""WITH {EV} SELECT seq, repeat('0', 32) AS "traceId", rpad(operation_id, 16, '0') AS "spanId", '' AS "parentSpanId", channel AS name, (round(ts_ms)::HUGEINT * 1000000)::VARCHAR AS "startTimeUnixNano", ((round(ts_ms) + round(duration_ms))::HUGEINT * 1000000)::VARCHAR AS "endTimeUnixNano",

@@ -17,7 +17,7 @@ def key_findings(stats: DataFrame, slow_ms: float = 100.0) -> DataFrame:
     """(channel, place, finding): slow channels, and channels with errors."""
     slow = F.when(F.col("avg_ms") > slow_ms, F.format_string('"%s" avg %.0fms, P95 %.0fms', "channel", F.col("avg_ms").cast("double"), F.col("p95_ms").cast("double")))
     rate = F.when(F.col("total") > 0, F.col("errors") / F.col("total") * 100).otherwise(0.0)
-    failing = F.when(F.col("errors") > 0, F.format_string('"%s" has %d errors (%.1f%%)', "channel", "errors", rate))
+    failing = F.when(F.col("errors") > 0, F.format_string('"%s" has %d errors (%.1f%%)', "channel", "errors", F.round(rate, 1)))
     return stats.select("channel", F.posexplode(F.array(slow, failing)).alias("place", "finding")).filter("finding IS NOT NULL")
 
 
