@@ -30,3 +30,25 @@ s AS (SELECT DISTINCT side, id, array_to_string(w[i:i + 4], ' ') || CASE WHEN le
 n AS (SELECT id, count(*) AS n FROM s WHERE side = 'i' GROUP BY 1),
 o AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS c FROM s d JOIN s i ON d.s = i.s AND d.side = 'd' AND i.side = 'i' GROUP BY 1, 2)
 SELECT doc_id, item_id, n AS n_item, c AS n_shared, c::DOUBLE / n AS containment FROM o JOIN n ON n.id = item_id WHERE 100 * c >= 75 * n"""
+
+FILTER_AUDIT = rf"""WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+m AS (SELECT text, min(doc_id) AS least FROM t GROUP BY 1),
+b AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
+d AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+  {{'A': len(w) < 50, 'B': 100 * len(list_distinct(w)) < 65 * len(w), 'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text),
+    'D': regexp_matches(text, '[#$%&*|]'), 'E': coalesce(least < t.doc_id, false)}} AS x FROM t JOIN m USING (text) LEFT JOIN b ON b.doc_id = t.doc_id),
+f AS (SELECT part, good, toxic, list_filter([CASE WHEN x.A THEN 'A' END, CASE WHEN x.B THEN 'B' END, CASE WHEN x.C THEN 'C' END, CASE WHEN x.D THEN 'D' END, CASE WHEN x.E THEN 'E' END], lambda q: q IS NOT NULL) AS fails FROM d),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+s AS (SELECT filter_order, step::INTEGER AS step, filter_order[step] AS own, list_transform(range(1, step), lambda i: filter_order[i]) AS past FROM o, (SELECT unnest(range(1, 6)) AS step)),
+g AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY 1, 2),
+r AS (SELECT part, filter_order, step, own,
+  sum(CASE WHEN NOT list_has_any(fails, past) AND NOT list_contains(fails, own) THEN n ELSE 0 END) AS kept,
+  sum(CASE WHEN NOT list_has_any(fails, past) AND list_contains(fails, own) THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN list_has_any(fails, past) AND list_contains(fails, own) THEN n ELSE 0 END) AS redundant,
+  sum(CASE WHEN fails = [own] THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN NOT list_has_any(fails, past) AND list_contains(fails, own) THEN good ELSE 0 END) AS good_lost,
+  sum(CASE WHEN NOT list_has_any(fails, past) AND list_contains(fails, own) THEN toxic ELSE 0 END) AS toxic_lost
+  FROM g, s GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM r"""

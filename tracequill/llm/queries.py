@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import licenses, oracles, toxicity
 from .decontaminate import find_leaks
+from .filter_audit import audit_filters
 from .fingerprints import compare_edited
 from .language_id import predict, train
 from .ngram_join import near_components
@@ -101,6 +102,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_edited(_table(spark, sf_dir, "documents"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_license_scan": op2_license_scan,
@@ -112,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_token_ids": op9_token_ids,
     "op10_fingerprints": op10_fingerprints,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -119,4 +125,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_license_scan": licenses.oracle(),
     "op3_ngram_jaccard": oracles.NGRAM_JACCARD,
     "op8_decontamination": oracles.DECONTAMINATION,
+    "op13_filter_audit": oracles.FILTER_AUDIT,
 }
