@@ -18,6 +18,7 @@ from .sentencepiece_bpe import encode_decode
 from .substring_dedup import dedup_substrings
 from .token_counts import count_tokens
 from .token_ids import read_ids, write_ids
+from .whitening import whiten_vectors
 
 try:
     import public_tokenizers
@@ -102,6 +103,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_edited(_table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -117,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_token_ids": op9_token_ids,
     "op10_fingerprints": op10_fingerprints,
+    "op11_embedding_whitening": op11_embedding_whitening,
     "op13_filter_audit": op13_filter_audit,
 }
 
