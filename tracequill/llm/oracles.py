@@ -52,3 +52,8 @@ r AS (SELECT part, filter_order, step, own,
   FROM g, s GROUP BY 1, 2, 3, 4)
 SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
   good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM r"""
+
+WARC = """WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
+m AS (SELECT html, min(page_id) AS least FROM p WHERE n >= 100 GROUP BY 1),
+x AS (SELECT page_id, n, sha256(p.html) AS d, CASE WHEN least < page_id THEN least END AS least FROM p LEFT JOIN m ON m.html = p.html)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN least IS NULL THEN 'response' ELSE 'revisit' END AS record_type, least AS refers_to FROM x"""

@@ -18,6 +18,7 @@ from .sentencepiece_bpe import encode_decode
 from .substring_dedup import dedup_substrings
 from .token_counts import count_tokens
 from .token_ids import read_ids, write_ids
+from .warc import archive_pages
 from .whitening import whiten_vectors
 
 try:
@@ -107,6 +108,10 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(_table(spark, sf_dir, "pages"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -123,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_ids": op9_token_ids,
     "op10_fingerprints": op10_fingerprints,
     "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_warc": op12_warc,
     "op13_filter_audit": op13_filter_audit,
 }
 
@@ -131,5 +137,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_license_scan": licenses.oracle(),
     "op3_ngram_jaccard": oracles.NGRAM_JACCARD,
     "op8_decontamination": oracles.DECONTAMINATION,
+    "op12_warc": oracles.WARC,
     "op13_filter_audit": oracles.FILTER_AUDIT,
 }
