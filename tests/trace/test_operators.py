@@ -171,3 +171,47 @@ def test_skew_keeps_children_behind_parents(spark):
     linked = distributed.link_spans(spark.createDataFrame(rows, schema.SPAN))
     got = {r.span_id: round(r.adjusted_start_ms, 6) for r in distributed.correct_skew(linked).collect()}
     assert got == {"1": 100.0, "2": 100.001, "3": 100.002}
+
+
+def test_ids_are_texts_or_numbers_and_the_first_record_names_the_channel(spark):
+    kind = schema.EVENT
+    rows = [
+        (0, "end:first", "end", 5.0, "a", None, '{"parentId": true, "parentSpanId": "p"}', None, None), (1, "start:later", "start", 2.0, "a", None, '{"parentId": true, "parentSpanId": 7}', None, None),
+        (2, "c:c", "start", 3.0, "b", None, '{"parentId": "true", "asyncId": [1], "triggerAsyncId": {"a": 1}}', None, None), (3, "c:c", "start", 3.0, "c", None, '{"parentId": "[x]", "asyncId": 12}', None, None),
+        (4, "c:c", "start", 3.0, "d", None, "no json", None, None),
+    ]
+    names = [f.strip().split(" ")[0] for f in kind.split(",")]
+    base = dict.fromkeys(names)
+    keys = ("seq", "channel", "event_type", "ts_ms", "operation_id", "duration_ms", "context_json", "error_message")
+    frame = spark.createDataFrame([tuple((base | dict(zip(keys, r, strict=False)))[n] for n in names) for r in rows], kind)
+    got = {r.id: (r.channel, r.declared, r.async_id, r.trigger_id) for r in causal.causal_nodes(frame).collect()}
+    assert got == {"a": ("end:first", "7", None, None), "b": ("c:c", "true", None, None), "c": ("c:c", "[x]", "12", None), "d": ("c:c", None, None, None)}
+
+
+def test_stack_frames_of_every_form(spark):
+    stack = "Error: x\n    at load (/a/b.js:3:4)\n  at /m.js:1:2\n\tat native\n at fn (native)\n at node:fs\n at async (/x/node_modules/node:y.js:9:9)\n at node::Run (/c.cc:1:1)\n at (/e.js:5:6)\nat <anonymous>\nnothing"
+    got = [(r.function, r.file, r.line, r.col, r.filtered) for r in signals.stack_frames(spark.createDataFrame([(1, stack)], "id long, stack string")).orderBy("place").collect()]
+    assert got == [
+        ("load", "/a/b.js", 3, 4, False), ("[anonymous]", "/m.js", 1, 2, False), ("[anonymous]", "native", None, None, True), ("fn", "native", None, None, True), ("[anonymous]", "node:fs", None, None, True),
+        ("async", "/x/node_modules/node:y.js", 9, 9, False), ("node::Run", "/c.cc", 1, 1, True), ("[anonymous]", "/e.js", 5, 6, False), ("[anonymous]", "<anonymous>", None, None, True),
+    ]
+
+
+def test_confidence_in_a_cause(spark):
+    told = spark.createDataFrame([("a", 1, 0.2, ["x", "y", "z"]), ("b", 2, 0.19, ["x"])], "service string, rank int, score double, evidence array<string>")
+    spans = spark.createDataFrame([(str(i),) for i in range(7)], "trace_id string")
+    got = {r.service: r.confidence for r in distributed.confidence(told, spans).collect()}
+    assert got == {"a": 0.703, "b": None}
+    few = distributed.confidence(told.filter("rank = 1").withColumn("evidence", F.slice("evidence", 1, 1)), spans.limit(1)).first()
+    assert few.confidence == round(0.45 + 0.3 * 0.2 + 0.03 + 0.1 / 3, 6)
+
+
+def test_advice_where_nothing_stands_out(spark):
+    ranked = spark.createDataFrame([("a", 1, "throughput")], "service string, rank int, signal string")
+    spans = spark.createDataFrame([(False, None)], "error boolean, error_message string")
+    assert [r.place for r in distributed.recommendations(ranked, spans).collect()] == [12]
+
+
+def test_one_event_has_no_noise(spark):
+    frame = spark.createDataFrame([("a", 0, "gc:run", "start", 0.0), ("b", 0, "timer:x", "start", 0.0), ("b", 1, "timer:x", "end", 1.0)], "run string, seq long, channel string, event_type string, ts_ms double")
+    assert {r.run for r in signals.noise_regions(frame, "run").collect()} == {"b"}

@@ -1,8 +1,10 @@
 """Readers on small files of our own."""
 
 import json
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracequill.operators import core, heap, memory
 from tracequill.sinks import exports, reports
@@ -100,6 +102,56 @@ no line of ours"""
     assert (got[0].maps, got[0].state, got[0].offset, got[0].key) == (["0xaa", "0xbb"], "polymorphic", 7, "k")
 
 
+def test_lines_of_compiler_logs(spark):
+    log = [
+        "LoadIC[0] (0x1c00) at demo.js:8:25 offset 17: [key: name] map 0x02d8", "StoreIC (0x1d00)\tat demo.js:6:13 offset 42: [key: id] map 0x02d8 0x02d9 0x02d8",
+        "KeyedStoreIC[1] at demo.js:30:10 offset 4: [key: 0] map 0x02db [slow]", "[LoadIC in optimized code] (0x1e) map 0xaa", "CallIC at x.js:1:1 uninitialized", "  a line that only speaks of a PIC18 or of an IC",
+        "[marking 0x2c <SharedFunctionInfo f> for optimized recompilation, reason: Small function, again]", "[marking 0x2c <SharedFunctionInfo f> without a cause]", "[compiling method 0x2c <SharedFunctionInfo f> using TurboFan OSR]",
+        "[compiling method 0x2c <SharedFunctionInfo f> using TurboFan] OSR", "[optimizing 0x2c <SharedFunctionInfo f> - took 0.012 ms]", "[optimizing 0x2c <SharedFunctionInfo >]", "[reoptimizing 0x2c <SharedFunctionInfo f>",
+        "[deoptimizing (DEOPT lazy): begin 0x2c <f> at demo.js:6:13]", "[deoptimizing (DEOPT lazy): begin 2c <f>]", "[deoptimizing (DEOPT lazy): end 0x2c <f>, took 1 ms]",
+        "Map transition from 0x1 to 0x2", "Map[x] transition from 0x1 to 0x2 at a.js:1:1", 'Map transition from 0x1 to 0x2 for "p"', "a Map transition from 0x1 to 0x2", "[bailout (kind: deopt-eager, reason: wrong map)] and more",
+    ]
+    from tracequill.operators import jit
+
+    got = {r.seq: r for r in jit.parse(spark.createDataFrame([("s", i, x) for i, x in enumerate(log)], "series string, seq long, line string")).collect()}
+    assert sorted(got) == [0, 1, 2, 3, 4, 6, 9, 10, 11, 12, 13, 15, 16, 17, 18, 20]
+    assert [(got[i].kind, got[i].site, got[i].offset, got[i].key, got[i].state, got[i].maps) for i in range(5)] == [
+        ("LoadIC", "demo.js:8:25", 17, "name", "monomorphic", ["0x02d8"]), ("StoreIC", "demo.js:6:13", 42, "id", "polymorphic", ["0x02d8", "0x02d9"]),
+        ("KeyedStoreIC", "demo.js:30:10", 4, "0", "megamorphic", ["0x02db"]), ("LoadIC", None, None, None, "monomorphic", ["0xaa"]), ("CallIC", "x.js:1:1", None, None, "uninitialized", []),
+    ]
+    assert [(got[i].kind, got[i].name, got[i].reason, got[i].compiler, got[i].took_ms) for i in (6, 9, 10, 11, 12)] == [
+        ("marking", "f", "Small function", None, None), ("osr", "f", "TurboFan", "TurboFan", None), ("optimized", "f", "0.012", None, 0.012), ("optimized", None, None, None, None), ("reoptimize", "f", None, None, None),
+    ]
+    assert [(got[i].kind, got[i].address, got[i].site, got[i].begins) for i in (13, 15)] == [("lazy", "0x2c", "demo.js:6:13", True), ("lazy", "0x2c", None, False)]
+    assert [(got[i].address, got[i].target, got[i].key, got[i].site) for i in (16, 17, 18)] == [("0x1", "0x2", None, None), ("0x1", "0x2", None, "a.js:1:1"), ("0x1", "0x2", "p", None)]
+    assert (got[20].kind, got[20].reason) == ("eager", "wrong map")
+    assert [r.id for r in jit.sites(jit.parse(spark.createDataFrame([("s", 1, "LoadIC 0x1")], "series string, seq long, line string"))).collect()] == ["LoadIC@<anonymous>"]
+
+
+def test_reasons_pass_along_a_long_log_in_linear_time(spark):
+    from tracequill.operators import jit
+
+    line = F.when(F.col("id") % 5 == 0, "[bailout (kind: deopt-eager, reason: why)]").when(F.col("id") % 5 == 3, "[deoptimizing (DEOPT eager): end 0x2c <f>]").otherwise("[deoptimizing (DEOPT eager): begin 0x2c <f>]")
+    frame = spark.range(50_000).select(F.lit("one log").alias("series"), F.col("id").alias("seq"), line.alias("line"))
+    began = time.perf_counter()
+    rows = jit.parse(frame).groupBy(F.col("seq") % 5, "reason").count().collect()
+    assert time.perf_counter() - began < 60
+    assert {(r[0], r.reason): r["count"] for r in rows} == {(0, "why"): 10_000, (1, "why"): 10_000, (2, "why"): 10_000, (3, "why"): 10_000, (4, "why"): 9_999, (4, None): 1}
+
+
+def test_lines_of_collector_logs(spark):
+    from tracequill.operators import memory
+
+    log = [
+        "[82365:0x158001600]    11623 ms: Scavenge 78.6 (92.8) -> 69.5 (93.8) MB, 1.9 / 0.0 ms  (average mu = 0.994, current mu = 0.994) allocation failure",
+        "[1:0x1]\t12456 ms:\tMark-sweep\t93.8 (109.6)->84.2 (107.2) MB, 6.3/0.5ms  more", "12 ms: Mark-sweep (reduce) 93.8 (109.6) -> 84.2 (107.2) MB, 6.3 / 0.0 ms", "11623 ms: Scavenge 78.6 -> 69.5 MB", "nothing", "",
+    ]
+    got = memory.gc_entries(spark.createDataFrame(list(enumerate(log)), "seq long, line string")).orderBy("seq").collect()
+    assert [(r.seq, r.ts_ms, r.type, r.heap_before, r.heap_after, r.pause_ms, r.pause_type) for r in got] == [
+        (0, 11623, "Scavenge", int(78.6 * 1048576), int(69.5 * 1048576), 1.9, "minor"), (1, 12456, "Mark-sweep", int(93.8 * 1048576), int(84.2 * 1048576), 6.8, "major"),
+    ]
+
+
 def test_reports(spark):
     document = {"version": 1, "eventSummary": {"channels": [{"channel": "a<b", "total": 2}], "totalEvents": 4, "totalOperations": 2, "errorRate": 0.5}, "keyFindings": ["slow"]}
     assert reports.from_text(reports.to_text(document)) == document

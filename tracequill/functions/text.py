@@ -35,7 +35,7 @@ def shortened(text: Column, most: int = 80) -> Column:
 
 
 def evidence(calls: str, errors: str, error_rate: str, p95: str, avg: str, unexplained: str, magnitude: str, criticality: str, blame: str) -> Column:
-    """What speaks for a service as a cause, as an array of sentences."""
+    """What speaks for a service as a cause, as an array of sentences. Their wording is fixed."""
     c = F.col
     whole = lambda x: F.round(x * 100).cast("int")
     lines = F.array(
@@ -50,7 +50,7 @@ def evidence(calls: str, errors: str, error_rate: str, p95: str, avg: str, unexp
 
 
 def symptom(signal: str, calls: str, errors: str, error_rate: str, p95: str, magnitude: str) -> Column:
-    """What is seen of a service, by its first signal."""
+    """What is seen of a service, by its first signal. The wording is fixed."""
     share = F.round(F.col(magnitude) * 100).cast("int")
     return (
         F.when(F.col(error_rate) > 0, F.format_string("error rate %.1f%% (%d/%d calls)", F.round(F.col(error_rate) * 100, 1), errors, calls))
@@ -68,6 +68,9 @@ ADVICE = (
     (("ec2 ",), "ECONN reset during a call — check for proxy/load-balancer timeouts or dropped keep-alive connections."),
 )
 
+#: Fixed value: what is said where nothing else is.
+NO_ADVICE = "No obvious systemic fault — compare top-ranked services against their latency baselines and check for saturation."
+
 
 def advice(message: Column) -> Column:
     """The pieces of advice that an error message calls for."""

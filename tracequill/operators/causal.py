@@ -17,13 +17,21 @@ ASYNC_KEYS, TRIGGER_KEYS = ("asyncId", "async_id"), ("triggerAsyncId", "trigger_
 
 
 def _context(keys: tuple[str, ...]) -> Column:
-    return F.coalesce(*(F.nullif(F.get_json_object("context_json", f"$.{k}"), F.lit("")) for k in keys))
+    """The first of the keys that holds a text or a number; other values (true, lists, objects) are no ids."""
+
+    def held(key: str) -> Column:
+        text = F.get_json_object("context_json", f"$.{key}")
+        # Only the kind of the value is asked of the variant: numbers are taken as they are written.
+        kind = F.schema_of_variant(F.variant_get(F.try_parse_json("context_json"), f"$.{key}", "variant"))
+        return F.when((text != "") & ~F.when(text.isin("true", "false") | text.startswith("[") | text.startswith("{"), F.coalesce(kind != "STRING", F.lit(False))).otherwise(False), text)
+
+    return F.coalesce(*map(held, keys))
 
 
 def causal_nodes(events: DataFrame, scope: str | None = None) -> DataFrame:
     """A node per operation key: the first start and the last end or error, in order of arrival (seq).
 
-    An operation without a start begins at its first end and is `unpaired`. Parent and trigger are
+    The channel is that of its first record. An operation without a start begins at its first end and is `unpaired`. Parent and trigger are
     those of its first start, or first end where there is none; an asynchronous id registers only if
     the start came first. scope: a column that bounds where parents are looked for.
     """
@@ -31,7 +39,7 @@ def causal_nodes(events: DataFrame, scope: str | None = None) -> DataFrame:
     starts, ends = F.col("event_type") == "start", F.col("event_type") != "start"
     first = F.struct(F.when(starts, 0).otherwise(1), "seq")
     nodes = rows.groupBy("id", *([scope] if scope else [])).agg(
-        F.min_by("channel", first).alias("channel"),
+        F.min_by("channel", "seq").alias("channel"),
         F.coalesce(F.min_by("ts_ms", F.when(starts, F.col("seq"))), F.min_by("ts_ms", F.when(ends, F.col("seq")))).alias("start_ms"),
         F.max_by("ts_ms", F.when(ends, F.col("seq"))).alias("end_ms"),
         F.coalesce(F.max_by(F.when(F.col("event_type") == "error", "error").otherwise("success"), F.when(ends, F.col("seq"))), F.lit("incomplete")).alias("status"),

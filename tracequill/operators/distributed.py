@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp, operation_key, percentile
-from ..functions.text import ADVICE, advice, evidence, symptom
+from ..functions.text import ADVICE, NO_ADVICE, advice, evidence, symptom
 from ..plans.stages import saved
 from .trees import climb
 
@@ -165,12 +165,6 @@ def cascade(edges: DataFrame, nodes: DataFrame, found: DataFrame, source: str, m
     return rows.withColumn("signal", signal).select("step", "service", "depth", "signal", clamp(F.col("magnitude")).alias("impact"), symptom("signal", "calls", "errors", "error_rate", "p95_ms", "magnitude").alias("symptom"))
 
 
-def confidence(ranked: DataFrame) -> DataFrame:
-    """root_causes with `confidence`: the lead of a service's score over the next one's, and the score itself, as a share of 1."""
-    after = F.lead("score", 1, 0.0).over(Window.orderBy("rank"))  # a row per service
-    return ranked.withColumn("confidence", F.round(clamp(F.col("score") + (F.col("score") - after)), 6))
-
-
 def explained(ranked: DataFrame, nodes: DataFrame) -> DataFrame:
     """root_causes with the evidence for each service, in words."""
     rows = ranked.join(nodes.select("service", "calls", "errors", "error_rate", "p95_ms", "avg_ms"), "service")
@@ -178,6 +172,21 @@ def explained(ranked: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.withColumn("evidence", words).drop("calls", "errors", "error_rate", "p95_ms", "avg_ms")
 
 
+def confidence(told: DataFrame, spans: DataFrame) -> DataFrame:
+    """explained() with `confidence` in the first service as the cause; null for the others.
+
+    It grows with the lead of its score over the next one's, with the traces seen (five are enough)
+    and with its pieces of evidence (three are enough), between 0.3 and 0.95.
+    """
+    traces = spans.agg(F.count_distinct("trace_id").alias("_traces"))
+    after = F.lead("score", 1, 0.0).over(Window.orderBy("rank"))  # a row per service
+    lead = F.greatest(F.lit(0.0), F.col("score") - after)
+    share = 0.45 + 0.3 * F.least(F.lit(1.0), lead) + 0.15 * F.least(F.lit(1.0), F.col("_traces") / 5) + 0.1 * F.least(F.lit(1.0), F.size("evidence") / 3)
+    held = F.greatest(F.lit(0.3), F.least(F.lit(0.95), share))
+    rows = told.join(F.broadcast(traces), how="cross")  # one row
+    return rows.withColumn("confidence", F.when(F.col("rank") == 1, F.round(held, 6))).drop("_traces")
+
+
 def recommendations(ranked: DataFrame, spans: DataFrame) -> DataFrame:
     """(place, text): advice by what error messages say, then by the first service's signal, then what to treat as effects."""
     order = F.create_map(*(F.lit(v) for i, (_, text) in enumerate(ADVICE) for v in (text, i)))
@@ -190,7 +199,9 @@ def recommendations(ranked: DataFrame, spans: DataFrame) -> DataFrame:
     others = ranked.filter("rank BETWEEN 2 AND 4").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "service"))), lambda x: x["service"]), ", ").alias("others"))
     tail = first.join(others, how="cross").filter("others <> ''")  # one row and one row
     tail = tail.select(F.lit(11).alias("place"), F.concat(F.lit("Treat downstream services ("), "others", F.lit(") as effects until "), "service", F.lit(" is resolved.")).alias("text"))
-    return said.unionByName(head).unionByName(tail)
+    found = said.unionByName(head).unionByName(tail)
+    last = F.when(F.count("*") == 0, F.array(F.struct(F.lit(12).alias("place"), F.lit(NO_ADVICE).alias("text")))).otherwise(F.collect_list(F.struct("place", "text")))
+    return found.agg(last.alias("r")).select(F.inline("r"))  # a handful of sentences
 
 
 def analyse(spans: DataFrame) -> dict[str, DataFrame]:
@@ -199,8 +210,8 @@ def analyse(spans: DataFrame) -> dict[str, DataFrame]:
     skewed = saved(correct_skew(linked))
     nodes, edges, found = saved(service_nodes(linked)), saved(service_edges(linked)), saved(anomalies(skewed))
     paths = saved(critical_paths(linked))
-    ranked = saved(confidence(root_causes(nodes, found, criticality(paths), blame(edges, found))))
-    return {"spans": skewed, "nodes": nodes, "edges": edges, "paths": paths, "causes": explained(ranked, nodes), "recommendations": recommendations(ranked, spans)}
+    ranked = saved(root_causes(nodes, found, criticality(paths), blame(edges, found)))
+    return {"spans": skewed, "nodes": nodes, "edges": edges, "paths": paths, "causes": confidence(explained(ranked, nodes), spans), "recommendations": recommendations(ranked, spans)}
 
 
 def operation_spans(ops: DataFrame, events: DataFrame) -> DataFrame:

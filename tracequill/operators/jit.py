@@ -2,35 +2,115 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cache_state, clamp, severity
 
-# Pieces of the log's lines, as the engine prints them.
-_ADDRESS, _INFO = r"(0x[0-9a-f]+)", r"<SharedFunctionInfo ([^>]*)>"
-_CACHE = r"([A-Za-z]+(?:IC|BCH|MEG))"
-IC = rf"\b{_CACHE}\b"
-IC_OBJECT = rf"^\s*\[?\s*{_CACHE}\s*(?:\[\d+\])?\s*(?:in optimized code)?\s*\]?\s*\(0x[0-9a-f]+\)"
-IC_STATE = r"(?i)\b(slow|megamorphic|polymorphic|monomorphic|uninitialized|generic)\b"
-BAILOUT = r"^\[bailout \(kind: deopt-(\w+), reason: ([^)\]]+)\)\]"
-BEGIN = rf"^\[deoptimizing \(DEOPT (\w+)\): begin {_ADDRESS} <([^>]*)>(?:\s+at\s+(\S+))?\]"
-END = rf"^\[deoptimizing \(DEOPT (\w+)\): end {_ADDRESS} <([^>]*)>"
-TRANSITION = rf'^Map.*transition from {_ADDRESS} to {_ADDRESS}(?:\s+for\s+"([^"]+)")?(?:\s+at\s+(\S+))?'
-OPT = {
-    "marking": rf"^\[marking {_ADDRESS} {_INFO}.*reason:\s*([^,\]]+)",
-    "disabled": rf"^\[disabled optimization for {_ADDRESS} {_INFO}.*reason:\s*([^,\]]+)",
-    "compiling": rf"^\[compiling method {_ADDRESS} {_INFO} using ([A-Za-z]+)\]",
-    "optimized": rf"^\[optimizing {_ADDRESS} {_INFO}\s*(?:-\s*took ([0-9.]+) ms)?\]",
-    "reoptimize": rf"^\[reoptimizing {_ADDRESS} {_INFO}",
-}
+#: How the engine's statements begin, and what each is called here.
+STATEMENTS = {"[marking ": "marking", "[disabled optimization for ": "disabled", "[compiling method ": "compiling", "[optimizing ": "optimized", "[reoptimizing ": "reoptimize"}
+#: Endings of a cache's name, and words for its state; two of them mean megamorphic.
+CACHES = ("IC", "BCH", "MEG")
+STATES = ("uninitialized", "monomorphic", "polymorphic", "megamorphic", "slow", "generic")
 #: Thresholds of the findings.
 MAPS, STORM, STORM_WINDOW, FRAGMENTS = 4, 3, 40, 3
 
 
-def _part(pattern: str, group: int = 1) -> Column:
-    """A group of the line's match, null where it is empty."""
-    return F.nullif(F.regexp_extract("line", pattern, group), F.lit(""))
+#: The fields of a record, in the order of parse(); a class fills those it has.
+FIELDS = {
+    "class": "string", "kind": "string", "site": "string", "offset": "int", "key": "string", "state": "string", "maps": "array<string>", "address": "string",
+    "target": "string", "name": "string", "reason": "string", "took_ms": "double", "begins": "boolean",
+}
+
+
+def _record(**known: Column) -> Column:
+    return F.struct(*(known.get(k, F.lit(None)).cast(t).alias(k) for k, t in FIELDS.items()))
+
+
+# The helpers below name their text once each: nested, an expression stays linear in its depth.
+def _after(text: Column, mark: str) -> Column:
+    """What follows the first mark in text, null where it does not occur."""
+    return F.get(F.split(text, re.escape(mark), 2), F.lit(1))
+
+
+def _kept(text: Column, test) -> Column:
+    """text where test holds, else null."""
+    return F.get(F.filter(F.array(text), test), F.lit(0))
+
+
+def _until(text: Column, *marks: str) -> Column:
+    """The text before the first of the marks; null where nothing stands there."""
+    for mark in marks:
+        text = F.substring_index(text, mark, 1)
+    return _kept(F.trim(text), lambda w: w != "")
+
+
+def _address(text: Column) -> Column:
+    """The first word of text if it is an address, else null."""
+    return _kept(F.substring_index(text, " ", 1), lambda w: w.rlike("^0x[0-9a-f]+$"))
+
+
+def _caches(rows: DataFrame) -> DataFrame:
+    """rows with _ic: fields of an inline cache's line, null without a cache's name.
+
+    The name is the first word of letters with one of the known endings; the address in brackets right after
+    it is the cache's own and no map.
+    """
+    line = F.col("line")
+    named = lambda w: w.rlike("^[A-Za-z]+$") & F.exists(F.array(*map(F.lit, CACHES)), lambda e: w.endswith(e) & (F.length(w) > F.length(e)))
+    rows = rows.withColumn("_words", F.split(line, r"\W+")).withColumn("_name", F.get(F.filter("_words", named), F.lit(0)))
+    lead = F.replace(F.translate(F.substring_index(line, "(0x", 1), "[] 0123456789", ""), F.lit("inoptimizedcode"), F.lit(""))
+    rest = F.when(line.contains("(0x") & (lead == F.col("_name")), _after(line, ")")).otherwise(line)
+    here = F.col("_name").isNotNull()
+    rows = rows.withColumn("_maps", F.when(here, F.array_distinct(F.regexp_extract_all(rest, F.lit(r"0[xX]\p{XDigit}+"), 0))))
+    rows = rows.withColumn("_said", F.when(here, F.get(F.filter(F.transform("_words", F.lower), lambda w: w.isin(*STATES)), F.lit(0))))
+    state = F.when(F.col("_said").isin("slow", "generic"), "megamorphic").otherwise(F.coalesce("_said", cache_state(F.size("_maps"))))
+    offset = F.regexp_extract(_after(line, "offset "), r"^\d+", 0).try_cast("int")
+    fields = _record(**{"class": F.lit("ic")}, kind=F.col("_name"), site=_until(_after(line, " at "), " "), offset=offset, key=_until(_after(line, "[key:"), "]"), state=state, maps=F.col("_maps"))
+    return rows.withColumn("_ic", F.when(here, fields)).drop("_name", "_maps", "_said")
+
+
+def _optimizations(rows: DataFrame) -> DataFrame:
+    """rows with _opt: fields of a statement about a function's optimisation; detail is its reason, compiler or time."""
+    line, kind, tail, detail = F.col("line"), F.col("_kind"), F.col("_tail"), F.col("_detail")
+    rows = rows.withColumn("_kind", F.coalesce(*(F.when(line.startswith(k), v) for k, v in STATEMENTS.items())))
+    rows = rows.withColumn("_rest", F.coalesce(*(F.when(kind == v, _after(line, k)) for k, v in STATEMENTS.items())))
+    rows = rows.withColumn("_tail", _after(F.col("_rest"), ">"))
+    told = (
+        F.when(kind.isin("marking", "disabled") & tail.contains("reason:"), _until(F.substring_index(tail, "reason:", -1), ",", "]"))
+        .when((kind == "compiling") & tail.startswith(" using "), _until(_after(tail, " using "), "]")).when(kind == "optimized", _until(_after(tail, "- took "), " ms]"))
+    )
+    rows = rows.withColumn("_detail", told)
+    whole = F.when(kind == "reoptimize", tail.isNotNull()).when(kind == "optimized", F.ltrim(tail).startswith("]") | detail.try_cast("double").isNotNull()).when(kind == "compiling", detail.rlike("^[A-Za-z]+$")).otherwise(detail.isNotNull())
+    named = F.when((kind == "compiling") & F.array_contains("_words", "OSR"), "osr").otherwise(kind)
+    name, took = _until(_after(F.col("_rest"), "<SharedFunctionInfo "), ">"), F.when(kind == "optimized", detail.try_cast("double"))
+    fields = _record(**{"class": F.lit("opt")}, kind=named, address=_address(F.col("_rest")), name=name, reason=detail, took_ms=took)
+    here = whole & F.col("_rest").contains("<SharedFunctionInfo ") & _address(F.col("_rest")).isNotNull()
+    return rows.withColumn("_opt", F.when(here, fields)).drop("_kind", "_rest", "_tail", "_detail")
+
+
+def _deoptimizations(rows: DataFrame) -> DataFrame:
+    """rows with _deopt: fields of the beginning or end of a deoptimisation."""
+    begins, told, tail = F.col("_begins"), F.col("_told"), F.col("_tail")
+    rows = rows.withColumn("_rest", _after(F.col("line"), "[deoptimizing (DEOPT ")).withColumn("_begins", F.col("_rest").contains("): begin "))
+    rows = rows.withColumn("_told", F.when(begins, _after(F.col("_rest"), "): begin ")).otherwise(_after(F.col("_rest"), "): end "))).withColumn("_tail", F.ltrim(_after(told, ">")))
+    whole = tail.isNotNull() & (~begins | tail.startswith("]") | (tail.startswith("at ") & tail.contains("]"))) & F.col("line").startswith("[") & _address(told).isNotNull()
+    site = F.when(begins & tail.startswith("at "), _until(_after(tail, "at "), "]"))
+    fields = _record(**{"class": F.lit("deopt")}, kind=_until(F.col("_rest"), ")"), address=_address(told), name=_until(_after(told, "<"), ">"), site=site, begins=begins)
+    return rows.withColumn("_deopt", F.when(whole, fields)).drop("_rest", "_begins", "_told", "_tail")
+
+
+def _transitions(rows: DataFrame) -> DataFrame:
+    """rows with _map: fields of a step from one hidden class to another."""
+    told, tail, rest = F.col("_told"), F.col("_tail"), F.col("_rest")
+    rows = rows.withColumn("_told", F.when(F.col("line").startswith("Map"), _after(F.col("line"), "transition from "))).withColumn("_tail", _after(told, " to "))
+    rows = rows.withColumn("_rest", _after(tail, " ")).withColumn("_key", F.when(rest.startswith('for "'), _until(_after(rest, 'for "'), '"')))
+    rows = rows.withColumn("_rest", F.when(F.col("_key").isNotNull(), F.ltrim(F.substring_index(rest, '"', -1))).otherwise(rest))
+    site = F.when(rest.startswith("at "), _until(_after(rest, "at "), " "))
+    fields = _record(**{"class": F.lit("map")}, kind=F.lit("transition"), address=_address(told), target=_address(tail), key=F.col("_key"), site=site)
+    return rows.withColumn("_map", F.when(_address(told).isNotNull() & _address(tail).isNotNull(), fields)).drop("_told", "_tail", "_rest", "_key")
 
 
 def parse(lines: DataFrame) -> DataFrame:
@@ -38,44 +118,33 @@ def parse(lines: DataFrame) -> DataFrame:
 
     A line is of the first class that fits: bailout, ic, opt, deopt, map. A deoptimisation's reason is
     that of the last bailout since one ended; a beginning without takes that of the next bailout before
-    another begins.
+    another begins. Each line is read once, by brackets and keywords; reasons pass along two sorted runs
+    of a log, forward and backward, so time is linear in its lines.
     """
-    rows = lines.withColumn("line", F.trim("line")).filter("line <> ''")
-    has = lambda p: F.col("line").rlike(p)
-    opt = F.coalesce(*(F.when(has(p), k) for k, p in OPT.items()))
-    rows = rows.withColumn("_opt", opt)
-    kind = F.when(has(BAILOUT), "bailout").when(has(IC), "ic").when(F.col("_opt").isNotNull(), "opt").when(has(BEGIN) | has(END), "deopt").when(has(TRANSITION), "map")
-    rows = rows.withColumn("class", kind).filter("class IS NOT NULL")
-    third = F.coalesce(*(F.when(F.col("_opt") == k, _part(p, 3)) for k, p in OPT.items() if k != "reoptimize"))
-    named = lambda g: F.coalesce(*(F.when(F.col("_opt") == k, _part(p, g)) for k, p in OPT.items()))
-    maps = F.array_distinct(F.regexp_extract_all(F.regexp_replace("line", IC_OBJECT, ""), F.lit("(?i)(0x[0-9a-f]+)"), 1))
-    word = F.lower(_part(IC_STATE))
-    word = F.when(word.isin("slow", "generic"), "megamorphic").otherwise(word)
-    of = lambda c, x: F.when(F.col("class") == c, x)
-    rows = rows.withColumn("maps", of("ic", maps)).withColumn("_third", third).withColumn("_begins", of("deopt", F.col("line").contains("begin")))
-    rows = rows.withColumn("_why", of("bailout", _part(BAILOUT, 2)))
-    by = Window.partitionBy("series").orderBy("seq")
-    past, ahead = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(1, Window.unboundedFollowing)
-    said = F.when(F.col("_why").isNotNull(), F.struct("seq", "_why"))
-    rows = rows.withColumn("_last", F.last(said, True).over(past)).withColumn("_reset", F.last(F.when((F.col("class") == "deopt") & F.col("line").contains("end"), F.col("seq")), True).over(past))
-    rows = rows.withColumn("_next", F.first(said, True).over(ahead)).withColumn("_again", F.first(F.when(F.col("_begins"), F.col("seq")), True).over(ahead))
-    pending = F.when(F.col("_reset").isNull() | (F.col("_last.seq") > F.col("_reset")), F.col("_last._why"))
-    later = F.when(F.col("_begins") & (F.col("_again").isNull() | (F.col("_next.seq") < F.col("_again"))), F.col("_next._why"))
-    begin, osr = has(BEGIN), has(r"\bOSR\b")
-    return rows.select(
-        "series", "seq", "class",
-        F.coalesce(of("bailout", _part(BAILOUT)), of("ic", _part(IC)), of("opt", F.when((F.col("_opt") == "compiling") & osr, "osr").otherwise(F.col("_opt"))), of("deopt", F.when(begin, _part(BEGIN)).otherwise(_part(END))), of("map", F.lit("transition"))).alias("kind"),
-        F.coalesce(of("ic", _part(r"\bat\s+(\S+)")), of("deopt", _part(BEGIN, 4)), of("map", _part(TRANSITION, 4))).alias("site"),
-        of("ic", _part(r"\boffset\s+(\d+)").cast("int")).alias("offset"),
-        F.coalesce(of("ic", F.trim(_part(r"\[key:\s*([^\]]*)\]"))), of("map", _part(TRANSITION, 3))).alias("key"),
-        of("ic", F.coalesce(word, cache_state(F.size("maps")))).alias("state"), "maps",
-        F.coalesce(of("opt", named(1)), of("deopt", F.when(begin, _part(BEGIN, 2)).otherwise(_part(END, 2))), of("map", _part(TRANSITION, 1))).alias("address"),
-        of("map", _part(TRANSITION, 2)).alias("target"),
-        F.coalesce(of("opt", named(2)), of("deopt", F.when(begin, _part(BEGIN, 3)).otherwise(_part(END, 3)))).alias("name"),
-        F.coalesce(of("bailout", F.col("_why")), of("opt", F.col("_third")), of("deopt", F.coalesce(pending, later))).alias("reason"),
-        of("opt", F.when(F.col("_third").rlike("^[A-Za-z]+$"), F.col("_third"))).alias("compiler"),
-        F.when(F.col("_opt") == "optimized", F.col("_third").try_cast("double")).alias("took_ms"), F.coalesce("_begins", F.lit(False)).alias("begins"), F.col("line").alias("raw"),
-    )
+    rows = lines.select("series", "seq", F.trim(F.regexp_replace("line", r"\s+", " ")).alias("line")).filter("line <> ''")
+    rows = rows.withColumn("_told", F.when(F.col("line").startswith("[bailout (kind: deopt-") & F.col("line").contains(")]"), _after(F.col("line"), "(kind: deopt-")))
+    bailout = _record(**{"class": F.lit("bailout")}, kind=_until(F.col("_told"), ","), reason=_until(_after(F.col("_told"), "reason: "), ")", "]"))
+    rows = rows.withColumn("_bail", F.when(F.col("_told").contains("reason: "), bailout)).drop("_told")
+    rows = _transitions(_deoptimizations(_optimizations(_caches(rows))))
+    # inline() drops lines of no class and keeps the optimizer from writing the fields out once for each that is read later.
+    first = F.coalesce("_bail", "_ic", "_opt", "_deopt", "_map")
+    rows = _with_reasons(rows.select("series", "seq", "line", F.inline(F.array_compact(F.array(first)))))
+    compiler = F.when(F.col("class") == "opt", _kept(F.col("reason"), lambda w: w.rlike("^[A-Za-z]+$")))
+    rows = rows.withColumn("compiler", compiler).withColumn("reason", F.coalesce("reason", "_why")).withColumn("begins", F.coalesce("begins", F.lit(False)))
+    return rows.select("series", "seq", *(c for c in FIELDS if c not in ("took_ms", "begins")), "compiler", "took_ms", "begins", F.col("line").alias("raw"))
+
+
+def _with_reasons(rows: DataFrame) -> DataFrame:
+    """rows with _why: the bailout that a deoptimisation's line belongs to. Both frames grow from the start of their order."""
+    ends = ~F.col("begins")
+    said = F.when(F.col("class") == "bailout", F.struct("seq", F.col("reason").alias("why")))
+    back, ahead = (Window.partitionBy("series").orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in ("seq", F.desc("seq")))
+    last, ended = F.last(said, True).over(back), F.last(F.when(ends, F.col("seq")), True).over(back)
+    following, again = F.last(said, True).over(ahead), F.last(F.when(F.col("begins"), F.col("seq")), True).over(ahead)
+    rows = rows.withColumn("_last", last).withColumn("_ended", ended).withColumn("_next", following).withColumn("_again", again)
+    pending = F.when(F.col("_ended").isNull() | (F.col("_last.seq") > F.col("_ended")), F.col("_last.why"))
+    later = F.when(F.col("begins") & (F.col("_again").isNull() | (F.col("_next.seq") < F.col("_again"))), F.col("_next.why"))
+    return rows.withColumn("_why", F.when(F.col("class") == "deopt", F.coalesce(pending, later)))
 
 
 def log_files(events: DataFrame) -> DataFrame:
@@ -85,7 +154,7 @@ def log_files(events: DataFrame) -> DataFrame:
 
 
 def site_key() -> Column:
-    return F.concat("kind", F.lit("@"), F.coalesce("site", F.lit("unknown")))
+    return F.concat("kind", F.lit("@"), F.coalesce("site", F.lit("<anonymous>")))
 
 
 def sites(events: DataFrame) -> DataFrame:

@@ -6,12 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MIB = 1024 * 1024
-# A collector's line: time, kind, sizes before and after (with what is committed) in MB, pauses.
-_NUMBER = r"([\d.]+)"
-_SIZE = rf"{_NUMBER} *\({_NUMBER}\)"
-GC_LINE = rf"(\d+) *ms: +(\S+) +{_SIZE} *-> *{_SIZE} +MB, +{_NUMBER} */ *{_NUMBER} *ms"
-
-
 def _slope(y: str, x: str) -> Column:
     return F.coalesce(F.expr(f"regr_slope({y}, {x})"), F.lit(0.0))
 
@@ -29,15 +23,33 @@ def growth(samples: DataFrame) -> DataFrame:
     return out.withColumn("flagged", (F.col("external_mb_s") > 1) | (F.col("rss_mb_s") > 2))
 
 
+def _collector_fields(line: Column) -> Column:
+    """A collector's line as a struct, null where the line is none.
+
+    Before `ms:` stands the time; after it come words: the kind, the heap and its committed size in
+    brackets, an arrow, both again, `MB,`, and two pauses with a slash between.
+    """
+    plain = F.regexp_replace(F.replace(F.replace(line, F.lit("->"), F.lit(" -> ")), F.lit("/"), F.lit(" / ")), r"\s+", " ")
+    stamp, told = F.substring_index(plain, "ms:", 1), F.ltrim(F.substring_index(plain, "ms:", -1))
+    words = F.split(told, " ")
+    word = lambda k: F.get(words, F.lit(k))
+    number = lambda x: F.translate(x, "ms", "").try_cast("double")
+    bracketed = lambda x: x.startswith("(") & x.endswith(")")
+    fields = F.struct(
+        F.regexp_extract(F.rtrim(stamp), r"\d+$", 0).try_cast("long").alias("ts_ms"), word(0).alias("type"), number(word(1)).alias("before_mb"), number(word(4)).alias("after_mb"),
+        (number(word(7)) + number(word(9))).alias("pause_ms"),
+    )
+    form = (plain.contains("ms:")) & (word(3) == "->") & (word(6) == "MB,") & (word(8) == "/") & bracketed(word(2)) & bracketed(word(5))
+    return F.when(form, fields)
+
+
 def gc_entries(lines: DataFrame) -> DataFrame:
     """lines (seq, line) -> collector runs; lines of another form are left out."""
-    part = lambda k: F.regexp_extract("line", GC_LINE, k)
-    rows = lines.filter(F.col("line").rlike(GC_LINE))
-    bytes_of = lambda k: F.floor(part(k).cast("double") * MIB)
+    rows = lines.select("seq", _collector_fields(F.col("line")).alias("g")).select("seq", "g.*").dropna()
+    bytes_of = lambda c: F.floor(F.col(c) * MIB)
     return rows.select(
-        "seq", part(1).cast("long").alias("ts_ms"), part(2).alias("type"), bytes_of(3).alias("heap_before"), bytes_of(5).alias("heap_after"),
-        (part(7).cast("double") + part(8).cast("double")).alias("pause_ms"),
-        F.when(F.lower(part(2)).contains("scavenge"), "minor").otherwise("major").alias("pause_type"),
+        "seq", "ts_ms", "type", bytes_of("before_mb").alias("heap_before"), bytes_of("after_mb").alias("heap_after"), "pause_ms",
+        F.when(F.lower("type").contains("scavenge"), "minor").otherwise("major").alias("pause_type"),
     )
 
 

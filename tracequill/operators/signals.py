@@ -50,20 +50,21 @@ def local_cause(stats: DataFrame, ops: DataFrame, depths: DataFrame | None = Non
 def noise_regions(events: DataFrame, series: str, gap_ms: float = 50.0, pause_ms: float = 15.0, prefixes: dict = NOISE_PREFIXES) -> DataFrame:
     """(series, kind, first, last): runs of run-specific noise, and idle gaps behind finished events.
 
-    Collector runs count from pause_ms on, and hide gaps. Of another run, events behind a wide gap are
+    A series of one event has none. Collector runs count from pause_ms on, and hide gaps. Of another run, events behind a wide gap are
     gaps until the first that is not; from there the run goes on to its end, whatever gaps it has.
     """
     by = Window.partitionBy(series).orderBy("ts_ms", *(["channel"] if "rel_ms" in events.columns else []), "seq")
     rows = events.withColumn("i", F.row_number().over(by) - 1).withColumn("kind", noise_kind(F.concat_ws("|", "channel", "event_type"), prefixes))
+    rows = rows.withColumn("_n", F.count("*").over(Window.partitionBy(series))).filter("_n > 1")
     rows = rows.withColumn("gap", F.col("ts_ms") - F.lag("ts_ms").over(by)).withColumn("before", F.lag("event_type").over(by))
     wide = F.coalesce((F.col("gap") > gap_ms) & F.col("before").isin("end", "asyncEnd", "error"), F.lit(False))
     fresh = F.coalesce(~F.col("kind").eqNullSafe(F.lag("kind").over(by)), F.lit(True))
-    rows = rows.withColumn("wide", wide & ~F.col("kind").eqNullSafe(F.lit("gc-pause"))).withColumn("run", F.sum(F.when(fresh | (F.col("i") == 0), 1).otherwise(0)).over(by))
-    run = Window.partitionBy(series, "run")
+    rows = rows.withColumn("wide", wide & ~F.col("kind").eqNullSafe(F.lit("gc-pause"))).withColumn("_stretch", F.sum(F.when(fresh | (F.col("i") == 0), 1).otherwise(0)).over(by))
+    run = Window.partitionBy(series, "_stretch")
     begin = F.when(F.col("kind").isNotNull(), F.min(F.when(~F.col("wide"), F.col("i"))).over(run))
-    rows = rows.withColumn("begin", begin).select(series, "i", "kind", "ts_ms", "wide", "run", "begin")
+    rows = rows.withColumn("begin", begin).select(series, "i", "kind", "ts_ms", "wide", "_stretch", "begin")
     gaps = rows.filter("wide AND (begin IS NULL OR i < begin)").select(series, F.lit("inter-event-gap").alias("kind"), (F.col("i") - 1).alias("first"), F.col("i").alias("last"))
-    islands = rows.filter("i >= begin").groupBy(series, "run", "kind").agg(F.min("i").alias("first"), F.max("i").alias("last"), (F.max("ts_ms") - F.min("ts_ms")).alias("long"))
+    islands = rows.filter("i >= begin").groupBy(series, "_stretch", "kind").agg(F.min("i").alias("first"), F.max("i").alias("last"), (F.max("ts_ms") - F.min("ts_ms")).alias("long"))
     islands = islands.filter((F.col("kind") != "gc-pause") | (F.col("long") >= pause_ms))
     return islands.select(series, "kind", "first", "last").unionByName(gaps)
 
@@ -77,17 +78,25 @@ def context_changes(pairs: DataFrame) -> DataFrame:
 
 
 def stack_frames(stacks: DataFrame) -> DataFrame:
-    """stacks (id, stack) -> (id, place, function, file, line, col) of each frame, in either form of the engine."""
-    named, bare = r"^\s*at (.+?) \((.+):(\d+):(\d+)\)\s*$", r"^\s*at (?:async )?(.+):(\d+):(\d+)\s*$"
-    rows = stacks.select("id", F.posexplode(F.split("stack", "\n")).alias("place", "text"))
-    is_named, is_bare = F.col("text").rlike(named), F.col("text").rlike(bare)
+    """stacks (id, stack) -> (id, place, function, file, line, col, filtered) of each line that begins with `at`.
 
-    def part(a: int | None, b: int | None) -> Column:
-        x = F.regexp_extract("text", named, a) if a else F.lit(None)
-        y = F.regexp_extract("text", bare, b) if b else F.lit(None)
-        return F.when(is_named, x).otherwise(y)
-
-    return rows.filter(is_named | is_bare).select("id", "place", part(1, None).alias("function"), part(2, 1).alias("file"), part(3, 2).cast("int").alias("line"), part(4, 3).cast("int").alias("col"))
+    A frame is a name with its place in brackets, or a place alone; a place without line and column is
+    kept as it stands. Filtered are frames of the runtime (no file, its own scripts, node: modules
+    outside of node_modules) and native ones (native files, names with `::` or `*`).
+    """
+    rows = stacks.select("id", F.posexplode(F.split("stack", "\n")).alias("place", "text")).withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", "")).filter(F.col("text").startswith("at "))
+    body = F.ltrim(F.substring("text", 4, 1 << 30))
+    inside = F.regexp_extract(body, r"\(([^()]*)\)$", 1)
+    bracketed = body.endswith(")") & body.contains("(")
+    rows = rows.withColumn("spot", F.trim(F.when(bracketed, inside).otherwise(body))).withColumn("name", F.when(bracketed, F.trim(F.substr(body, F.lit(1), F.length(body) - F.length(inside) - 2))).otherwise(""))
+    placed = F.col("spot").rlike(r":\d+:\d+$")
+    number = lambda k: F.when(placed, F.element_at(F.split("spot", ":"), k).cast("int"))
+    file = F.when(placed, F.regexp_replace("spot", r":\d+:\d+$", "")).otherwise(F.col("spot"))
+    rows = rows.select("id", "place", F.when(F.col("name") == "", "[anonymous]").otherwise(F.col("name")).alias("function"), file.alias("file"), number(-2).alias("line"), number(-1).alias("col"))
+    f = F.col("file")
+    runtime = (f == "") | f.startswith("internal/") | f.startswith("node:internal/") | f.isin("[eval]", "<anonymous>") | (f.contains("node:") & ~f.contains("node_modules/"))
+    native = f.contains("native") | F.col("function").contains("::") | F.col("function").contains("*")
+    return rows.withColumn("filtered", runtime | native)
 
 
 OTLP = (

@@ -100,7 +100,7 @@ def _ranked(spark, d):
 
 def cause_evidence(spark, d):
     nodes, ranked = _ranked(spark, d)
-    return dist.explained(dist.confidence(ranked), nodes).select("service", "rank", "confidence", F.array_join("evidence", " | ").alias("evidence"))
+    return dist.confidence(dist.explained(ranked, nodes), spans(spark, d)).select("service", "rank", "confidence", F.array_join("evidence", " | ").alias("evidence"))
 
 
 def recommendations(spark, d):
@@ -154,11 +154,12 @@ ORACLE_SQL = {
 SELECT step::INT AS step, service, depth, signal, round(least(1, greatest(0, magnitude)), 6) AS impact, CASE WHEN error_rate > 0 THEN printf('error rate %.1f%% (%d/%d calls)', round(error_rate * 100, 1), errors, calls)
   WHEN signal = 'latency' THEN printf('latency up to %.0fms (%d%% above baseline)', round(p95_ms), round(magnitude * 100)::INT) ELSE printf('throughput pressure / queue backlog (%d%% of normal load)', round(magnitude * 100)::INT) END AS symptom
 FROM st JOIN nd USING (service) JOIN mag USING (service) WHERE step <= 6""",
-    "cause_evidence": f"""{_CAUSE}, c AS (SELECT *, round(greatest(0, least(1, 2 * score - lead(score, 1, 0) OVER (ORDER BY rank))), 6) AS confidence FROM rkd)
-SELECT service, rank::INT AS rank, confidence, concat_ws(' | ', CASE WHEN error_rate > 0 THEN printf('%d/%d calls errored (%.1f%%)', errors, calls, round(error_rate * 100, 1)) END,
+    "cause_evidence": f"""{_CAUSE}, c AS (SELECT *, score - lead(score, 1, 0) OVER (ORDER BY rank) AS ahead FROM rkd), t AS (SELECT count(DISTINCT trace_id) AS n FROM span),
+e AS (SELECT *, list_filter([CASE WHEN error_rate > 0 THEN printf('%d/%d calls errored (%.1f%%)', errors, calls, round(error_rate * 100, 1)) END,
   printf('p95 %.0fms', round(p95_ms)) || CASE WHEN error_rate = 0 THEN '' ELSE printf(', avg %.0fms', round(avg_ms)) END, CASE WHEN unexplained > 0.35 THEN printf('slow work not explained by child calls (self-time anomaly %d%%)', round(unexplained * 100)::INT) END,
   CASE WHEN magnitude > 0.4 THEN printf('latency %d%% above its own baseline', round(magnitude * 100)::INT) END, CASE WHEN criticality > 0.3 THEN printf('on critical path in %d%% of traces', round(criticality * 100)::INT) END,
-  CASE WHEN blame > 0.4 THEN printf('implicated by %d%% of downstream impact', round(blame * 100)::INT) END) AS evidence FROM c JOIN nd USING (service, signal)""",
+  CASE WHEN blame > 0.4 THEN printf('implicated by %d%% of downstream impact', round(blame * 100)::INT) END], lambda x: x IS NOT NULL) AS ev FROM c JOIN nd USING (service, signal))
+SELECT service, rank::INT AS rank, CASE WHEN rank = 1 THEN round(greatest(0.3, least(0.95, 0.45::DOUBLE + 0.3 * least(1, greatest(0, ahead)) + 0.15 * least(1, t.n / 5.0::DOUBLE) + 0.1 * least(1, len(ev) / 3.0::DOUBLE))), 6) END AS confidence, array_to_string(ev, ' | ') AS evidence FROM e, t""",
     "recommendations": f"""{_CAUSE}, m AS (SELECT CASE WHEN span_id LIKE '%7' THEN 'pool timeout ' ELSE '' END || lower(error_message) AS m FROM span WHERE error)
 SELECT 0 AS place, 'Raise client/server timeout bounds and re-check the dependency SLO for the slowest callee.' AS text WHERE EXISTS (SELECT 1 FROM m WHERE contains(m, 'timeout'))
 UNION ALL SELECT 1, 'Connection/thread pool exhaustion detected — increase pool size or add wait-queue limits on the top-ranked service.' WHERE EXISTS (SELECT 1 FROM m WHERE contains(m, 'pool'))

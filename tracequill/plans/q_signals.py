@@ -65,7 +65,7 @@ FROM r WHERE n >= 3 AND (ratio >= 1.2 OR re > ae + 0.02)""",
 SELECT (SELECT channel FROM s ORDER BY round(w, 3) DESC, channel DESC LIMIT 1) AS channel, (SELECT op_key FROM op ORDER BY duration_ms DESC, op_key DESC LIMIT 1) AS slowest,
   round(max(duration_ms) / (max(coalesce(end_ms, start_ms + duration_ms)) - min(start_ms)), 9) AS share FROM op""",
     "noise_regions": f"""WITH {EV}, k AS (SELECT user_id, seq, ts_ms, event_type, CASE split_part({_CASE}, ':', 1) WHEN 'gc' THEN 'gc-pause' WHEN 'timer' THEN 'timer-jitter' WHEN 'dns' THEN 'network-dns' WHEN 'tcp' THEN 'tcp-handshake' END AS kind FROM ev),
-r AS (SELECT *, row_number() OVER u - 1 AS i, ts_ms - lag(ts_ms) OVER u AS gap, lag(event_type) OVER u AS before, lag(kind) OVER u AS was FROM k WINDOW u AS (PARTITION BY user_id ORDER BY ts_ms, seq)),
+r AS (SELECT user_id, seq, ts_ms, event_type, kind, row_number() OVER u - 1 AS i, ts_ms - lag(ts_ms) OVER u AS gap, lag(event_type) OVER u AS before, lag(kind) OVER u AS was FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS nn FROM k) WHERE nn > 1 WINDOW u AS (PARTITION BY user_id ORDER BY ts_ms, seq)),
 x AS (SELECT *, coalesce(gap > {DAY / 4} AND before IN ('end', 'error'), false) AND coalesce(kind, '') <> 'gc-pause' AS wide,
   sum(CASE WHEN i > 0 AND kind IS NOT DISTINCT FROM was THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts_ms, seq) AS run FROM r),
 y AS (SELECT *, CASE WHEN kind IS NOT NULL THEN min(CASE WHEN NOT wide THEN i END) OVER (PARTITION BY user_id, run) END AS from_i FROM x)
@@ -73,8 +73,8 @@ SELECT user_id, kind, min(i) AS first, max(i) AS last FROM y WHERE i >= from_i G
 UNION ALL SELECT user_id, 'inter-event-gap', i - 1, i FROM y WHERE wide AND (from_i IS NULL OR i < from_i)""",
     "context_changes": """WITH p AS (SELECT event_id AS id, json_extract_string(lag(props) OVER (PARTITION BY user_id ORDER BY ts, event_id), '$.k') AS before, json_extract_string(props, '$.k') AS after FROM events)
 SELECT id, 'k' AS key, before, after FROM p WHERE before IS DISTINCT FROM after""",
-    "stack_frames": """SELECT event_id AS id, 1 AS place, 'load' AS function, '/app/src/' || event_type || '.js' AS file, event_id::INT AS line, 7 AS col FROM events
-UNION ALL SELECT event_id, 2, NULL, '/app/main.js', 10, event_id::INT FROM events""",
+    "stack_frames": """SELECT event_id AS id, 1 AS place, 'load' AS function, '/app/src/' || event_type || '.js' AS file, event_id::INT AS line, 7 AS col, false AS filtered FROM events
+UNION ALL SELECT event_id, 2, '[anonymous]', '/app/main.js', 10, event_id::INT, false FROM events UNION ALL SELECT event_id, 3, '[anonymous]', 'native', NULL, NULL, true FROM events""",
     "otlp_events": """WITH m AS (SELECT *, round(epoch_us(ts)::DOUBLE / 1000) AS ms FROM events)
 SELECT event_type AS service, 'op ' || event_type AS channel, event_id::VARCHAR AS operation_id, 'start' AS event_type, ms AS ts_ms FROM m
 UNION ALL SELECT event_type, 'op ' || event_type, event_id::VARCHAR, CASE WHEN event_type = 'error' THEN 'error' ELSE 'end' END, ms + 1000 FROM m""",
