@@ -64,7 +64,8 @@ def test_cut_files_objects_and_what_is_no_array(monkeypatch):
     assert by_ranges(b'[{"a":1},{"b":"x', 4, 3, monkeypatch) == [b'{"a":1}']
     assert by_ranges(b'[1,2', 2, 3, monkeypatch) == [b"1"]
     assert by_ranges(b' {"a":[1,{"b":2}]} tail', 5, 3, monkeypatch) == [b'{"a":[1,{"b":2}]}']
-    assert by_ranges(b"[1] [2]", 2, 3, monkeypatch) == [b"1"]
+    assert by_ranges(b"[1] [2]", 2, 3, monkeypatch) == [b"1", b"2"]
+    assert by_ranges(b'{"a":1}\n{"b":[{}]}\n', 3, 2, monkeypatch) == [b'{"a":1}', b'{"b":[{}]}']
     assert by_ranges(b"  \n ", 2, 3, monkeypatch) == []
     with pytest.raises(ValueError, match="neither"):
         by_ranges(b"hello [1]", 4, 3, monkeypatch)

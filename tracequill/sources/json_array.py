@@ -13,8 +13,8 @@ where they begin; `elements_as` parses them by a schema inside Spark. Paths are
 understands (file, hdfs, s3, gs, abfs).
 
 Defined cases: a top-level object is one element; blank elements (an empty array, a trailing comma) are
-none; an element cut off at the end of the file is none; a byte order mark is passed over; what follows
-the array's end is ignored; an empty or blank file has no elements.
+none; an element cut off at the end of the file is none; a byte order mark is passed over; arrays that
+follow one another are read in turn, and so are objects; an empty or blank file has no elements.
 """
 
 from __future__ import annotations
@@ -135,7 +135,7 @@ def elements(file, start: int, stop: int, size: int, state: int, depth: int, who
                 yield from closed(raw[left : spot + (1 if whole else 0)])
                 parts, begun = [], -1
             if closing and depths[i] == 0:
-                return  # nothing after the end of the document
+                continue
             if at + spot >= stop:
                 return
             begun, left = at + spot + (0 if whole else 1), spot + (0 if whole else 1)
