@@ -18,7 +18,8 @@ share a token among the first t + 1 of each, where t is how many tokens a set ma
    larger ones, within a partition and again over partitions, each set is paired with the first one.
    Of its pairs each set first has the likeliest one verified, then those still in different
    components. Keys whose sets are still not in one component are compared with the first set of the
-   first component once more, and what is left apart there meets in all pairs that can be similar.
+   first component once more: the set that has the largest groups, of each key. It then leaves the key, a
+   few times over, and what is still apart there meets in all pairs that can be similar.
    So no link that joins two components is missed.
 
 If a key is what two sets share first, they share at most what either has from there on; that bounds
@@ -57,7 +58,7 @@ TASK_TOKENS = 3_000_000
 #: Ids (8 bytes each) up to which the rows of a round are picked by a broadcast, not a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Rounds in which sets are compared with the most popular ones of their keys, before what is left meets in pairs.
-HUB_ROUNDS = 2
+HUB_ROUNDS = 4
 #: The largest index group that gives all its pairs.
 SMALL = 4
 #: Bytes of text that are compared at a time.
@@ -558,9 +559,10 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 75, frequent
                 break
             left, right = entries.toDF("key", "a", "n_a", "most_a", "label_a"), entries.toDF("key", "b", "n_b", "most_b", "label_b")
             if step == "hubs":
-                hubs = saved(popular(entries))
-                left = _picked(left, hubs.toDF("a"), "a")
-                entries = entries.join(hubs, "sid", "left_anti")
+                # One row a key on the left: the join makes no more rows than there are entries.
+                tops = saved(popular(entries))
+                left = left.join(tops.toDF("key", "a"), ["key", "a"], "left_semi")
+                entries = entries.join(tops, ["key", "sid"], "left_anti")
             todo = left.join(right, "key").filter("label_a <> label_b").filter(fit("n_a", "n_b", "most_a", "most_b", percent))
             todo = saved(todo.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
             entries = entries.select("key", "sid", "n", "most")
@@ -613,10 +615,10 @@ def merged(labels: DataFrame, more: DataFrame) -> DataFrame:
 
 
 def popular(entries: DataFrame) -> DataFrame:
-    """(sid) of the sets that have, in some key, the largest groups over all their keys: what others were copied from has all keys that any copy has kept."""
+    """(key, sid): of each key the set with the largest groups over all its keys; what others were copied from has all keys that any copy has kept."""
     size = entries.groupBy("key").agg(F.count("*").alias("size"))
     liked = entries.join(size, "key").groupBy("sid").agg(F.sum("size").alias("liked"))
-    return entries.join(liked, "sid").groupBy("key").agg(F.max(F.struct("liked", "sid")).alias("top")).select("top.sid").distinct()
+    return entries.join(liked, "sid").groupBy("key").agg(F.max(F.struct("liked", "sid")).alias("top")).select("key", "top.sid")
 
 
 def apart(index: DataFrame, labels: DataFrame) -> DataFrame:
