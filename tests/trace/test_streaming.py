@@ -5,8 +5,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from tracequill.operators import core
-from tracequill.streaming import pairing, rca
+from tracequill.operators import core, memory
+from tracequill.streaming import pairing, rca, state
 
 
 def records(seed):
@@ -63,3 +63,82 @@ def test_flame_windows_and_totals(spark, tmp_path):
     q.awaitTermination()
     got = spark.sql("SELECT * FROM flames").collect()
     assert len(got) == 8 and sum(r.hits for r in got) == 12 and sum(r.ms for r in got) == 6.0
+
+
+EVENT = "seq long, channel string, event_type string, ts_ms double, operation_id string, duration_ms double, context_json string"
+
+
+def graph_rows():
+    """Operations with declared parents and ends before their starts, over several channels."""
+    rng = random.Random(9)
+    out = []
+    for i in range(150):
+        ctx = json.dumps({"parentId": str(i // 3)} if i % 4 else {"asyncId": i})
+        t = 500.0 * i
+        out.append((2 * i, f"c:{i % 4}", "start", t, str(i), None, ctx))
+        if i % 9:
+            out.append((2 * i + 1, f"c:{i % 4}", "error" if i % 6 == 0 else "end", t + rng.randint(1, 4000), str(i), 20.0 + i % 7 + (200 if i > 120 else 0), ctx))
+    out.append((1000, "d:end-only", "end", 9.0, "lost", 5.0, "{}"))
+    out.append((1001, "d:twice", "end", 10.0, "0", 70.0, "{}"))
+    return out
+
+
+def test_state_holds_what_a_batch_over_everything_says(spark, tmp_path):
+    rows = graph_rows()
+    mixed = rows[:]
+    random.Random(3).shuffle(mixed)  # ends before starts, late events, batches in no order
+    whole = spark.createDataFrame(rows, EVENT)
+    checkpoint, touched, parts = str(tmp_path / "ck"), [], 4
+    for k in range(parts):
+        spark.createDataFrame(mixed[k::parts], EVENT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = state.watch(stream, checkpoint, None, lambda batch, n: touched.append((n, {(r.kind, r.name): r.rows for r in batch.groupBy("kind", "name").agg(F.sum("rows").alias("rows")).collect()})))
+    query.awaitTermination()
+    assert [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]] == [len(mixed[k::parts]) for k in range(parts)]  # nothing is read again
+    assert sum(n for _, t in touched for (kind, _), n in t.items() if kind == "node") == len(rows)
+    columns = ("id", "channel", "score", "signals", "open", "confidence", "latency_ratio", "baseline_ms", "window_mean_ms", "window_error_rate")
+    plain = lambda df: sorted(tuple(round(r[c], 9) if isinstance(r[c], float) else str(r[c]) for c in columns) for r in df.collect())
+    assert plain(state.verdicts_of(spark, checkpoint, 20_000.0)) == plain(rca.findings(whole, 20_000.0))
+    told = lambda df: sorted((r.channel, r.severity, r.message, round(r.confidence, 9)) for r in df.collect())
+    assert told(state.cautions_of(spark, checkpoint, 20_000.0)) == told(rca.warnings(whole, 20_000.0)) != []
+
+
+def test_rings_drop_the_oldest(spark, tmp_path):
+    rows = [(i, "c:c", "error" if i % 2 else "end", float(i), str(i), float(i), "{}") for i in range(400)]
+    random.Random(1).shuffle(rows)
+    for k in range(2):
+        spark.createDataFrame(rows[k::2], EVENT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    state.watch(stream, str(tmp_path / "ck"), samples=5).awaitTermination()
+    held = state._held(spark, str(tmp_path / "ck"), "samples")
+    assert held.groupBy("key.part").count().agg(F.max("count")).first()[0] <= 5
+    top = sorted(r.seq for r in held.select("user_map_key.seq").collect())[-5:]
+    assert top == list(range(395, 400))
+    got = state.channels_of(spark, str(tmp_path / "ck"), 1e9, samples=5).first()
+    assert (got.n, got.base_errors, got.mean) == (400, 0.5, 397.0)
+
+
+def test_detectors_over_batches_say_what_batch_says(spark, tmp_path):
+    rng = random.Random(4)
+    rows = []
+    for s in ("a", "b"):
+        used = 0.0
+        for i in range(220):
+            used = used + rng.choice([3, 5, 9]) * memory.MIB if rng.random() < 0.7 else max(0.0, used - rng.choice([10, 30]) * memory.MIB)
+            rows.append((s, 1000.0 * i + (0 if s == "a" else 7), used, 500.0 * memory.MIB if s == "a" else None))
+    kind = "series string, ts_ms double, heap_used double, heap_total double"
+    whole = spark.createDataFrame(rows, kind)
+    parts = 4
+    step = len(rows) // 2 // parts
+    for k in range(parts):
+        part = [r for s in (rows[:220], rows[220:]) for r in s[k * step : (k + 1) * step]] + ([("end", 1e7, 0.0, None)] if k == parts - 1 else [])
+        rng.shuffle(part)
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    alerts = state.detect(stream, "60 seconds", most_mb=32.0, every=2)
+    alerts.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    pressure = memory.gc_pressure(memory.inferred_runs(whole), most_mb=32.0, every=2).collect()
+    assert sorted((r.series, r.ts_ms, round(r.value, 4), r.streak) for r in got.filter("rule = 'gc-pressure'").collect()) == sorted((r.series, r.ts_ms, round(r.churn_mb, 4), r.streak) for r in pressure) != []
+    leaks = memory.leak_trend(whole).collect()
+    assert sorted((r.series, r.ts_ms, r.level, r.metric, round(r.value, 4), r.streak) for r in got.filter("rule = 'leak-trend'").collect()) == sorted((r.series, r.ts_ms, r.level, r.metric, round(r.value, 4), r.streak) for r in leaks) != []

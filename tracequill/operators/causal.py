@@ -16,7 +16,7 @@ PARENT_KEYS = ("parentOperationId", "parentId", "parentSpanId", "parent_span_id"
 ASYNC_KEYS, TRIGGER_KEYS = ("asyncId", "async_id"), ("triggerAsyncId", "trigger_async_id")
 
 
-def _context(keys: tuple[str, ...]) -> Column:
+def context_id(keys: tuple[str, ...]) -> Column:
     """The first of the keys that holds a text or a number; other values (true, lists, objects) are no ids."""
 
     def held(key: str) -> Column:
@@ -45,9 +45,9 @@ def causal_nodes(events: DataFrame, scope: str | None = None) -> DataFrame:
         F.coalesce(F.max_by(F.when(F.col("event_type") == "error", "error").otherwise("success"), F.when(ends, F.col("seq"))), F.lit("incomplete")).alias("status"),
         (F.count_if(starts) == 0).alias("unpaired"),
         F.min("seq").alias("seq"),
-        F.min_by(_context(PARENT_KEYS), first).alias("declared"),
-        F.min_by(F.when(starts, _context(ASYNC_KEYS)), F.col("seq")).alias("async_id"),
-        F.min_by(_context(TRIGGER_KEYS), first).alias("trigger_id"),
+        F.min_by(context_id(PARENT_KEYS), first).alias("declared"),
+        F.min_by(F.when(starts, context_id(ASYNC_KEYS)), F.col("seq")).alias("async_id"),
+        F.min_by(context_id(TRIGGER_KEYS), first).alias("trigger_id"),
     )
     return nodes
 

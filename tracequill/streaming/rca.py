@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp, operation_key, percentile
 from ..operators import causal
-from ..plans.stages import saved, shared_folder
+from ..plans.stages import saved
 from ..schema import SPAN_TYPES
 from .pairing import valid
 
@@ -39,11 +39,16 @@ def findings(events: DataFrame, window_ms: float = 10_000.0, now: float | None =
     Blame goes from a child to its parent, several times over; virtual parents take none.
     """
     events = saved(valid(events))
-    nodes = saved(causal.causal_nodes(events, scope))
-    edges = saved(causal.causal_edges(nodes, scope).filter(~F.col("parent_id").startswith("virtual:")).select("parent_id", "child_id"))
     ends = events.filter(F.col("event_type").isin("end", "error")).withColumn("id", operation_key())
     own = ends.groupBy("id").agg(F.max_by(F.coalesce("duration_ms", F.lit(0.0)), "seq").alias("own"))
-    n = nodes.select("id", "channel", "status").join(own, "id", "left").join(channel_windows(events, window_ms, now), "channel", "left")
+    return verdicts(causal.causal_nodes(events, scope), own, channel_windows(events, window_ms, now), scope, factor, margin, least, open_share)
+
+
+def verdicts(nodes: DataFrame, own: DataFrame, channels: DataFrame, scope: str | None = None, factor: float = 1.8, margin: float = 0.02, least: int = 3, open_share: float = 0.6) -> DataFrame:
+    """findings() from the graph's nodes, (id, own) durations of those that ended, and channel_windows()."""
+    nodes = saved(nodes)
+    edges = saved(causal.causal_edges(nodes, scope).filter(~F.col("parent_id").startswith("virtual:")).select("parent_id", "child_id"))
+    n = nodes.select("id", "channel", "status").join(own, "id", "left").join(channels, "channel", "left")
     n = n.na.fill(0.0, ["base", "mean", "base_errors", "window_errors"]).withColumn("open", F.col("own").isNull()).withColumn("own", F.coalesce("own", F.lit(0.0)))
     late = (F.col("base") > 0) & (F.col("own") > F.col("base") * factor)
     spike = F.coalesce(F.col("n") > 0, F.lit(False)) & (F.col("window_errors") > F.col("base_errors") + margin)
@@ -70,8 +75,14 @@ def warnings(events: DataFrame, window_ms: float = 10_000.0, now: float | None =
     """Channels that stand out, critical ones first, each with a sentence and a confidence."""
     events = valid(events)
     ops = events.filter(F.col("event_type").isin(*SPAN_TYPES)).withColumn("id", operation_key())
-    closed = ops.filter("event_type <> 'start'").agg(clamp(F.count_distinct("id") / F.lit(float(max(1, least)))).alias("evidence"))
-    c = channel_windows(events, window_ms, now).withColumn("ratio", F.when(F.col("base") > 0, F.col("mean") / F.col("base")).otherwise(0.0))
+    closed = ops.filter("event_type <> 'start'").agg(F.count_distinct("id").alias("closed"))
+    return cautions(channel_windows(events, window_ms, now), closed, factor, margin, least)
+
+
+def cautions(channels: DataFrame, closed: DataFrame, factor: float = 1.8, margin: float = 0.02, least: int = 3) -> DataFrame:
+    """warnings() from channel_windows() and a row with the number of operations that ended (closed)."""
+    closed = closed.select(clamp(F.col("closed") / F.lit(float(max(1, least)))).alias("evidence"))
+    c = channels.withColumn("ratio", F.when(F.col("base") > 0, F.col("mean") / F.col("base")).otherwise(0.0))
     c = c.filter((F.col("n") >= least) & ((F.col("ratio") >= factor) | (F.col("window_errors") > F.col("base_errors") + margin))).join(F.broadcast(closed), how="cross")  # one row
     critical = (F.col("ratio") >= 3) | (F.col("window_errors") > F.col("base_errors") + 0.1)
     said = F.format_string("latency %.1fx baseline (%.1fms vs %.1fms)", F.round("ratio", 1), F.round("mean", 1), F.round("base", 1))
@@ -79,17 +90,34 @@ def warnings(events: DataFrame, window_ms: float = 10_000.0, now: float | None =
     return rows.orderBy(F.when(F.col("severity") == "critical", 0).otherwise(1), "channel")
 
 
-def watch(stream: DataFrame, name: str, report, checkpoint: str, window_ms: float = 10_000.0, **options):
-    """Adds each batch of a stream to a table in the shared folder and hands report(findings, warnings, batch) what all of it says.
+class Watch:
+    """A running watch(): its query, which reports on the last batch when it has ended."""
 
-    The graph only grows: an end before its start is filled in when that comes. A batch that is run
-    again replaces its own part of the table.
+    def __init__(self, query, last):
+        self.query, self._last = query, last
+
+    def awaitTermination(self) -> None:
+        self.query.awaitTermination()
+        if self.query.lastProgress:
+            self._last(self.query.lastProgress["batchId"])
+
+
+def watch(stream: DataFrame, name: str, report, checkpoint: str, window_ms: float = 10_000.0, scope: str | None = None, **options) -> Watch:
+    """Hands report(findings, warnings, batch) what all events so far say, from state that each batch adds its own rows to.
+
+    The state of a batch can be read once it is complete: that is, as the next one begins, and at the end.
     """
-    folder = f"{shared_folder(stream.sparkSession)}/{name}"
+    from . import state
+
+    spark = stream.sparkSession
+
+    def told(number: int) -> None:
+        at = {"checkpoint": checkpoint, "window_ms": window_ms, "batch": number}
+        report(state.verdicts_of(spark, scope=scope, **at, **options), state.cautions_of(spark, **at), number)
 
     def step(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/part={number}")
-        seen = batch.sparkSession.read.schema(batch.schema).parquet(f"{folder}/part=*")
-        report(findings(seen, window_ms, **options), warnings(seen, window_ms), number)
+        if number > 0:
+            told(number - 1)
+        batch.count()
 
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return Watch(state.watch(stream, checkpoint, scope, step, name), told)
