@@ -76,9 +76,13 @@ def gc_pressure(spark, d):
     return memory.gc_pressure(memory.inferred_runs(samples(spark, d)), most_mb=16.0)
 
 
-def leak_trend(spark, d):
+def leak_samples(spark, d):
     busy = F.when(F.pmod(F.floor(F.col("ts_ms") / 1000), F.lit(40)) < 12, F.col("heap_used") * 1.01).otherwise(F.col("heap_total"))
-    return memory.leak_trend(samples(spark, d).withColumn("heap_total", busy), rate_bps=memory.MIB / 4)
+    return samples(spark, d).withColumn("heap_total", busy)
+
+
+def leak_trend(spark, d):
+    return memory.leak_trend(leak_samples(spark, d), rate_bps=memory.MIB / 4)
 
 
 def _history(spark, d):

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..streaming import rca
-from . import q_causal
+from ..operators import memory
+from ..streaming import rca, state
+from . import q_causal, q_memory
 from .bridge import raw
+from .stages import shared_folder
 
 WINDOW = 5 * 86_400_000.0
+#: Added to the samples' times, some of which are below zero: a stream's watermark starts there.
+EPOCH = 1e12
 
 
 def _events(spark, d):
@@ -25,7 +31,37 @@ def stream_warnings(spark, d):
     return rca.warnings(_events(spark, d), WINDOW, factor=1.0, margin=0.0).withColumn("ratio", F.round("ratio", 6))
 
 
-QUERIES = {f.__name__: f for f in (stream_findings, stream_warnings)}
+def _findings(rows):
+    return rows.select("id", "channel", *(F.round(c, 6).alias(c) for c in ("score", "confidence", "latency_ratio", "baseline_ms", "window_mean_ms", "window_error_rate")), F.array_join("signals", ",").alias("signals"), "open")
+
+
+def state_findings(spark, d):
+    """The events as a stream of four batches in no order of time; what its state says in the end."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    events = _events(spark, d)
+    events.repartition(4).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    state.watch(stream, f"{folder}/checkpoint", "user_id").awaitTermination()
+    return _findings(state.verdicts_of(spark, f"{folder}/checkpoint", WINDOW, scope="user_id"))
+
+
+def state_alerts(spark, d):
+    """Memory samples as a stream of a quarter of the time each, unordered within; a last sample pushes the watermark past all."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    samples = q_memory.leak_samples(spark, d).select("series", (F.col("ts_ms") + EPOCH).alias("ts_ms"), "heap_used", "heap_total")
+    low, high = samples.agg(F.min("ts_ms"), F.max("ts_ms")).first()
+    quarter = F.least(F.lit(3), F.floor((F.col("ts_ms") - low) / max((high - low) / 4, 1)))
+    for k in range(4):
+        samples.filter(quarter == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    end = samples.limit(1).select(F.lit("end").cast(samples.schema["series"].dataType).alias("series"), F.lit(high + 9e8).cast(samples.schema["ts_ms"].dataType).alias("ts_ms"), F.lit(0).cast(samples.schema["heap_used"].dataType).alias("heap_used"), F.lit(None).cast(samples.schema["heap_total"].dataType).alias("heap_total"))
+    end.write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    alerts = state.detect(stream, "1 minute", most_mb=16.0, rate_bps=memory.MIB / 4)
+    alerts.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(state.ALERT).parquet(f"{folder}/out").select("series", "rule", (F.col("ts_ms") - EPOCH).alias("ts_ms"), "level", "metric", F.round("value", 4).alias("value"), "streak")
+
+
+QUERIES = {f.__name__: f for f in (stream_findings, stream_warnings, state_findings, state_alerts)}
 
 _CH = q_causal.NODE + f""",
 en AS (SELECT event_id::VARCHAR AS id, 'app:' || event_type AS channel, ts_ms + value * {q_causal.MINUTE} AS at_ms, value AS d, event_type = 'error' AS bad FROM ses WHERE value >= 10),
@@ -47,3 +83,6 @@ SELECT id, channel, round(score, 6) AS score, round(ev * score * CASE WHEN open
 SELECT channel, CASE WHEN ratio >= 3 OR we > be + 0.1 THEN 'critical' ELSE 'warning' END AS severity, printf('latency %.1fx baseline (%.1fms vs %.1fms)', round(ratio, 1), round(mean, 1), round(base, 1)) AS message,
   ev * CASE WHEN ratio >= 3 THEN 1 ELSE 0.7::DOUBLE END AS confidence, round(ratio, 6) AS ratio FROM r, cl WHERE n >= 3 AND (ratio >= 1 OR we > be)""",
 }
+ORACLE_SQL["state_findings"] = ORACLE_SQL["stream_findings"]
+ORACLE_SQL["state_alerts"] = f"""SELECT series::VARCHAR AS series, 'gc-pressure' AS rule, ts_ms, 'warning' AS level, 'churn' AS metric, round(churn_mb, 4) AS value, streak FROM ({q_memory.ORACLE_SQL["gc_pressure"]})
+UNION ALL SELECT series::VARCHAR, 'leak-trend', ts_ms, level, metric, round(value, 4), streak FROM ({q_memory.ORACLE_SQL["leak_trend"]})"""
