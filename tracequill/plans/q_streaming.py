@@ -58,7 +58,7 @@ def state_alerts(spark, d):
     stream = spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     alerts = state.detect(stream, "1 minute", most_mb=16.0, rate_bps=memory.MIB / 4)
     alerts.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(state.ALERT).parquet(f"{folder}/out").select("series", "rule", (F.col("ts_ms") - EPOCH).alias("ts_ms"), "level", "metric", F.round("value", 4).alias("value"), "streak")
+    return spark.read.schema(state.ALERT).parquet(f"{folder}/out").select("series", "rule", (F.col("ts_ms") - EPOCH).alias("ts_ms"), "level", "metric", "value", "streak")
 
 
 QUERIES = {f.__name__: f for f in (stream_findings, stream_warnings, state_findings, state_alerts)}
@@ -84,5 +84,5 @@ SELECT channel, CASE WHEN ratio >= 3 OR we > be + 0.1 THEN 'critical' ELSE 'warn
   ev * CASE WHEN ratio >= 3 THEN 1 ELSE 0.7::DOUBLE END AS confidence, round(ratio, 6) AS ratio FROM r, cl WHERE n >= 3 AND (ratio >= 1 OR we > be)""",
 }
 ORACLE_SQL["state_findings"] = ORACLE_SQL["stream_findings"]
-ORACLE_SQL["state_alerts"] = f"""SELECT series::VARCHAR AS series, 'gc-pressure' AS rule, ts_ms, 'warning' AS level, 'churn' AS metric, round(churn_mb, 4) AS value, streak FROM ({q_memory.ORACLE_SQL["gc_pressure"]})
-UNION ALL SELECT series::VARCHAR, 'leak-trend', ts_ms, level, metric, round(value, 4), streak FROM ({q_memory.ORACLE_SQL["leak_trend"]})"""
+ORACLE_SQL["state_alerts"] = f"""SELECT series::VARCHAR AS series, 'gc-pressure' AS rule, ts_ms, 'warning' AS level, 'churn' AS metric, churn_mb AS value, streak FROM ({q_memory.ORACLE_SQL["gc_pressure"]})
+UNION ALL SELECT series::VARCHAR, 'leak-trend', ts_ms, level, metric, value, streak FROM ({q_memory.ORACLE_SQL["leak_trend"]})"""
