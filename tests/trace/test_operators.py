@@ -215,3 +215,45 @@ def test_advice_where_nothing_stands_out(spark):
 def test_one_event_has_no_noise(spark):
     frame = spark.createDataFrame([("a", 0, "gc:run", "start", 0.0), ("b", 0, "timer:x", "start", 0.0), ("b", 1, "timer:x", "end", 1.0)], "run string, seq long, channel string, event_type string, ts_ms double")
     assert {r.run for r in signals.noise_regions(frame, "run").collect()} == {"b"}
+
+
+def brute_nearest(rows, reach):
+    """{id: parent}; rows: (scope, id, start, end, seq)."""
+    out = {}
+    for scope in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == scope), key=lambda r: (r[2], r[4]))
+        for i, r in enumerate(mine):
+            need = (float("inf") if r[3] is None else r[3]) if reach == "until" else r[2]
+            for p in reversed(mine[:i]):
+                if p[3] is None or p[3] >= need:
+                    out[r[1]] = p[1]
+                    break
+    return out
+
+
+@pytest.mark.parametrize("scopes", [1, 2, 40])
+def test_nearest_container_over_blocks(spark, scopes):
+    rng = random.Random(scopes)
+    rows = []
+    for i in range(700):
+        start = rng.randrange(3000) * 1.0
+        end = None if rng.random() < 0.02 else start + rng.choice([0, 3, 30, 300, 3000]) * rng.random()
+        rows.append((f"s{rng.randrange(scopes)}", str(i), start, end, i))
+    rows += [("s0", f"n{k}", 4000.0 + k, 9000.0 - k, 1000 + k) for k in range(60)]  # nested over many blocks
+    rows += [("s0", f"r{k}", 9500.0 + k, 9600.0 + 2 * k, 2000 + k) for k in range(60)]  # each longer than the one before
+    frame = spark.createDataFrame(rows, "scope string, id string, start_ms double, end_ms double, seq long")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        for scope, given in (("scope", rows), (None, [("", *r[1:]) for r in rows])):
+            got = {r.id: r.parent_id for r in causal.containment(frame, scope).collect()}
+            assert got == brute_nearest(given, "until")
+            got = {r.id: r.parent_id for r in causal.overlap_parents(frame.withColumnRenamed("id", "op_key"), scope).collect()}
+            assert got == brute_nearest(given, "start")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_nearest_container_of_nothing(spark):
+    frame = spark.createDataFrame([], "id string, start_ms double, end_ms double, seq long")
+    assert causal.containment(frame).count() == 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,29 +53,66 @@ def causal_nodes(events: DataFrame, scope: str | None = None) -> DataFrame:
     return nodes
 
 
+def nearest_before(until: np.ndarray, need: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each place the latest earlier one whose `until` reaches its `need`, -1 where there is none; first: where runs that know nothing of each other begin.
+
+    Every place points at the one before it, and on to where that points for as long as what it meets ends
+    too early: what lies between two ends earlier still. Pointers of places that are not done are followed
+    all at once, so a chain of rising ends takes a round per power of two of its length.
+    """
+
+    def follow(at: np.ndarray, want: np.ndarray, up: np.ndarray) -> np.ndarray:
+        todo = np.flatnonzero(at >= 0)
+        while len(todo := todo[(at[todo] >= 0) & (until[at[todo]] < want[todo])]):
+            at[todo] = up[at[todo]]
+        return at
+
+    before = np.where(first, -1, np.arange(len(until)) - 1)
+    longer = before.copy()
+    follow(longer, until, longer)
+    return longer if need is until else follow(before, need, longer)
+
+
 def _nearest(nodes: DataFrame, scope: str | None, reach: str) -> DataFrame:
     """(id, parent_id): the latest earlier row of the scope that lasts to `reach` of this one or longer.
 
-    One sweep over each scope in order of start. Rows that end before the one at hand needs are
-    dropped from the stack: for its end, because the row itself lasts longer and comes later; for its
-    start, because later rows start later still. A scope is a group in one task: choose one that is bounded.
+    Rows are cut into blocks by scope and start, whatever the size of a scope. What a block leaves open for
+    later ones is a staircase: rows that last longer than all behind them. Staircases of a scope's blocks,
+    a few rows each (as many as operations nest), are merged in order into what each block begins with;
+    then every block is done on its own.
     """
-    keys = [scope] if scope else ["_all"]
-    rows = nodes.select("id", "start_ms", "seq", F.coalesce("end_ms", F.lit(float("inf"))).alias("until"), *([scope] if scope else [F.lit(0).alias("_all")]))
+    key = F.col(scope).cast("string") if scope else F.lit("")
+    rows = nodes.select(F.coalesce(key, F.lit("")).alias("_scope"), "id", F.col("start_ms").cast("double").alias("start_ms"), "seq", F.coalesce(F.col("end_ms").cast("double"), F.lit(float("inf"))).alias("until"))
+    count = max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = saved(rows.repartitionByRange(count, "_scope", "start_ms", "seq").withColumn("_block", F.spark_partition_id()))
+    behind = Window.partitionBy("_block", "_scope").orderBy(F.desc("start_ms"), F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
+    spread = rows.groupBy("_scope").agg(F.min("_block").alias("low"), F.max("_block").alias("high")).filter("low < high").select("_scope")
+    stairs = rows.join(spread, "_scope", "left_semi").withColumn("_longest", F.max("until").over(behind)).filter("_longest IS NULL OR until > _longest")
+
+    def carried(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["_block", "start_ms", "seq"], kind="stable")
+        held, out = frame.iloc[:0], []
+        for block, own in frame.groupby("_block", sort=True):
+            if len(held):
+                out.append(held.assign(_block=block))
+            held = pd.concat([held[held["until"] > own["until"].max()], own]) if len(held) else own
+        return pd.concat(out) if out else held.iloc[:0]
+
+    columns = "_scope string, id string, start_ms double, seq long, until double, _block int"
+    open_rows = stairs.select(*(f.split(" ")[0] for f in columns.split(", "))).groupBy("_scope").applyInPandas(carried, columns)
 
     def sweep(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["start_ms", "seq"], kind="stable")
-        stack, child, parent = [], [], []
-        for own, until, need in zip(frame["id"], frame["until"], frame[reach], strict=True):
-            while stack and stack[-1][1] < need:
-                stack.pop()
-            if stack:
-                child.append(own)
-                parent.append(stack[-1][0])
-            stack.append((own, until))
-        return pd.DataFrame({"id": child, "parent_id": parent}, dtype=object)
-
-    return rows.groupBy(*keys).applyInPandas(sweep, "id string, parent_id string")
+        frame = frame.sort_values(["_scope", "start_ms", "seq"], kind="stable")
+        scopes = frame["_scope"].to_numpy(object)
+        until = frame["until"].to_numpy(float)
+        need = until if reach == "until" else frame["start_ms"].to_numpy(float)
+        at = nearest_before(until, need, np.concatenate([[True], scopes[1:] != scopes[:-1]]))
+        own = np.flatnonzero(frame["_own"].to_numpy(bool) & (at >= 0))
+        ids = frame["id"].to_numpy(object)
+        return pd.DataFrame({"id": ids[own], "parent_id": ids[at[own]]}, dtype=object)
+
+    both = rows.withColumn("_own", F.lit(True)).unionByName(open_rows.withColumn("_own", F.lit(False)))
+    return both.groupBy("_block").applyInPandas(sweep, "id string, parent_id string")
 
 
 def containment(nodes: DataFrame, scope: str | None = None) -> DataFrame:
