@@ -22,9 +22,9 @@ def context_id(keys: tuple[str, ...]) -> Column:
 
     def held(key: str) -> Column:
         text = F.get_json_object("context_json", f"$.{key}")
-        # Only the kind of the value is asked of the variant: numbers are taken as they are written.
-        kind = F.schema_of_variant(F.variant_get(F.try_parse_json("context_json"), f"$.{key}", "variant"))
-        return F.when((text != "") & ~F.when(text.isin("true", "false") | text.startswith("[") | text.startswith("{"), F.coalesce(kind != "STRING", F.lit(False))).otherwise(False), text)
+        # Texts that look like another kind of value count if they are quoted.
+        other = text.rlike(r"^(true|false|\[.*|\{.*)$") & ~F.col("context_json").rlike(rf'"{key}"\s*:\s*"')
+        return F.when((text != "") & ~other, text)
 
     return F.coalesce(*map(held, keys))
 
@@ -135,6 +135,7 @@ def causal_edges(nodes: DataFrame, scope: str | None = None) -> DataFrame:
     that registered the triggering asynchronous id (the last registrant), containment. Operations
     without a start that none of these gives a parent hang off a virtual node of their own.
     """
+    nodes = nodes if hasattr(nodes, "_tq_path") else saved(nodes)  # read four times below
     known = nodes.select(F.col("id").alias("declared"), F.lit(True).alias("known"))
     linked = nodes.filter(~F.col("unpaired") & F.col("async_id").isNotNull()).groupBy(F.col("async_id").alias("trigger_id")).agg(F.max_by("id", "seq").alias("linked"))
     rows = nodes.withColumn("declared", F.when(F.col("declared") != F.col("id"), F.col("declared")))
