@@ -174,3 +174,33 @@ def test_command_line(spark, tmp_path, capsys):
     assert check.main(["check", path, "--threshold", "n1SqlMaxCount=4", "--json", "--report", str(tmp_path / "r.md")]) == 0
     assert json.loads(capsys.readouterr().out)["passed"] and "passed" in (tmp_path / "r.md").read_text()
     assert check.main([path, "--threshold", "x=1"]) == check.main([str(tmp_path / "none.json")]) == check.main([put(tmp_path, "b.json", "{")]) == check.main([]) == 2
+
+
+def test_as_of_join_over_many_ranges(spark):
+    import random
+
+    from tracequill.operators.asof import as_of
+
+    rng = random.Random(2)
+    left = [(i, rng.choice(["hot", "hot", "hot", "a", "b", None]), rng.randrange(500) if rng.random() < 0.97 else None) for i in range(900)]
+    right = [(rng.choice(["hot", "hot", "a", "c", None]), rng.randrange(500), i) for i in range(300)] + [("hot", 250, 7)]
+    frame, other = spark.createDataFrame(left, "id long, k string, t int"), spark.createDataFrame(right, "k string, t int, v long")
+    want = {}
+    for i, k, t in left:
+        best = max(((u, v) for j, u, v in right if None not in (k, t, j) and j == k and u <= t), default=None)
+        want[i] = best and best[1]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "17")
+    try:
+        got = {r.id: r.found and r.found.v for r in as_of(frame, other, ["k"], "t", ["v"], "found").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == want
+
+
+def test_packed_maps_read_back(spark):
+    from tracequill.sources import sourcemap
+
+    rows = [("m", 1, 0, "a.ts", 1, 0, None), ("m", 1, 7, "b.ts", 900, 4, "run"), ("m", 4, 2, "a.ts", 3, 40, None), ("m", 4, 1 << 20, "a.ts", 2, 0, "x"), ("n", 2, 5, "c.ts", 1, 1, None)]
+    frame = spark.createDataFrame(rows, sourcemap.MAPPING)
+    assert sorted(map(tuple, sourcemap.mappings(sourcemap.pack(frame)).collect()), key=repr) == sorted(rows, key=repr)

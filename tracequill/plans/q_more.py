@@ -192,8 +192,27 @@ def _map(spark):
     return sourcemap.mappings(spark.createDataFrame([("m", json)], "map_id string, json string"))
 
 
+def _bundles(spark, d):
+    """Maps made of the events: a map a type, seven compiled lines each."""
+    e = F.col("event_id")
+    rows = raw(spark, d).select(
+        F.col("event_type").alias("map_id"), (e % 7 + 1).cast("int").alias("gen_line"), (e / 7).cast("int").alias("gen_col"), F.concat(F.lit("src/"), F.col("user_id") % 5, F.lit(".ts")).alias("source"),
+        (e % 90 + 1).cast("int").alias("line"), (e % 40).cast("int").alias("col"), F.when(e % 3 == 0, F.concat(F.lit("n"), e % 11)).alias("name"),
+    )
+    return sourcemap.pack(rows)
+
+
 def source_mappings(spark, d):
-    return _map(spark)
+    return sourcemap.mappings(_bundles(spark, d))
+
+
+def minified_frames(spark, d):
+    """A frame an event, resolved in one bundle of one line with a segment an event."""
+    e = F.col("event_id")
+    rows = raw(spark, d)
+    bundle = sourcemap.pack(rows.select(F.lit("bundle").alias("map_id"), F.lit(1).alias("gen_line"), (e * 3 + 5).cast("int").alias("gen_col"), F.concat(F.lit("src/"), F.col("user_id") % 5, F.lit(".ts")).alias("source"), (e % 90 + 1).cast("int").alias("line"), (e % 40).cast("int").alias("col"), F.lit(None).cast("string").alias("name")))
+    frames = rows.select("event_id", F.lit("bundle").alias("map_id"), F.lit(1).alias("line"), (e * 7919 % 30011).cast("int").alias("col"))
+    return sourcemap.resolve(frames, sourcemap.mappings(bundle), ["event_id"]).select("event_id", "col", "original.source", F.col("original.line").alias("src_line"), F.col("original.col").alias("src_col"))
 
 
 def resolved_frames(spark, d):
@@ -202,8 +221,9 @@ def resolved_frames(spark, d):
 
 
 def compiled_lines(spark, d):
-    rows = _map(spark)
-    return sourcemap.generated_lines(rows, "src/b.ts", 4).unionByName(sourcemap.covered(spark.createDataFrame([("m", k) for k in (1, 2, 3, 9)], "map_id string, gen_line int"), rows))
+    rows = sourcemap.mappings(_bundles(spark, d))
+    places = raw(spark, d).select(F.col("event_type").alias("map_id"), (F.col("event_id") % 9 + 1).cast("int").alias("gen_line")).distinct()
+    return sourcemap.generated_lines(rows, "src/2.ts", 4).unionByName(sourcemap.covered(places, rows))
 
 
 def frame_kinds(spark, d):
@@ -250,13 +270,14 @@ QUERIES = {
     for f in (
         document_formats, loaded_events, heap_string_totals, heap_top_strings, heap_external, heap_largest_changes, hot_functions, flame_graph, live_channel_counts, live_rates, live_alerts,
         trailing_frame, last_events, reassembled_chunks, feed_messages, event_page, index_by_channel, index_by_operation, all_channel_stats, displayed_events, issue_totals, async_issues, prompt_lines,
-        formatted_values, source_mappings, resolved_frames, compiled_lines, frame_kinds, report_findings, squeezed_reports, binary_round_trip, exported_spans, export_round_trip,
+        formatted_values, source_mappings, minified_frames, resolved_frames, compiled_lines, frame_kinds, report_findings, squeezed_reports, binary_round_trip, exported_spans, export_round_trip,
     )
 }
 
 _DOC = """doc AS (SELECT *, user_id % 5 AS u, round(epoch_us(ts)::DOUBLE / 1000) AS ms, format('{:09d}.json', user_id) AS file, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events)"""
 _HEAP = q_memory.HEAP + """, hp AS (SELECT id, CASE WHEN id % 100 = 7 THEN 'ArrayBuffer' ELSE repeat(name, 12) END AS name, CASE type WHEN 'closure' THEN 'concatenated-string' ELSE type END AS type, self_size, retained_size FROM heap)"""
 _MAPPED = "(VALUES ('m', 1, 0, 'src/a.ts', 1, 0, NULL), ('m', 1, 4, 'src/a.ts', 3, 4, 'run'), ('m', 1, 9, 'src/b.ts', 4, 5, NULL), ('m', 3, 2, 'src/b.ts', 3, 2, NULL)) AS t(map_id, gen_line, gen_col, source, line, col, name)"
+_BUNDLES = """(SELECT event_type AS map_id, (event_id % 7 + 1)::INT AS gen_line, (event_id // 7)::INT AS gen_col, 'src/' || user_id % 5 || '.ts' AS source, (event_id % 90 + 1)::INT AS line, (event_id % 40)::INT AS col, CASE WHEN event_id % 3 = 0 THEN 'n' || event_id % 11 END AS name FROM events) AS t"""
 
 ORACLE_SQL = {
     "document_formats": f"""WITH {_DOC} SELECT file, CASE u WHEN 0 THEN 'native' WHEN 1 THEN 'otel' WHEN 2 THEN 'otel' WHEN 3 THEN CASE WHEN user_id % 2 = 0 THEN 'ndv' ELSE 'native' END ELSE CASE WHEN user_id % 2 = 0 THEN NULL ELSE 'native' END END AS format,
@@ -306,10 +327,13 @@ FROM op o LEFT JOIN op p ON p.op_key = (o.op_key::BIGINT // 4 * 4)::VARCHAR ORDE
 SELECT event_id, printf('%.1f ', round(b / pow(1024, k), 1)) || ['B', 'KB', 'MB', 'GB'][k + 1] AS size, CASE WHEN m < 1 THEN printf('%.0fµs', round(m * 1000)) WHEN m < 1000 THEN printf('%.1fms', round(m, 1)) ELSE printf('%.2fs', round(m / 1000, 2)) END AS duration, printf('%.1f%%', round(value / 499.7::DOUBLE * 100, 1)) AS percent,
   strftime(epoch_ms(round(epoch_us(ts)::DOUBLE / 1000)::BIGINT), '%Y-%m-%d %H:%M:%S.%g') AS time, CASE WHEN length(repeat(event_type, (event_id % 30)::INT)) <= 40 THEN repeat(event_type, (event_id % 30)::INT) ELSE left(repeat(event_type, (event_id % 30)::INT), 40) || '...' END AS short,
   CASE WHEN value / 500 >= 0.7 THEN 'critical' WHEN value / 500 >= 0.35 THEN 'warning' ELSE 'info' END AS severity FROM v""",
-    "source_mappings": f"SELECT * FROM {_MAPPED}",
+    "source_mappings": f"SELECT * FROM {_BUNDLES}",
+    "minified_frames": """WITH m AS (SELECT event_id * 3 + 5 AS g, 'src/' || user_id % 5 || '.ts' AS source, (event_id % 90 + 1)::INT AS src_line, (event_id % 40)::INT AS src_col FROM events), f AS (SELECT event_id, (event_id * 7919 % 30011)::INT AS col FROM events)
+SELECT event_id, col, source, src_line, src_col FROM f ASOF LEFT JOIN m ON f.col >= m.g""",
     "resolved_frames": f"""WITH e AS (SELECT event_id, event_id % 4 + 1 AS l, user_id % 12 AS c FROM events), f AS (SELECT e.event_id, max(gen_col) AS g, any_value(l) AS l FROM e JOIN {_MAPPED} ON gen_line = l AND gen_col <= c GROUP BY 1)
 SELECT e.event_id, t.source, t.line AS src_line, t.col AS src_col, t.name FROM e LEFT JOIN f USING (event_id) LEFT JOIN {_MAPPED} ON t.gen_line = f.l AND t.gen_col = f.g""",
-    "compiled_lines": "SELECT * FROM (VALUES ('m', 1), ('m', 1), ('m', 3)) AS t(map_id, gen_line)",
+    "compiled_lines": f"""SELECT DISTINCT map_id, gen_line FROM {_BUNDLES} WHERE source = 'src/2.ts' AND line = 4
+UNION ALL SELECT DISTINCT event_type, (event_id % 9 + 1)::INT AS gen_line FROM events e WHERE EXISTS (SELECT 1 FROM events x WHERE x.event_type = e.event_type AND x.event_id % 7 = e.event_id % 9)""",
     "frame_kinds": """SELECT event_id, event_id % 7 IN (0, 1, 4, 5) AS runtime, event_id % 7 = 6 OR event_id % 5 < 2 AS native FROM events""",
     "report_findings": f"""WITH {OPS}, s AS (SELECT channel, count(*) AS n, count(*) FILTER (WHERE status = 'error') AS e, coalesce(avg(duration_ms) FILTER (WHERE duration_ms > 0), 0) AS a, coalesce(quantile_disc(duration_ms, 0.95) FILTER (WHERE duration_ms > 0), 0) AS p FROM op GROUP BY 1)
 SELECT channel, 0 AS place, printf('"%s" avg %.0fms, P95 %.0fms', channel, round(a), round(p)) AS finding FROM s WHERE a > 100 UNION ALL SELECT channel, 1, printf('"%s" has %d errors (%.1f%%)', channel, e, round(e / n::DOUBLE * 100, 1)) FROM s WHERE e > 0""",

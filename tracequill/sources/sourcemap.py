@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import json
+import string
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.asof import as_of
+
 MAPPING = "map_id string, gen_line int, gen_col int, source string, line int, col int, name string"
 _DIGITS = np.full(256, -1, np.int64)
-_DIGITS[np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)] = np.arange(64)
+_ALPHABET = string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/"
+_DIGITS[np.frombuffer(_ALPHABET.encode(), np.uint8)] = np.arange(64)
 
 
 def _fields(segment: str) -> list[int]:
@@ -60,10 +66,45 @@ def mappings(maps: DataFrame) -> DataFrame:
 
 
 def resolve(frames: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
-    """frames (key..., map_id, line, col) -> with the source position of the last mapping at or before the column of the line."""
-    m = rows.select("map_id", F.col("gen_line").alias("line"), "gen_col", F.struct("source", F.col("line").alias("line"), F.col("col").alias("col"), "name").alias("original"))
-    found = frames.select(*key, "map_id", "line", "col").join(m, ["map_id", "line"]).filter("gen_col <= col").groupBy(*key).agg(F.max_by("original", "gen_col").alias("original"))
-    return frames.join(found, key, "left")
+    """frames (key..., map_id, line, col) -> with the source position of the last mapping at or before the column of the line.
+
+    An as-of join, linear in frames and mappings: a bundle of one line costs no more than many lines.
+    """
+    m = rows.select("map_id", F.col("gen_line").alias("line"), F.col("gen_col").alias("col"), "source", F.col("line").alias("_line"), F.col("col").alias("_col"), "name")
+    found = as_of(frames, m, ["map_id", "line"], "col", ["source", "_line", "_col", "name"], "_o")
+    original = F.when(F.col("_o").isNotNull(), F.struct(F.col("_o.source").alias("source"), F.col("_o._line").alias("line"), F.col("_o._col").alias("col"), F.col("_o.name").alias("name")))
+    return found.select(*frames.columns, original.alias("original"))
+
+
+def _letters(number: int) -> str:
+    """A signed number as base 64 letters of six bits each."""
+    value, out = (-number << 1) | 1 if number < 0 else number << 1, []
+    while True:
+        value, digit = value >> 5, value & 31
+        out.append(_ALPHABET[digit | (32 if value else 0)])
+        if not value:
+            return "".join(out)
+
+
+def _packed(frame: pd.DataFrame) -> pd.DataFrame:
+    frame = frame.sort_values(["gen_line", "gen_col"], kind="stable")
+    sources, names = ({v: k for k, v in enumerate(dict.fromkeys(x for x in frame[c] if x is not None))} for c in ("source", "name"))
+    lines, column, at = [[]], 0, [0, 0, 0, 0]
+    for gen_line, gen_col, source, line, col, name in zip(*(frame[c] for c in ("gen_line", "gen_col", "source", "line", "col", "name")), strict=True):
+        while len(lines) < gen_line:
+            lines.append([])
+            column = 0
+        place = [sources[source], line - 1, col, at[3] if name is None else names[name]]
+        steps = [gen_col - column, *(int(b) - a for a, b in zip(at, place, strict=True))]
+        lines[-1].append("".join(map(_letters, map(int, steps[: 4 if name is None else 5]))))
+        column, at = gen_col, place
+    text = {"version": 3, "sources": list(sources), "names": list(names), "mappings": ";".join(",".join(x) for x in lines)}
+    return pd.DataFrame({"map_id": [frame["map_id"].iloc[0]], "json": [json.dumps(text)]})
+
+
+def pack(rows: DataFrame) -> DataFrame:
+    """MAPPING rows -> maps (map_id, json): what mappings() reads. A map is one document, made in one task."""
+    return rows.groupBy("map_id").applyInPandas(_packed, "map_id string, json string")
 
 
 def generated_lines(rows: DataFrame, source: str, line: int) -> DataFrame:
