@@ -204,3 +204,26 @@ def test_packed_maps_read_back(spark):
     rows = [("m", 1, 0, "a.ts", 1, 0, None), ("m", 1, 7, "b.ts", 900, 4, "run"), ("m", 4, 2, "a.ts", 3, 40, None), ("m", 4, 1 << 20, "a.ts", 2, 0, "x"), ("n", 2, 5, "c.ts", 1, 1, None)]
     frame = spark.createDataFrame(rows, sourcemap.MAPPING)
     assert sorted(map(tuple, sourcemap.mappings(sourcemap.pack(frame)).collect()), key=repr) == sorted(rows, key=repr)
+
+
+def test_folders_of_snapshots_and_profiles_keep_their_files_apart(spark, tmp_path):
+    fields = ["type", "name", "id", "self_size", "edge_count"]
+    for k in range(3):
+        nodes, edges = [], []
+        for i in range(40):
+            out = (i + k) % 4
+            nodes += [i % 2, i % 3, 10 * i + 1, 100 * k + i, out]
+            for j in range(out):
+                edges += [2, j, ((i + j + 1) % 40) * 5]
+        meta = {"node_fields": fields, "node_types": [["object", "string"]], "edge_fields": ["type", "name_or_index", "to_node"]}
+        put(tmp_path, f"{k}.heapsnapshot", {"snapshot": {"meta": meta}, "nodes": nodes, "edges": edges, "strings": ["a", "b", "c"]})
+        tree = [{"id": 1, "callFrame": {"functionName": "", "url": "", "lineNumber": 0}, "children": [2]}, {"id": 2, "callFrame": {"functionName": f"f{k}", "url": "", "lineNumber": 1}}]
+        put(tmp_path, f"{k}.cpuprofile", {"nodes": tree, "samples": [2] * (k + 1), "timeDeltas": [5]})
+    for block in (1, 7, 1000):
+        found, edges = files.read_heap_snapshot(spark, str(tmp_path / "*.heapsnapshot"), block)
+        name = F.regexp_extract("file", r"(\d)\.heap", 1).cast("int").alias("k")
+        assert {(r.k, r.id): (r.name, r.type, r.self_size) for r in found.select(name, "*").collect()} == {(k, 10 * i + 1): ("abc"[i % 3], ("object", "string")[i % 2], 100 * k + i) for k in range(3) for i in range(40)}
+        assert sorted((r.k, r.from_id, r.to_id, r.name) for r in edges.select(name, "*").collect()) == sorted((k, 10 * i + 1, 10 * ((i + j + 1) % 40) + 1, str(j)) for k in range(3) for i in range(40) for j in range((i + k) % 4))
+    nodes, samples = files.read_cpu_profile(spark, str(tmp_path / "*.cpuprofile"))
+    assert sorted((r.id, r.parent_id, r.function) for r in nodes.collect()) == sorted([(1, None, "(anonymous)")] * 3 + [(2, 1, f"f{k}") for k in range(3)])
+    assert sorted(r["count"] for r in samples.groupBy("file").count().collect()) == [1, 2, 3]

@@ -89,39 +89,68 @@ def sample_interval(samples: DataFrame) -> DataFrame:
 
 
 def read_cpu_profile(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, samples) of a CPU profile: ids, parents and functions; sampled node and microseconds since the last."""
+    """(nodes, samples) of CPU profiles, each with its file: ids, parents and functions; sampled node and microseconds since the last.
+
+    Ids are those of their file; several files stay apart by `file`.
+    """
     kind = "nodes array<struct<id:long,callFrame:struct<functionName:string,url:string,lineNumber:int>,children:array<long>>>, samples array<long>, timeDeltas array<long>"
-    doc = spark.read.text(path, wholetext=True).select(F.from_json("value", kind).alias("d"))
-    flat = doc.select(F.explode("d.nodes").alias("n"))
-    up = flat.select(F.explode("n.children").alias("id"), F.col("n.id").alias("parent"))
-    first = up.groupBy("id").agg(F.min("parent").alias("parent_id"))
+    doc = _documents(spark, path).select("file", F.from_json("text", kind).alias("d"))
+    flat = doc.select("file", F.explode("d.nodes").alias("n"))
+    up = flat.select("file", F.explode("n.children").alias("id"), F.col("n.id").alias("parent"))
+    first = up.groupBy("file", "id").agg(F.min("parent").alias("parent_id"))
     name = F.coalesce(F.nullif(F.col("n.callFrame.functionName"), F.lit("")), F.lit("(anonymous)"))
-    nodes = flat.select(F.col("n.id").alias("id"), name.alias("function")).join(first, "id", "left").select("id", "parent_id", "function")
-    pairs = doc.select(F.explode(F.arrays_zip("d.samples", "d.timeDeltas")).alias("p"))
-    return nodes, pairs.select(F.col("p.samples").alias("node_id"), F.coalesce("p.timeDeltas", F.lit(0)).alias("delta_us"))
+    nodes = flat.select("file", F.col("n.id").alias("id"), name.alias("function")).join(first, ["file", "id"], "left").select("file", "id", "parent_id", "function")
+    pairs = doc.select("file", F.explode(F.arrays_zip("d.samples", "d.timeDeltas")).alias("p"))
+    return nodes, pairs.select("file", F.col("p.samples").alias("node_id"), F.coalesce("p.timeDeltas", F.lit(0)).alias("delta_us"))
+
+
+#: Rows of a file whose edge counts are summed before those of its blocks are.
+SUM_BLOCK = 1 << 14
+
 
+def running_total(rows: DataFrame, by: str, place: str, value: str, name: str, block: int = SUM_BLOCK) -> DataFrame:
+    """rows with `name`: the sum of `value` over earlier places (0, 1, ...) of the same key.
 
-def read_heap_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of a heap snapshot: strided arrays are cut by the fields that the file itself names."""
+    Sums of blocks are added up first, a row a block; then each block on its own, so one large key is many tasks.
+    """
+    rows = rows.withColumn("_block", F.floor(F.col(place) / block))
+    earlier = Window.partitionBy(by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(by, "_block").agg(F.sum(value).alias("_sum"))
+    bases = sums.select(by, "_block", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(by, "_block").orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    own = F.coalesce(F.sum(value).over(inside), F.lit(0))
+    return rows.withColumn("_own", own).join(bases, [by, "_block"]).withColumn(name, F.col("_base") + F.col("_own")).drop("_block", "_own", "_base")
+
+
+def read_heap_snapshot(spark: SparkSession, path: str, block: int = SUM_BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of heap snapshots, each with its file: strided arrays are cut by the fields that the file itself names.
+
+    Ids are those of their file; several files stay apart by `file`. Edges lie in the order of their nodes, so
+    a node's begin where the edge counts of the nodes before it add up to.
+    """
     kind = "snapshot struct<meta:struct<node_fields:array<string>,node_types:array<string>,edge_fields:array<string>>>, nodes array<long>, edges array<long>, strings array<string>"
-    doc = spark.read.text(path, wholetext=True).select(F.from_json("value", kind).alias("d"))
+    doc = _documents(spark, path).select("file", F.from_json("text", kind).alias("d"))
     meta = "d.snapshot.meta"
+    place = lambda fields, name: F.array_position(f"{meta}.{fields}", name).cast("int") - 1
     doc = doc.select(
-        "d.nodes", "d.edges", "d.strings", F.col(f"{meta}.node_fields").alias("nf"), F.col(f"{meta}.edge_fields").alias("ef"),
-        F.from_json(F.get(f"{meta}.node_types", 0), "array<string>").alias("types"),
+        "file", F.col("d.nodes").alias("nodes"), F.col("d.edges").alias("edges"), F.col("d.strings").alias("strings"), F.size(f"{meta}.node_fields").alias("n"), F.size(f"{meta}.edge_fields").alias("m"),
+        F.from_json(F.get(f"{meta}.node_types", 0), "array<string>").alias("types"), *(place("node_fields", c).alias(f"n_{c}") for c in ("id", "name", "type", "self_size", "edge_count")),
+        *(place("edge_fields", c).alias(f"e_{c}") for c in ("name_or_index", "to_node")),
     )
-    at = lambda a, base, fields, name: F.get(a, (base + F.array_position(fields, name) - 1).cast("int"))
-    rows = doc.select("*", F.explode(F.sequence(F.lit(0), (F.size("nodes") / F.size("nf") - 1).cast("int"))).alias("k"))
-    base = F.col("k") * F.size("nf")
-    get = lambda name: at(F.col("nodes"), base, F.col("nf"), name)
-    text = lambda i: F.get("strings", i.cast("int"))
-    nodes = rows.select("k", get("id").alias("id"), text(get("name")).alias("name"), F.get("types", get("type").cast("int")).alias("type"), get("self_size").alias("self_size"), get("edge_count").alias("edge_count"), F.size("nf").alias("stride"))
-    # Edges lie in the order of their nodes: a node's edges follow those of the nodes before it.
-    before = F.coalesce(F.sum("edge_count").over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    owners = nodes.withColumn("before", before).filter("edge_count > 0").select(F.col("id").alias("from_id"), F.explode(F.expr("sequence(before, before + edge_count - 1)")).alias("seq"))
-    rows = doc.filter(F.size("edges") > 0).select("*", F.explode(F.sequence(F.lit(0), (F.size("edges") / F.size("ef") - 1).cast("int"))).alias("e"))
-    base = F.col("e") * F.size("ef")
-    raw = rows.select(F.col("e").cast("long").alias("seq"), at(F.col("edges"), base, F.col("ef"), "name_or_index").alias("name"), (at(F.col("edges"), base, F.col("ef"), "to_node") / F.size("nf")).cast("long").alias("to_k"))
-    ends = nodes.select(F.col("k").cast("long").alias("to_k"), F.col("id").alias("to_id"))
-    edges = raw.join(owners, "seq").join(ends, "to_k").select("from_id", "to_id", F.col("name").cast("string").alias("name"), "seq")
-    return nodes.select("id", "name", "type", "self_size"), edges
+    counted = lambda array, stride: F.sequence(F.lit(0), F.floor(F.size(array) / F.col(stride)).cast("int") - 1)
+
+    def node(k):
+        at = lambda c: F.get("nodes", k * F.col("n") + F.col(f"n_{c}"))
+        return F.struct(k.cast("long").alias("k"), at("id").alias("id"), F.get("strings", at("name").cast("int")).alias("name"), F.get("types", at("type").cast("int")).alias("type"), at("self_size").alias("self_size"), at("edge_count").alias("edge_count"))
+
+    def edge(e):
+        at = lambda c: F.get("edges", e * F.col("m") + F.col(f"e_{c}"))
+        return F.struct(e.cast("long").alias("seq"), at("name_or_index").alias("name"), (at("to_node") / F.col("n")).cast("long").alias("to_k"))
+
+    # One pass over a file's arrays: what comes out of inline() are plain rows, without the arrays beside them.
+    nodes = doc.filter(F.size("nodes") >= F.col("n")).select("file", F.inline(F.transform(counted("nodes", "n"), node)))
+    raw = doc.filter(F.size("edges") >= F.col("m")).select("file", F.inline(F.transform(counted("edges", "m"), edge)))
+    owners = running_total(nodes, "file", "k", "edge_count", "before", block).filter("edge_count > 0").select("file", F.col("id").alias("from_id"), F.explode(F.expr("sequence(before, before + edge_count - 1)")).alias("seq"))
+    ends = nodes.select("file", F.col("k").alias("to_k"), F.col("id").alias("to_id"))
+    edges = raw.join(owners, ["file", "seq"]).join(ends, ["file", "to_k"]).select("file", "from_id", "to_id", F.col("name").cast("string").alias("name"), "seq")
+    return nodes.select("file", "id", "name", "type", "self_size"), edges
