@@ -257,3 +257,25 @@ def test_nearest_container_over_blocks(spark, scopes):
 def test_nearest_container_of_nothing(spark):
     frame = spark.createDataFrame([], "id string, start_ms double, end_ms double, seq long")
     assert causal.containment(frame).count() == 0
+
+
+def test_whole_analysis_of_traces(spark):
+    rows = []
+    for t in range(8):
+        slow = 400.0 if t > 5 else 0.0
+        rows.append((f"t{t}", "a", None, "web", "GET /", 2, 0.0, 100.0 + slow, False, None))
+        rows.append((f"t{t}", "b", "a", "shop", "call", 2, 10.0, 60.0 + slow, False, None))
+        rows.append((f"t{t}", "c", "b", "db", "query", 2, 20.0, 50.0 + slow, t > 5, "pool timeout" if t > 5 else None))
+    got = distributed.analyse(spark.createDataFrame(rows, schema.SPAN))
+    causes = {r["rank"]: r for r in got["causes"].collect()}
+    assert causes[1].service == "db" and 0.3 <= causes[1].confidence <= 0.95 and causes[2].confidence is None
+    assert got["spans"].count() == 24 and got["nodes"].count() == 3 and {r.place for r in got["recommendations"].collect()} >= {0, 1}
+
+
+def test_snapshot_history_file(spark, tmp_path):
+    from tracequill.sources import files
+
+    record = {"id": "1", "timestamp": 5.0, "label": "x", "beforeName": "a", "afterName": "b", "beforeSize": 1.0, "afterSize": 3.0, "newNodeCount": 2, "removedNodeCount": 0, "retainedSizeDelta": 2.0, "growthRate": None, "flagged": True}
+    (tmp_path / "h.json").write_text(json.dumps([record, record | {"id": None}, {k: v for k, v in record.items() if k != "flagged"}]))
+    (row,) = files.read_snapshot_history(spark, str(tmp_path / "h.json")).collect()
+    assert (row.id, row.ts_ms, row.delta, row.growth_rate, row.flagged) == ("1", 5.0, 2.0, None, True)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import core
 from ..operators import distributed as dist
-from .bridge import SPAN, spans
+from .bridge import OPS, SPAN, spans, trace_events
 from .stages import saved
 
 LINKED = "WITH RECURSIVE " + SPAN + """,
@@ -110,9 +111,17 @@ def recommendations(spark, d):
     return dist.recommendations(ranked, some)
 
 
+def operation_spans(spark, d):
+    """Operations whose contexts name a trace (the user), a parent and a service, as spans."""
+    context = F.to_json(F.struct(F.col("user_id").cast("string").alias("traceId"), F.concat(F.lit("p"), "operation_id").alias("parentSpanId"), F.substring("channel", 5, 99).alias("serviceName"), F.lit(2).alias("kind")))
+    events = trace_events(spark, d).withColumn("context_json", F.when(F.col("user_id") % 3 > 0, context).otherwise(F.lit("{}")))
+    rows = dist.operation_spans(core.pair_operations(events), events)
+    return rows.select("trace_id", "span_id", "parent_span_id", "service", "name", "kind", *(F.round(c, 3).alias(c) for c in ("start_ms", "end_ms")), "error", "error_message")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (span_tree, service_nodes, service_edges, service_anomalies, critical_paths, criticality, blame, root_causes, cascade, cause_evidence, recommendations)
+    for f in (span_tree, service_nodes, service_edges, service_anomalies, critical_paths, criticality, blame, root_causes, cascade, cause_evidence, recommendations, operation_spans)
 }
 
 _STEPS = ",\n".join(
@@ -138,6 +147,9 @@ _LEVELS = "v0 AS (SELECT 'error' AS service, 0 AS depth, 1 AS pos), w0 AS (SELEC
 )
 
 ORACLE_SQL = {
+    "operation_spans": f"""WITH {OPS}, m AS (SELECT operation_id, max(error_message) AS error_message FROM ev WHERE event_type = 'error' GROUP BY 1)
+SELECT CASE WHEN user_id % 3 > 0 THEN user_id::VARCHAR ELSE 'untraced' END AS trace_id, op_key AS span_id, CASE WHEN user_id % 3 > 0 THEN 'p' || op_key END AS parent_span_id, CASE WHEN user_id % 3 > 0 THEN channel[5:] ELSE 'unknown' END AS service, channel AS name,
+  CASE WHEN user_id % 3 > 0 THEN 2 END AS kind, round(start_ms, 3) AS start_ms, round(coalesce(end_ms, start_ms + duration_ms), 3) AS end_ms, status = 'error' AS error, error_message FROM op LEFT JOIN m ON m.operation_id = op_key""",
     "span_tree": f"{LINKED} SELECT l.trace_id, l.span_id, l.parent_span_id, k.depth::BIGINT AS depth, round(k.adj - l.start_ms, 3) AS shift_ms FROM linked l JOIN skew k ON k.trace_id = l.trace_id AND k.span_id = l.span_id",
     "service_nodes": f"""{LINKED} SELECT n.*, median_p95,
   CASE WHEN error_rate >= 0.05 OR (error_rate >= 0.01 AND median_p95 > 0 AND p95_ms >= 3 * median_p95) THEN 'faulty' WHEN error_rate >= 0.01 THEN 'warning'
