@@ -1,8 +1,8 @@
 """Comparison of a normal and a faulty run: normalise, align, diverge, filter noise, score.
 
 Runs come in pairs: a column (`pair`) names the pair that an event belongs to, so any number of pairs
-are compared in one job. Equal beginnings and ends are matched by joins on the position; only the
-fingerprints of what lies between travel to the aligner, one task a pair.
+are compared in one job. Equal beginnings and ends are matched by joins on the position; what lies between
+is cut where a match is forced, and only the fingerprints of a piece travel to the aligner, one task a piece.
 """
 
 from __future__ import annotations
@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from ..functions.canonical import RUN_KEYS, canonical_map, context_text
 from ..plans.stages import saved
+from .asof import as_of
+from .banded import aligned
 
-#: Cost of a gap, of equal channel and type with another context, and of anything else.
-GAP, VALUE, STRUCTURE = 2, 1, 5
 #: The least half-width of the band around the diagonal, and the least significance reported.
 BAND, LEAST = 256, 0.3
 #: Kinds of difference that change the path taken, and context keys that may differ freely.
@@ -42,70 +42,46 @@ def normalise(events: DataFrame, pair: str, ignore: tuple[str, ...] = ()) -> Dat
     return rows.withColumn("fingerprint", F.concat_ws("|", "signature", context_text("entries", RUN_KEYS + tuple(ignore))))
 
 
-def banded(a: np.ndarray, b: np.ndarray, kind_a: np.ndarray, kind_b: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cheapest alignment of two sequences within a band: places in a and b (-1: none) and costs.
+def _piece(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    left, right = left.sort_values("i"), right.sort_values("i")
+    some = (left if len(left) else right).iloc[0]
+    low, high = -int(some["reach"]) - int(some["shift"]), int(some["reach"]) - int(some["shift"])
+    pa, pb, cost = aligned(*(x[c].to_numpy() for c in ("f", "s") for x in (left, right)), low, high)
+    # The last element stands for "none": places of -1 pick it.
+    ia, ib = (np.append(x["i"].to_numpy(np.int64), -1) for x in (left, right))
+    return pd.DataFrame({"pair": some["pair"], "piece": int(some["piece"]), "k": np.arange(len(pa)), "a": ia[pa], "b": ib[pb], "cost": cost})
 
-    a, b: fingerprints; kind_a, kind_b: signatures. Of equal costs a pairing goes before a deletion, that before an insertion.
+
+def forced(a: DataFrame, b: DataFrame, reach: DataFrame) -> DataFrame:
+    """a, b (pair, x, f), reach (pair, reach: widest offset) -> runs of a that every cheapest alignment matches with b.
+
+    (pair, piece, start, end, shift): a's places start to end - 1 meet those of b that are shift further on.
+
+    Places of a are cut into blocks of 2 * reach + 1. A block is solid if each of its fingerprints occurs once
+    in a and once in b and all on one diagonal. A way that keeps off it pays at least 1 a place; to go over to
+    it and back costs at most 8 * reach. So between four solid blocks and four more every cheapest way is on
+    that diagonal. Needs counts by fingerprint and by block, no order of events.
     """
-    n, m = len(a), len(b)
-    band = max(band, abs(n - m))
-    width = 2 * band + 1
-    steps = GAP * np.arange(width, dtype=np.float64)
-    column = np.arange(-band, band + 1)  # j - i
-    choice = np.empty((n + 1, width), np.uint8)
-    row = np.where((column >= 0) & (column <= m), GAP * column, np.inf).astype(np.float64)
-    choice[0] = 2
-    for i in range(1, n + 1):
-        j = column + i
-        inside = (j >= 1) & (j <= m)
-        at = np.clip(j - 1, 0, max(m - 1, 0))
-        cost = np.where(b[at] == a[i - 1], 0, np.where(kind_b[at] == kind_a[i - 1], VALUE, STRUCTURE)) if m else np.zeros(width)
-        diag = np.where(inside, row + cost, np.inf)
-        up = np.append(row[1:], np.inf) + GAP
-        up[(j < 0) | (j > m)] = np.inf
-        base = np.minimum(diag, up)
-        now = np.minimum.accumulate(base - steps) + steps  # a run of insertions from the best place before
-        now[(j < 0) | (j > m)] = np.inf
-        left = np.append(np.inf, now[:-1]) + GAP
-        choice[i] = np.where((diag <= up) & (diag <= left) & (j > 0), 0, np.where((up <= left) | (j == 0), 1, 2))
-        row = now
-    pa, pb, i, j = [], [], n, m
-    while i or j:
-        c = choice[i, j - i + band]
-        if c == 0:
-            i, j = i - 1, j - 1
-            pa.append(i)
-            pb.append(j)
-        elif c == 1:
-            i -= 1
-            pa.append(i)
-            pb.append(-1)
-        else:
-            j -= 1
-            pa.append(-1)
-            pb.append(j)
-    pa, pb = np.array(pa[::-1], np.int64), np.array(pb[::-1], np.int64)
-    both = (pa >= 0) & (pb >= 0)
-    cost = np.full(len(pa), GAP, np.int64)
-    cost[both] = np.where(a[pa[both]] == b[pb[both]], 0, np.where(kind_a[pa[both]] == kind_b[pb[both]], VALUE, STRUCTURE))
-    return pa, pb, cost
-
-
-def _middle(band: int):
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left.sort_values("i"), right.sort_values("i")
-        start = int((left if len(left) else right)["p"].iloc[0])
-        pa, pb, cost = banded(*(x[c].to_numpy() for c in ("f", "s") for x in (left, right)), band)
-        pair = (left if len(left) else right)["pair"].iloc[0]
-        return pd.DataFrame({"pair": pair, "place": np.arange(len(pa)) + start, "a": np.where(pa >= 0, pa + start, -1), "b": np.where(pb >= 0, pb + start, -1), "cost": cost})
-
-    return run
+    once = lambda x, n: x.groupBy("pair", "f").agg(F.min("x").alias(n), F.count("*").alias("n")).filter("n = 1").drop("n")
+    met = once(a, "x").join(once(b, "y"), ["pair", "f"]).join(reach, "pair").withColumn("shift", F.col("y") - F.col("x"))
+    met = met.filter(F.abs("shift") <= F.col("reach")).withColumn("size", 2 * F.col("reach") + 1)
+    blocks = met.groupBy("pair", "size", F.expr("x div size").alias("block")).agg(F.count("*").alias("n"), F.min("shift").alias("shift"), F.max("shift").alias("_most"))
+    blocks = blocks.filter("n = size AND shift = _most")
+    around = Window.partitionBy("pair", "shift").orderBy("block").rangeBetween(-4, 4)
+    core = blocks.withColumn("_near", F.count("*").over(around)).filter("_near = 9")
+    by = Window.partitionBy("pair").orderBy("block")
+    new = F.coalesce((F.lag("block").over(by) != F.col("block") - 1).cast("int"), F.lit(1))
+    core = core.withColumn("_new", new).withColumn("piece", F.sum("_new").over(by))
+    ends = core.groupBy("pair", "piece", "shift").agg(F.min(F.col("block") * F.col("size")).alias("start"), F.max((F.col("block") + 1) * F.col("size")).alias("end"))
+    return ends.select("pair", "piece", "start", "end", "shift")
 
 
 def align(normal: DataFrame, fault: DataFrame, pair: str, band: int = BAND) -> DataFrame:
     """Normalised runs -> (pair, place, normal_index, fault_index, kind, cost): match, substitute, delete or insert.
 
-    place is the order of the pairs: the common beginning, what lies between, the common end from its last event on.
+    place is the order of the pairs: the common beginning, what lies between, the common end from its last
+    event on. What lies between is cut where a match is forced, and the pieces are aligned in tasks of their
+    own; the result is that of one alignment of the whole.
     """
     def slim(x: DataFrame) -> DataFrame:
         last = Window.partitionBy(pair)
@@ -121,15 +97,49 @@ def align(normal: DataFrame, fault: DataFrame, pair: str, band: int = BAND) -> D
 
     least = F.least("n", "m")
     cuts = sizes.join(common("i"), "pair", "left").join(common("r"), "pair", "left").withColumn("p", F.coalesce("i", least))
-    cuts = saved(cuts.withColumn("e", F.least(F.coalesce("r", least), least - F.col("p"))).select("pair", "n", "m", "p", "e"))
+    cuts = cuts.withColumn("e", F.least(F.coalesce("r", least), least - F.col("p"))).withColumn("reach", F.greatest(F.lit(band), F.abs(F.col("n") - F.col("m"))))
+    cuts = saved(cuts.select("pair", "n", "m", "p", "e", "reach"))
 
     def between(x: DataFrame) -> DataFrame:
-        return x.join(cuts, "pair").filter((F.col("i") >= F.col("p")) & (F.col("r") >= F.col("e"))).select("pair", "i", "p", "f", "s")
+        return saved(x.join(cuts, "pair").filter((F.col("i") >= F.col("p")) & (F.col("r") >= F.col("e"))).select("pair", (F.col("i") - F.col("p")).cast("long").alias("x"), F.col("i").cast("long").alias("i"), "f", "s", "reach"))
+
+    mid_a, mid_b = between(a), between(b)
+    # Shorter ones have no room for nine solid blocks.
+    long = cuts.filter(least - F.col("p") - F.col("e") >= 9 * (2 * F.col("reach") + 1)).select("pair", "reach")
+    runs = None
+    if not long.isEmpty():
+        runs = saved(forced(*(x.select("pair", "x", "f").join(long, "pair", "left_semi") for x in (mid_a, mid_b)), long))
+    if runs is None or runs.isEmpty():
+        whole = lambda x: x.withColumn("piece", F.lit(0).cast("long")).withColumn("shift", F.lit(0).cast("long"))
+        left, right, matched = whole(mid_a), whole(mid_b), None
+    else:
+        in_b = runs.withColumn("start", F.col("start") + F.col("shift")).withColumn("end", F.col("end") + F.col("shift"))
+
+        def split(x: DataFrame, runs: DataFrame) -> DataFrame:
+            """The last run that begins at or before a place, and whether the place is in it."""
+            at = as_of(x, runs.select("pair", F.col("start").alias("x"), "piece", "end", "shift"), ["pair"], "x", ["piece", "end", "shift"], "_run")
+            return saved(at.select(*x.columns, (F.coalesce("_run.piece", F.lit(0)).cast("long")).alias("piece"), F.coalesce("_run.shift", F.lit(0)).cast("long").alias("shift"), F.coalesce(F.col("x") < F.col("_run.end"), F.lit(False)).alias("_in")))
+
+        left, right = split(mid_a, runs), split(mid_b, in_b)
+        matched = left.filter("_in").select("pair", "piece", "x", F.col("i").alias("a"), (F.col("i") + F.col("shift")).alias("b"))
+        left, right = left.filter("NOT _in"), right.filter("NOT _in")
 
     kind = a.schema["pair"].dataType.simpleString()
-    middle = saved(between(a)).groupBy("pair").cogroup(saved(between(b)).groupBy("pair")).applyInPandas(_middle(band), f"pair {kind}, place long, a long, b long, cost long")
-    middle = saved(middle)
-    size = middle.groupBy("pair").agg(F.count("*").alias("size"))
+    pieces = left.groupBy("pair", "piece").cogroup(right.groupBy("pair", "piece")).applyInPandas(_piece, f"pair {kind}, piece long, k long, a long, b long, cost long")
+    pieces = saved(pieces)
+    lengths = pieces.groupBy("pair", "piece").agg(F.count("*").alias("own")).withColumn("run", F.lit(0).cast("long"))
+    if runs is not None:
+        lengths = lengths.unionByName(runs.select("pair", "piece", F.lit(0).cast("long").alias("own"), (F.col("end") - F.col("start")).alias("run")))
+    lengths = lengths.groupBy("pair", "piece").agg(F.sum("own").alias("own"), F.sum("run").alias("run"))
+    # A run goes before the piece of its number.
+    before = Window.partitionBy("pair").orderBy("piece")
+    spots = lengths.withColumn("_to", F.sum(F.col("own") + F.col("run")).over(before)).join(cuts.select("pair", "p"), "pair")
+    spots = saved(spots.select("pair", "piece", (F.col("p") + F.col("_to") - F.col("own")).alias("first"), (F.col("p") + F.col("_to") - F.col("own") - F.col("run")).alias("first_run"), "own", "run"))
+    middle = pieces.join(spots, ["pair", "piece"]).select("pair", (F.col("first") + F.col("k")).alias("place"), "a", "b", "cost")
+    if matched is not None:
+        at = matched.join(spots, ["pair", "piece"]).join(runs.select("pair", "piece", "start"), ["pair", "piece"])
+        middle = middle.unionByName(at.select("pair", (F.col("first_run") + F.col("x") - F.col("start")).alias("place"), "a", "b", F.lit(0).cast("long").alias("cost")))
+    size = spots.groupBy("pair").agg(F.sum(F.col("own") + F.col("run")).alias("size"))
     ends = a.join(cuts, "pair").join(size, "pair", "left").filter((F.col("i") < F.col("p")) | (F.col("r") < F.col("e")))
     tail = F.col("i") >= F.col("p")
     ends = ends.select(
