@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import heap, memory
+from ..operators.trees import preorder
 from .bridge import SPAN, raw, spans, table
 
 _DAY = "datediff(o_orderdate, DATE'1995-01-01') * 1000D"
@@ -153,6 +154,22 @@ def heap_retained(spark, d):
     return heap.retained_sizes(*_graph(spark, d)).select("id", "self_size", "retained_size")
 
 
+def heap_shared(spark, d):
+    """A third of a trace's spans refer to its last one too, and every other last one to the first: shared nodes and cycles."""
+    nodes, edges = _graph(spark, d)
+    s = spans(spark, d).withColumn("i", F.col("span_id").cast("long"))
+    ends = s.groupBy("trace_id").agg(F.min("i").alias("low"), F.max("i").alias("high")).filter("low < high")
+    more = s.filter("i % 3 = 0").join(ends, "trace_id").select(F.col("i").alias("a"), F.col("high").alias("b")).unionByName(ends.filter("high % 2 = 0").select(F.col("high").alias("a"), F.col("low").alias("b")))
+    more = more.select(F.col("a").cast("string").alias("from_id"), F.col("b").cast("string").alias("to_id"), F.lit("more").alias("name"), F.lit(0.0).alias("seq"))
+    return heap.retained_sizes(nodes, edges.unionByName(more)).select("id", "retained_size")
+
+
+def flattened_page(spark, d):
+    """Places 10 to 29 of every trace's flattened tree."""
+    flat = preorder(spans(spark, d), ["trace_id", "span_id"], "parent_span_id", ["start_ms"])
+    return flat.filter("place BETWEEN 10 AND 29").select("trace_id", "span_id", "place", "depth", "size")
+
+
 def heap_root_path(spark, d):
     return heap.root_path(_graph(spark, d)[1])
 
@@ -166,7 +183,7 @@ def cpu_functions(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (memory_growth, gc_entries, gc_summary, alert_metrics, alerts_fired, gc_inferred, gc_pressure, leak_trend, snapshot_pattern, snapshot_history,
-              heap_diff, heap_hot_objects, heap_top_names, heap_leaks, heap_strings, heap_retained, heap_root_path, cpu_functions)
+              heap_diff, heap_hot_objects, heap_top_names, heap_leaks, heap_strings, heap_retained, heap_shared, heap_root_path, cpu_functions, flattened_page)
 }
 
 _METRIC = SAMPLE + """,
@@ -228,6 +245,14 @@ UNION ALL SELECT 'listener-accumulation', 'medium', name, 1, retained_size FROM
     "heap_strings": f"WITH {HEAP} SELECT type, count(*) AS n, sum(self_size)::BIGINT AS bytes FROM heap WHERE type = 'string' GROUP BY type",
     "heap_retained": f"""{_TREE} SELECT w.id, any_value(o.sz)::BIGINT AS self_size, sum(t.sz)::BIGINT AS retained_size FROM walk w JOIN (SELECT span_id, floor(end_ms - start_ms)::BIGINT AS sz FROM span) t ON t.span_id = w.to_id
 JOIN (SELECT span_id, floor(end_ms - start_ms)::BIGINT AS sz FROM span) o ON o.span_id = w.id GROUP BY w.id""",
+    "heap_shared": "WITH RECURSIVE " + SPAN + """, tip AS (SELECT trace_id, min(span_id::BIGINT) AS low, max(span_id::BIGINT) AS high FROM span GROUP BY 1 HAVING low < high),
+edge AS (SELECT parent_span_id AS a, span_id AS b FROM span WHERE parent_span_id IS NOT NULL UNION SELECT span_id, high::VARCHAR FROM span JOIN tip USING (trace_id) WHERE span_id::BIGINT % 3 = 0 UNION SELECT high::VARCHAR, low::VARCHAR FROM tip WHERE high % 2 = 0),
+walk AS (SELECT span_id AS id, span_id AS to_id FROM span UNION SELECT w.id, e.b FROM walk w JOIN edge e ON e.a = w.to_id)
+SELECT w.id, sum(floor(end_ms - start_ms))::BIGINT AS retained_size FROM walk w JOIN span s ON s.span_id = w.to_id GROUP BY 1""",
+    "flattened_page": "WITH RECURSIVE " + SPAN + """, walk AS (SELECT trace_id, span_id, [format('{:020.3f} ', start_ms) || span_id] AS path FROM span WHERE parent_span_id IS NULL
+  UNION ALL SELECT s.trace_id, s.span_id, list_append(w.path, format('{:020.3f} ', s.start_ms) || s.span_id) FROM walk w JOIN span s ON s.trace_id = w.trace_id AND s.parent_span_id = w.span_id),
+flat AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY path) - 1 AS place, len(path) - 1 AS depth FROM walk)
+SELECT trace_id, span_id, place, depth, (SELECT count(*) FROM flat f WHERE f.trace_id = flat.trace_id AND f.path[1:len(flat.path)] = flat.path) AS size FROM flat WHERE place BETWEEN 10 AND 29""",
     "heap_root_path": "WITH RECURSIVE " + SPAN + """, up AS (SELECT span_id AS id, span_id AS spot, 0 AS steps FROM span WHERE parent_span_id IS NOT NULL
   UNION ALL SELECT u.id, s.parent_span_id, u.steps + 1 FROM up u JOIN span s ON s.span_id = u.spot WHERE s.parent_span_id IS NOT NULL AND u.steps < 11)
 SELECT id, max(steps)::INT AS steps, arg_max(spot, steps) AS top FROM up GROUP BY id""",
