@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from tracequill.operators import heap
+from tracequill.operators import heap, jit
+from tracequill.operators.ranks import percentiles
 from tracequill.operators.trees import preorder, running_sum, subtree_sums
 
 
@@ -89,3 +91,25 @@ def test_a_long_chain_with_a_shared_end(spark):
     edges = spark.range(n - 1).selectExpr("id AS from_id", "id + 1 AS to_id", "'' AS name", "0L AS seq").union(spark.sql(f"SELECT 0L, {n - 1}L, '', 1L"))
     got = heap.retained_sizes(nodes, edges).selectExpr("count(*) AS n", f"count_if(retained_size = {n} - id) AS good").first()
     assert (got.n, got.good) == (n, n)
+
+
+def test_ranked_percentiles_equal_the_builtin(spark):
+    rows = spark.range(30_000).selectExpr("IF(id % 100 = 0, 'few', IF(id = 7, 'one', 'hot')) AS g", "CAST(hash(id) % 9000 AS DOUBLE) / 8 AS v").unionByName(spark.sql("SELECT 'none' AS g, CAST(NULL AS DOUBLE) AS v"))
+    shares = {"least": 0.0, "low": 0.07, "mid": 0.5, "high": 0.95, "top": 0.99, "most": 1.0}
+    want = rows.filter("v IS NOT NULL").groupBy("g").agg(*(F.expr(f"percentile_disc({p}D) WITHIN GROUP (ORDER BY v)").alias(n) for n, p in shares.items()))
+    assert sorted(percentiles(rows, ["g"], "v", shares).collect()) == sorted(want.collect())
+
+
+def test_findings_in_sources(spark):
+    files = spark.createDataFrame([(0, "lib/a.js"), (1, "C:\\src\\A.js"), (2, "b.js")], "file_id long, name string")
+    functions = spark.createDataFrame(
+        [(0, "outer", 1, 900, 0), (0, "inner", 300, 310, 1), (0, "twin", 1, 900, 2), (0, None, 950, 960, 3), (2, "run", 5, 6, 0), (2, "run", 8, 9, 1)],
+        "file_id long, name string, start_line long, end_line long, seq long",
+    )
+    targets = ["a.js:305:1", "x/A.JS:900", "a.js:901", "a.js:955", "run", "a.js", "b.js:x", "", None, "c.js:1", ":4", "inner"]
+    got = {r.target: (r.file, r.function, r.scope) for r in jit.in_sources(spark.createDataFrame([(t,) for t in targets], "target string"), files, functions).collect()}
+    a, none = "lib/a.js", (None, None, "none")
+    assert got == {
+        "a.js:305:1": (a, "outer", "function"), "x/A.JS:900": (a, "outer", "function"), "a.js:901": (a, None, "file"), "a.js:955": (a, None, "function"), "run": ("b.js", "run", "function"), "a.js": (a, None, "file"),
+        "b.js:x": ("b.js", None, "file"), "": none, None: none, "c.js:1": none, ":4": none, "inner": (a, "inner", "function"),
+    }

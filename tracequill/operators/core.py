@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import operation_key, percent_change, percentile
+from .ranks import percentiles
 from ..schema import EVENT_TYPES, SPAN_TYPES
 
 # Patterns of channels.
@@ -63,13 +64,19 @@ def _durations(accuracy: int | None = None) -> list:
     ]
 
 
-def channel_stats(ops: DataFrame, accuracy: int | None = None) -> DataFrame:
-    """Per channel: counts by status, and statistics of the durations over 0."""
-    return ops.groupBy("channel").agg(
-        F.count("*").alias("total"),
-        *(F.count_if(F.col("status") == s).alias(s) for s in ("success", "error", "incomplete")),
-        *_durations(accuracy),
-    )
+def channel_stats(ops: DataFrame, accuracy: int | None = None, ranked: bool = False) -> DataFrame:
+    """Per channel: counts by status, and statistics of the durations over 0.
+
+    ranked: the same percentiles, from ranges of the durations over many tasks, for channels with more
+    distinct durations than one task can hold.
+    """
+    counts = (F.count("*").alias("total"), *(F.count_if(F.col("status") == s).alias(s) for s in ("success", "error", "incomplete")))
+    if not ranked:
+        return ops.groupBy("channel").agg(*counts, *_durations(accuracy))
+    plain = ops.groupBy("channel").agg(*counts, *_durations(1))
+    exact = percentiles(ops.filter("duration_ms > 0"), ["channel"], "duration_ms", {f"_p{p}": p / 100 for p in (50, 95, 99)})
+    rows = plain.join(exact, "channel", "left")
+    return rows.select(*(F.round(F.coalesce(f"_{c[:-3]}", F.lit(0.0)), 6).alias(c) if c in ("p50_ms", "p95_ms", "p99_ms") else c for c in plain.columns))
 
 
 def summary(events: DataFrame, ops: DataFrame) -> DataFrame:

@@ -227,6 +227,44 @@ def findings(found: DataFrame, funcs: DataFrame, maps: int = MAPS, storm: int =
     return rows.withColumn("severity", level)
 
 
+def in_sources(found: DataFrame, files: DataFrame, functions: DataFrame, block: int = 256) -> DataFrame:
+    """findings (target, ...) with file, function and scope: the place in the sources that each is about.
+
+    files (file_id, name), functions (file_id, name, start_line, end_line, seq). A target is a function's name
+    or file:line:column. Of the files with the same last path part, cases aside, the first counts, else the
+    first that has a function named like the target. In it a line means the largest function that holds it,
+    of equal ones the first by seq; without a line the first function of that name. scope: function, file or none.
+
+    Ranges are joined with lines by blocks of lines. Of those that hold a whole block one is kept, of equal
+    ranges one too, and each line is looked up once, however many findings name it.
+    """
+    target, last = F.coalesce("target", F.lit("")), lambda c: F.lower(F.element_at(F.split(c, r"[/\\\\]"), -1))
+    rest = F.regexp_extract(F.split_part(target, F.lit(":"), F.lit(2)), "^[0-9]+", 0)
+    path = F.split_part(target, F.lit(":"), F.lit(1))
+    rows = found.withColumn("_target", target).withColumn("_base", F.when(path != "", last(path))).withColumn("_line", F.when((path != "") & (rest != ""), rest.cast("long")))
+    bases = files.groupBy(last(F.col("name")).alias("_base")).agg(F.min("file_id").alias("_by_base"))
+    named = functions.groupBy(F.col("name").alias("_target")).agg(F.min("file_id").alias("_by_name"))
+    rows = rows.join(bases, "_base", "left").join(named, "_target", "left").withColumn("file_id", F.coalesce("_by_base", "_by_name")).drop("_by_base", "_by_name", "_base")
+
+    best = F.max(F.struct((F.col("end_line") - F.col("start_line")).alias("size"), (-F.col("seq")).alias("late"), F.col("name").alias("function"))).alias("best")
+    spread = functions.filter("start_line <= end_line").withColumn("_block", F.explode(F.expr(f"sequence(start_line div {block}, end_line div {block})")))
+    full = (F.col("start_line") <= F.col("_block") * block) & (F.col("end_line") >= F.col("_block") * block + block - 1)
+    whole = spread.filter(full).groupBy("file_id", "_block").agg(best)
+    part = spread.filter(~full).groupBy("file_id", "_block", "start_line", "end_line").agg(best)
+    lines = rows.select("file_id", "_line").dropna().distinct().withColumn("_block", F.expr(f"_line div {block}"))
+    inside = lines.join(part, ["file_id", "_block"]).filter("_line BETWEEN start_line AND end_line").select("file_id", "_line", "best")
+    at_line = inside.unionByName(lines.join(whole, ["file_id", "_block"]).select("file_id", "_line", "best")).groupBy("file_id", "_line").agg(F.max("best").alias("_best"))
+    at_name = functions.groupBy("file_id", F.col("name").alias("_target")).agg(F.min_by("name", "seq").alias("_named"))
+
+    rows = rows.join(at_line, ["file_id", "_line"], "left").join(at_name, ["file_id", "_target"], "left")
+    # A function without a name is a place all the same.
+    held = F.when(F.col("_line").isNotNull(), F.col("_best").isNotNull()).otherwise(F.col("_named").isNotNull())
+    name = F.when(F.col("_line").isNotNull(), F.col("_best.function")).otherwise(F.col("_named"))
+    rows = rows.withColumn("function", name).withColumn("scope", F.when(F.col("file_id").isNull(), "none").when(held, "function").otherwise("file"))
+    places = files.select("file_id", F.col("name").alias("file"))
+    return rows.join(places, "file_id", "left").select(*found.columns, "file", "function", "scope")
+
+
 def health(rows: DataFrame, weight: float = 0.12) -> DataFrame:
     """(series, health): 1 less a share of all findings' scores."""
     return rows.groupBy("series").agg(F.round(clamp(1 - F.sum("score") * weight), 9).alias("health"))

@@ -82,8 +82,8 @@ def subtree_sums(nodes: DataFrame, key: list[str], parent: str, names: list[str]
     return first.select(*key).join(rings, key, "left").withColumn("_named", F.coalesce("_ring", own)).join(sums, [*scope, "_named"]).select(*key, *names)
 
 
-def running_sum(rows: DataFrame, by: list[str], order: list[str], value: str, named: str) -> DataFrame:
-    """rows with the sum of `value` over the rows of the same group before each, in an order that has no ties.
+def running_sum(rows: DataFrame, by: list[str], order: list[str], value: str, named: str, whole: str | None = None) -> DataFrame:
+    """rows with the sum of `value` over the rows of the same group before each, in an order that has no ties; as `whole` that of the group.
 
     Rows are cut into ranges of equal size, each is summed on its own and one row a range and group carries
     the sums on: a group with a third of all rows is many tasks. Null groups are left out.
@@ -93,7 +93,8 @@ def running_sum(rows: DataFrame, by: list[str], order: list[str], value: str, na
     inside = Window.partitionBy("_block", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     totals = cut.groupBy(*by, "_block").agg(F.sum(value).alias("_sum"))
     earlier = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.withColumn("_carried", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).drop("_sum")
+    carried = totals.withColumn("_carried", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
+    carried = (carried.withColumn(whole, F.sum("_sum").over(Window.partitionBy(*by))) if whole else carried).drop("_sum")
     own = F.coalesce(F.sum(value).over(inside), F.lit(0))
     return cut.withColumn("_own", own).join(carried, [*by, "_block"]).withColumn(named, F.col("_own") + F.col("_carried")).drop("_own", "_carried", "_block")
 

@@ -29,6 +29,10 @@ def channel_stats(spark, d):
     return core.channel_stats(_ops(spark, d))
 
 
+def ranked_stats(spark, d):
+    return core.channel_stats(_ops(spark, d), ranked=True)
+
+
 def operations(spark, d):
     out = _ops(spark, d)
     return out.select("op_key", "channel", *(F.round(c, 3).alias(c) for c in ("start_ms", "end_ms", "duration_ms")), "status")
@@ -122,7 +126,7 @@ def gate(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        channel_stats, operations, trace_summary, event_validity, channel_filter, search_regex, search_literal, search_operations, throughput,
+        channel_stats, ranked_stats, operations, trace_summary, event_validity, channel_filter, search_regex, search_literal, search_operations, throughput,
         latency_histogram, series_summary, perf_compare, validator_issues, validator_channels, bottlenecks, n_plus_one, gate,
     )
 }
@@ -154,6 +158,7 @@ n1 AS (SELECT parent_id, lower(channel) AS channel, count(*) AS queries FROM cal
 
 ORACLE_SQL = {
     "channel_stats": f"WITH {OPS} SELECT channel, {_STATS} FROM op GROUP BY channel",
+    "ranked_stats": f"WITH {OPS} SELECT channel, {_STATS} FROM op GROUP BY channel",
     "operations": f"WITH {OPS} SELECT op_key, channel, round(start_ms, 3) AS start_ms, round(end_ms, 3) AS end_ms, round(duration_ms, 3) AS duration_ms, status FROM op",
     "trace_summary": f"""WITH {OPS}
 SELECT (SELECT count(*) FROM ev) AS total_events, (SELECT min(ts_ms) FROM ev) AS first_ms, (SELECT max(ts_ms) FROM ev) AS last_ms,

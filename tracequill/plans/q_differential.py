@@ -48,6 +48,14 @@ def alignment_summary(spark, d):
     return dif.alignment_summary(dif.align(*_normal(spark, d), PAIR), PAIR).withColumn("similarity", F.round("similarity", 9))
 
 
+def scattered_alignment(spark, d):
+    """The whole table as one run, and the same with the context of every 97th operation changed."""
+    normal = trace_events(spark, d).withColumn("pair", F.lit(0))
+    fault = normal.withColumn("context_json", F.when(F.floor(F.col("seq") / 2) % 97 == 5, '{"k": -1}').otherwise(F.col("context_json")))
+    pairs = dif.align(dif.normalise(normal, "pair"), dif.normalise(fault, "pair"), "pair")
+    return dif.alignment_summary(pairs, "pair").withColumn("similarity", F.round("similarity", 9))
+
+
 def one_pair_alignment(spark, d):
     """The whole table as one run, and the same with the context of its middle operation changed."""
     normal = trace_events(spark, d).withColumn("pair", F.lit(0))
@@ -114,7 +122,7 @@ def canonical_values(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        normalised_runs, alignment, alignment_summary, one_pair_alignment, event_diffs, divergences, first_divergence, semantic_divergences,
+        normalised_runs, alignment, alignment_summary, one_pair_alignment, scattered_alignment, event_diffs, divergences, first_divergence, semantic_divergences,
         channel_regressions, regression_score, run_report, canonical_values,
     )
 }
@@ -159,6 +167,8 @@ FROM b WHERE NOT gone WINDOW w AS (PARTITION BY user_id ORDER BY ts_ms, channel,
     "alignment_summary": f"WITH {_RUNS} SELECT user_id, sum(cost)::BIGINT AS cost, count(*) FILTER (WHERE kind <> 'match') AS edits, count(*) FILTER (WHERE kind = 'match') AS matches, round(count(*) FILTER (WHERE kind = 'match')::DOUBLE / count(*), 9) AS similarity FROM al GROUP BY 1",
     "one_pair_alignment": f"""WITH {EV}, m AS (SELECT max(seq // 4) AS m FROM ev) SELECT 0 AS pair, count(*) FILTER (WHERE seq // 2 = m)::BIGINT AS cost, count(*) FILTER (WHERE seq // 2 = m) AS edits, count(*) FILTER (WHERE seq // 2 <> m) AS matches,
 round(count(*) FILTER (WHERE seq // 2 <> m)::DOUBLE / count(*), 9) AS similarity FROM ev, m""",
+    "scattered_alignment": f"""WITH {EV} SELECT 0 AS pair, count(*) FILTER (WHERE seq // 2 % 97 = 5)::BIGINT AS cost, count(*) FILTER (WHERE seq // 2 % 97 = 5) AS edits, count(*) FILTER (WHERE seq // 2 % 97 <> 5) AS matches,
+round(count(*) FILTER (WHERE seq // 2 % 97 <> 5)::DOUBLE / count(*), 9) AS similarity FROM ev""",
     "event_diffs": f"""WITH {_RUNS} SELECT user_id, i AS normal_index, fi AS fault_index, dk AS kind, sig AS significance, 1 AS n_values, CASE WHEN boom AND NOT gone THEN 2 ELSE 0 END AS n_stack,
 CASE WHEN gone THEN 'removed' ELSE 'changed' END AS change, json_extract_string(context_json, '$.k') AS before, CASE WHEN NOT gone THEN '-1' END AS after, CASE WHEN boom AND NOT gone THEN 'at run (/app/a.js:1:2)' END AS frame FROM sg""",
     "divergences": f"""WITH {_RUNS} SELECT user_id, "order", dk AS kind, rep_i AS normal_index, rep_f AS fault_index, role, reason, round(conf, 6) AS confidence, sig AS significance, description, size, at_i AS low_normal, coalesce(low_fault, -1) AS low_fault FROM dv""",

@@ -75,7 +75,21 @@ def jit_top(spark, d):
     return a.unionByName(jit.top_functions(funcs, 10).select("series", "id", (F.col("opts") + F.col("deopts")).alias("n")))
 
 
-QUERIES = {f.__name__: f for f in (jit_events, jit_files, jit_sites, jit_functions, jit_graph, jit_graph_nodes, jit_findings, jit_health, jit_top)}
+def finding_functions(spark, d):
+    """A finding per event, by line, name or file; a function per event, in three files, nested, equal and crossing."""
+    e, u = F.col("event_id"), F.col("user_id")
+    rows = raw(spark, d).select("event_id", "user_id")
+    files = rows.select((e % 3).alias("file_id")).distinct().withColumn("name", F.element_at(F.array(F.lit("dist/app.js"), F.lit("old\\lib.js"), F.lit("other.js")), F.col("file_id").cast("int") + 1))
+    start = u * 13 % 3000
+    functions = rows.select((e % 3).alias("file_id"), F.concat(F.lit("fn"), e % 50).alias("name"), start.alias("start_line"), (start + (e % 7) * (e % 200)).alias("end_line"), e.alias("seq"))
+    target = (
+        F.when(e % 5 == 0, F.concat(F.lit("src/App.js:"), u % 4500, F.lit(":4"))).when(e % 5 == 1, F.concat(F.lit("fn"), e % 60))
+        .when(e % 5 == 2, F.lit("lib.js")).when(e % 5 == 3, F.lit("gone.js:7")).otherwise(F.concat(F.lit("LIB.js:"), e % 4000))
+    )
+    return jit.in_sources(rows.select("event_id", target.alias("target")), files, functions)
+
+
+QUERIES = {f.__name__: f for f in (jit_events, jit_files, jit_sites, jit_functions, jit_graph, jit_graph_nodes, jit_findings, jit_health, jit_top, finding_functions)}
 
 _L = """l AS (SELECT event_id AS seq, event_id % 10 AS series, event_type AS t, event_id % 16 AS o, 'app.js:' || user_id % 5 || ':' || event_id % 3 AS st, '0x2c' || event_id % 4 AS ad, 'fn' || event_id % 4 AS fn, event_id // 10 AS j FROM events),
 p AS (SELECT seq, series, CASE t WHEN 'click' THEN 'ic' WHEN 'view' THEN 'map' WHEN 'signup' THEN 'opt' WHEN 'purchase' THEN 'deopt' ELSE CASE WHEN j % 2 = 0 THEN 'bailout' ELSE 'deopt' END END AS class,
@@ -118,4 +132,13 @@ UNION ALL SELECT series, address, target, 'transition', arg_min(key, seq), count
     "jit_findings": f"""WITH {_L} SELECT series, rule, target, round(score, 9) AS score, CASE WHEN rule IN ('deopt-loop', 'optimization-suppressed') THEN 'warning' WHEN score >= 0.7 THEN 'critical' WHEN score >= 0.35 THEN 'warning' ELSE 'info' END AS severity FROM fd""",
     "jit_health": f"WITH {_L} SELECT series, round(greatest(0, least(1, 1 - sum(score) * 0.12)), 9) AS health FROM fd GROUP BY 1",
     "jit_top": f"""WITH {_L} (SELECT series, id, hits AS n FROM si ORDER BY hits DESC, series, fs LIMIT 10) UNION ALL (SELECT series, id, opts + deopts FROM fu ORDER BY opts + deopts DESC, series, id LIMIT 10)""",
+    "finding_functions": """WITH v AS (SELECT event_id AS e, user_id AS u FROM events),
+f AS (SELECT DISTINCT e % 3 AS file_id, CASE e % 3 WHEN 0 THEN 'dist/app.js' WHEN 1 THEN 'old\\lib.js' ELSE 'other.js' END AS name FROM v),
+fn AS (SELECT e % 3 AS file_id, 'fn' || (e % 50) AS name, u * 13 % 3000 AS a, u * 13 % 3000 + (e % 7) * (e % 200) AS b, e AS seq FROM v),
+t AS (SELECT e, CASE e % 5 WHEN 0 THEN 'src/App.js:' || (u % 4500) || ':4' WHEN 1 THEN 'fn' || (e % 60) WHEN 2 THEN 'lib.js' WHEN 3 THEN 'gone.js:7' ELSE 'LIB.js:' || (e % 4000) END AS target,
+  CASE e % 5 WHEN 0 THEN u % 4500 WHEN 4 THEN e % 4000 END AS line, CASE e % 5 WHEN 0 THEN 0 WHEN 2 THEN 1 WHEN 4 THEN 1 WHEN 1 THEN (SELECT min(file_id) FROM fn WHERE fn.name = 'fn' || (e % 60)) END AS file_id FROM v),
+l AS (SELECT file_id, line, arg_max(fn.name, (b - a, -seq)) AS function FROM (SELECT DISTINCT file_id, line FROM t WHERE line IS NOT NULL) x JOIN fn USING (file_id) WHERE line BETWEEN a AND b GROUP BY 1, 2),
+n AS (SELECT DISTINCT file_id, name FROM fn)
+SELECT e AS event_id, target, f.name AS file, coalesce(l.function, n.name) AS function, CASE WHEN f.name IS NULL THEN 'none' WHEN coalesce(l.function, n.name) IS NULL THEN 'file' ELSE 'function' END AS scope
+FROM t LEFT JOIN f USING (file_id) LEFT JOIN l ON l.file_id = t.file_id AND l.line = t.line LEFT JOIN n ON n.file_id = t.file_id AND t.line IS NULL AND n.name = t.target""",
 }

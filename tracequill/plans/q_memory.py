@@ -165,9 +165,9 @@ def heap_shared(spark, d):
 
 
 def flattened_page(spark, d):
-    """Places 10 to 29 of every trace's flattened tree."""
-    flat = preorder(spans(spark, d), ["trace_id", "span_id"], "parent_span_id", ["start_ms"])
-    return flat.filter("place BETWEEN 10 AND 29").select("trace_id", "span_id", "place", "depth", "size")
+    """A page of the flattened forest of all spans: places 100 to 399."""
+    flat = preorder(spans(spark, d), ["span_id"], "parent_span_id", ["start_ms"])
+    return flat.filter("place BETWEEN 100 AND 399").select("span_id", "place", "depth", "size")
 
 
 def heap_root_path(spark, d):
@@ -249,10 +249,11 @@ JOIN (SELECT span_id, floor(end_ms - start_ms)::BIGINT AS sz FROM span) o ON o.s
 edge AS (SELECT parent_span_id AS a, span_id AS b FROM span WHERE parent_span_id IS NOT NULL UNION SELECT span_id, high::VARCHAR FROM span JOIN tip USING (trace_id) WHERE span_id::BIGINT % 3 = 0 UNION SELECT high::VARCHAR, low::VARCHAR FROM tip WHERE high % 2 = 0),
 walk AS (SELECT span_id AS id, span_id AS to_id FROM span UNION SELECT w.id, e.b FROM walk w JOIN edge e ON e.a = w.to_id)
 SELECT w.id, sum(floor(end_ms - start_ms))::BIGINT AS retained_size FROM walk w JOIN span s ON s.span_id = w.to_id GROUP BY 1""",
-    "flattened_page": "WITH RECURSIVE " + SPAN + """, walk AS (SELECT trace_id, span_id, [format('{:020.3f} ', start_ms) || span_id] AS path FROM span WHERE parent_span_id IS NULL
-  UNION ALL SELECT s.trace_id, s.span_id, list_append(w.path, format('{:020.3f} ', s.start_ms) || s.span_id) FROM walk w JOIN span s ON s.trace_id = w.trace_id AND s.parent_span_id = w.span_id),
-flat AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY path) - 1 AS place, len(path) - 1 AS depth FROM walk)
-SELECT trace_id, span_id, place, depth, (SELECT count(*) FROM flat f WHERE f.trace_id = flat.trace_id AND f.path[1:len(flat.path)] = flat.path) AS size FROM flat WHERE place BETWEEN 10 AND 29""",
+    "flattened_page": "WITH RECURSIVE " + SPAN + """, walk AS (SELECT span_id, [format('{:020.3f} ', start_ms) || span_id] AS path FROM span WHERE parent_span_id IS NULL
+  UNION ALL SELECT s.span_id, list_append(w.path, format('{:020.3f} ', s.start_ms) || s.span_id) FROM walk w JOIN span s ON s.parent_span_id = w.span_id),
+flat AS (SELECT *, row_number() OVER (ORDER BY path) - 1 AS place, len(path) - 1 AS depth FROM walk),
+below AS (SELECT f.span_id, count(*) AS size FROM flat f JOIN walk w ON w.path[len(f.path)] = f.path[len(f.path)] AND w.path[1:len(f.path)] = f.path WHERE place BETWEEN 100 AND 399 GROUP BY 1)
+SELECT span_id, place, depth, size FROM flat JOIN below USING (span_id) WHERE place BETWEEN 100 AND 399""",
     "heap_root_path": "WITH RECURSIVE " + SPAN + """, up AS (SELECT span_id AS id, span_id AS spot, 0 AS steps FROM span WHERE parent_span_id IS NOT NULL
   UNION ALL SELECT u.id, s.parent_span_id, u.steps + 1 FROM up u JOIN span s ON s.span_id = u.spot WHERE s.parent_span_id IS NOT NULL AND u.steps < 11)
 SELECT id, max(steps)::INT AS steps, arg_max(spot, steps) AS top FROM up GROUP BY id""",
