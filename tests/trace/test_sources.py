@@ -6,6 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from tracequill import schema
 from tracequill.operators import core, heap, memory
 from tracequill.sinks import exports, reports
 from tracequill.sources import binary, files
@@ -227,3 +228,27 @@ def test_folders_of_snapshots_and_profiles_keep_their_files_apart(spark, tmp_pat
     nodes, samples = files.read_cpu_profile(spark, str(tmp_path / "*.cpuprofile"))
     assert sorted((r.id, r.parent_id, r.function) for r in nodes.collect()) == sorted([(1, None, "(anonymous)")] * 3 + [(2, 1, f"f{k}") for k in range(3)])
     assert sorted(r["count"] for r in samples.groupBy("file").count().collect()) == [1, 2, 3]
+
+
+def test_binary_files_are_committed_whole(spark, tmp_path):
+    rows = [(k, i, "a:q", "start", float(i), str(i), None, "{}", None) for k in ("a/b c", "_d+e", None) for i in range(3)]
+    events = spark.createDataFrame(rows, "run string, " + schema.EVENT)
+    out = tmp_path / "out"
+    sizes = {r.run: r.bytes for r in binary.write_ndv(events, "run", str(out)).collect()}
+    assert set(sizes) == {"a/b c", "_d+e", None} and len(list(out.iterdir())) == len([p for p in out.iterdir() if p.suffix == ".ndv" or p.name.endswith(".crc")])
+    assert binary.read_ndv(spark, str(out)).count() == 9
+    kept = {p.name: p.read_bytes() for p in out.iterdir()}
+    broken = events.withColumn("ts_ms", F.expr("IF(run = '_d+e' AND seq = 2, CAST(raise_error('stop') AS DOUBLE), ts_ms)"))
+    with pytest.raises(Exception, match="stop"):
+        binary.write_ndv(broken, "run", str(out))
+    assert {p.name: p.read_bytes() for p in out.iterdir()} == kept
+    assert binary.write_ndv(events.filter("run = '_d+e'").limit(1), "run", str(out)).count() == 3
+    assert binary.read_ndv(spark, str(out)).count() == 7
+
+
+def test_a_failing_writer_leaves_nothing(spark, tmp_path):
+    spark.dataSource.register(binary.NdvSink)
+    rows = spark.range(0, 8, 1, 4).select(F.concat(F.lit("k"), "id").alias("name"), F.expr("IF(id = 7, CAST(raise_error('stop') AS BINARY), CAST('x' AS BINARY))").alias("content"))
+    with pytest.raises(Exception, match="stop"):
+        rows.write.format("tracequill_ndv").option("uri", f"file://{tmp_path}/out").mode("append").save()
+    assert not (tmp_path / "out").exists() or not list((tmp_path / "out").iterdir())

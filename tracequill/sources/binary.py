@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import struct
+import uuid
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from urllib.parse import quote_plus
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from ..schema import EVENT_TYPES
 
@@ -108,22 +113,96 @@ def read_ndv(spark: SparkSession, path: str) -> DataFrame:
     return decoded(spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content"), "file")
 
 
-def write_ndv(events: DataFrame, by: str, folder: str) -> DataFrame:
-    """Writes `folder`/<value of by>.ndv and returns (by, bytes); folder is a path or URI that all executors reach."""
-    kind = events.schema[by].dataType.simpleString()
+#: File name of a null key; no quoted text looks like it.
+_NULL = "%null"
 
-    def run(batches):
+
+def _file(key: str | None) -> str:
+    """A file name for a key. Names that begin with a dot or an underscore are hidden from Spark, so these are quoted too."""
+    name = _NULL if key is None else quote_plus(key)
+    return (f"%{ord(name[0]):02X}{name[1:]}" if name[:1] in (".", "_") else name) + ".ndv"
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    folder: str | None
+    names: list[str]
+
+
+class _NdvWriter(DataSourceArrowWriter):
+    """Each attempt of a task fills a hidden folder of its own; only those that Spark commits are moved into place.
+
+    The hidden folder of the whole job is made here, not by tasks: what is still running after an abort has no
+    place left to write to.
+    """
+
+    def __init__(self, uri: str):
+        self.uri, self.staging = uri, f".staging-{uuid.uuid4().hex}"
+        where, root = self._at()
+        where.create_dir(f"{root}/{self.staging}", recursive=True)
+
+    def _at(self):
         from pyarrow import fs
 
-        where, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
-        where.create_dir(root, recursive=True)
-        for batch in batches:
-            sizes = []
-            for key, data in zip(batch.column(by).to_pylist(), batch.column("content").to_pylist(), strict=True):
-                with where.open_output_stream(f"{root}/{key}.ndv.part") as out:
+        return fs.FileSystem.from_uri(self.uri)
+
+    def write(self, iterator):
+        where, root = self._at()
+        mine, names = f"{root}/{self.staging}/{uuid.uuid4().hex}", []
+        for batch in iterator:
+            for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if not names:
+                    where.create_dir(mine, recursive=False)
+                names.append(_file(key))
+                with where.open_output_stream(f"{mine}/{names[-1]}") as out:
                     out.write(data)
-                where.move(f"{root}/{key}.ndv.part", f"{root}/{key}.ndv")  # a repeated task replaces its file whole
-                sizes.append(len(data))
-            yield pa.RecordBatch.from_arrays([batch.column(by), pa.array(sizes, pa.int64())], names=[by, "bytes"])
+        return _Written(mine if names else None, names)
 
-    return encoded(events, by).mapInArrow(run, f"{by} {kind}, bytes long")
+    def commit(self, messages):
+        where, root = self._at()
+        moves = [(f"{m.folder}/{name}", f"{root}/{name}") for m in messages if m is not None for name in m.names]
+        with ThreadPoolExecutor(16) as pool:  # renames only
+            list(pool.map(lambda x: where.move(*x), moves))
+        self._clear()
+
+    def abort(self, messages):
+        self._clear()
+
+    def _clear(self):
+        from pyarrow import fs
+
+        where, root = self._at()
+        if where.get_file_info(f"{root}/{self.staging}").type == fs.FileType.Directory:
+            where.delete_dir(f"{root}/{self.staging}")
+
+
+class NdvSink(DataSource):
+    """Format `tracequill_ndv`: rows (name string, content binary) as files <name>.ndv of the folder in `uri`."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "tracequill_ndv"
+
+    def schema(self) -> str:
+        return "name string, content binary"
+
+    def writer(self, schema, overwrite: bool) -> _NdvWriter:
+        return _NdvWriter(self.options["uri"])
+
+
+def write_ndv(events: DataFrame, by: str, folder: str) -> DataFrame:
+    """Writes `folder`/<value of by>.ndv, once the job is done, and returns (by, bytes) of the folder's files.
+
+    A path without a scheme lies on the cluster's default file system. A file of the same name is replaced; a
+    job that fails leaves none behind.
+    """
+    spark = events.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    uri = system.makeQualified(path).toString().replace("file:/", "file:///", 1) if system.getScheme() == "file" else system.makeQualified(path).toString()
+    spark.dataSource.register(NdvSink)
+    rows = encoded(events, by).select(F.col(by).cast("string").alias("name"), "content")
+    rows.write.format("tracequill_ndv").option("uri", uri).mode("append").save()
+    name = F.regexp_extract("path", r"([^/]*)\.ndv$", 1)
+    key = F.when(name != _NULL, F.url_decode(name)).cast(events.schema[by].dataType)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.ndv").load(uri).select(key.alias(by), F.col("length").alias("bytes"))
