@@ -100,6 +100,39 @@ def test_toxicity_without_labels():
     assert s[0] > s[1] and np.isfinite(s).all()
 
 
+def _toxic_rows(spark, vile: str):
+    """60 texts of label 0 and 40 of label 1."""
+    rows = [(i, f"good words number {i % 7}" if i % 5 > 1 else f"{vile}number {i % 7}", "en") for i in range(100)]
+    labels = [(i, int(i % 5 < 2)) for i in range(100)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """Long texts are learned from like others, and rows count whatever their number."""
+    docs, labels = _toxic_rows(spark, "vile " * 21_000)
+    m = toxicity.train(docs, labels)
+    assert m.flat is None
+    vile, good = m.scores(pa.array(["vile number", "good words"]))
+    assert vile > good
+    docs, labels = _toxic_rows(spark, "vile ")
+    one = toxicity.train(docs, labels)
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 20)
+    monkeypatch.setattr(toxicity, "SAMPLE", 10, raising=False)
+    several = toxicity.train(docs, labels)
+    assert several.active.tolist() == one.active.tolist()
+    assert np.array_equal(several.lang_table, one.lang_table)
+    vile, good = several.scores(pa.array(["vile number", "good words"]))
+    assert vile > good
+
+
+def test_toxicity_scores_do_not_depend_on_neighbours():
+    ids, off = toxicity.buckets(pa.array(["good words", "vile words", None, ""] * 20))
+    m = toxicity.fit([ids[a:b] for a, b in zip(off[:-1], off[1:], strict=True)], np.array([0, 1, 0, 0] * 20, float), ["en"] * 80)
+    texts = ["good", "vile words", "", "vile", None, "words good vile"]
+    assert m.scores(pa.array(texts)).tolist() == [m.scores(pa.array([t], pa.string()))[0] for t in texts]
+    assert m.scores(pa.array(["vile good " * 100_000, "good"])).tolist() == [m.scores(pa.array([t]))[0] for t in ("vile good " * 100, "good")]
+
+
 def test_op8_equals_brute_force(spark, tables):
     words = lambda t: re.findall(r"[a-z0-9\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
