@@ -3,10 +3,12 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tracequill.llm import queries
+from tracequill.llm import ngram_join, queries
 from tracequill.llm.components import components
 from tracequill.llm.ngram_join import class_keys, missable, near_components
 from tracequill.llm.substring_dedup import dedup_substrings
@@ -185,3 +187,32 @@ def test_long_near_copies_of_frequent_text(spark):
     docs += [(100 + i, " ".join(base[:200] + [f"u{i}-{k}" for k in range(rng.choice([20, 40, 400]))])) for i in range(30)]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), frequent=3).collect()}
     assert got == brute_components(docs)
+
+
+def test_marks_tell_apart_and_lose_no_similar_pair(spark):
+    """Pairs by marks: all that are similar enough, and few of those that share a passage alone."""
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for k in range(120):  # copies with more and more words replaced, in runs
+        words, at, n = list(base), int(rng.integers(0, 300)), 2 * (k % 60)
+        for i in range(n):
+            words[(at + i) % 300] = f"own{k}x{i}"
+        texts.append(" ".join(words))
+    texts += ["", "one two"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["sid", "text"])
+    tokens, off = ngram_join._sets(batch, 5)
+    sets = [set(tokens[a:b].tolist()) for a, b in zip(off[:-1], off[1:], strict=True)]
+    marks = pa.Table.from_batches(ngram_join._marked(iter([batch]), 5)).column("mark").to_pylist()
+    rows = spark.createDataFrame([(k, len(s), m) for k, (s, m) in enumerate(zip(sets, marks, strict=True))], "a long, n long, m array<long>")
+    both = rows.crossJoin(rows.toDF("b", "o", "p")).filter("a < b")
+    passed = {(r.a, r.b) for r in both.filter(ngram_join.near("n", "o", "m", "p", 75)).select("a", "b").collect()}
+    similar, shared = set(), 0
+    for a in range(len(sets)):
+        for b in range(a + 1, len(sets)):
+            meet = len(sets[a] & sets[b])
+            shared += meet > 0
+            if meet and 100 * meet >= 75 * len(sets[a] | sets[b]):
+                similar.add((a, b))
+    assert similar <= passed
+    assert len(similar) > 100 and len(passed) - len(similar) < (shared - len(similar)) / 4

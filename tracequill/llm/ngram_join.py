@@ -17,8 +17,10 @@ share a token among the first t + 1 of each, where t is how many tokens a set ma
 3. Groups of copies are not expanded into pairs. Keys of up to `SMALL` sets give all their pairs; of
    larger ones, within a partition and again over partitions, each set is paired with the first one.
    Of its pairs each set first has the likeliest one verified, then those still in different
-   components. Keys whose sets are still not in one component are compared with the first set of the
-   first component once more, and what is left apart there meets in all pairs that can be similar.
+   components. In keys whose sets are still not in one component, all are compared with the most
+   popular one, and what is left apart there meets in all pairs that can be similar. By then sets
+   have marks, parities of their tokens by hash: two sets differ in as many tokens at least as their
+   marks in bits, so most pairs that are not similar go no further, and no similar one is lost.
    So no link that joins two components is missed.
 
 If a key is what two sets share first, they share at most what either has from there on; that bounds
@@ -56,8 +58,10 @@ LOCAL, LEAST = 2, 16
 TASK_TOKENS = 3_000_000
 #: Ids (8 bytes each) up to which the rows of a round are picked by a broadcast, not a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Rounds in which sets are compared with the most popular ones of their keys, before what is left meets in pairs.
-HUB_ROUNDS = 2
+#: Rounds in which sets are compared with the most popular one of each of their keys, before what is left meets in pairs.
+TOP_ROUNDS = 2
+#: Words of 64 bits in a set's mark: a bit is whether an odd number of its tokens hash to it.
+MARK_WORDS = 16
 #: The largest index group that gives all its pairs.
 SMALL = 4
 #: Bytes of text that are compared at a time.
@@ -444,6 +448,18 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["key", "sid", "n", "most"])
 
 
+def _marked(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The mark of each text's set."""
+    bits = 64 * MARK_WORDS
+    for piece in w.pieces(batches):
+        tokens, off = _sets(piece, width)
+        doc = np.repeat(np.arange(piece.num_rows), np.diff(off))
+        odd = np.bincount(doc * bits + (w.mix(tokens + np.uint64(w.BASES[1])) % np.uint64(bits)).astype(np.int64), minlength=piece.num_rows * bits) & 1
+        marks = np.packbits(odd.astype(np.uint8)).view(np.int64)
+        held = pa.ListArray.from_arrays(pa.array(np.arange(piece.num_rows + 1, dtype=np.int32) * MARK_WORDS), pa.array(marks))
+        yield pa.RecordBatch.from_arrays([piece.column("sid"), held], names=["sid", "mark"])
+
+
 def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed one by one, for shuffles."""
     coder = zstandard.ZstdCompressor(level=3)
@@ -516,10 +532,14 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 75, frequent
     several = ids.groupBy("doc_id").agg(F.min("sid").alias("a"), F.max("sid").alias("z")).filter("a < z").select("doc_id", "a")
     links = saved(ids.join(several, "doc_id").filter("a < sid").select("a", F.col("sid").alias("b")).distinct())
 
+    def with_texts(wanted: DataFrame) -> DataFrame:
+        """The sets (sid) of a saved table with a text of each; in repeated rows several times."""
+        one = saved(_picked(ids, wanted, "sid").groupBy("sid").agg(F.min(F.struct("doc_id", "th")).alias("d")).select("sid", "d.doc_id", "d.th"))
+        return _picked(docs, one, ["doc_id", "th"], "inner")
+
     def verified(todo: DataFrame) -> DataFrame:
         wanted = saved(todo.select(F.col("a").alias("sid")).union(todo.select("b")).distinct())
-        one = saved(_picked(ids, wanted, "sid").groupBy("sid").agg(F.min(F.struct("doc_id", "th")).alias("d")).select("sid", "d.doc_id", "d.th"))
-        texts = _picked(docs, one, ["doc_id", "th"], "inner").mapInArrow(tidy(_zipped), "sid long, z binary").dropDuplicates(["sid"])
+        texts = with_texts(wanted).mapInArrow(tidy(_zipped), "sid long, z binary").dropDuplicates(["sid"])
         hubs = todo.groupBy("a").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("k"))
         salt = F.pmod(F.xxhash64("b"), F.col("k")).cast("int").alias("salt")
         first = texts.toDF("a", "z_a").join(hubs, "a").select("a", "z_a", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"))
@@ -533,7 +553,7 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 75, frequent
         return best.select((-F.col("best.a")).alias("a"), "b")
 
     tested = saved(likeliest(pairs))
-    labels = entries = None
+    labels = entries = marks = None
     if not tested.isEmpty():
         links = links.union(verified(tested))
     if not links.isEmpty():
@@ -541,7 +561,7 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 75, frequent
         rest = saved(labelled(pairs.filter("n > 0"), labels).select("a", "b").join(tested, ["a", "b"], "left_anti"))
     else:
         rest = saved(pairs.filter("n > 0").select("a", "b").join(tested, ["a", "b"], "left_anti"))
-    for step in ("rest", *["hubs"] * HUB_ROUNDS, "all"):
+    for step in ("rest", *["top"] * TOP_ROUNDS, "all"):
         if step == "rest":
             todo = rest
         else:
@@ -556,12 +576,15 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 75, frequent
             entries = saved(apart(entries, labels))
             if entries.isEmpty():
                 break
-            left, right = entries.toDF("key", "a", "n_a", "most_a", "label_a"), entries.toDF("key", "b", "n_b", "most_b", "label_b")
-            if step == "hubs":
-                hubs = saved(popular(entries))
-                left = _picked(left, hubs.toDF("a"), "a")
-                entries = entries.join(hubs, "sid", "left_anti")
-            todo = left.join(right, "key").filter("label_a <> label_b").filter(fit("n_a", "n_b", "most_a", "most_b", percent))
+            if marks is None:
+                marks = saved(with_texts(saved(entries.select("sid").distinct())).mapInArrow(tidy(lambda it: _marked(it, width)), "sid long, mark array<long>").dropDuplicates(["sid"]))
+            marked = entries.join(marks, "sid").select("key", "sid", "n", "most", "label", "mark")
+            left, right = marked.toDF("key", "a", "n_a", "most_a", "label_a", "mark_a"), marked.toDF("key", "b", "n_b", "most_b", "label_b", "mark_b")
+            if step == "top":
+                top = saved(popular(entries))
+                left = left.join(top.toDF("key", "a"), ["key", "a"], "left_semi")
+                entries = entries.join(top, ["key", "sid"], "left_anti")
+            todo = left.join(right, "key").filter("label_a <> label_b" if step == "top" else "label_a <> label_b and a < b").filter(fit("n_a", "n_b", "most_a", "most_b", percent)).filter(near("n_a", "n_b", "mark_a", "mark_b", percent))
             todo = saved(todo.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
             entries = entries.select("key", "sid", "n", "most")
         if todo.isEmpty():
@@ -596,6 +619,12 @@ def fit(n: str, m: str, most: str, most_m: str, percent: int) -> Column:
     return F.expr(f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) AND {100 + percent} * least({most}, {most_m}) >= {percent} * ({n} + {m})")
 
 
+def near(n: str, m: str, mark: str, other: str, percent: int) -> Column:
+    """Whether sets of these sizes and marks can be similar enough: they may differ in (n + m) (100 - p) / (100 + p) tokens."""
+    apart = " + ".join(f"bit_count({mark}[{i}] ^ {other}[{i}])" for i in range(MARK_WORDS))
+    return F.expr(f"{100 + percent} * ({apart}) <= {100 - percent} * ({n} + {m})")
+
+
 def labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Those pairs (a, b) whose sets are in different components."""
     a, b = labels.toDF("a", "la"), labels.toDF("b", "lb")
@@ -613,10 +642,10 @@ def merged(labels: DataFrame, more: DataFrame) -> DataFrame:
 
 
 def popular(entries: DataFrame) -> DataFrame:
-    """(sid) of the sets that have, in some key, the largest groups over all their keys: what others were copied from has all keys that any copy has kept."""
+    """(key, sid) of the set of each key that has the largest groups over all its keys: what others were copied from has all keys that any copy has kept."""
     size = entries.groupBy("key").agg(F.count("*").alias("size"))
     liked = entries.join(size, "key").groupBy("sid").agg(F.sum("size").alias("liked"))
-    return entries.join(liked, "sid").groupBy("key").agg(F.max(F.struct("liked", "sid")).alias("top")).select("top.sid").distinct()
+    return entries.join(liked, "sid").groupBy("key").agg(F.max(F.struct("liked", "sid")).alias("top")).select("key", "top.sid")
 
 
 def apart(index: DataFrame, labels: DataFrame) -> DataFrame:
