@@ -216,3 +216,36 @@ def test_marks_tell_apart_and_lose_no_similar_pair(spark):
                 similar.add((a, b))
     assert similar <= passed
     assert len(similar) > 100 and len(passed) - len(similar) < (shared - len(similar)) / 4
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_a_range_of_hashes_is_settled_in_steps(exact):
+    """Memory follows the hashes themselves, not all that sorting them at once takes; what goes back is as brute force has it."""
+    import tracemalloc
+
+    from tracequill.llm import substring_dedup
+
+    rng = np.random.default_rng(8)
+    rows, want, owners = [], [], {}
+    for b in range(8):
+        a = np.unique(np.append(rng.integers(1 << 30, 1 << 38, 150_000), np.arange(b % 3, 3000, 2) * 7919 + (1 << 30))).astype(np.uint64)
+        second, ids = a % np.uint64(5), a % np.uint64(3) + np.uint64(b)
+        rows.append((a, second, ids))
+        for k, i, on in zip(a.tolist(), ids.tolist(), (second > 2).tolist(), strict=True):
+            owners.setdefault(k, []).append((i, on))
+    for a, _, ids in rows:
+        if exact:
+            want.append([k for k, i in zip(a.tolist(), ids.tolist(), strict=True) if i > min(owners[k])[0]])
+        else:
+            want.append([k for k in a.tolist() if len(owners[k]) > 1 and any(on for _, on in owners[k])])
+    data = [substring_dedup.pack(substring_dedup._sorted(a), *((s, i) if exact else ((s > 2).astype(np.uint64),))) for a, s, i in rows]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8), pa.int64()), pa.array(data, pa.binary())], names=[substring_dedup.OWN + "batch", substring_dedup.OWN + "payload"])
+    del owners
+    tracemalloc.start()
+    (out,) = substring_dedup._met(iter([batch]), exact)
+    peak = tracemalloc.get_traced_memory()[1] / sum(len(a) for a, *_ in rows)
+    tracemalloc.stop()
+    got = {b: substring_dedup.unpack(x) for b, x in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)}
+    assert [np.cumsum(got[b][0]).tolist() if b in got else [] for b in range(8)] == want
+    assert not exact or all((x[1] == np.cumsum(x[0]) % np.uint64(5)).all() for x in got.values())
+    assert peak < 50, peak

@@ -38,6 +38,8 @@ from .packing import pack, unpack
 BATCH_BYTES = 4 << 20
 #: Hashes a task that settles a range of hash space gets, on average.
 RANGE_HASHES = 4_000_000
+#: Hashes of a range that are sorted at a time: bounds what such a task holds beside the hashes themselves.
+STEP_HASHES = 250_000
 #: Low bits of an anchor's hash that do not travel: it only finds candidates, so 40 bits do.
 ANCHOR_SHIFT = np.uint64(24)
 ROUTED = f"{OWN}part int, {OWN}batch long, {OWN}payload binary"
@@ -110,33 +112,52 @@ def _met(batches: Iterator[pa.RecordBatch], exact: bool) -> Iterator[pa.RecordBa
     for batch in batches:
         for name, data in zip(batch.column(OWN + "batch").to_pylist(), batch.column(OWN + "payload").to_pylist(), strict=True):
             cols = unpack(data)
-            cols[0] = np.cumsum(cols[0], dtype=np.uint64)
-            columns.append(cols)
+            np.cumsum(cols[0], out=cols[0])
+            columns.append(cols if exact else [cols[0], cols[1].astype(bool)])
             source.append(name)
     if not columns:
         return
-    which = np.repeat(np.arange(len(columns), dtype=np.int32), [len(c[0]) for c in columns])
-    key, *rest = (np.concatenate(x) for x in zip(*columns, strict=True))
+    back: list[list] = [[] for _ in source]
+    for own in _steps(columns):
+        which = np.repeat(np.arange(len(own), dtype=np.int32), [len(c[0]) for c in own])
+        key, *rest = (np.concatenate(x) for x in zip(*own, strict=True))
+        order = np.lexsort((rest[0], key)) if exact else np.argsort(key, kind="stable")
+        key, which = key[order], which[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        if exact:
+            second, ids = rest[0][order], rest[1][order].view(np.int64)
+            new[1:] |= second[1:] != second[:-1]
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(key)))
+        hit = ids > np.repeat(np.minimum.reduceat(ids, start), size) if exact else np.repeat((size > 1) & np.logical_or.reduceat(rest[0][order], start), size)
+        at = np.flatnonzero(hit)
+        if not len(at):
+            continue
+        at = at[np.argsort(which[at], kind="stable")]
+        first = groups_of(which[at])
+        for i, j in zip(first, np.append(first[1:], len(at)), strict=True):
+            back[which[at[i]]].append([key[at[i:j]], second[at[i:j]]] if exact else [key[at[i:j]]])
     del columns
-    order = np.lexsort((rest[0], key)) if exact else np.argsort(key, kind="stable")
-    key, which = key[order], which[order]
-    new = np.concatenate([[True], key[1:] != key[:-1]])
-    if exact:
-        second, ids = rest[0][order], rest[1][order].view(np.int64)
-        new[1:] |= second[1:] != second[:-1]
-    start = np.flatnonzero(new)
-    size = np.diff(np.append(start, len(key)))
-    hit = ids > np.repeat(np.minimum.reduceat(ids, start), size) if exact else np.repeat((size > 1) & np.logical_or.reduceat(rest[0][order].astype(bool), start), size)
-    at = np.flatnonzero(hit)
-    if not len(at):
-        return
-    at = at[np.argsort(which[at], kind="stable")]
-    first = groups_of(which[at])
     names, out = [], []
-    for i, j in zip(first, np.append(first[1:], len(at)), strict=True):
-        names.append(source[which[at[i]]])
-        out.append(pack(_sorted(key[at[i:j]]), *([second[at[i:j]]] if exact else [])))
-    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(out, pa.binary())], names=[OWN + "batch", OWN + "payload"])
+    for name, found in zip(source, back, strict=True):
+        if found:
+            key, *rest = (np.concatenate(x) for x in zip(*found, strict=True))
+            names.append(name)
+            out.append(pack(_sorted(key), *rest))
+    if names:
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(out, pa.binary())], names=[OWN + "batch", OWN + "payload"])
+
+
+def _steps(columns: list[list[np.ndarray]]) -> Iterator[list[list[np.ndarray]]]:
+    """Columns, each sorted by the first of its arrays, cut at the same keys into steps of about `STEP_HASHES` in all; none is empty."""
+    steps = 1 + sum(len(c[0]) for c in columns) // STEP_HASHES
+    low, high = min(int(c[0][0]) for c in columns), max(int(c[0][-1]) for c in columns) + 1
+    edges = np.array([low + (high - low) * i // steps for i in range(1, steps)], np.uint64)
+    cuts = [[0, *np.searchsorted(c[0], edges).tolist(), len(c[0])] for c in columns]
+    for k in range(steps):
+        own = [[x[cut[k] : cut[k + 1]] for x in c] for c, cut in zip(columns, cuts, strict=True)]
+        if any(len(c[0]) for c in own):
+            yield own
 
 
 def _back(found: pa.Table, columns: int) -> list[np.ndarray]:
