@@ -148,3 +148,15 @@ def test_no_frequent_pair_is_left():
     assert per.tolist() == [len(symbols)] and (token_ids.expand(symbols, rules, int(ids.max()) + 1) == ids).all()
     _, count = np.unique((symbols[:-1] << 31) | symbols[1:], return_counts=True)
     assert count.max() < token_ids.FREQUENT
+
+
+def test_later_rounds_leave_rare_pairs_alone(monkeypatch):
+    from tracequill.llm import token_ids
+
+    rng = np.random.default_rng(3)
+    ids = np.concatenate([rng.integers(0, 100_000, 100_000)] + [np.append(rng.integers(0, 100_000, 90), range(7, 17)) for _ in range(40)])
+    count, looked = np.bincount, []
+    monkeypatch.setattr(np, "bincount", lambda x, **how: (how.get("minlength") == token_ids.BUCKETS and looked.append(len(x)), count(x, **how))[1])
+    symbols, _, rules = token_ids.compress(ids, np.array([len(ids)]))
+    assert (token_ids.expand(symbols, rules, int(ids.max()) + 1) == ids).all()
+    assert len(looked) > 2 and sum(looked[1:]) < len(ids) / 2

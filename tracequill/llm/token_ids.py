@@ -18,6 +18,7 @@ ids first; repeated rows are documents of their own; an empty table gives no row
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -25,7 +26,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,13 +52,16 @@ def compress(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
     last[np.cumsum(lengths) - 1] = True
     rules: list[np.ndarray] = []
     top = base
+    # Where a pair begins that may be frequent: a rare pair never gets frequent, so later rounds look at new and frequent ones.
+    live = ~last
     while len(s) > 1:
-        key = (s[:-1] << 31) | s[1:]
+        inner = np.flatnonzero(live[:-1])
+        key = (s[inner] << 31) | s[inner + 1]
         # Pairs are counted by hash first: what falls in a rare bucket is rare.
         bucket = ((key.view(np.uint64) * MIXER) >> SHIFT).view(np.int64)
-        inner = np.flatnonzero(~last[:-1])
-        inner = inner[np.bincount(bucket[inner], minlength=BUCKETS)[bucket[inner]] >= FREQUENT]
-        found, count = np.unique(key[inner], return_counts=True)
+        some = np.flatnonzero((np.bincount(bucket, minlength=BUCKETS) >= FREQUENT)[bucket])
+        inner, key, bucket = inner[some], key[some], bucket[some]
+        found, count = np.unique(key, return_counts=True)
         often = np.flatnonzero(count >= FREQUENT)
         if len(often) > PAIRS:
             often = often[np.argpartition(-count[often], PAIRS - 1)[:PAIRS]]
@@ -70,8 +73,8 @@ def compress(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
         places = ((found[often].view(np.uint64) * MIXER) >> SHIFT).view(np.int64)
         slots[places] = np.arange(len(often))
         chosen = found[often]
-        slot = slots[bucket[inner]]
-        hit = (slot >= 0) & (key[inner] == chosen[slot])
+        slot = slots[bucket]
+        hit = (slot >= 0) & (key == chosen[slot])
         at, slot = inner[hit], slot[hit]
         run = np.concatenate([[True], np.diff(at) != 1])
         first = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
@@ -82,7 +85,12 @@ def compress(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
         last[at] = last[at + 1]
         keep = np.ones(len(s), bool)
         keep[at + 1] = False
-        s, last, top = s[keep], last[keep], top + len(chosen)
+        live[:] = False
+        live[inner] = True
+        live[at] = True
+        live[np.maximum(at - 1, 0)] = True
+        live &= ~last
+        s, last, live, top = s[keep], last[keep], live[keep], top + len(chosen)
     per = np.diff(np.concatenate([[-1], np.flatnonzero(last)]))
     s, found = pruned(s, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), base)
     return s, per, found
@@ -196,8 +204,10 @@ class Coder:
     """
 
     #: Characters for which lower-casing, composing and letter classes are the same everywhere.
-    PLAIN = regex.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]+")
-    PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    #: No `<`: it may begin a special token.
+    PLAIN = re.compile("[!-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]+")
+    #: Pieces of such words in lower case.
+    PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017e]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u017e0-9]+")
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
@@ -213,14 +223,15 @@ class Coder:
 
     def _part(self, part: str) -> bytes:
         """Ids of one pre-token, by the tokenizer's own model on its byte-level characters."""
-        found = self.tokenize(part.encode().decode("latin-1").translate(self.level))
-        return np.array([t.id for t in found], "<u4").tobytes()
+        shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.level)
+        ids = [t.id for t in self.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _word(self, word: bytes) -> bytes:
         if word.isalpha():  # of ASCII letters
             return self.parts[word.lower().decode()]
         text = word.decode()
-        if b"<" not in word and self.PLAIN.fullmatch(text):
+        if self.PLAIN.fullmatch(text):
             return b"".join([self.parts[p] for p in self.PIECES.findall(text.lower())])
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
