@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracequill.llm.common import checkpoint_dir, forget
+from tracequill.llm.common import checkpoint_dir, forget, settle
 from tracequill.llm.decontaminate import drop_leaks
 from tracequill.llm.language_id import predict, train
 from tracequill.llm.ngram_join import near_components
@@ -35,6 +35,7 @@ def keeping(stage):
 
     @functools.wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        settle(spark)
         own = {c: f"__own_{i}" for i, c in enumerate(docs.columns) if c not in DOCUMENT}
         return stage(spark, docs.withColumnsRenamed(own), sf_dir).withColumnsRenamed({v: k for k, v in own.items()})
 
@@ -89,6 +90,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the decoded text of each document that stays."""
+    settle(spark)
     out = encode_decode(docs.select("doc_id", "text"), vocabulary("piece_bpe_32k.model"), with_ids=False)
     return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 

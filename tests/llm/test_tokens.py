@@ -31,6 +31,25 @@ def test_sentencepiece_equals_library():
         assert own.decode(ids) == library.decode(ids)
 
 
+def test_encoding_is_bounded_in_memory(monkeypatch):
+    """Many distinct segments are merged some at a time and dropped from the cache; the ids stay the library's."""
+    from tracequill.llm import sentencepiece_bpe as bpe
+
+    path = queries.vocabulary("piece_bpe_32k.model")
+    own, library = BpeModel(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    monkeypatch.setattr(bpe, "MERGED", 1 << 10, raising=False)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 1 << 16, raising=False)
+    merged, merge = [], own.merge
+    monkeypatch.setattr(own, "merge", lambda s, off: merged.append(len(s)) or merge(s, off))
+    rng = random.Random(3)
+    docs = [" ".join("".join(rng.choices("abcdeé中", k=rng.randint(1, 9))) for _ in range(500)) for _ in range(20)]
+    assert [own.encode(t) for t in docs] == [library.encode(t) + [own.end] for t in docs]
+    assert max(merged) <= 2 << 10 and len(own.cache) < 1000
+    own.drop()
+    own.encode_all([t.encode() for t in docs])
+    assert max(merged) <= 2 << 10
+
+
 def test_op4_on_documents_and_odd_rows(spark, tables, odd_docs):
     import hashlib
 

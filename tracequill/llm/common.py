@@ -57,6 +57,12 @@ def release() -> None:
         pass
 
 
+def settle(spark: SparkSession) -> None:
+    """A full collection in the executors: what heaps grew by in one stage is the system's again before the next one's workers need it."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def tidy(step):
     """step, a function from batches to batches, which releases memory when a task ends: workers stay."""
 

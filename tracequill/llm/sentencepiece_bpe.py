@@ -25,8 +25,12 @@ from .words import mix, pieces
 
 SPACE = "▁"
 _MARK = SPACE.encode()
-#: Distinct segments kept between a task's batches; dropped at its end, as workers serve other stages next.
-CACHE = 250_000
+#: Bytes of text that are cut into segments at a time, and characters of segments that are merged at a time.
+TEXT_BYTES, MERGED = 1 << 19, 1 << 17
+#: Bytes of distinct segments, about, kept between a task's texts; dropped at its end, as workers serve other stages next.
+CACHE_BYTES = 48 << 20
+#: Bytes that a kept segment takes besides its name, decimal ids and decoded bytes: the objects and their places.
+ENTRY_BYTES = 300
 
 
 class _Pairs:
@@ -124,6 +128,7 @@ class BpeModel:
                 self.unsafe[m] = True
         self.keep_ids = False
         self.cache: dict[bytes, tuple] = {}
+        self.cached = 0
 
     def merge(self, symbols: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Merged symbols of every segment, flat, and their offsets."""
@@ -191,7 +196,9 @@ class BpeModel:
         cuts, ids, cache = off.tolist(), s.astype(np.int32), self.cache
         for k, name in enumerate(found):
             i, j = cuts[k], cuts[k + 1]
-            cache[name] = (b" ".join(decimal[i:j]), j - i, b"".join(decoded[i:j]), ids[i:j] if self.keep_ids else None)
+            entry = (b" ".join(decimal[i:j]), j - i, b"".join(decoded[i:j]), ids[i:j].copy() if self.keep_ids else None)
+            cache[name] = entry
+            self.cached += _held(name, entry)
 
     def cut(self, text: bytes) -> list[bytes]:
         """The text cut at spaces: plain words where one space stands before each, else runs of marks with their word."""
@@ -215,12 +222,13 @@ class BpeModel:
 
     def encode_all(self, texts: list[bytes]) -> list[list[tuple]]:
         """The cached entries of every text's segments."""
-        if len(self.cache) > CACHE:
-            self.cache.clear()
         cuts = [self.cut(t) for t in texts]
-        missing = set().union(*cuts).difference(self.cache)
-        if missing:
-            self.segments(list(missing))
+        used = set().union(*cuts)
+        if self.cached > CACHE_BYTES:  # what these texts have stays
+            self.cache = {name: self.cache[name] for name in used.intersection(self.cache)}
+            self.cached = sum(_held(*x) for x in self.cache.items())
+        for some in _portions(used.difference(self.cache)):
+            self.segments(some)
         get = self.cache.__getitem__
         return [list(map(get, c)) for c in cuts]
 
@@ -230,13 +238,36 @@ class BpeModel:
         return [i for p in parts for i in p[3].tolist()] + [self.end]
 
     def start_keeping(self) -> None:
-        self.cache.clear()
+        self.drop()
         self.keep_ids = True
 
+    def drop(self) -> None:
+        """Forget all segments."""
+        self.cache.clear()
+        self.cached = 0
+
     def decode(self, ids: list[int]) -> str:
         return as_text(b"".join(self.plain[ids].tolist()) if len(ids) else b"")
 
 
+def _held(name: bytes, entry: tuple) -> int:
+    """About the bytes that a kept segment takes."""
+    return ENTRY_BYTES + len(name) + len(entry[0]) + len(entry[2]) + (0 if entry[3] is None else 150 + entry[3].nbytes)
+
+
+def _portions(found: set[bytes]) -> Iterator[list[bytes]]:
+    """The segments in lists of about `MERGED` bytes, or one longer segment."""
+    out, size = [], 0
+    for name in found:
+        if out and size + len(name) > MERGED:
+            yield out
+            out, size = [], 0
+        out.append(name)
+        size += len(name)
+    if out:
+        yield out
+
+
 def as_text(raw: bytes) -> str:
     """Decoded bytes without the dummy prefix; bytes that are not UTF-8 become U+FFFD."""
     return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
@@ -257,7 +288,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, names: list[str], with
     if with_ids:
         bpe.keep_ids or bpe.start_keeping()
     end = str(bpe.end).encode()
-    for batch in pieces(batches):
+    for batch in pieces(batches, TEXT_BYTES):
         texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
         count, digest, decoded, ids = [], [], [], []
         for parts in bpe.encode_all(texts):
@@ -270,7 +301,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, names: list[str], with
         if with_ids:
             added["ids"] = pa.array(ids, pa.list_(pa.int32()))
         yield pa.RecordBatch.from_arrays([added[n] if n in added else batch.column(n) for n in names], names=names)
-    bpe.cache.clear()
+    bpe.drop()
 
 
 def encode_decode(docs: DataFrame, model_path: str, with_ids: bool = True) -> DataFrame:
