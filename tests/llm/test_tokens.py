@@ -179,3 +179,37 @@ def test_later_rounds_leave_rare_pairs_alone(monkeypatch):
     symbols, _, rules = token_ids.compress(ids, np.array([len(ids)]))
     assert (token_ids.expand(symbols, rules, int(ids.max()) + 1) == ids).all()
     assert len(looked) > 2 and sum(looked[1:]) < len(ids) / 2
+
+
+def test_pieces_of_words_equal_library():
+    """Every plain character and its neighbours in Unicode, and runs of apostrophes, letters, digits and signs."""
+    path = queries.vocabulary("word_bpe_49k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    rng = random.Random(7)
+    chars = [chr(c) for c in [*range(1, 0x250), 0x300, 0x3A3, 0x2028, 0x3000, 0x4E16, 0xFB01, 0x1F600]]
+    some = [x for c in chars for x in (c, f"a{c}B", f"{c}'S{c}'ll{c}")]
+    some += ["".join(rng.choices("''''stmdrevlSLRE0.,é", k=rng.randint(0, 30))) for _ in range(1500)]
+    some += ["".join(rng.choices(chars, k=60)) for _ in range(300)] + ["'", "'l", "'r", "it'", "so", "<|endoftext|>x", None]
+    got = encode_texts([t if t is None else t.encode() for t in some], path)
+    want = library.encode_batch([t or "" for t in some], add_special_tokens=False)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [e.ids for e in want]
+
+
+def test_words_are_encoded_in_bulk():
+    """No Python call for a word: far fewer calls than distinct words."""
+    import sys
+
+    path = queries.vocabulary("word_bpe_49k.json")
+    rng = random.Random(8)
+    words = list({"".join(rng.choices("abcdefghé", k=9)) + rng.choice([".", "", "'s"]) for _ in range(20_000)})
+    texts = [" ".join(words[i : i + 500]).encode() for i in range(0, len(words), 500)]
+    encode_texts([b"warm"], path)
+    calls = []
+    sys.setprofile(lambda frame, event, arg: calls.append(event) if event in ("call", "c_call") else None)
+    try:
+        got = encode_texts(texts, path)
+    finally:
+        sys.setprofile(None)
+    library = tokenizers.Tokenizer.from_file(path)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [library.encode(t.decode(), add_special_tokens=False).ids for t in texts]
+    assert len(calls) < len(words) / 10

@@ -18,20 +18,21 @@ ids first; repeated rows are documents of their own; an empty table gives no row
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint_dir, partitions, tidy
 from .packing import pack, unpack
-from .words import pieces
+from .words import flatten, pieces
 
 #: Ids per shard, replacements per round, and the least frequency of a replaced pair.
 SHARD_IDS, PAIRS, FREQUENT = 1_500_000, 8192, 16
@@ -39,8 +40,8 @@ SHARD_IDS, PAIRS, FREQUENT = 1_500_000, 8192, 16
 BLOCK = 1 << 16
 #: Buckets that pairs are counted in by hash: the high bits of a product.
 BUCKETS, MIXER, SHIFT = 1 << 20, np.uint64(0x9E3779B97F4A7C15), np.uint64(44)
-#: Distinct words whose ids a worker process keeps between batches.
-CACHE = 300_000
+#: Distinct pieces of words whose ids a worker process keeps between batches, and those encoded in one call.
+CACHE, LINES = 800_000, 1000
 SHARDS = "range int, shard int, n_ids long, n_docs int, payload binary"
 
 
@@ -74,11 +75,11 @@ def compress(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
         slots[places] = np.arange(len(often))
         chosen = found[often]
         slot = slots[bucket]
-        hit = (slot >= 0) & (key == chosen[slot])
+        hit = np.flatnonzero((slot >= 0) & (key == chosen[slot]))
         at, slot = inner[hit], slot[hit]
         run = np.concatenate([[True], np.diff(at) != 1])
-        first = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
-        take = (np.arange(len(at)) - first) % 2 == 0
+        number = np.arange(len(at))
+        take = np.flatnonzero(((number - np.maximum.accumulate(np.where(run, number, 0))) & 1) == 0)
         at, slot = at[take], slot[take]
         rules.append(np.stack([chosen >> 31, chosen & ((1 << 31) - 1)], 1))
         s[at] = top + slot
@@ -90,7 +91,8 @@ def compress(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
         live[at] = True
         live[np.maximum(at - 1, 0)] = True
         live &= ~last
-        s, last, live, top = s[keep], last[keep], live[keep], top + len(chosen)
+        left = np.flatnonzero(keep)
+        s, last, live, top = s[left], last[left], live[left], top + len(chosen)
     per = np.diff(np.concatenate([[-1], np.flatnonzero(last)]))
     s, found = pruned(s, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), base)
     return s, per, found
@@ -125,6 +127,12 @@ def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     return s
 
 
+def ragged(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Runs of values, one after the other."""
+    end = np.cumsum(size)
+    return values[np.repeat(start - (end - size), size) + np.arange(end[-1] if len(end) else 0)]
+
+
 def rule_sizes(rules: np.ndarray, base: int) -> np.ndarray:
     """How many ids each rule expands to."""
     size = [1] * base + [0] * len(rules)
@@ -158,9 +166,7 @@ class Shard:
         return np.concatenate(found)[first - i * BLOCK : last - i * BLOCK] if found else np.zeros(0, np.int64)
 
     def decoded(self, symbols: np.ndarray) -> np.ndarray:
-        size = self.size[symbols]
-        end = np.cumsum(size)
-        return self.table[np.repeat(self.start[symbols] - (end - size), size) + np.arange(end[-1] if len(end) else 0)]
+        return ragged(self.table, self.start[symbols], self.size[symbols])
 
     def all(self) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all documents, and how many each has."""
@@ -182,99 +188,147 @@ class Shard:
         return b"".join([struct.pack("<Q", len(head)), head, *blocks])
 
 
-class _Known(dict):
-    """Ids by word; a word that is missing is encoded once and kept."""
-
-    def __init__(self, encode) -> None:
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, key):
-        got = self[key] = self.encode(key)
-        return got
-
-
 class Coder:
-    """A tokenizer that drops white space and never joins over it, with the ids of distinct words kept.
+    """A tokenizer that drops white space and never joins over it, run over distinct words and their pieces.
 
     Words of plain Latin letters, digits and signs are lower-cased and cut as the tokenizer's
-    pre-tokenizer does, and its model encodes the pieces, so that a word and its forms with a capital
-    or a full stop share them; other words, and any that may hold a special token, go to the
-    tokenizer whole.
+    pre-tokenizer does, and the library encodes the distinct pieces with the tokenizer's model, many
+    at once, so that a word and its forms with a capital or a full stop share them; other words, and
+    any that may hold a special token, go to the tokenizer whole. A process keeps the ids of pieces.
     """
 
     #: Characters for which lower-casing, composing and letter classes are the same everywhere.
     #: No `<`: it may begin a special token.
-    PLAIN = re.compile("[!-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]+")
-    #: Pieces of such words in lower case.
-    PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017e]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u017e0-9]+")
+    PLAIN = "^[!-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]*$"
+    #: Bytes of lines of such words in lower case: signs 0, letters 1, and 2 for pieces of one byte: digits, a line's end.
+    KINDS = np.array([1 if c >= 128 or chr(c).islower() else 2 if chr(c).isdigit() or c == 10 else 0 for c in range(256)], np.uint8)
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenize = self.tokenizer.model.tokenize
-        # The byte-level alphabet: printable bytes stand for themselves, the others for 256 and up.
-        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-        hidden = [b for b in range(256) if b not in shown]
-        self.level = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
-        self.words, self.parts = _Known(self._word), _Known(self._part)
-
-    def _part(self, part: str) -> bytes:
-        """Ids of one pre-token, by the tokenizer's own model on its byte-level characters."""
-        shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.level)
-        ids = [t.id for t in self.tokenize(shown)]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _word(self, word: bytes) -> bytes:
-        if word.isalpha():  # of ASCII letters
-            return self.parts[word.lower().decode()]
-        text = word.decode()
-        if self.PLAIN.fullmatch(text):
-            return b"".join([self.parts[p] for p in self.PIECES.findall(text.lower())])
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        if len(self.words) > CACHE:
-            self.words.clear()
-        if len(self.parts) > CACHE:
-            self.parts.clear()
-        get = self.words.__getitem__
-        return [b"".join(map(get, (t or b"").split())) for t in texts]
+        # The same model for lines of pieces: a line's end, in the byte-level alphabet, is a token of its own.
+        self.lines = Tokenizer(self.tokenizer.model)
+        self.lines.pre_tokenizer = Sequence([ByteLevel(add_prefix_space=False, use_regex=False), Split("\u010a", "isolated")])
+        (self.mark,) = self.lines.encode("\n").ids
+        self.forget()
+
+    def forget(self) -> None:
+        """Keeps only the line's end, which is place 0 and has no ids."""
+        self.known, self.ids, self.size = {"\n": 0}, np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    def _keep(self, found: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        self.known.update(zip(found, range(len(self.known), len(self.known) + len(found)), strict=True))
+        self.ids, self.size = np.concatenate([self.ids, ids]), np.concatenate([self.size, size])
+
+    def _learn(self, parts: list[str], words: list[str]) -> None:
+        """Encodes and keeps what is new: pieces some at a time, and whole words."""
+        lines = ["\n".join([*parts[i : i + LINES], ""]) for i in range(0, len(parts), LINES)]
+        got = [np.array(e.ids, "<u4") for e in self.lines.encode_batch_fast(lines, add_special_tokens=False)]
+        ids = np.concatenate([np.zeros(0, "<u4"), *got])
+        inner = ids != self.mark
+        self._keep(parts, ids[inner], np.diff(np.flatnonzero(~inner), prepend=-1) - 1)
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        self._keep(words, np.array([i for ids in got for i in ids], "<u4"), np.array([len(ids) for ids in got], np.int64))
+
+    def pieces(self, words: pa.Array) -> pa.Array:
+        """Pieces of plain words, with a line's end behind each word."""
+        lines, _ = flatten(pc.binary_join_element_wise(pc.utf8_lower(words), "", "\n"))
+        kind = self.KINDS[lines]
+        first = kind == 2
+        first[1:] |= kind[1:] != kind[:-1]
+        first[:1] = True
+        # 's 't 'm 'd 're 've 'll, where no other sign is before them, are pieces; what follows them begins another.
+        quote = np.flatnonzero(first & (lines == ord("'")))
+        a, b = lines[quote + 1], lines[np.minimum(quote + 2, len(lines) - 1)]
+        one = np.isin(a, list(b"stmd"))
+        two = (np.isin(a, list(b"rv")) & (b == ord("e"))) | ((a == ord("l")) & (b == ord("l")))
+        first[quote[one | two] + 1] = False
+        first[quote[one] + 2] = first[quote[two] + 3] = True
+        starts = np.flatnonzero(first)
+        return pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(lines)).astype(np.int32)), pa.py_buffer(lines))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (null: none) one after the other, and how many each text has."""
+        if len(self.known) > CACHE:
+            self.forget()
+        runs = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
+        coded = runs.flatten().dictionary_encode()
+        words = coded.dictionary
+        plain = pc.match_substring_regex(words, self.PLAIN)
+        other = words.filter(pc.invert(plain)).to_numpy(zero_copy_only=False).tolist()
+        parts = self.pieces(words.filter(plain)).dictionary_encode()
+        n = len(parts.dictionary)
+        names = parts.dictionary.to_numpy(zero_copy_only=False).tolist() + other
+        places = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(places < 0)
+        places[new] = np.arange(len(self.known), len(self.known) + len(new))
+        fresh = [names[k] for k in new.tolist()]
+        cut = int(np.searchsorted(new, n))
+        self._learn(fresh[:cut], fresh[cut:])
+        # One line for each distinct word: plain ones first, then the others.
+        whole = places[n:]
+        at = np.concatenate([places[parts.indices.to_numpy()], np.stack([whole, np.zeros_like(whole)], 1).ravel()])
+        size = self.size[at]
+        ids = ragged(self.ids, (np.cumsum(self.size) - self.size)[at], size)
+        end = np.cumsum(size)[at == 0]
+        size = np.diff(end, prepend=0)
+        # Those lines' ids for the words as they come in the texts.
+        order = np.argsort(~plain.to_numpy(zero_copy_only=False), kind="stable")
+        line = np.empty_like(order)
+        line[order] = np.arange(len(order))
+        line = line[coded.indices.to_numpy()]
+        ids = ragged(ids, (end - size)[line], size[line])
+        sums = np.concatenate([[0], np.cumsum(size[line])])
+        return ids, np.diff(sums[np.concatenate([[0], np.cumsum(runs.value_lengths().to_numpy())])])
 
 
 _coders: dict[str, Coder] = {}
 
 
-def encode_texts(texts: list[bytes | None], path: str) -> list[bytes]:
-    """Coder.encode of this process's coder."""
+def coder(path: str) -> Coder:
+    """The coder of this process."""
     if path not in _coders:
         _coders[path] = Coder(path)
-    return _coders[path].encode(texts)
+    return _coders[path]
+
+
+def encode_texts(texts: list[bytes | None], path: str) -> list[bytes]:
+    """Each text's ids as little-endian unsigned 32-bit integers."""
+    ids, lengths = coder(path).encode(pa.array(texts, pa.binary()))
+    ends = np.cumsum(lengths)
+    return [ids[a:b].tobytes() for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
 
 
 def _write(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[pa.RecordBatch]:
-    last = np.array([end], "<u4").tobytes()
+    own = coder(path)
     docs: list = []
-    data: list[bytes] = []
+    data: list[tuple[np.ndarray, np.ndarray]] = []
     size = shard = 0
     place = 0
 
     def flush():
-        lengths = np.array([len(x) // 4 for x in data], np.int64)
-        ids = np.frombuffer(b"".join(data), "<u4")
+        ids, lengths = (np.concatenate(x) for x in zip(*data, strict=True))
         row = [[place], [shard], [len(ids)], [len(docs)], [Shard.write(docs, ids, lengths)]]
         kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], names=["range", "shard", "n_ids", "n_docs", "payload"])
 
     for batch in pieces(batches):
         place = batch.column("range")[0].as_py()
-        for doc, ids in zip(batch.column("doc_id").to_pylist(), encode_texts(batch.column("text").cast(pa.binary()).to_pylist(), path), strict=True):
-            docs.append(doc)
-            data.append(ids + last)
-            size += len(data[-1]) // 4
+        ids, lengths = own.encode(batch.column("text"))
+        ids, lengths = np.insert(ids, np.cumsum(lengths), end), lengths + 1
+        sums = np.concatenate([[0], np.cumsum(lengths)])
+        known = batch.column("doc_id").to_pylist()
+        i = 0
+        while i < len(known):
+            # Up to the document that fills the shard.
+            j = min(len(known), int(np.searchsorted(sums, sums[i] + SHARD_IDS - size)))
+            docs += known[i:j]
+            data.append((ids[sums[i] : sums[j]], lengths[i:j]))
+            size += int(sums[j] - sums[i])
+            i = j
             if size >= SHARD_IDS:
                 yield flush()
                 docs, data, size, shard = [], [], 0, shard + 1
