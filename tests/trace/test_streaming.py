@@ -142,3 +142,12 @@ def test_detectors_over_batches_say_what_batch_says(spark, tmp_path):
     assert sorted((r.series, r.ts_ms, round(r.value, 4), r.streak) for r in got.filter("rule = 'gc-pressure'").collect()) == sorted((r.series, r.ts_ms, round(r.churn_mb, 4), r.streak) for r in pressure) != []
     leaks = memory.leak_trend(whole).collect()
     assert sorted((r.series, r.ts_ms, r.level, r.metric, round(r.value, 4), r.streak) for r in got.filter("rule = 'leak-trend'").collect()) == sorted((r.series, r.ts_ms, r.level, r.metric, round(r.value, 4), r.streak) for r in leaks) != []
+
+
+def test_all_samples_of_a_channel_count(spark):
+    """Long calls first, then over 10,000 short ones, all within the window: no rate over 1, a mean of them all."""
+    e = spark.range(12_000).selectExpr("id AS seq", "'c:c' AS channel", "IF(id % 2 = 0, 'error', 'end') AS event_type", "CAST(id AS double) AS ts_ms", "IF(id < 4000, 9.0D, 1.0D) AS duration_ms")
+    (r,) = rca.channel_windows(e, 1e9).collect()
+    assert (r.n, r.base, round(r.mean, 9), r.base_errors, r.window_errors) == (12_000, 1.0, round((4000 * 9 + 8000) / 12_000, 9), 0.5, 0.5)
+    (r,) = rca.channel_windows(e, 1e9, samples=8000).collect()
+    assert (r.n, r.mean) == (12_000, 1.0)

@@ -21,8 +21,8 @@ from . import rca
 from .pairing import valid
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Samples kept of a channel; parts that a channel's samples are dealt into, so that a hot one is no single key.
-SAMPLES, PARTS = rca.SAMPLES, 16
+#: Parts that a channel's samples are dealt into, so that a hot one is no single key.
+PARTS = 16
 NODE = "channel string, first_seq long, start_ms double, start_seq long, end_ms double, end_seq long, failed boolean, own double, declared string, trigger_id string, named_seq long, async_id string, scope string"
 SAMPLE = "duration double, ts_ms double, failed boolean"
 TOTALS = "n long, errors long"
@@ -41,7 +41,7 @@ class Graph(StatefulProcessor):
     start: what is kept is what a batch over all rows would choose.
     """
 
-    def __init__(self, samples: int = SAMPLES):
+    def __init__(self, samples: int | None = None):
         self.most = samples
 
     def init(self, handle) -> None:
@@ -86,7 +86,7 @@ class Graph(StatefulProcessor):
             n, errors = n + 1, errors + int(failed)
         self.totals.update((n, errors))
         for ring, size in ((self.samples, n), (self.errors, errors)):
-            if size > self.most:
+            if self.most is not None and size > self.most:
                 for seq in sorted(k[0] for k in ring.keys())[: -self.most]:  # noqa: SIM118  a state, no dict
                     ring.removeKey((seq,))
 
@@ -107,11 +107,12 @@ def _dealt(events: DataFrame, scope: str | None) -> DataFrame:
     return rows.select("k.*", *rows.columns[1:])
 
 
-def watch(stream: DataFrame, checkpoint: str, scope: str | None = None, report=None, name: str | None = None, samples: int = SAMPLES):
+def watch(stream: DataFrame, checkpoint: str, scope: str | None = None, report=None, name: str | None = None, samples: int | None = None):
     """Keeps the causal graph and channel samples of a stream of events in state; a batch costs what its rows cost.
 
     report(changes, number) gets the keys that a batch touched, with its rows for each, and must read
-    them. Late rows are kept, as there is no watermark. verdicts_of() reads what is held.
+    them. Late rows are kept, as there is no watermark. samples: how many of a channel's latest samples are
+    kept, by default all, which batches are equal to. verdicts_of() reads what is held.
     """
     stateful(stream.sparkSession)
     changes = _dealt(stream, scope).groupBy("kind", "name", "part").transformWithStateInPandas(Graph(samples), CHANGE, "update", "none")
@@ -140,14 +141,15 @@ def cautions_of(spark: SparkSession, checkpoint: str, window_ms: float = 10_000.
     return rca.cautions(channels_of(spark, checkpoint, window_ms, now, batch), closed, **options)
 
 
-def channels_of(spark: SparkSession, checkpoint: str, window_ms: float, now: float | None = None, batch: int | None = None, samples: int = SAMPLES) -> DataFrame:
-    """rca.channel_windows() from state: of each channel the latest samples of all its parts."""
+def channels_of(spark: SparkSession, checkpoint: str, window_ms: float, now: float | None = None, batch: int | None = None, samples: int | None = None) -> DataFrame:
+    """rca.channel_windows() from state: of each channel the samples of all its parts, or the latest `samples` of them."""
     name = F.col("key.name").alias("channel")
     rows = _held(spark, checkpoint, "samples", batch).select(name, F.col("user_map_key.seq").alias("seq"), "user_map_value.*")
     bad = _held(spark, checkpoint, "errors", batch).select(name, "user_map_value.ts_ms")
     latest = rows.agg(F.max("ts_ms").alias("now")) if now is None else spark.range(1).select(F.lit(float(now)).alias("now"))
-    place = F.row_number().over(Window.partitionBy("channel").orderBy(F.desc("seq")))
-    kept = rows.withColumn("_place", place).filter(F.col("_place") <= samples).join(F.broadcast(latest), how="cross")  # one row
+    if samples is not None:
+        rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy("channel").orderBy(F.desc("seq")))).filter(F.col("_place") <= samples)
+    kept = rows.join(F.broadcast(latest), how="cross")  # one row
     recent = F.col("ts_ms") >= F.col("now") - window_ms
     c = kept.groupBy("channel").agg(percentile(0.25, "duration").alias("base"), F.avg(F.when(recent, F.col("duration"))).alias("mean"), F.count_if(recent).alias("_recent"))
     failed = bad.join(F.broadcast(latest), how="cross").filter(recent).groupBy("channel").agg(F.count("*").alias("_failed"))  # one row
