@@ -151,3 +151,18 @@ def test_all_samples_of_a_channel_count(spark):
     assert (r.n, r.base, round(r.mean, 9), r.base_errors, r.window_errors) == (12_000, 1.0, round((4000 * 9 + 8000) / 12_000, 9), 0.5, 0.5)
     (r,) = rca.channel_windows(e, 1e9, samples=8000).collect()
     assert (r.n, r.mean) == (12_000, 1.0)
+
+
+def test_operations_share_keys_of_state(spark, tmp_path):
+    """A thousand operations whose ends come a batch before their starts: few keys, and each operation once when read."""
+    e = spark.range(1000).selectExpr("explode(array(id * 2, id * 2 + 1)) AS seq", "id").selectExpr(
+        "seq", "'c:c' AS channel", "IF(seq % 2 = 0, 'start', 'end') AS event_type", "CAST(seq AS double) AS ts_ms", "CAST(id AS string) AS operation_id", "IF(seq % 2 = 0, NULL, 5.0D) AS duration_ms", "concat('{\"parentId\":\"', id div 2, '\"}') AS context_json")
+    for k in (1, 0):
+        e.filter(F.col("seq") % 2 == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    touched = []
+    state.watch(stream, str(tmp_path / "ck"), report=lambda batch, n: touched.append(batch.count())).awaitTermination()
+    assert touched == [1000 + state.PARTS, 1000]
+    held = state._operations(spark, str(tmp_path / "ck"))
+    assert state._held(spark, str(tmp_path / "ck"), "node").select("key").distinct().count() <= state.NODES
+    assert sorted((int(r.id), r.start_seq, r.end_seq, r.declared) for r in held.collect()) == [(i, 2 * i, 2 * i + 1, str(i // 2)) for i in range(1000)]

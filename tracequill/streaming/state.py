@@ -16,15 +16,19 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions.scalars import operation_key, percentile
 from ..operators import causal, memory
+from ..plans.stages import saved
 from ..schema import SPAN_TYPES
 from . import rca
 from .pairing import valid
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Parts that a channel's samples are dealt into, so that a hot one is no single key.
-PARTS = 16
-NODE = "channel string, first_seq long, start_ms double, start_seq long, end_ms double, end_seq long, failed boolean, own double, declared string, trigger_id string, named_seq long, async_id string, scope string"
+#: Parts that a channel's samples are dealt into, so that a hot one is no single key, and keys that operations are dealt into.
+PARTS, NODES = 16, 1024
+#: Values handed to a state in one call.
+MANY = 10_000
+NODE = "id string, channel string, first_seq long, start_ms double, start_seq long, end_ms double, end_seq long, failed boolean, own double, declared string, trigger_id string, named_seq long, async_id string, scope string"
 SAMPLE = "duration double, ts_ms double, failed boolean"
+FIELDS = [f.split(" ")[0] for f in NODE.split(", ")]
 TOTALS = "n long, errors long"
 CHANGE = "kind string, name string, rows long"
 
@@ -35,17 +39,22 @@ def stateful(spark: SparkSession) -> None:
 
 
 class Graph(StatefulProcessor):
-    """Keys (kind, name, part): `node` keys hold an operation, `channel` keys a part of a channel's samples.
+    """Keys (kind, name, part): `node` keys hold a part of the operations, `channel` keys a part of a channel's samples.
+
+    A key costs a call of its own and a value another, so operations share keys and a batch adds its rows in
+    few calls: a row an operation that it touches, folded from its events, and a row a sample. What the rows
+    of an operation come to is worked out when the state is read. A limited number of samples is kept in maps.
 
     Every value carries the seq it comes from, so rows may arrive in any order and an end before its
-    start: what is kept is what a batch over all rows would choose.
+    start: what is read is what a batch over all rows would choose.
     """
 
     def __init__(self, samples: int | None = None):
         self.most = samples
 
     def init(self, handle) -> None:
-        self.node = handle.getValueState("node", NODE)
+        self.node = handle.getListState("node", NODE)
+        self.whole = handle.getListState("whole", SAMPLE)
         self.samples = handle.getMapState("samples", "seq long", SAMPLE)
         self.errors = handle.getMapState("errors", "seq long", "ts_ms double")
         self.totals = handle.getValueState("totals", TOTALS)
@@ -53,16 +62,18 @@ class Graph(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values("seq", kind="stable")
         if key[0] == "node":
+            sizes = frame.groupby("id", sort=False).size()
             self._grow(frame)
+            yield pd.DataFrame({"kind": key[0], "name": sizes.index, "rows": sizes.to_numpy()})
         else:
             self._sample(frame)
-        yield pd.DataFrame({"kind": [key[0]], "name": [key[1]], "rows": [len(frame)]})
+            yield pd.DataFrame({"kind": [key[0]], "name": [key[1]], "rows": [len(frame)]})
 
     def _grow(self, frame: pd.DataFrame) -> None:
-        names = [f.split(" ")[0] for f in NODE.split(", ")]
-        kept = dict(zip(names, self.node.get(), strict=True)) if self.node.exists() else dict.fromkeys(names)
+        touched: dict[str, dict] = {}
         for r in frame.to_dict("records"):
             r = {k: None if v is None or v != v else v for k, v in r.items()}
+            kept = touched.setdefault(r["id"], dict.fromkeys(FIELDS) | {"id": r["id"]})
             seq, start = int(r["seq"]), r["event_type"] == "start"
             if kept["first_seq"] is None or seq < kept["first_seq"]:
                 kept |= {"first_seq": seq, "channel": r["channel"], "async_id": r["async_id"] if start else None}
@@ -74,19 +85,28 @@ class Graph(StatefulProcessor):
                 if kept["end_seq"] is None or seq > kept["end_seq"]:
                     kept |= {"end_seq": seq, "end_ms": r["ts_ms"], "failed": r["event_type"] == "error", "own": r["duration_ms"] or 0.0}
             kept["scope"] = r["scope"]
-        self.node.update(tuple(kept[n] for n in names))
+        self._add(self.node, [tuple(kept.values()) for kept in touched.values()])
+
+    @staticmethod
+    def _add(state, values: list[tuple]) -> None:
+        for k in range(0, len(values), MANY):
+            state.appendList(values[k : k + MANY])
 
     def _sample(self, frame: pd.DataFrame) -> None:
         n, errors = self.totals.get() if self.totals.exists() else (0, 0)
-        for r in frame.to_dict("records"):
-            failed = r["event_type"] == "error"
-            self.samples.updateValue((int(r["seq"]),), (0.0 if r["duration_ms"] is None or r["duration_ms"] != r["duration_ms"] else r["duration_ms"], r["ts_ms"], failed))
-            if failed:
-                self.errors.updateValue((int(r["seq"]),), (r["ts_ms"],))
-            n, errors = n + 1, errors + int(failed)
+        failed = (frame["event_type"] == "error").tolist()
+        values = list(zip(frame["duration_ms"].astype("float64").fillna(0.0).tolist(), frame["ts_ms"].tolist(), failed, strict=True))
+        n, errors = n + len(values), errors + sum(failed)
         self.totals.update((n, errors))
+        if self.most is None:
+            self._add(self.whole, values)
+            return
+        for seq, value in zip(frame["seq"].tolist(), values, strict=True):
+            self.samples.updateValue((seq,), value)
+            if value[2]:
+                self.errors.updateValue((seq,), (value[1],))
         for ring, size in ((self.samples, n), (self.errors, errors)):
-            if self.most is not None and size > self.most:
+            if size > self.most:
                 for seq in sorted(k[0] for k in ring.keys())[: -self.most]:  # noqa: SIM118  a state, no dict
                     ring.removeKey((seq,))
 
@@ -98,10 +118,10 @@ def _dealt(events: DataFrame, scope: str | None) -> DataFrame:
     """A row for the operation of each event, and one for its channel if it is an end."""
     rows = valid(events).filter(F.col("event_type").isin(*SPAN_TYPES)).withColumn("id", operation_key())
     ends = F.col("event_type") != "start"
-    own = F.struct(F.lit("node").alias("kind"), F.col("id").alias("name"), F.lit(0).alias("part"))
+    own = F.struct(F.lit("node").alias("kind"), F.lit("").alias("name"), F.pmod(F.hash("id"), F.lit(NODES)).cast("int").alias("part"))
     channel = F.when(ends, F.struct(F.lit("channel").alias("kind"), F.col("channel").alias("name"), F.pmod(F.hash("id"), F.lit(PARTS)).cast("int").alias("part")))
     rows = rows.select(
-        F.explode(F.array_compact(F.array(own, channel))).alias("k"), "seq", "channel", "event_type", "ts_ms", "duration_ms", causal.context_id(causal.PARENT_KEYS).alias("declared"),
+        F.explode(F.array_compact(F.array(own, channel))).alias("k"), "id", "seq", "channel", "event_type", "ts_ms", "duration_ms", causal.context_id(causal.PARENT_KEYS).alias("declared"),
         causal.context_id(causal.TRIGGER_KEYS).alias("trigger_id"), causal.context_id(causal.ASYNC_KEYS).alias("async_id"), (F.col(scope).cast("string") if scope else F.lit(None).cast("string")).alias("scope"),
     )
     return rows.select("k.*", *rows.columns[1:])
@@ -126,9 +146,19 @@ def _held(spark: SparkSession, checkpoint: str, name: str, batch: int | None = N
     return (reader if batch is None else reader.option("batchId", batch)).load(checkpoint)
 
 
+def _operations(spark: SparkSession, checkpoint: str, batch: int | None = None) -> DataFrame:
+    """A row an operation, from the rows that batches have added."""
+    rows = _held(spark, checkpoint, "node", batch).select("list_element.*")
+    named = F.struct("start_ms", "declared", "trigger_id")
+    return rows.groupBy("id").agg(
+        F.min_by("channel", "first_seq").alias("channel"), F.min_by("async_id", "first_seq").alias("async_id"), F.min("first_seq").alias("first_seq"), F.min("start_seq").alias("start_seq"),
+        F.coalesce(F.min_by(named, "start_seq"), F.min_by(named, "named_seq")).alias("named"), F.max("end_seq").alias("end_seq"), F.max_by(F.struct("end_ms", "failed", "own"), "end_seq").alias("end"), F.max("scope").alias("scope"),
+    ).select("id", "channel", "async_id", "first_seq", "start_seq", "named.*", "end_seq", "end.*", "scope")
+
+
 def verdicts_of(spark: SparkSession, checkpoint: str, window_ms: float = 10_000.0, now: float | None = None, scope: str | None = None, batch: int | None = None, **options) -> DataFrame:
     """rca.findings() of all events a watch() has seen, from its state alone."""
-    held = _held(spark, checkpoint, "node", batch).filter(F.col("key.kind") == "node").select(F.col("key.name").alias("id"), "value.*")
+    held = saved(_operations(spark, checkpoint, batch))
     status = F.when(F.col("end_seq").isNull(), "incomplete").when(F.col("failed"), "error").otherwise("success")
     nodes = held.select("id", "channel", "start_ms", "end_ms", status.alias("status"), F.col("start_seq").isNull().alias("unpaired"), F.col("first_seq").alias("seq"), "declared", "async_id", "trigger_id", *([F.col("scope").alias(scope)] if scope else []))
     own = held.filter("end_seq IS NOT NULL").select("id", "own")
@@ -137,7 +167,7 @@ def verdicts_of(spark: SparkSession, checkpoint: str, window_ms: float = 10_000.
 
 def cautions_of(spark: SparkSession, checkpoint: str, window_ms: float = 10_000.0, now: float | None = None, batch: int | None = None, **options) -> DataFrame:
     """rca.warnings() of all events a watch() has seen, from its state alone."""
-    closed = _held(spark, checkpoint, "node", batch).agg(F.count_if(F.col("value.end_seq").isNotNull()).alias("closed"))
+    closed = _operations(spark, checkpoint, batch).agg(F.count("end_seq").alias("closed"))
     return rca.cautions(channels_of(spark, checkpoint, window_ms, now, batch), closed, **options)
 
 
@@ -145,7 +175,9 @@ def channels_of(spark: SparkSession, checkpoint: str, window_ms: float, now: flo
     """rca.channel_windows() from state: of each channel the samples of all its parts, or the latest `samples` of them."""
     name = F.col("key.name").alias("channel")
     rows = _held(spark, checkpoint, "samples", batch).select(name, F.col("user_map_key.seq").alias("seq"), "user_map_value.*")
-    bad = _held(spark, checkpoint, "errors", batch).select(name, "user_map_value.ts_ms")
+    whole = _held(spark, checkpoint, "whole", batch).select(name, F.lit(None).cast("long").alias("seq"), "list_element.*")
+    rows = rows.unionByName(whole)
+    bad = _held(spark, checkpoint, "errors", batch).select(name, "user_map_value.ts_ms").unionByName(whole.filter("failed").select("channel", "ts_ms"))
     latest = rows.agg(F.max("ts_ms").alias("now")) if now is None else spark.range(1).select(F.lit(float(now)).alias("now"))
     if samples is not None:
         rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy("channel").orderBy(F.desc("seq")))).filter(F.col("_place") <= samples)
