@@ -252,3 +252,20 @@ def test_a_failing_writer_leaves_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="stop"):
         rows.write.format("tracequill_ndv").option("uri", f"file://{tmp_path}/out").mode("append").save()
     assert not (tmp_path / "out").exists() or not list((tmp_path / "out").iterdir())
+
+
+def test_large_maps_are_written_and_read_in_sections(spark):
+    """More mappings of one map than a section holds, some on one line: several documents, the same rows."""
+    from tracequill.sources import sourcemap
+
+    rows = [("m", 1 + i // 40 * 2, 3 + i % 40 * 5, f"{i % 3}.ts", 900 - i, i % 7, None if i % 4 else f"n{i % 5}") for i in range(500)] + [("n", 2, 5, "c.ts", 1, 1, None)]
+    maps = sourcemap.pack(spark.createDataFrame(rows, sourcemap.MAPPING).repartition(3), section=30)
+    assert {r.map_id: r["count"] for r in maps.groupBy("map_id").count().collect()}["m"] >= 500 / 30
+    assert sorted(map(tuple, sourcemap.mappings(maps).collect()), key=repr) == sorted(rows, key=repr)
+
+
+def test_a_map_longer_than_the_parsers_limit_is_read(spark):
+    from tracequill.sources import sourcemap
+
+    maps = spark.sql("""SELECT 'm' AS map_id, concat('{"version": 3, "sources": ["a.ts"], "names": ["', repeat('x', 21000000), '"], "mappings": "AAAA;AACA"}') AS json""")
+    assert [tuple(r) for r in sourcemap.mappings(maps).collect()] == [("m", 1, 0, "a.ts", 1, 0, None), ("m", 2, 0, "a.ts", 2, 0, None)]
