@@ -10,7 +10,7 @@ import pytest
 
 from tracequill import schema
 from tracequill.operators import differential
-from tracequill.operators.banded import aligned
+from tracequill.operators.banded import aligned, meeting
 
 
 def brute(a, b, sa, sb, low, high):
@@ -109,3 +109,46 @@ def test_runs_are_cut_at_forced_matches(spark):
     reach = spark.createDataFrame([(1, 4)], "pair long, reach long")
     runs = sorted(tuple(r) for r in differential.forced(xs, ys, reach).collect())
     assert len(runs) == 3 and runs[0] == (1, 1, 36, 657, 0) and all(r[4] == 0 and r[3] - r[2] > 400 for r in runs)
+
+
+@pytest.mark.parametrize("gone", [0, 3])
+def test_places_that_are_met_lie_on_the_cheapest_way(spark, gone):
+    """Fingerprints that all occur many times, edits every few events: no block is solid, and still there are cuts that change nothing."""
+    rng = np.random.default_rng(gone)
+    a = rng.integers(0, 60, 6000)
+    b = a.copy()
+    b[::23] = 60 + a[::23]  # same kind, another value
+    b = np.delete(b, rng.choice(6000, gone, replace=False))
+    frame = lambda x: spark.createDataFrame([(1, i, int(f), int(f) % 10, 8) for i, f in enumerate(x)], "pair long, x long, f long, s long, reach long")
+    cells = sorted((r.start, r.shift) for r in differential.met(frame(a), frame(b), 300).collect())
+    pa, pb, _ = aligned(a, b, a % 10, b % 10, -8, 8)
+    passed, i, j = {(0, 0)}, 0, 0
+    for x, y in zip(pa.tolist(), pb.tolist()):
+        i, j = i + (x >= 0), j + (y >= 0)
+        passed.add((i, j - i))
+    assert len(cells) >= 14 and set(cells) <= passed and all(c % 300 == 0 for c, _ in cells)
+
+
+def test_nothing_is_said_to_be_met_where_ways_are_equal():
+    a = np.zeros(32, np.int64)
+    assert meeting(a, np.zeros(48, np.int64), a, np.zeros(48, np.int64), 8) is None
+
+
+def test_scattered_edits_are_cut(spark):
+    """A run of 20,000 events of 150 fingerprints with an edit every 23rd: the pieces give what one alignment gives."""
+    rng = np.random.default_rng(3)
+    v = rng.integers(0, 150, 20_000).tolist()
+    rows = lambda f: [(1, i, f"{'vwxyz'[x % 5]}:q", "start", float(i), str(i), None, json.dumps({"v": f(i, x)}), None) for i, x in enumerate(v)]
+    kind = "pair long, " + schema.EVENT
+    a = differential.normalise(spark.createDataFrame(rows(lambda i, x: x), kind), "pair")
+    b = differential.normalise(spark.createDataFrame([r for r in rows(lambda i, x: -1 if i % 23 == 5 else x) if r[1] != 9_000], kind), "pair")
+    tried = []
+    old = differential.met
+    differential.met = lambda x, y, step=differential.STEP: tried.append(old(x, y, 500)) or tried[-1]
+    try:
+        got = sorted((r.place, r.normal_index, r.fault_index, r.cost) for r in differential.align(a, b, "pair", band=16).collect())
+    finally:
+        differential.met = old
+    assert tried[0].count() > 20
+    assert [g[1:] for g in got if g[3]] == [(i, i - (i > 9_000) if i != 9_000 else -1, 2 if i == 9_000 else 1) for i in range(20_000) if i % 23 == 5 or i == 9_000]
+    assert sorted(g[1] for g in got) == list(range(20_000)) and len({g[0] for g in got}) == 20_000

@@ -39,6 +39,25 @@ class _Band:
         return now
 
 
+def _costs(a: np.ndarray, b: np.ndarray, kind_a: np.ndarray, kind_b: np.ndarray) -> np.ndarray:
+    return np.where(a == b, 0, np.where(kind_a == kind_b, VALUE, STRUCTURE))
+
+
+def _straight(a: np.ndarray, b: np.ndarray, kind_a: np.ndarray, kind_b: np.ndarray, low: int, high: int, width: int) -> bool:
+    """Whether to pair each place with its own is cheapest for sure, up to each place: a way that leaves it has an insertion and, at each place, a deletion or its best pairing off it."""
+    on = _costs(a, b, kind_a, kind_b)
+    if on.sum() >= GAP * 2 * (width + 1) and (low < -width or high > width):
+        return False
+    off = np.full(len(a), GAP)
+    for d in range(1, min(width, len(a) - 1) + 1):
+        if d <= high:
+            off[:-d] = np.minimum(off[:-d], _costs(a[:-d], b[d:], kind_a[:-d], kind_b[d:]))
+        if -d >= low:
+            off[d:] = np.minimum(off[d:], _costs(a[d:], b[:-d], kind_a[d:], kind_b[:-d]))
+    gain = np.concatenate([[0], np.cumsum(on - off)])
+    return bool((gain - np.minimum.accumulate(gain)).max() <= GAP)
+
+
 def aligned(a: np.ndarray, b: np.ndarray, kind_a: np.ndarray, kind_b: np.ndarray, low: int, high: int, width: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Cheapest alignment of a and b: places in each (-1: none) and costs.
 
@@ -51,6 +70,8 @@ def aligned(a: np.ndarray, b: np.ndarray, kind_a: np.ndarray, kind_b: np.ndarray
     time are worked out again on the way back: memory is about 4 * root(len(a)) * width bytes.
     """
     n, m = len(a), len(b)
+    if n == m and _straight(a, b, kind_a, kind_b, low, high, width):
+        return np.arange(n), np.arange(n), _costs(a, b, kind_a, kind_b)
     near, far = min(0, m - n), max(0, m - n)
     stride = max(1, int(2 * n**0.5))
     while True:
@@ -82,3 +103,35 @@ def aligned(a: np.ndarray, b: np.ndarray, kind_a: np.ndarray, kind_b: np.ndarray
     cost = np.full(len(pa), GAP, np.int64)
     cost[both] = np.where(a[pa[both]] == b[pb[both]], 0, np.where(kind_a[pa[both]] == kind_b[pb[both]], VALUE, STRUCTURE))
     return pa, pb, cost
+
+
+def _swept(row: np.ndarray, a: np.ndarray, b: np.ndarray, kind_a: np.ndarray, kind_b: np.ndarray) -> np.ndarray:
+    """Costs over a band after all of a, from those before it; b begins at the band's lower edge and covers it to the end."""
+    width, steps = len(row), GAP * np.arange(len(row), dtype=np.int64)
+    for r in range(len(a)):
+        at = slice(r, r + width)
+        now = row + np.where(b[at] == a[r], 0, np.where(kind_b[at] == kind_a[r], VALUE, STRUCTURE))
+        now[:-1] = np.minimum(now[:-1], row[1:] + GAP)
+        row = np.minimum.accumulate(now - steps) + steps
+    return row
+
+
+def meeting(a: np.ndarray, b: np.ndarray, kind_a: np.ndarray, kind_b: np.ndarray, reach: int) -> int | None:
+    """The offset at which every cheapest alignment of the whole passes the middle of a window, None if this cannot be shown.
+
+    a: an even number of a's elements; b: those from `reach` before the first to `reach` behind the last.
+    Costs of neighbouring offsets differ by at most a gap, before a place and behind it. So whatever lies
+    outside of the window, to be off the offset with most matches saves at most a gap a step where the window
+    begins and ends. If, with all of that given, every way off the offset in the middle costs more than to
+    stay on it throughout, no cheapest way does it.
+    """
+    half, width = len(a) // 2, 2 * reach + 1
+    equal = [np.count_nonzero(a == b[k : k + len(a)]) for k in range(width)]
+    best = int(np.argmax(equal))
+    on = slice(best, best + len(a))
+    stay = int(np.where(b[on] == a, 0, np.where(kind_b[on] == kind_a, VALUE, STRUCTURE)).sum())
+    given = -GAP * np.abs(np.arange(width, dtype=np.int64) - best)
+    to = _swept(given, a[:half], b[: half + 2 * reach], kind_a[:half], kind_b[: half + 2 * reach])
+    back = _swept(given[::-1].copy(), a[half:][::-1], b[half:][::-1], kind_a[half:][::-1], kind_b[half:][::-1])[::-1]
+    off = np.delete(to + back, best)
+    return best - reach if len(off) == 0 or off.min() > stay else None

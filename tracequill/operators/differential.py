@@ -2,7 +2,7 @@
 
 Runs come in pairs: a column (`pair`) names the pair that an event belongs to, so any number of pairs
 are compared in one job. Equal beginnings and ends are matched by joins on the position; what lies between
-is cut where a match is forced, and only the fingerprints of a piece travel to the aligner, one task a piece.
+is cut where a match is forced or a place is passed whatever lies around it, and only the fingerprints of a piece travel to the aligner, one task a piece.
 """
 
 from __future__ import annotations
@@ -17,16 +17,31 @@ from pyspark.sql import functions as F
 from ..functions.canonical import RUN_KEYS, canonical_map, context_text
 from ..plans.stages import saved
 from .asof import as_of
-from .banded import aligned
+from .banded import aligned, meeting
 
 #: The least half-width of the band around the diagonal, and the least significance reported.
 BAND, LEAST = 256, 0.3
+#: Events between places where a cut is tried, and the widest offset for which it is.
+STEP, WIDEST = 8192, 4096
 #: Kinds of difference that change the path taken, and context keys that may differ freely.
 PATH_KINDS = ("error-introduced", "stack-change", "event-inserted", "event-missing", "channel-sequence")
 CHURN = r"(?i)^(timestamp|time|now|monotonic|duration|cost|latency|elapsed|bytes|count)"
 _EVENT = ("channel", "event_type", "ts_ms", "duration_ms", "operation_id", "context_json", "error_message", "error_stack")
 
 
+def _placed(rows: DataFrame, pair: str) -> DataFrame:
+    """rows with their place i in the pair and rel_ms: counted in ranges of equal size, so that one long run is many tasks."""
+    order = ["ts_ms", "channel", "seq"]
+    count = 4 * max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cut = saved(rows.repartitionByRange(count, pair, *order).withColumn("_block", F.spark_partition_id()))
+    sizes = cut.groupBy(F.col(pair).alias("_pair"), F.col("_block").alias("_at")).agg(F.count("*").alias("_n"), F.min("ts_ms").alias("_low"))
+    earlier = Window.partitionBy("_pair").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_pair", "_at", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.min("_low").over(Window.partitionBy("_pair")).alias("_low"))
+    placed = cut.withColumn("_own", F.row_number().over(Window.partitionBy("_block", pair).orderBy(*order)))
+    placed = placed.join(sizes, F.col(pair).eqNullSafe(F.col("_pair")) & (F.col("_block") == F.col("_at")))
+    return placed.select(*rows.columns, (F.col("_before") + F.col("_own") - 1).alias("i"), (F.col("ts_ms") - F.col("_low")).alias("rel_ms"))
+
+
 def normalise(events: DataFrame, pair: str, ignore: tuple[str, ...] = ()) -> DataFrame:
     """Events in order of time and channel with their place i, rel_ms since the first, signature, fingerprint and entries.
 
@@ -36,8 +51,7 @@ def normalise(events: DataFrame, pair: str, ignore: tuple[str, ...] = ()) -> Dat
     for name in ("error_stack", "error_message"):
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast("string"))
-    by = Window.partitionBy(pair).orderBy("ts_ms", "channel", "seq")
-    rows = rows.withColumn("i", F.row_number().over(by) - 1).withColumn("rel_ms", F.col("ts_ms") - F.first("ts_ms").over(by))
+    rows = _placed(rows, pair)
     rows = rows.withColumn("signature", F.concat_ws("|", "channel", "event_type")).withColumn("entries", canonical_map("context_json"))
     return rows.withColumn("fingerprint", F.concat_ws("|", "signature", context_text("entries", RUN_KEYS + tuple(ignore))))
 
@@ -76,18 +90,49 @@ def forced(a: DataFrame, b: DataFrame, reach: DataFrame) -> DataFrame:
     return ends.select("pair", "piece", "start", "end", "shift")
 
 
+def _met(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    none = pd.DataFrame({"pair": [], "start": [], "shift": []})
+    if not len(left) or not len(right):
+        return none
+    left, right = left.sort_values("x"), right.sort_values("x")
+    reach, start = int(left["reach"].iloc[0]), int(left["at"].iloc[0])
+    if len(left) != 4 * reach or len(right) != 6 * reach:
+        return none
+    shift = meeting(*(x[c].to_numpy() for c in ("f", "s") for x in (left, right)), reach)
+    return none if shift is None else pd.DataFrame({"pair": [left["pair"].iloc[0]], "start": [start], "shift": [shift]})
+
+
+def met(a: DataFrame, b: DataFrame, step: int = STEP) -> DataFrame:
+    """a, b (pair, x, f, s, reach) -> (pair, start, shift): places that every cheapest alignment passes, tried every `step` events.
+
+    Up to a's place start and b's place start + shift all is aligned on its own, and so is what follows. Needs
+    no fingerprints that occur once, and edits may be as close as they like, if only equal events are rare
+    off the offset. A task looks at 4 * reach events of a and 6 * reach of b.
+    """
+    wide = F.greatest(F.lit(step), 16 * F.col("reach"))
+
+    def near(x: DataFrame, most: Column) -> DataFrame:
+        spot = F.floor((F.col("x") + most) / wide).cast("long") * wide
+        return x.withColumn("at", spot).filter((F.col("at") > 0) & (F.col("x") < F.col("at") + most)).select("pair", "at", "x", "f", "s", "reach")
+
+    kind = a.schema["pair"].dataType.simpleString()
+    windows = near(a, 2 * F.col("reach")).groupBy("pair", "at").cogroup(near(b, 3 * F.col("reach")).groupBy("pair", "at"))
+    return windows.applyInPandas(_met, f"pair {kind}, start long, shift long")
+
+
 def align(normal: DataFrame, fault: DataFrame, pair: str, band: int = BAND) -> DataFrame:
     """Normalised runs -> (pair, place, normal_index, fault_index, kind, cost): match, substitute, delete or insert.
 
     place is the order of the pairs: the common beginning, what lies between, the common end from its last
-    event on. What lies between is cut where a match is forced, and the pieces are aligned in tasks of their
+    event on. What lies between is cut by forced() and met(), and the pieces are aligned in tasks of their
     own; the result is that of one alignment of the whole.
     """
     def slim(x: DataFrame) -> DataFrame:
-        last = Window.partitionBy(pair)
-        return x.select(F.col(pair).alias("pair"), "i", (F.max("i").over(last) - F.col("i")).alias("r"), F.xxhash64("fingerprint").alias("f"), F.xxhash64("signature").alias("s"))
+        x = saved(x.select(F.col(pair).alias("pair"), "i", F.xxhash64("fingerprint").alias("f"), F.xxhash64("signature").alias("s")))
+        last = x.groupBy("pair").agg(F.max("i").alias("_last"))
+        return saved(x.join(last, "pair").select("pair", "i", (F.col("_last") - F.col("i")).alias("r"), "f", "s"))
 
-    a, b = saved(slim(normal)), saved(slim(fault))
+    a, b = slim(normal), slim(fault)
     sizes = a.groupBy("pair").agg(F.count("*").alias("n")).join(b.groupBy("pair").agg(F.count("*").alias("m")), "pair", "full").fillna(0)
 
     def common(by: str) -> DataFrame:
@@ -109,6 +154,13 @@ def align(normal: DataFrame, fault: DataFrame, pair: str, band: int = BAND) -> D
     runs = None
     if not long.isEmpty():
         runs = saved(forced(*(x.select("pair", "x", "f").join(long, "pair", "left_semi") for x in (mid_a, mid_b)), long))
+        room = long.filter(F.col("reach") <= WIDEST).select("pair")
+        cells = saved(met(*(x.join(room, "pair", "left_semi") for x in (mid_a, mid_b))))
+        # Inside of a run or at its ends there is nothing to cut.
+        taken = runs.select(F.col("pair").alias("_pair"), F.col("start").alias("_from"), F.col("end").alias("_to"))
+        cells = cells.join(taken, (F.col("pair") == F.col("_pair")) & (F.col("start") >= F.col("_from")) & (F.col("start") <= F.col("_to")), "left_anti")
+        both = runs.drop("piece").unionByName(cells.select("pair", "start", F.col("start").alias("end"), "shift"))
+        runs = saved(both.withColumn("piece", F.row_number().over(Window.partitionBy("pair").orderBy("start")).cast("long")))
     if runs is None or runs.isEmpty():
         whole = lambda x: x.withColumn("piece", F.lit(0).cast("long")).withColumn("shift", F.lit(0).cast("long"))
         left, right, matched = whole(mid_a), whole(mid_b), None
