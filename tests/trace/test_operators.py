@@ -279,3 +279,14 @@ def test_snapshot_history_file(spark, tmp_path):
     (tmp_path / "h.json").write_text(json.dumps([record, record | {"id": None}, {k: v for k, v in record.items() if k != "flagged"}]))
     (row,) = files.read_snapshot_history(spark, str(tmp_path / "h.json")).collect()
     assert (row.id, row.ts_ms, row.delta, row.growth_rate, row.flagged) == ("1", 5.0, 2.0, None, True)
+
+
+def test_collector_lines_are_taken_apart_once(spark):
+    from tracequill.operators import memory
+
+    lines = [(1, "[1:0x1] 44 ms: Mark-sweep 10.5 (600.0) -> 4.0 (600.0) MB, 2.5 / 0.5 ms (x)"), (2, "none"), (3, None), (4, "[1:0x1]\t45 ms: Scavenge 1.0 (2.0)->0.5 (2.0) MB, 1.0/0.0 ms")]
+    out = memory.gc_entries(spark.createDataFrame(lines, "seq long, line string"))
+    assert [(r.seq, r.ts_ms, r.type, r.heap_before, r.heap_after, r.pause_ms, r.pause_type) for r in out.orderBy("seq").collect()] == [
+        (1, 44, "Mark-sweep", int(10.5 * 2**20), 4 * 2**20, 3.0, "major"), (4, 45, "Scavenge", 2**20, 2**19, 1.0, "minor")]
+    read = spark.range(5).selectExpr("id AS seq", "concat(id, ' ms: x') AS line")
+    assert memory.gc_entries(read)._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1

@@ -24,28 +24,32 @@ def growth(samples: DataFrame) -> DataFrame:
 
 
 def _collector_fields(line: Column) -> Column:
-    """A collector's line as a struct, null where the line is none.
+    """A collector's line as an array of one struct, null where the line is none.
 
     Before `ms:` stands the time; after it come words: the kind, the heap and its committed size in
-    brackets, an arrow, both again, `MB,`, and two pauses with a slash between.
+    brackets, an arrow, both again, `MB,`, and two pauses with a slash between. The line and its words are
+    variables of functions over arrays, so that each is worked out once a line, not once for each use.
     """
     plain = F.regexp_replace(F.replace(F.replace(line, F.lit("->"), F.lit(" -> ")), F.lit("/"), F.lit(" / ")), r"\s+", " ")
-    stamp, told = F.substring_index(plain, "ms:", 1), F.ltrim(F.substring_index(plain, "ms:", -1))
-    words = F.split(told, " ")
-    word = lambda k: F.get(words, F.lit(k))
     number = lambda x: F.translate(x, "ms", "").try_cast("double")
     bracketed = lambda x: x.startswith("(") & x.endswith(")")
-    fields = F.struct(
-        F.regexp_extract(F.rtrim(stamp), r"\d+$", 0).try_cast("long").alias("ts_ms"), word(0).alias("type"), number(word(1)).alias("before_mb"), number(word(4)).alias("after_mb"),
-        (number(word(7)) + number(word(9))).alias("pause_ms"),
-    )
-    form = (plain.contains("ms:")) & (word(3) == "->") & (word(6) == "MB,") & (word(8) == "/") & bracketed(word(2)) & bracketed(word(5))
-    return F.when(form, fields)
+
+    def fields(plain: Column, words: Column) -> Column:
+        word = lambda k: F.get(words, F.lit(k))
+        found = F.struct(
+            F.regexp_extract(F.rtrim(F.substring_index(plain, "ms:", 1)), r"\d+$", 0).try_cast("long").alias("ts_ms"), word(0).alias("type"), number(word(1)).alias("before_mb"), number(word(4)).alias("after_mb"),
+            (number(word(7)) + number(word(9))).alias("pause_ms"),
+        )
+        form = (plain.contains("ms:")) & (word(3) == "->") & (word(6) == "MB,") & (word(8) == "/") & bracketed(word(2)) & bracketed(word(5))
+        return F.when(form, found)
+
+    split = lambda plain: F.split(F.ltrim(F.substring_index(plain, "ms:", -1)), " ")
+    return F.flatten(F.transform(F.array(plain), lambda p: F.transform(F.array(split(p)), lambda words: fields(p, words))))
 
 
 def gc_entries(lines: DataFrame) -> DataFrame:
     """lines (seq, line) -> collector runs; lines of another form are left out."""
-    rows = lines.select("seq", _collector_fields(F.col("line")).alias("g")).select("seq", "g.*").dropna()
+    rows = lines.select("seq", F.inline(_collector_fields(F.col("line")))).dropna()
     bytes_of = lambda c: F.floor(F.col(c) * MIB)
     return rows.select(
         "seq", "ts_ms", "type", bytes_of("before_mb").alias("heap_before"), bytes_of("after_mb").alias("heap_after"), "pause_ms",
